@@ -38,6 +38,19 @@ def nearest_even(x: Column) -> Column:
     return F.rint(x).cast("bigint")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Round on the exact binary value, halves to even: 2.675 is 2.67 and 0.125 is 0.12.
+
+    The built-in rounding goes by decimal digits and differs only where those end in a half; just
+    these values take the slower path through a written number.
+    """
+    shifted = x * F.lit(float(10 ** (places + 1)))
+    nearest = F.rint(shifted)
+    half = (F.abs(nearest) % 10 == 5) & (F.abs(shifted - nearest) < 1e-3)
+    written = F.replace(F.format_number(x, places), F.lit(","), F.lit("")).cast("double")
+    return F.when(half, written).otherwise(F.round(x, places))
+
+
 def band(x: Column, cuts: list[tuple[float, str]], otherwise: str) -> Column:
     """Label of the first cut with x >= cut; cuts run from high to low. Null takes `otherwise`."""
     label = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -66,8 +67,30 @@ def safe_text(x: Column, masking: bool = True, terms: Iterable[str] = fv.BLOCKED
     return F.when(violates_policy(masked, terms), F.raise_error(F.lit(fv.POLICY_ERROR))).otherwise(masked)
 
 
+_NUMBER_SPEC = re.compile(r"%([+,]?)\.(\d)f")
+_ANY_SPEC = re.compile(r"%%|%[+,]?\.\df|%,?[ds]")
+
+
+def fixed(x: Column, places: int, flag: str = "") -> Column:
+    """A number with fixed decimals, rounded on its exact value; `flag` is "," (groups) or "+" (sign)."""
+    text = F.format_number(x.cast("double"), places)
+    if flag != ",":
+        text = F.replace(text, F.lit(","), F.lit(""))
+    if flag == "+":
+        text = F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text))
+    return text
+
+
 def fmt(pattern: str, *values: Column) -> Column:
-    return F.format_string(pattern, *values)
+    """printf-style text; numbers with decimals go through `fixed`. Takes %s, %d, %,d and %.Nf with + or ,."""
+    specs = [spec for spec in _ANY_SPEC.findall(pattern) if spec != "%%"]
+    if len(specs) != len(values):
+        raise ValueError(f"{len(specs)} places for {len(values)} values: {pattern}")
+    written = []
+    for spec, value in zip(specs, values):
+        number = _NUMBER_SPEC.fullmatch(spec)
+        written.append(fixed(value, int(number[2]), number[1]) if number else value)
+    return F.format_string(_NUMBER_SPEC.sub("%s", pattern), *written)
 
 
 def percent(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight import fixed_values as fv
-from tillsight.functions.numeric import at_least, at_most, clamp, lookup, nearest_even, ratio
+from tillsight.functions.numeric import at_least, at_most, clamp, lookup, nearest_even, ratio, rounded
 from tillsight.functions.structs import present, warning
 from tillsight.functions.text import fmt
 
@@ -125,13 +125,13 @@ BREAK_EVEN_DECIMALS = {
 UPLIFT_DECIMALS = {"expected_redemption_rate": 4, "expected_uplift_rate": 4, "confidence": 4}
 
 
-def rounded(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
-    return df.withColumns({name: F.round(name, places) for name, places in decimals.items()})
+def round_columns(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    return df.withColumns({name: rounded(F.col(name), places) for name, places in decimals.items()})
 
 
 def campaign_break_even(plans: DataFrame) -> DataFrame:
     """Add the break-even measures, rounded, to a table of campaign plans."""
-    return rounded(break_even_measures(plans), BREAK_EVEN_DECIMALS)
+    return round_columns(break_even_measures(plans), BREAK_EVEN_DECIMALS)
 
 
 def break_even_advice(probability: Column) -> Column:
@@ -159,7 +159,7 @@ def uplift_measures(plans: DataFrame) -> DataFrame:
         plans.withColumn("expected_redemption_rate", clamp(redemption, 0.02, 0.32))
         .withColumn("expected_incremental_orders", nearest_even(c("target_customers") * c("expected_redemption_rate")))
         .withColumn("expected_uplift_rate", clamp(orders / baseline, 0.03, 1.5))
-        .withColumn("expected_incremental_revenue", F.round(orders * c("avg_order_value") * kept, 2))
+        .withColumn("expected_incremental_revenue", rounded(orders * c("avg_order_value") * kept, 2))
         .withColumn("confidence", clamp(certainty, 0.58, 0.92))
         .withColumn("model_name", F.lit(fv.UPLIFT_MODEL))
     )
@@ -167,7 +167,7 @@ def uplift_measures(plans: DataFrame) -> DataFrame:
 
 def campaign_uplift(plans: DataFrame) -> DataFrame:
     """Add the uplift measures, rounded, to a table of uplift plans."""
-    return rounded(uplift_measures(plans), UPLIFT_DECIMALS)
+    return round_columns(uplift_measures(plans), UPLIFT_DECIMALS)
 
 
 def exclusion_reason() -> Column:

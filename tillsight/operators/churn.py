@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType
 
-from tillsight.functions.numeric import at_least, at_most, band, clamp, floor_days, money_sum
+from tillsight.functions.numeric import at_least, at_most, band, clamp, floor_days, money_sum, rounded
 from tillsight.plans.attach import all_present, attach, grouped
 from tillsight.plans.percentiles import SINGLE_TASK_ROWS, exact_percentile
 from tillsight.plans.shared import stored
@@ -34,7 +34,7 @@ def churn_score(
     away = at_most(F.col("recency") / F.lit(recency_days), 1.0) * weights[0]
     rare = at_least(1.0 - F.col("frequency") / F.lit(visits), 0.0) * weights[1]
     unmoved = (1.0 - F.col("coupon_use_rate")) * weights[2]
-    scored = df.withColumn("churn_score", F.round(away + rare + unmoved, 2))
+    scored = df.withColumn("churn_score", rounded(away + rare + unmoved, 2))
     return scored.withColumn("risk_level", band(F.col("churn_score"), list(cuts), "low"))
 
 

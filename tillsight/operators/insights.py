@@ -18,7 +18,7 @@ from tillsight.operators.campaigns import (
     retention_actions,
     retention_offers,
     retention_warnings,
-    rounded,
+    round_columns,
     uplift_measures,
 )
 from tillsight.operators.menu import menu_pricing, menu_pricing_actions
@@ -199,7 +199,7 @@ def break_even_strategy(plans: DataFrame) -> DataFrame:
         "campaign_bep_simulation",
         context,
     )
-    return with_version(rounded(with_evidence(rows, entries), BREAK_EVEN_DECIMALS), "strategy")
+    return with_version(round_columns(with_evidence(rows, entries), BREAK_EVEN_DECIMALS), "strategy")
 
 
 def uplift_strategy(plans: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def uplift_strategy(plans: DataFrame) -> DataFrame:
         "campaign_uplift_estimate",
         context,
     )
-    return with_version(rounded(with_evidence(rows, entries), UPLIFT_DECIMALS), "strategy")
+    return with_version(round_columns(with_evidence(rows, entries), UPLIFT_DECIMALS), "strategy")
 
 
 def pricing_strategy(menus: DataFrame) -> DataFrame:

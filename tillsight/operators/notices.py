@@ -26,10 +26,13 @@ def require_policy_safe(df: DataFrame, column: str, terms: Sequence[str] = fv.BL
     return df.withColumn(column, safe_text(F.col(column), masking=False, terms=terms))
 
 
-def notice_summary(notices: DataFrame, *, masking: bool = True, terms: Sequence[str] = fv.BLOCKED_TERMS) -> DataFrame:
+def notice_summary(
+    notices: DataFrame, *, masking: bool = True, terms: Sequence[str] = fv.BLOCKED_TERMS, policy: str = "raise"
+) -> DataFrame:
     """Add summary, confidence, version and, with lineage columns, evidence to rows with `notice_text`.
 
-    The summary is the first two non-blank lines, cut to 180 characters, masked and policy-checked.
+    The summary is the first two non-blank lines, cut to 180 characters, masked and policy-checked:
+    a blocked term fails the job (`policy="raise"`) or sets `policy_violation` (`policy="flag"`).
     A boolean `from_file` column, if present, lowers the confidence of file uploads.
     """
     lines = text_lines(F.col("notice_text"))
@@ -38,9 +41,12 @@ def notice_summary(notices: DataFrame, *, masking: bool = True, terms: Sequence[
     confidence = F.lit(fv.NOTICE_CONFIDENCE_TEXT)
     if "from_file" in notices.columns:
         confidence = F.when(F.col("from_file"), fv.NOTICE_CONFIDENCE_FILE).otherwise(confidence)
+    if policy == "raise":
+        checked = notices.withColumn("summary", safe_text(summary, masking, terms))
+    else:
+        checked = policy_flags(notices.withColumn("summary", mask_personal_data(summary, masking)), "summary", terms)
     result = (
-        notices.withColumn("summary", safe_text(summary, masking, terms))
-        .withColumn("ocr_confidence", confidence)
+        checked.withColumn("ocr_confidence", confidence)
         .withColumn("version", version("ocr"))
     )
     if {"source_name", "uploaded_at"} <= set(notices.columns):

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillsight.functions.numeric import rounded
 from tillsight.functions.text import is_blank
 from tillsight.schemas import dataset
 
@@ -26,7 +27,7 @@ def profile(raw: DataFrame, name: str) -> DataFrame:
                 F.count(value).alias(f"{column}_n"),
                 F.coalesce(F.min(value), F.lit(0.0)).alias(f"{column}_min"),
                 F.coalesce(F.max(value), F.lit(0.0)).alias(f"{column}_max"),
-                F.coalesce(F.round(F.avg(value), 4), F.lit(0.0)).alias(f"{column}_mean"),
+                F.coalesce(rounded(F.avg(value), 4), F.lit(0.0)).alias(f"{column}_mean"),
             ]
         if key:
             aggregates.append(F.count_if(is_blank(F.col(column))).alias(f"{column}_missing"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillsight.functions.numeric import rounded
 from tillsight.operators.churn import churn_score
 from tillsight.operators.reviews import review_sentiment
 from tillsight.operators.risk import event_anomalies
@@ -15,7 +16,7 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One row: share of rows with prediction equal to label (4 decimals; 0 without rows) and sample_size."""
     hit = F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("int")
     return df.agg(
-        F.coalesce(F.round(F.avg(hit), 4), F.lit(0.0)).alias("accuracy"), F.count("*").alias("sample_size")
+        F.coalesce(rounded(F.avg(hit), 4), F.lit(0.0)).alias("accuracy"), F.count("*").alias("sample_size")
     )
 
 
@@ -37,7 +38,7 @@ def precision_at_k(df: DataFrame, label: str, score: str, k: int, tie: str) -> D
     """One row: share of positive labels (0/1) among the k best scores, 0 without rows or with k <= 0."""
     best = top_scored(df.select(label, score, tie), score, max(k, 0), tie)
     return best.agg(
-        F.coalesce(F.round(F.avg(label), 4), F.lit(0.0)).alias("precision_at_k"), F.count("*").alias("ranked_count")
+        F.coalesce(rounded(F.avg(label), 4), F.lit(0.0)).alias("precision_at_k"), F.count("*").alias("ranked_count")
     )
 
 
@@ -50,7 +51,7 @@ def metric_record(
         F.lit(task).alias("task"),
         F.lit(version).alias("version"),
         F.lit(metric_name).alias("metric_name"),
-        F.round(value, 4).alias("metric_value"),
+        rounded(F.col(value), 4).alias("metric_value"),
         size.cast("bigint").alias("sample_size"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("created_at"),
     )

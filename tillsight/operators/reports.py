@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight import fixed_values as fv
+from tillsight.functions.numeric import rounded
 from tillsight.functions.structs import present, typed_text, version
 from tillsight.functions.text import fmt, safe_text
 from tillsight.operators.churn import rfm, rfm_segments
@@ -108,7 +109,7 @@ def risk_summary(slots: DataFrame, risky: DataFrame, keys: Sequence[str] = ()) -
     slot_side = grouped(
         slots,
         keys,
-        F.coalesce(F.round(F.max("anomaly_score"), 2), F.lit(0.0)).alias("anomaly_score_max"),
+        F.coalesce(rounded(F.max("anomaly_score"), 2), F.lit(0.0)).alias("anomaly_score_max"),
         F.coalesce(F.sum("cancel_count"), F.lit(0)).alias("total_cancel_count"),
         F.max_by(F.when(serious, F.col("hour")), F.when(serious, rank)).alias("peak_hour"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tillsight import fixed_values as fv
+from tillsight.functions.numeric import rounded
 from tillsight.functions.text import keyword_hits, strip
 
 # Confidence of a text without a majority, step per hit and its limit.
@@ -24,7 +25,7 @@ def review_sentiment(
     """Add sentiment and confidence from the number of positive and negative keywords in the text."""
     lowered = F.lower(strip(F.coalesce(F.col(text_col), F.lit(""))))
     liked, disliked = F.col("_liked"), F.col("_disliked")
-    confidence = F.round(F.lit(BASE_CONFIDENCE) + F.least(F.greatest(liked, disliked) * HIT_STEP, F.lit(HIT_LIMIT)), 2)
+    confidence = rounded(F.lit(BASE_CONFIDENCE) + F.least(F.greatest(liked, disliked) * HIT_STEP, F.lit(HIT_LIMIT)), 2)
     return (
         df.withColumn("_text", lowered)
         .withColumn("_liked", keyword_hits(F.col("_text"), positive))

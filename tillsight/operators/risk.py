@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillsight.functions.numeric import at_most, band, money_mean
+from tillsight.functions.numeric import at_most, band, money_mean, rounded
 from tillsight.plans.attach import all_present, attach, grouped
 from tillsight.plans.shared import stored
 
@@ -31,7 +31,7 @@ def event_anomalies(df: DataFrame, group: str = "event_type", value: str = "amou
     )
     distance = F.abs((F.col(value) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0)))
     probability = (
-        F.when(F.col("_n") < 2, 0.5).when(F.col("_std") == 0, 0.0).otherwise(F.round(at_most(distance / 3.0, 1.0), 4))
+        F.when(F.col("_n") < 2, 0.5).when(F.col("_std") == 0, 0.0).otherwise(rounded(at_most(distance / 3.0, 1.0), 4))
     )
     return (
         attach(rows, statistics, [group])

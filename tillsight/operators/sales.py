@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillsight import fixed_values as fv
-from tillsight.functions.numeric import money_mean, money_sum, ratio
+from tillsight.functions.numeric import money_mean, money_sum, ratio, rounded
 from tillsight.functions.structs import ranked
+from tillsight.functions.text import fmt
 from tillsight.plans.attach import all_present
 
 # Weights of the change drivers.
@@ -75,7 +76,7 @@ def sales_factors(
         *keys,
         F.col("top_factors")[0].alias("dominant_factor"),
         "top_factors",
-        F.when(F.col("record_count") >= 2, F.round("revenue_delta_pct", 2)).otherwise(0.0).alias("revenue_delta_pct"),
+        F.when(F.col("record_count") >= 2, rounded(F.col("revenue_delta_pct"), 2)).otherwise(0.0).alias("revenue_delta_pct"),
     )
 
 
@@ -142,5 +143,5 @@ def hourly_trend_summary(trend: DataFrame, keys: Sequence[str] = ()) -> DataFram
         volatility.alias("volatility"),
         F.count("*").alias("_hours"),
     )
-    text = F.format_string(fv.HOURLY_SUMMARY, F.concat_ws(", ", F.col("peak_hours").cast("array<string>")), "best_hour")
+    text = fmt(fv.HOURLY_SUMMARY, F.concat_ws(", ", F.col("peak_hours").cast("array<string>")), F.col("best_hour"))
     return summary.filter(F.col("_hours") > 0).drop("_hours").withColumn("summary", text)

@@ -10,6 +10,11 @@ def money(column: str) -> str:
     return f"cast(sum(cast({column} as decimal(18,2))) as double)"
 
 
+def exact(expression: str, places: int) -> str:
+    """Rounding on the exact binary value, halves to even."""
+    return f"cast(printf('%.{places}f', cast({expression} as double)) as double)"
+
+
 VISITS = """visits as (
   select o_custkey as customer_id, c_nationkey as store_id, cast(o_orderdate as date) as visit_date,
          o_totalprice as payment_amount
@@ -74,8 +79,8 @@ customer_rfm as (
          case when coalesce(churn_probability, 0.0) > 0.8 then 1 else 0 end as churned
   from rfm left join coupons on customer_id = o_custkey left join customer on customer_id = c_custkey),
 churn_scored as (
-  select *, round(least(recency / 60.0, 1.0) * 50 + greatest(0.0, 1.0 - frequency / 10.0) * 30
-                  + (1.0 - coupon_use_rate) * 20, 2) as churn_score from customer_rfm),
+  select *, {exact("""least(recency / 60.0, 1.0) * 50 + greatest(0.0, 1.0 - frequency / 10.0) * 30
+                  + (1.0 - coupon_use_rate) * 20""", 2)} as churn_score from customer_rfm),
 churn_rated as (
   select *, case when churn_score >= 65 then 'high' when churn_score >= 40 then 'medium' else 'low' end as risk_level
   from churn_scored)"""
@@ -196,13 +201,13 @@ HIGH_VALUE = """risky as (
     on true
   where status = 'cancelled' and total_amount > mean * 3)"""
 
-EVENTS_SCORED = """grouped as (
+EVENTS_SCORED = f"""grouped as (
   select event_type, count(*) as n, avg(value) as mean, stddev_pop(value) as std from events group by event_type),
 events_scored as (
   select event_id, user_id as store_id, e.event_type, value as amount,
          case when e.event_type = 'error' then 1 else 0 end as is_anomaly,
          case when n < 2 then 0.5 when std = 0 then 0.0
-              else round(least(abs((value - mean) / std) / 3.0, 1.0), 4) end as anomaly_probability
+              else {exact('least(abs((value - mean) / std) / 3.0, 1.0)', 4)} end as anomaly_probability
   from events e join grouped g on e.event_type = g.event_type)"""
 
 
@@ -220,8 +225,8 @@ rated as (
   select review_id, store_id, sentiment_label,
          case when liked > disliked then 'positive' when disliked > liked then 'negative' else 'neutral' end
            as sentiment,
-         case when liked <> disliked then round(0.55 + least(greatest(liked, disliked) * 0.1, 0.35), 2)
-              else 0.55 end as confidence
+         cast(case when liked <> disliked then round(0.55 + least(greatest(liked, disliked) * 0.1, 0.35), 2)
+              else 0.55 end as double) as confidence
   from counted)"""
 
 

@@ -198,7 +198,7 @@ def sales_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tops as (select store_id, string_agg(name, '|' order by rn) as top_factors from ranked where rn <= 3 group by store_id)
     select c.store_id, split_part(coalesce(top_factors, 'revenue|orders|customers'), '|', 1) as dominant_factor,
            coalesce(top_factors, 'revenue|orders|customers') as top_factors,
-           case when record_count >= 2 then round(revenue_delta_pct, 2) else 0.0 end as revenue_delta_pct
+           case when record_count >= 2 then {sql.exact('revenue_delta_pct', 2)} else 0.0 end as revenue_delta_pct
     from changes c left join tops t on c.store_id = t.store_id"""
 )
 def sales_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,14 +296,14 @@ def hourly_trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- menu -------------------------------------------------------------------------------------
 
-_MENU_COLUMNS = """menu_name, qty, round(unit_margin, 4) as unit_margin, round(total_margin, 2) as total_margin,
+_MENU_COLUMNS = """menu_name, qty, round(unit_margin, 4) as unit_margin, round(total_margin, 4) as total_margin,
   round(popularity_index, 8) as popularity_index, round(profitability_index, 6) as profitability_index, category"""
 
 
 def _menu_rounded(df: DataFrame, *keys: str) -> DataFrame:
     names = ("menu_name", "qty", "unit_margin", "total_margin", "popularity_index", "profitability_index", "category")
-    df = rounded(df.select(*keys, *names), 4, "unit_margin")
-    return rounded(rounded(rounded(df, 2, "total_margin"), 8, "popularity_index"), 6, "profitability_index")
+    df = rounded(df.select(*keys, *names), 4, "unit_margin", "total_margin")
+    return rounded(rounded(df, 8, "popularity_index"), 6, "profitability_index")
 
 
 @query(f"with {sql.menus()} select {_MENU_COLUMNS} from quadrants")
@@ -440,7 +440,7 @@ anomaly_rated as (
 @query(
     f"""with {_ANOMALY_INPUT} select store_id, anomaly_score, severity,
     format('payment 이상이 {{}}건 감지됐고 이상 점수는 {{:.1f}}점입니다. 예상 매출 영향은 {{:,}}원이며 대응 우선순위는 {{}}입니다.',
-      occurrence_count, anomaly_score, cast(round(revenue_impact) as bigint), severity) as summary from anomaly_rated"""
+      occurrence_count, anomaly_score, cast(round_even(revenue_impact, 0) as bigint), severity) as summary from anomaly_rated"""
 )
 def anomaly_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = insights.anomaly_explanation(b.anomaly_input(spark, sf_dir))
@@ -483,7 +483,7 @@ def staffing_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {sql.staffing()}, told as (
     select store_id, date, hour, unnest([
       {{'metric': '실투입 대비 권장 인력', 'value': concat(staff_actual, '명 -> ', staff_recommended, '명')}},
-      {{'metric': '시간대 매출', 'value': format('{{:,}}원', cast(round(sales) as bigint))}}]) as e from staffed)
+      {{'metric': '시간대 매출', 'value': format('{{:,}}원', cast(round_even(sales, 0) as bigint))}}]) as e from staffed)
     select store_id, date, hour, e.metric as metric, e.value as value, concat(date, ' ', hour, ':00') as period,
       'staffing_hourly' as source from told"""
 )
@@ -571,14 +571,13 @@ judged as (
 
 @query(
     f"""with {_BREAK_EVEN} select store_id, segment_name, channel, offer_type, target_customers,
-    round(open_rate, 4) as expected_open_rate, round(conversion, 4) as expected_conversion_rate,
-    orders as expected_incremental_orders, round(orders * basket, 2) as expected_incremental_revenue,
-    round(profit, 2) as expected_incremental_profit, cast(bep as bigint) as break_even_orders,
-    round(bep * basket, 2) as break_even_revenue,
-    round(least(0.99, greatest(0.01, orders / bep)), 4) as break_even_probability,
-    case when fixed_cost > 0 then round(profit / fixed_cost * 100, 2) else 0.0 end as expected_roi,
-    round(least(0.93, greatest(0.55, 0.62 + least(recent_visit_count, 1000) / 4000 + least(target_customers, 3000) / 12000)),
-          4) as confidence
+    {sql.exact('open_rate', 4)} as expected_open_rate, {sql.exact('conversion', 4)} as expected_conversion_rate,
+    orders as expected_incremental_orders, {sql.exact('orders * basket', 2)} as expected_incremental_revenue,
+    {sql.exact('profit', 2)} as expected_incremental_profit, cast(bep as bigint) as break_even_orders,
+    {sql.exact('bep * basket', 2)} as break_even_revenue,
+    {sql.exact('least(0.99, greatest(0.01, orders / bep))', 4)} as break_even_probability,
+    case when fixed_cost > 0 then {sql.exact('profit / fixed_cost * 100', 2)} else 0.0 end as expected_roi,
+    {sql.exact('least(0.93, greatest(0.55, 0.62 + least(recent_visit_count, 1000) / 4000 + least(target_customers, 3000) / 12000))', 4)} as confidence
     from judged"""
 )
 def campaign_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -615,13 +614,12 @@ def campaign_break_even_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
         * least(1.35, 0.95 + discount_rate * 2.4) * greatest(0.75, least(1.2, 0.85 + return_rate * 1.4)))) as redemption
       from redeemed),
     ordered as (select *, cast(round_even(target_customers * redemption, 0) as bigint) as orders from rated)
-    select store_id, segment_name, channel, target_customers, round(redemption, 4) as expected_redemption_rate,
+    select store_id, segment_name, channel, target_customers, {sql.exact('redemption', 4)} as expected_redemption_rate,
       orders as expected_incremental_orders,
-      round(least(1.5, greatest(0.03, orders / greatest(1, round_even(recent_visit_count / 7, 0)))), 4)
+      {sql.exact('least(1.5, greatest(0.03, orders / greatest(1, round_even(recent_visit_count / 7, 0))))', 4)}
         as expected_uplift_rate,
-      round(orders * avg_order_value * greatest(0.82, 1 - discount_rate * 0.6), 2) as expected_incremental_revenue,
-      round(least(0.92, greatest(0.58, 0.63 + least(recent_visit_count, 700) / 3500 + least(target_customers, 3000) / 15000)),
-            4) as confidence
+      {sql.exact('orders * avg_order_value * greatest(0.82, 1 - discount_rate * 0.6)', 2)} as expected_incremental_revenue,
+      {sql.exact('least(0.92, greatest(0.58, 0.63 + least(recent_visit_count, 700) / 3500 + least(target_customers, 3000) / 15000))', 4)} as confidence
     from ordered"""
 )
 def campaign_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -699,12 +697,13 @@ def policy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {sql.NOTICE_LINES}, short as (
     select doc_id, source, length(text) as size, case when len(lines) > 0
       then left(array_to_string(lines[1:2], ' '), 180) else '{fv.EMPTY_NOTICE}' end as summary from noticed)
-    select doc_id, {sql.masked('summary')} as summary, cast(0.95 as double) as ocr_confidence,
+    select doc_id, {sql.masked('summary')} as summary,
+      {' or '.join(f"contains(lower({sql.masked('summary')}), '{w}')" for w in fv.BLOCKED_TERMS)} as policy_violation, cast(0.95 as double) as ocr_confidence,
       concat(size, '자') as text_size, 'ocr-rule-0.1.0' as model_version from short"""
 )
 def notice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices.notice_summary(b.notices(spark, sf_dir)).select(
-        "doc_id", "summary", "ocr_confidence", F.col("evidence")[0]["value"].alias("text_size"), "version.model_version"
+    return notices.notice_summary(b.notices(spark, sf_dir), policy="flag").select(
+        "doc_id", "summary", "policy_violation", "ocr_confidence", F.col("evidence")[0]["value"].alias("text_size"), "version.model_version"
     )
 
 
@@ -912,7 +911,7 @@ def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     select d.store_id, concat_ws(' ', {_SALES_TEXT},
       printf('이탈 위험 고객은 %d명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
            at_risk_customers, cycle_ratio, risk_band, save_rate * 100),
-      format('프로모션 ROI는 42.1%이고 평균 객단가는 {{:,}}원입니다.', cast(round(avg_order_value) as bigint)),
+      format('프로모션 ROI는 42.1%이고 평균 객단가는 {{:,}}원입니다.', cast(round_even(avg_order_value, 0) as bigint)),
       coalesce(advice, '{fv.STORE_NO_STAFFING}')) as summary,
       concat_ws('|', split_part(lines, '|', 1), split_part(lines, '|', 2), printf('이탈 위험 고객 %d명', at_risk_customers),
         printf('방문 지연 %.1f일, 평균 주기 %.1f일', delayed_visit_days, avg_visit_cycle_days),
