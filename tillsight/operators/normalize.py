@@ -28,23 +28,26 @@ def normalize(df: DataFrame, name: str, mode: str = "strict") -> DataFrame:
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError(f"Unknown mode: {mode}")
-    columns, reasons = [], []
+    values, problems = [], []
     for column, kind in dataset(name).all_columns:
         text = strip(F.col(column))
         blank = F.coalesce(text, F.lit("")) == ""
         value = _typed(text, kind)
-        if mode == "strict":
-            value = (
-                F.when(blank, F.raise_error(F.lit(f"Missing required field: {column}")))
-                .when(value.isNull(), F.raise_error(F.lit(f"Invalid value in field: {column}")))
-                .otherwise(value)
-            )
-            columns.append(value.alias(column))
-        else:
-            columns.append(F.when(~blank, value).alias(column))
-            reasons.append(
-                F.when(blank, F.lit(f"missing:{column}")).when(value.isNull(), F.lit(f"invalid:{column}"))
-            )
+        values.append(F.when(~blank, value).alias(column))
+        problems.append((column, blank, value.isNull()))
     if mode == "strict":
-        return df.select(*columns)
-    return df.select(*columns, present(*reasons).alias("reasons"))
+        first = F.coalesce(
+            *[
+                F.when(blank, F.lit(f"Missing required field: {column}")).when(
+                    bad, F.lit(f"Invalid value in field: {column}")
+                )
+                for column, blank, bad in problems
+            ]
+        )
+        # As a filter the check covers the whole row, whichever columns are read later.
+        return df.filter(F.when(first.isNull(), True).otherwise(F.raise_error(first).cast("boolean"))).select(*values)
+    reasons = [
+        F.when(blank, F.lit(f"missing:{column}")).when(bad, F.lit(f"invalid:{column}"))
+        for column, blank, bad in problems
+    ]
+    return df.select(*values, present(*reasons).alias("reasons"))

@@ -20,14 +20,11 @@ def event_anomalies(df: DataFrame, group: str = "event_type", value: str = "amou
     """Add anomaly_probability and severity: distance of an amount from its group's mean.
 
     Three population standard deviations or more give 1; equal amounts give 0; a group of one gives
-    0.5. The group statistics are stored first, so the join back sees their measured size.
+    0.5.
     """
     rows = all_present(df, [group, value])
-    statistics = stored(
-        rows.groupBy(group).agg(
-            F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")
-        ),
-        "event-groups",
+    statistics = rows.groupBy(group).agg(
+        F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")
     )
     distance = F.abs((F.col(value) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0)))
     probability = (
@@ -85,7 +82,5 @@ def high_value_cancels(
     """Cancelled receipts above `factor` times the mean amount of all receipts."""
     receipts = all_present(receipts, keys)
     mean = grouped(receipts, keys, money_mean(F.col("total_amount"), amount_scale).alias("_mean"))
-    if keys:
-        mean = stored(mean, "receipt-means")
     cancelled = receipts.filter(F.col("status") == "cancelled")
     return attach(cancelled, mean, keys).filter(F.col("total_amount") > F.col("_mean") * factor).drop("_mean")

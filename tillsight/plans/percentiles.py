@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tillsight.plans.attach import all_present, attach, grouped
+from tillsight.plans.attach import all_present, attach_one_row, grouped
 from tillsight.plans.shared import stored
 
 SINGLE_TASK_ROWS = 1_000_000
@@ -68,11 +68,11 @@ def exact_percentile(
         width = (width - 1) // fanout + 1
 
     after = grouped(
-        attach(whole, state.select(*keys, "_low"), keys).filter(F.col("_v") > F.col("_low")),
+        _beside(whole, state.select(*keys, "_low"), keys).filter(F.col("_v") > F.col("_low")),
         keys,
         F.min("_v").alias("_next"),
     )
-    joined = state.join(after, list(keys), "left") if keys else attach(state, after)
+    joined = state.join(after, list(keys), "left") if keys else attach_one_row(state, after)
     upper = F.when(F.col("_rank") + 1 < F.col("_here"), F.col("_low")).otherwise(
         F.coalesce(F.col("_next"), F.col("_low"))
     )
@@ -81,11 +81,15 @@ def exact_percentile(
     )
 
 
+def _beside(values: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return values.join(state, list(keys)) if keys else attach_one_row(values, state)
+
+
 def _narrow(values: DataFrame, state: DataFrame, keys: Sequence[str], fanout: int) -> DataFrame:
     """The sub-range of each group that holds the wanted rank, with the rank counted from its start."""
     slot = F.expr("(_v - _low) div _width")
     counts = (
-        attach(values, state, keys)
+        _beside(values, state, keys)
         .filter(F.col("_v") >= F.col("_low"))
         .withColumn("_slot", slot)
         .filter(F.col("_slot") < fanout)

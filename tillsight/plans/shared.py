@@ -28,8 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tillsight/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tillsight/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process wrote; results built on them can no longer be read."""
+    count = 0
+    while _written:
+        location = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        count += bool(files.delete(location, True))
+    return count
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -297,13 +297,13 @@ def hourly_trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- menu -------------------------------------------------------------------------------------
 
 _MENU_COLUMNS = """menu_name, qty, round(unit_margin, 4) as unit_margin, round(total_margin, 4) as total_margin,
-  round(popularity_index, 8) as popularity_index, round(profitability_index, 6) as profitability_index, category"""
+  round(popularity_index, 10) as popularity_index, round(profitability_index, 6) as profitability_index, category"""
 
 
 def _menu_rounded(df: DataFrame, *keys: str) -> DataFrame:
     names = ("menu_name", "qty", "unit_margin", "total_margin", "popularity_index", "profitability_index", "category")
     df = rounded(df.select(*keys, *names), 4, "unit_margin", "total_margin")
-    return rounded(rounded(df, 8, "popularity_index"), 6, "profitability_index")
+    return rounded(rounded(df, 10, "popularity_index"), 6, "profitability_index")
 
 
 @query(f"with {sql.menus()} select {_MENU_COLUMNS} from quadrants")
@@ -933,15 +933,29 @@ def store_intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with scenarios as (
       select n_nationkey as store_id, unnest(['retention_recovery', 'anomaly_followup', 'operations_tuning']) as scenario
-      from nation)
-    select store_id, scenario,
-      case scenario when 'operations_tuning' then 'completed' else 'pending_approval' end as status,
-      case scenario when 'retention_recovery' then 'analysis:completed|strategy:completed|execution:pending_approval'
-        when 'anomaly_followup' then 'analysis:completed|strategy:skipped|execution:pending_approval'
-        else 'strategy:completed|staffing:completed|inventory:completed' end as steps,
-      case scenario when 'retention_recovery' then 'analysis|execution|strategy'
-        when 'anomaly_followup' then 'analysis|execution' else 'inventory|menu_strategy|staffing' end as outputs
-    from scenarios"""
+      from nation),
+    buying as (select distinct c_nationkey as store_id from orders join customer on o_custkey = c_custkey),
+    busy as (select distinct cast(user_id % 25 as integer) as store_id from events),
+    supplying as (select distinct s_nationkey as store_id from lineitem join supplier on l_suppkey = s_suppkey),
+    known as (
+      select s.*, scenario = 'retention_recovery' and buying.store_id is not null as recover,
+        scenario = 'anomaly_followup' as follow, busy.store_id is not null as active,
+        supplying.store_id is not null as stocked
+      from scenarios s left join buying on s.store_id = buying.store_id left join busy on s.store_id = busy.store_id
+        left join supplying on s.store_id = supplying.store_id)
+    select store_id, scenario, case when recover or follow then 'pending_approval' else 'completed' end as status,
+      case when recover then 'analysis:completed|strategy:completed|execution:pending_approval'
+        when follow then concat_ws('|', case when active then 'analysis:completed' end, 'strategy:skipped',
+                                   'execution:pending_approval')
+        when scenario = 'operations_tuning' then concat_ws('|', case when stocked then 'strategy:completed' end,
+          case when active then 'staffing:completed' end, case when stocked then 'inventory:completed' end)
+        else '' end as steps,
+      case when recover then 'analysis|execution|strategy'
+        when follow then concat_ws('|', case when active then 'analysis' end, 'execution')
+        when scenario = 'operations_tuning' then concat_ws('|', case when stocked then 'inventory|menu_strategy' end,
+          case when active then 'staffing' end)
+        else '' end as outputs
+    from known"""
 )
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.action_plan(b.action_requests(spark, sf_dir), **b.action_inputs(spark, sf_dir))
