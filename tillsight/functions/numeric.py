@@ -85,6 +85,11 @@ def money_mean(x: Column, scale: int | None = 2) -> Column:
     return F.when(F.count(x) > 0, total / F.count(x))
 
 
+def exact_mean(x: Column) -> Column:
+    """Mean taken in decimals: order does not matter and the mean of equal values is that value."""
+    return F.avg(x.cast("decimal(38,18)")).cast("double")
+
+
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days from `earlier` to `later`, rounded down (minus 12 hours is -1)."""
     micros = F.unix_micros(later) - F.unix_micros(earlier)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight import fixed_values as fv
-from tillsight.functions.numeric import lookup, money_mean, ratio, truncated
+from tillsight.functions.numeric import exact_mean, lookup, ratio, truncated
 from tillsight.functions.structs import present, warning
 from tillsight.functions.text import fmt
 from tillsight.plans.attach import all_present, attach, grouped
@@ -19,9 +19,7 @@ PROFITABILITY_CUT = 1.0
 LOW_MARGIN = 0.2
 
 
-def menu_metrics(
-    sales: DataFrame, lineup: DataFrame, keys: Sequence[str] = (), *, margin_scale: int | None = 4
-) -> DataFrame:
+def menu_metrics(sales: DataFrame, lineup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per menu: qty, unit_margin, total_margin, popularity_index and profitability_index.
 
     Quantities are added up before the join with the price list; a menu listed twice there appears
@@ -43,7 +41,7 @@ def menu_metrics(
         menus,
         keys,
         F.sum("qty").alias("_total_qty"),
-        money_mean(F.col("unit_margin"), margin_scale).alias("_mean_margin"),
+        exact_mean(F.col("unit_margin")).alias("_mean_margin"),
     )
     return (
         attach(menus, totals, keys)
