@@ -9,14 +9,14 @@ from pyspark.sql import Column, functions as F
 
 from tillsight import fixed_values as fv
 
-# Whitespace and line-break classes; (?U) makes \s, \d and \b Unicode aware.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every Unicode whitespace character, separators \x1c-\x1f included, and the line breaks among them.
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _LINE_BREAK = r"\R|[\x1c-\x1e]"
 
 
 def strip(x: Column) -> Column:
     """Remove all leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(x, _EDGE_SPACE, "")
+    return F.btrim(x, F.lit(WHITESPACE))
 
 
 def is_blank(x: Column) -> Column:
@@ -45,16 +45,21 @@ def keyword_hits(x: Column, keywords: Iterable[str]) -> Column:
 
 
 def mask_personal_data(x: Column, enabled: bool = True) -> Column:
-    """Hide phone numbers, e-mail addresses and resident ids, in that order."""
+    """Hide phone numbers, e-mail addresses and resident ids, in that order.
+
+    Each pattern holds a fixed sign; texts without it skip the pattern. (?U) makes \\d and \\b
+    Unicode aware.
+    """
     if not enabled:
         return x
-    for pattern, mask in (
-        (fv.PHONE_PATTERN, fv.PHONE_MASK),
-        (fv.EMAIL_PATTERN, fv.EMAIL_MASK),
-        (fv.RESIDENT_PATTERN, fv.RESIDENT_MASK),
+    masked = x
+    for sign, pattern, mask in (
+        ("-", fv.PHONE_PATTERN, fv.PHONE_MASK),
+        ("@", fv.EMAIL_PATTERN, fv.EMAIL_MASK),
+        ("-", fv.RESIDENT_PATTERN, fv.RESIDENT_MASK),
     ):
-        x = F.regexp_replace(x, "(?U)" + pattern, mask)
-    return x
+        masked = F.when(x.contains(sign), F.regexp_replace(masked, "(?U)" + pattern, mask)).otherwise(masked)
+    return masked
 
 
 def violates_policy(x: Column, terms: Iterable[str] = fv.BLOCKED_TERMS) -> Column:

@@ -35,18 +35,22 @@ def notice_summary(
     a blocked term fails the job (`policy="raise"`) or sets `policy_violation` (`policy="flag"`).
     A boolean `from_file` column, if present, lowers the confidence of file uploads.
     """
-    lines = text_lines(F.col("notice_text"))
+    # One column per step: each is read more than once below and must not be worked out again.
+    lines, head = F.col("_lines"), F.col("_head")
     first = F.left(F.array_join(F.slice(lines, 1, fv.NOTICE_SUMMARY_LINES), " "), F.lit(fv.NOTICE_SUMMARY_CHARS))
-    summary = F.when(F.size(lines) > 0, first).otherwise(fv.EMPTY_NOTICE)
+    opened = notices.withColumn("_lines", text_lines(F.col("notice_text"))).withColumn(
+        "_head", F.when(F.size(lines) > 0, first).otherwise(fv.EMPTY_NOTICE)
+    )
     confidence = F.lit(fv.NOTICE_CONFIDENCE_TEXT)
     if "from_file" in notices.columns:
         confidence = F.when(F.col("from_file"), fv.NOTICE_CONFIDENCE_FILE).otherwise(confidence)
     if policy == "raise":
-        checked = notices.withColumn("summary", safe_text(summary, masking, terms))
+        checked = opened.withColumn("summary", safe_text(head, masking, terms))
     else:
-        checked = policy_flags(notices.withColumn("summary", mask_personal_data(summary, masking)), "summary", terms)
+        checked = policy_flags(opened.withColumn("summary", mask_personal_data(head, masking)), "summary", terms)
     result = (
-        checked.withColumn("ocr_confidence", confidence)
+        checked.drop("_lines", "_head")
+        .withColumn("ocr_confidence", confidence)
         .withColumn("version", version("ocr"))
     )
     if {"source_name", "uploaded_at"} <= set(notices.columns):
