@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tillsight import jobs, session
 from tillsight.operators import quality
 from tillsight.operators.churn import churn_score
 from tillsight.operators.normalize import normalize
@@ -146,7 +147,7 @@ def test_accuracy_and_precision_edges(spark):
 
 def test_scoring_run(spark, tmp_path, customers):
     scored = churn_score(customers)
-    summary = write_scores("churn_baseline", scored, str(tmp_path / "out"), quality.churn_accuracy(scored)).first()
+    summary = write_scores("churn_baseline", scored, str(tmp_path / "out"), quality.churn_accuracy).first()
     assert (summary["task"], summary["row_count"], summary["accuracy"]) == ("churn_baseline", 6, 1.0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
 
@@ -165,3 +166,41 @@ def test_shared_tables_are_released(spark):
     table = shared.stored(spark.range(3).toDF("x"), "trial")
     assert table.count() == 3
     assert shared.release(spark) >= 1
+
+
+SAMPLES = {
+    "sales": ["2026-01-01", "S001", "1520000", "184", "176", "8636", "offline", "sunny", "0"],
+    "customer": ["C006", "S003", "47", "2", "19000", "47", "0.00", "1"],
+    "review": ["R003", "S002", "3", "무난했지만 재방문 의사는 보통입니다", "neutral"],
+    "anomaly": ["A002", "S001", "discount", "98000", "E001", "2026-03-01T14:23:00+09:00", "1"],
+    "menu": ["M001", "S001", "8500", "5100", "620", "0.40", "set"],
+    "inventory": ["2026-02", "S001", "I001", "120", "112", "0.067"],
+    "staffing": ["2026-03-01", "S001", "11", "180000", "3", "4"],
+}
+
+
+def test_jobs(spark, tmp_path):
+    for name, values in SAMPLES.items():
+        columns = [column for column, _ in dataset(name).all_columns]
+        write_csv(tmp_path / jobs.FILES[name], [dict(zip(columns, [*values, "f.csv", STAMP]))])
+    for name in SAMPLES:
+        summary = jobs.score(spark, name, str(tmp_path / jobs.FILES[name]), str(tmp_path / f"out-{name}")).first()
+        assert (summary["task"], summary["row_count"]) == (jobs.TASKS[name], 1)
+        assert spark.read.parquet(str(tmp_path / f"out-{name}")).count() == 1
+    found = {r["task"]: r["metric_value"] for r in rows(jobs.evaluate(spark, str(tmp_path), str(tmp_path / "log"), "v"))}
+    assert found == {"review_sentiment": 0.0, "churn": 1.0, "anomaly": 1.0}
+    assert load_metrics(spark, str(tmp_path / "log")).count() == 3
+    profiled = rows(jobs.profile_folder(spark, str(tmp_path)))
+    assert {r["dataset_type"] for r in profiled} == set(SAMPLES)
+    assert all(r["missing_count"] in (0, None) for r in profiled)
+
+
+def test_shuffle_size_only_grows(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        (tmp_path / "x").write_bytes(b"x" * 1000)
+        assert session.size_shuffles(spark, str(tmp_path)) == int(before)
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        assert session.size_shuffles(spark, str(tmp_path)) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -155,6 +155,8 @@ def dashboard(
         counts = [c for c in table.columns if c.endswith("_count")]
         overview = attach(overview, table.select(F.struct(*counts).alias(f"{name}_summary")))
     overview = attach(overview, trend_summary.agg(F.first("summary").alias("sales_summary")))
+    context = F.struct("sales_summary", "menu_summary", "churn_summary", "risk_score")
+    overview = overview.withColumn("context", F.to_json(context, {"ignoreNullFields": "false"}))
     for name, text in fv.DASHBOARD_TEXT.items():
         overview = overview.withColumn(name, F.lit(text))
     return {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillsight.plans.attach import attach_one_row
+
 
 def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), file_format: str = "parquet") -> None:
     writer = df.write.mode("overwrite").format(file_format)
@@ -14,15 +16,16 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), f
     writer.save(path)
 
 
-def write_scores(task: str, predictions: DataFrame, path: str, metric: DataFrame | None = None) -> DataFrame:
-    """Write a scoring run and return its one-row summary: task, row_count and the metric if given.
+def write_scores(
+    task: str, predictions: DataFrame, path: str, metric: Callable[[DataFrame], DataFrame | None] | None = None
+) -> DataFrame:
+    """Write a scoring run; return its one-row summary: task, row_count and the columns of the metric.
 
-    `metric` is a one-row table such as `quality.accuracy` returns.
+    `metric` turns the written rows into a one-row table, e.g. `quality.churn_accuracy`. Count and
+    metric are taken from the written rows, so the scores are computed once.
     """
     write_table(predictions, path)
     written = predictions.sparkSession.read.schema(predictions.schema).parquet(path)
-    summary = written.agg(F.count("*").alias("row_count")).withColumn("task", F.lit(task))
-    if metric is not None:
-        summary = summary.withColumn("metric", metric.select(F.struct("*").alias("metric")).scalar())
-        return summary.select("task", "row_count", "metric.*")
-    return summary.select("task", "row_count")
+    summary = written.agg(F.count("*").alias("row_count")).select(F.lit(task).alias("task"), "row_count")
+    measured = metric(written) if metric else None
+    return summary if measured is None else attach_one_row(summary, measured)

@@ -7,11 +7,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillsight import fixed_values as fv
+from tillsight import fixed_values as fv, jobs
 from tillsight.operators import campaigns, churn, insights, menu, normalize, notices, operations, profile, quality
 from tillsight.operators import expectations, reports, reviews, risk, sales, sufficiency
 from tillsight.plans.shared import new_path
-from tillsight.session import pin
+from tillsight.session import pin, size_shuffles
 from tillsight.sources import append_metrics, load_metrics, read_feed, read_raw, write_scores, write_table
 from tillsight.workloads import bridges as b
 from tillsight.workloads import oracle_parts as sql
@@ -27,7 +27,8 @@ def query(oracle: str | None = None):
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(pin(spark), sf_dir)
+            size_shuffles(pin(spark), sf_dir)
+            return function(spark, sf_dir)
 
         QUERIES[function.__name__] = run
         if oracle:
@@ -898,7 +899,19 @@ def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the scored reviews and return the run's summary."""
     path = new_path(spark, "review-scores")
     labelled = _rated(spark, sf_dir).filter(F.col("sentiment_label").isNotNull())
-    return write_scores("review_baseline", labelled, path, quality.accuracy(labelled, "sentiment_label", "sentiment"))
+    return write_scores(
+        "review_baseline", labelled, path, lambda rows: quality.accuracy(rows, "sentiment_label", "sentiment")
+    )
+
+
+@query(
+    """select 'menu_strategy_baseline' as task, count(*) as row_count from part"""
+)
+def scoring_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the menu table as CSV, score the files, return the run's summary."""
+    path = new_path(spark, "menu-csv")
+    b.raw_menu(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    return jobs.score(spark, "menu", path, new_path(spark, "menu-scores"))
 
 
 # --- combined reports -------------------------------------------------------------------------
