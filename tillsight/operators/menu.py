@@ -22,13 +22,13 @@ LOW_MARGIN = 0.2
 def menu_metrics(sales: DataFrame, lineup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per menu: qty, unit_margin, total_margin, popularity_index and profitability_index.
 
-    Quantities are added up before the join with the price list; a menu listed twice there appears
-    twice and counts twice in the totals. The joined table is stored because totals and rows both
+    Quantities are added up before the join with the price list, whose other columns are kept; a menu
+    listed twice there appears twice and counts twice in the totals. The joined table is stored because totals and rows both
     come from it.
     """
     shared = [*keys, "menu_name"]
     quantities = all_present(sales, shared).groupBy(*shared).agg(F.sum("qty").alias("qty"))
-    prices = lineup.select(*[c for c in (*shared, "sales_price", "cost_price") if c in lineup.columns])
+    prices = lineup.drop("qty", "unit_margin", "total_margin")
     margin = F.col("sales_price") - F.col("cost_price")
     menus = stored(
         quantities.join(prices, [c for c in shared if c in prices.columns], "inner")

@@ -14,21 +14,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+_own_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; on a single machine without one, a temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    global _own_folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tillsight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-_written: list[str] = []
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="tillsight-")
+    return _own_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:

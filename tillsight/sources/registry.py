@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tillsight.schemas import METRIC_SCHEMA
@@ -14,8 +15,9 @@ def append_metrics(records: DataFrame, path: str) -> None:
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     """All metric rows, or none when nothing was written yet."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(location):
+    try:
+        return spark.read.schema(METRIC_SCHEMA).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], METRIC_SCHEMA)
-    return spark.read.schema(METRIC_SCHEMA).json(path)
