@@ -23,12 +23,23 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def gathered(plan: str):
+    """Each gathering into one partition with the first operator below it that is not a projection."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = next((x for x in lines[i + 1 :] if not re.search(r"Project|Filter|ColumnarToRow", x)), "")
+            yield line, below
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     df = QUERIES[name](spark, DATA)
     plan = physical(df)
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search("PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", plan)
+    for above, below in gathered(plan):
+        assert re.search("Aggregate|TakeOrdered", below), above
     assert name in ORACLES
     assert difference(df, connection, ORACLES[name]) is None
 

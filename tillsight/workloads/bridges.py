@@ -215,35 +215,31 @@ def store_staffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reviews; the label is missing for documents without one."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return (
-        table(spark, sf_dir, "documents")
-        .join(labels, "doc_id", "left")
-        .select(
-            F.col("doc_id").alias("review_id"),
-            F.col("source").alias("store_id"),
-            F.col("text").alias("review_text"),
-            F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("sentiment_label"),
-        )
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("store_id"), F.col("text").alias("review_text")
     )
 
 
+def with_labels(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
+    """Add the sentiment label, null where there is none. Takes scored rows, so that no text is shuffled."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("review_id"),
+        F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("sentiment_label"),
+    )
+    return scored.join(labels, "review_id", "left")
+
+
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews as raw text rows: rating from the quality label, blank where there is none."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return (
-        table(spark, sf_dir, "documents")
-        .join(labels, "doc_id", "left")
-        .select(
-            F.col("doc_id").cast("string").alias("review_id"),
-            F.concat(F.lit("  "), F.col("source"), F.lit("\t")).alias("store_id"),
-            F.coalesce(F.col("quality").cast("string"), F.lit(" ")).alias("rating"),
-            F.col("text").alias("review_text"),
-            F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("sentiment_label"),
-            F.lit("documents").alias("source_name"),
-            F.lit(UPLOADED).alias("uploaded_at"),
-        )
+    """Conversation turns as raw review rows; system turns have neither rating nor label."""
+    spoken = F.col("role") != "system"
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("review_id"),
+        F.concat(F.lit("  "), F.col("role"), F.lit("\t")).alias("store_id"),
+        F.when(spoken, F.col("turn").cast("string")).otherwise(" ").alias("rating"),
+        F.col("text").alias("review_text"),
+        F.when(spoken, F.when(F.col("role") == "user", "negative").otherwise("positive")).alias("sentiment_label"),
+        F.lit("conversations").alias("source_name"),
+        F.lit(UPLOADED).alias("uploaded_at"),
     )
 
 

@@ -452,9 +452,10 @@ def anomaly_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.review_sentiment(
+    scored = reviews.review_sentiment(
         b.reviews(spark, sf_dir), positive=b.POSITIVE_WORDS, negative=b.NEGATIVE_WORDS
     ).drop("review_text")
+    return b.with_labels(spark, sf_dir, scored)
 
 
 @query(f"with {sql.REVIEWS} select review_id, store_id, sentiment_label, sentiment, confidence from rated")
@@ -760,9 +761,10 @@ def _profile_sql(dataset: str, source: str, column: str, numeric: bool, key: boo
 
 
 _RAW_REVIEWS = """raw_reviews as (
-  select cast(d.doc_id as varchar) as review_id, source as store_id, coalesce(cast(quality as varchar), ' ') as rating,
-         text as review_text
-  from documents d left join labels l on d.doc_id = l.doc_id)"""
+  select concat(conv_id, '-', turn) as review_id, role as store_id,
+         case when role = 'system' then ' ' else cast(turn as varchar) end as rating, text as review_text,
+         case role when 'user' then 'negative' when 'assistant' then 'positive' end as sentiment_label
+  from conversations)"""
 _RAW_SALES = f"""{sql.SALES_DAILY},
 raw_sales as (select cast(columns(*) as varchar) from sales_daily)"""
 _PROFILED = [
@@ -795,12 +797,11 @@ def normalize_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select cast(d.doc_id as varchar) as review_id, source as store_id, quality as rating,
-      case when quality = 1 then 'positive' when quality = 0 then 'negative' end as sentiment_label,
-      concat_ws('|', case when quality is null then 'missing:rating' end,
-                case when regexp_replace(text, '[{sql.SPACE}]+', '', 'g') = '' then 'missing:review_text' end,
-                case when quality is null then 'missing:sentiment_label' end) as reasons
-    from documents d left join labels l on d.doc_id = l.doc_id"""
+    f"""with {_RAW_REVIEWS} select review_id, store_id, try_cast(rating as integer) as rating, sentiment_label,
+      concat_ws('|', case when trim(rating) = '' then 'missing:rating' end,
+                case when regexp_replace(review_text, '[{sql.SPACE}]+', '', 'g') = '' then 'missing:review_text' end,
+                case when sentiment_label is null then 'missing:sentiment_label' end) as reasons
+    from raw_reviews"""
 )
 def quarantine_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normalize.normalize(b.raw_reviews(spark, sf_dir), "review", mode="quarantine")
