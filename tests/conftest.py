@@ -95,10 +95,10 @@ def event_rows(spark):
 def menu_rows(spark):
     return spark.createDataFrame(
         [
-            ("S001", "M001", 8500, 5100.0, 620.0, 0.40, "set", "menu_metrics.csv", UPLOADED),
-            ("S001", "M002", 4200, 2600.0, 810.0, 0.38, "side", "menu_metrics.csv", UPLOADED),
-            ("S002", "M003", 9900, 6800.0, 410.0, 0.31, "main", "menu_metrics.csv", UPLOADED),
-            ("S003", "M004", 7200, 5000.0, 290.0, 0.31, "main", "menu_metrics.csv", UPLOADED),
+            ("S001", "M001", 8500, 5100.0, 620.0, 0.40, "set", "menu.csv", UPLOADED),
+            ("S001", "M002", 4200, 2600.0, 810.0, 0.38, "side", "menu.csv", UPLOADED),
+            ("S002", "M003", 9900, 6800.0, 410.0, 0.31, "main", "menu.csv", UPLOADED),
+            ("S003", "M004", 7200, 5000.0, 290.0, 0.31, "main", "menu.csv", UPLOADED),
         ],
         "store_id string, menu_id string, price int, cost double, quantity double, margin_rate double, "
         "category string, source_name string, uploaded_at string",
@@ -109,10 +109,10 @@ def menu_rows(spark):
 def staffing_rows(spark):
     return spark.createDataFrame(
         [
-            (date(2026, 3, 1), "S001", 11, 180000.0, 3, 4, "staffing_hourly.csv", UPLOADED),
-            (date(2026, 3, 1), "S001", 12, 320000.0, 4, 5, "staffing_hourly.csv", UPLOADED),
-            (date(2026, 3, 1), "S002", 18, 410000.0, 5, 4, "staffing_hourly.csv", UPLOADED),
-            (date(2026, 3, 1), "S003", 19, 290000.0, 2, 4, "staffing_hourly.csv", UPLOADED),
+            (date(2026, 3, 1), "S001", 11, 180000.0, 3, 4, "staffing.csv", UPLOADED),
+            (date(2026, 3, 1), "S001", 12, 320000.0, 4, 5, "staffing.csv", UPLOADED),
+            (date(2026, 3, 1), "S002", 18, 410000.0, 5, 4, "staffing.csv", UPLOADED),
+            (date(2026, 3, 1), "S003", 19, 290000.0, 2, 4, "staffing.csv", UPLOADED),
         ],
         "date date, store_id string, hour int, sales double, staff_actual int, staff_recommended int, "
         "source_name string, uploaded_at string",
@@ -123,10 +123,10 @@ def staffing_rows(spark):
 def stock_rows(spark):
     return spark.createDataFrame(
         [
-            ("2026-02", "S001", "I001", 120.0, 112.0, 0.067, "inventory_monthly.csv", UPLOADED),
-            ("2026-02", "S001", "I002", 90.0, 80.0, 0.111, "inventory_monthly.csv", UPLOADED),
-            ("2026-02", "S002", "I010", 150.0, 145.0, 0.033, "inventory_monthly.csv", UPLOADED),
-            ("2026-02", "S003", "I014", 100.0, 89.0, 0.110, "inventory_monthly.csv", UPLOADED),
+            ("2026-02", "S001", "I001", 120.0, 112.0, 0.067, "inventory.csv", UPLOADED),
+            ("2026-02", "S001", "I002", 90.0, 80.0, 0.111, "inventory.csv", UPLOADED),
+            ("2026-02", "S002", "I010", 150.0, 145.0, 0.033, "inventory.csv", UPLOADED),
+            ("2026-02", "S003", "I014", 100.0, 89.0, 0.110, "inventory.csv", UPLOADED),
         ],
         "month string, store_id string, item_id string, system_qty double, actual_qty double, loss_rate double, "
         "source_name string, uploaded_at string",

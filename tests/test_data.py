@@ -16,7 +16,7 @@ from tillsight.operators.notices import notice_summary
 from tillsight.operators.profile import profile, profile_all
 from tillsight.operators.sufficiency import data_sufficiency
 from tillsight.plans import shared
-from tillsight.schemas import DATASETS, dataset
+from tillsight.schemas import DATASETS, FEEDS, dataset
 from tillsight.sources import append_metrics, load_metrics, read_feed, read_notices, read_raw, write_scores, write_table
 
 STAMP = "2026-03-15T09:00:00+09:00"
@@ -180,21 +180,28 @@ SAMPLES = {
 
 
 def test_jobs(spark, tmp_path):
+    paths = {}
     for name, values in SAMPLES.items():
         columns = [column for column, _ in dataset(name).all_columns]
-        write_csv(tmp_path / jobs.FILES[name], [dict(zip(columns, [*values, "f.csv", STAMP]))])
-    for name in SAMPLES:
-        summary = jobs.score(spark, name, str(tmp_path / jobs.FILES[name]), str(tmp_path / f"out-{name}")).first()
+        paths[name] = write_csv(tmp_path / f"{name}.csv", [dict(zip(columns, [*values, "f.csv", STAMP]))])
+    for name, path in paths.items():
+        summary = jobs.score(spark, name, path, str(tmp_path / f"out-{name}")).first()
         assert (summary["task"], summary["row_count"]) == (jobs.TASKS[name], 1)
         assert spark.read.parquet(str(tmp_path / f"out-{name}")).count() == 1
-    found = {r["task"]: r["metric_value"] for r in rows(jobs.evaluate(spark, str(tmp_path), str(tmp_path / "log"), "v"))}
+    found = {r["task"]: r["metric_value"] for r in rows(jobs.evaluate(spark, paths, str(tmp_path / "log"), "v"))}
     assert found == {"review_sentiment": 0.0, "churn": 1.0, "anomaly": 1.0}
     assert load_metrics(spark, str(tmp_path / "log")).count() == 3
-    profiled = rows(jobs.profile_folder(spark, str(tmp_path)))
+    profiled = rows(jobs.profile_files(spark, paths))
     assert {r["dataset_type"] for r in profiled} == set(SAMPLES)
     assert all(r["missing_count"] in (0, None) for r in profiled)
 
 
+def test_every_feed_has_a_schema(spark, tmp_path):
+    (tmp_path / "feed.json").write_text("{}\n")
+    for name in FEEDS:
+        assert read_feed(spark, name, str(tmp_path / "feed.json")).count() == 1
+
+
 def test_shuffle_size_only_grows(spark, tmp_path):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:

@@ -16,7 +16,14 @@ from tillsight.operators.insights import (
     staffing_recommendation,
     with_version,
 )
-from tillsight.operators.reports import action_plan, customer_report, dashboard, store_intelligence
+from tillsight.operators.reports import (
+    action_plan,
+    customer_report,
+    dashboard,
+    menu_report,
+    risk_report,
+    store_intelligence,
+)
 
 WINDOW = "store_id string, window_start date, window_end date, record_count long, source_name string, uploaded_at string"
 HEAD = ("S001", date(2026, 3, 1), date(2026, 3, 14), 120, "in.csv", UPLOADED)
@@ -199,3 +206,25 @@ def test_customer_report_insights(spark):
     found = customer_report(visits)["summary"].first()
     assert found["at_risk_count"] == 1
     assert found["insights"][0]["title"] == "이탈 위험 고객 1명 감지"
+
+
+def test_reports_per_store(spark):
+    sales = spark.createDataFrame([("s1", "a", 3), ("s1", "b", 1), ("s2", "a", 5)], "store_id string, menu_name string, qty int")
+    lineup = spark.createDataFrame([("a", 9.0, 1.0), ("b", 5.0, 4.0)], "menu_name string, sales_price double, cost_price double")
+    menus = {r["store_id"]: r for r in rows(menu_report(sales, lineup, ["store_id"])["summary"])}
+    assert (menus["s1"]["star_count"], menus["s1"]["dog_count"], menus["s1"]["plowhorse_count"]) == (1, 1, 0)
+    assert menus["s2"]["star_count"] == 1
+    data = [("s1", f"r{h}", date(2026, 3, 1), f"{h:02d}:00", "completed", 1.0) for h in range(12)]
+    data += [("s1", "c", date(2026, 3, 1), "05:10", "cancelled", 90.0), ("s2", "d", date(2026, 3, 1), "05:10", "completed", 9.0)]
+    receipts = spark.createDataFrame(
+        data, "store_id string, receipt_no string, sales_date date, sales_time string, status string, total_amount double"
+    )
+    risks = {r["store_id"]: r for r in rows(risk_report(receipts, ["store_id"])["summary"])}
+    assert (risks["s1"]["high_risk_count"], risks["s1"]["peak_hour"]) == (1, 5)
+    assert (risks["s2"]["high_risk_count"], risks["s2"]["insights"][0]["title"]) == (0, "운영 리스크 정상")
+    visits = spark.createDataFrame(
+        [("s1", "c", date(2026, 1, 1), 5.0), ("s2", "c", date(2026, 1, 3), 5.0)],
+        "store_id string, customer_id string, visit_date date, payment_amount double",
+    )
+    found = {r["store_id"]: r["new_count"] for r in rows(customer_report(visits, keys=["store_id"])["summary"])}
+    assert found == {"s1": 1, "s2": 1}

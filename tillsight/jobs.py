@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillsight.operators import quality
@@ -16,16 +18,7 @@ from tillsight.operators.sales import sales_factors
 from tillsight.plans.shared import stored
 from tillsight.sources import append_metrics, read_raw, write_scores
 
-# File name and task name per dataset.
-FILES = {
-    "sales": "sales_daily.csv",
-    "customer": "customer_rfm.csv",
-    "review": "reviews.csv",
-    "anomaly": "anomalies.csv",
-    "menu": "menu_metrics.csv",
-    "inventory": "inventory_monthly.csv",
-    "staffing": "staffing_hourly.csv",
-}
+# Task name per dataset.
 TASKS = {
     "sales": "sales_factor_baseline",
     "customer": "churn_baseline",
@@ -68,14 +61,16 @@ def score(spark: SparkSession, dataset: str, path: str, output: str) -> DataFram
     return write_scores(TASKS[dataset], scored, output, lambda written: metric(dataset, written))
 
 
-def evaluate(spark: SparkSession, folder: str, registry: str, version: str = "baseline-0.1.0") -> DataFrame:
-    """Evaluate the labelled datasets of a folder, append the metrics to the log, return them."""
-    tables = [load(spark, name, f"{folder}/{FILES[name]}") for name in ("review", "customer", "anomaly")]
+def evaluate(
+    spark: SparkSession, paths: Mapping[str, str], registry: str, version: str = "baseline-0.1.0"
+) -> DataFrame:
+    """Evaluate the labelled datasets (review, customer, anomaly), append the metrics to the log, return them."""
+    tables = [load(spark, name, paths[name]) for name in ("review", "customer", "anomaly")]
     records = stored(quality.evaluate(*tables, version), "metrics")
     append_metrics(records, registry)
     return records
 
 
-def profile_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Profiles of all seven datasets of a folder."""
-    return profile_all({name: read_raw(spark, name, f"{folder}/{file}") for name, file in FILES.items()})
+def profile_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Profiles of the given datasets, dataset name to CSV path."""
+    return profile_all({name: read_raw(spark, name, path) for name, path in paths.items()})

@@ -124,7 +124,10 @@ METRIC_SCHEMA = T.StructType(
 )
 
 
-# Schemas of the record feeds read as JSON lines or parquet.
+_SOURCE = "source_name string, uploaded_at timestamp"
+_WINDOW = f"store_id string, window_start date, window_end date, record_count bigint, {_SOURCE}"
+
+# Schemas of the record feeds, read as JSON lines or parquet.
 FEEDS = {
     "sales_lines": "store_key string, store_name string, sales_date date, hour int, menu_name string, "
     "qty int, revenue double, sales_price double, cost_price double",
@@ -132,7 +135,32 @@ FEEDS = {
     "visits": "customer_id string, store_key string, visit_date timestamp, payment_amount double",
     "receipts": "receipt_no string, store_key string, sales_date date, sales_time string, "
     "total_amount double, status string",
+    "sales_delta": f"{_WINDOW}, revenue_delta_pct double, customer_delta_pct double, avg_ticket_delta_pct double, "
+    "channel_delta_pct double, weather_impact_pct double",
+    "churn_input": f"{_WINDOW}, at_risk_customers bigint, delayed_visit_days double, avg_visit_cycle_days double, "
+    "coupon_redemption_rate double",
+    "anomaly_input": f"{_WINDOW}, anomaly_type string, anomaly_score double, occurrence_count bigint, "
+    "revenue_impact double",
+    "retention_segment": "store_id string, segment_name string, customer_count bigint, "
+    f"avg_margin_per_customer double, churn_risk_level string, coupon_budget bigint, {_SOURCE}",
+    "menu": "store_id string, menu_id string, price int, cost double, quantity double, margin_rate double, "
+    f"category string, {_SOURCE}",
+    "staffing": "store_id string, date date, hour int, sales double, staff_actual int, staff_recommended int, "
+    f"{_SOURCE}",
+    "inventory": "store_id string, month string, item_id string, system_qty double, actual_qty double, "
+    f"loss_rate double, {_SOURCE}",
     "campaign_target": "campaign_id string, customer_id string, consent boolean, cooldown_days int, duplicate boolean",
+    "campaign_handoff": "campaign_id string, approved boolean, valid_target_count bigint, channel string, "
+    "dry_run boolean",
+    "campaign_plan": "store_id string, segment_name string, channel string, offer_type string, offer_value double, "
+    "target_customers bigint, promo_days int, fixed_cost double, menu_name string, menu_price double, "
+    "margin_rate double, daily_avg_qty double, avg_order_value double, recent_visit_count bigint, "
+    f"return_rate double, roi_rate double, {_SOURCE}",
+    "campaign_uplift_plan": "store_id string, segment_name string, channel string, target_customers bigint, "
+    "discount_rate double, avg_order_value double, recent_visit_count bigint, return_rate double, "
+    f"roi_rate double, {_SOURCE}",
+    "store": "store_id string, roi_rate double, avg_order_value double, recent_visit_count bigint",
+    "action_plan": "store_id string, scenario string, dry_run boolean",
 }
 
 
