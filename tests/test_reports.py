@@ -108,6 +108,8 @@ def test_recommendations(staffing_rows, stock_rows, menu_rows):
     assert staffing[12]["evidence"][1]["value"] == "320,000원"
     assert staffing[12]["evidence"][0]["period"] == "2026-03-01 12:00"
     assert "staff_recommended=5\ngap=1" in staffing[12]["prompt"]
+    large = staffing_recommendation(staffing_rows.withColumn("sales", F.lit(12500000.0))).first()
+    assert "sales=12500000.0\n" in large["prompt"]
     stock = {r["item_id"]: r for r in rows(inventory_recommendation(stock_rows))}
     assert stock["I002"]["recommendation"].startswith("손실 원인")
     assert stock["I002"]["evidence"][0]["value"] == "11.1%"

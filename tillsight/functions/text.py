@@ -111,7 +111,8 @@ def won(x: Column) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """A double written without exponent: 12345678.5, 10.0."""
+    """A number as a double written without exponent: 12345678.5, 10.0."""
+    x = x.cast("double")
     wide = F.regexp_replace(x.cast("decimal(30,10)").cast("string"), r"0+$", "")
     wide = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
     return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), wide).otherwise(x.cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillsight import fixed_values as fv
 from tillsight.functions.numeric import clamp
 from tillsight.functions.structs import evidence, present, version
-from tillsight.functions.text import fmt, percent, safe_text, signed_percent, won
+from tillsight.functions.text import fmt, percent, plain_number, safe_text, signed_percent, won
 from tillsight.operators.campaigns import (
     BREAK_EVEN_DECIMALS,
     UPLIFT_DECIMALS,
@@ -181,7 +181,7 @@ def break_even_strategy(plans: DataFrame) -> DataFrame:
         ("segment_name", c("segment_name")),
         ("channel", c("channel")),
         ("offer_type", c("offer_type")),
-        ("offer_value", c("offer_value")),
+        ("offer_value", plain_number(c("offer_value"))),
         ("target_customers", c("target_customers")),
         ("expected_open_rate", fmt("%.3f", opened)),
         ("expected_conversion_rate", fmt("%.3f", rate)),
@@ -250,8 +250,8 @@ def pricing_strategy(menus: DataFrame) -> DataFrame:
         ("store_id", c("store_id")),
         ("menu_id", c("menu_id")),
         ("price", c("price")),
-        ("cost", c("cost")),
-        ("quantity", c("quantity")),
+        ("cost", plain_number(c("cost"))),
+        ("quantity", plain_number(c("quantity"))),
         ("margin_rate", fmt("%.3f", margin)),
         ("pricing_signal", c("pricing_signal")),
         ("action", c("action")),
@@ -278,7 +278,11 @@ def staffing_recommendation(df: DataFrame) -> DataFrame:
     rows = staffing_advice(staffing_gaps(df))
     c = F.col
     context = context_lines(
-        *[(name, c(name)) for name in ("store_id", "hour", "sales", "staff_actual", "staff_recommended")],
+        ("store_id", c("store_id")),
+        ("hour", c("hour")),
+        ("sales", plain_number(c("sales"))),
+        ("staff_actual", c("staff_actual")),
+        ("staff_recommended", c("staff_recommended")),
         ("gap", c("gap")),
         ("opportunity_cost", c("opportunity_cost")),
     )
@@ -299,8 +303,8 @@ def inventory_recommendation(df: DataFrame) -> DataFrame:
         ("store_id", c("store_id")),
         ("item_id", c("item_id")),
         ("loss_rate", fmt("%.3f", c("loss_rate"))),
-        ("system_qty", c("system_qty")),
-        ("actual_qty", c("actual_qty")),
+        ("system_qty", plain_number(c("system_qty"))),
+        ("actual_qty", plain_number(c("actual_qty"))),
         ("reorder_qty", c("reorder_qty")),
         ("estimated_loss_amount", c("estimated_loss_amount")),
     )

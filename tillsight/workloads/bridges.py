@@ -14,7 +14,6 @@ NEGATIVE_WORDS = ("elle", "sich", "pour", "ment")
 NOTICE_WORDS = ("License", "That")
 POLICY_WORDS = ("license", "secret", "password", "key")
 SEGMENT_NAMES = {"VIP": "champions", "Loyal": "loyal", "At Risk": "at_risk", "Lost": "lost"}
-SEGMENT_RISK = {"At Risk": "high", "Lost": "medium"}
 CHANNELS = ("sms", "push", "kakao")
 OFFERS = {"discount": 10.0, "coupon": 3000.0, "free_item": 5000.0}
 UPLOADED = "2026-03-15T09:00:00+09:00"
