@@ -143,6 +143,10 @@ def test_store_intelligence(spark, sales_input, churn_input, staffing_rows):
     alone = store_intelligence(stores, sales_input, churn_input).first()
     assert alone["priority_actions"][4].startswith("최근 방문 1,481건")
     assert alone["summary"].endswith("운영 권고를 생략합니다.")
+    sales_only = store_intelligence(stores, sales_input, churn_input.filter("store_id = 'x'"), staffing_rows).first()
+    assert sales_only["churn"] is None
+    assert len(sales_only["priority_actions"]) == 4
+    assert "이탈 위험" not in sales_only["summary"]
     unknown = store_intelligence(stores.filter("store_id = 'x'"), sales_input, churn_input).first()
     assert "평균 객단가는 0원입니다" in unknown["summary"]
 

@@ -92,21 +92,39 @@ def break_even_measures(plans: DataFrame) -> DataFrame:
         + at_most(c("recent_visit_count") * 1.0, 1000.0) / 4000
         + at_most(c("target_customers") * 1.0, 3000.0) / 12000
     )
+    open_rate = at_most(lookup(c("channel"), fv.CHANNEL_OPEN_BIAS) * response * tired, 0.92)
+    conversion = clamp(0.08 * response * offer_pull * demand * roi * visits, 0.03, 0.45)
     return (
-        plans.withColumn("expected_open_rate", at_most(lookup(c("channel"), fv.CHANNEL_OPEN_BIAS) * response * tired, 0.92))
-        .withColumn("expected_conversion_rate", clamp(0.08 * response * offer_pull * demand * roi * visits, 0.03, 0.45))
-        .withColumn("_net", at_least(c("menu_price") - discount, 0.0))
-        .withColumn("_unit", at_least(c("_net") * c("margin_rate"), 0.0))
-        .withColumn("_basket", F.greatest(c("avg_order_value"), c("_net")))
-        .withColumn("expected_incremental_orders", nearest_even(c("target_customers") * c("expected_conversion_rate")))
-        .withColumn("expected_incremental_revenue", orders * c("_basket"))
-        .withColumn("expected_incremental_profit", orders * c("_unit") - c("fixed_cost"))
-        .withColumn("break_even_orders", F.when(c("_unit") > 0, needed).otherwise(unreachable))
-        .withColumn("break_even_revenue", c("break_even_orders") * c("_basket"))
-        .withColumn("break_even_probability", clamp(orders / c("break_even_orders"), 0.01, 0.99))
-        .withColumn("expected_roi", ratio(profit, c("fixed_cost"), F.lit(0.0)) * 100)
-        .withColumn("confidence", clamp(certainty, 0.55, 0.93))
-        .withColumn("model_name", F.lit(fv.BREAK_EVEN_MODEL))
+        plans.withColumns(
+            {
+                "expected_open_rate": open_rate,
+                "expected_conversion_rate": conversion,
+                "_net": at_least(c("menu_price") - discount, 0.0),
+            }
+        )
+        .withColumns(
+            {
+                "_unit": at_least(c("_net") * c("margin_rate"), 0.0),
+                "_basket": F.greatest(c("avg_order_value"), c("_net")),
+                "expected_incremental_orders": nearest_even(c("target_customers") * c("expected_conversion_rate")),
+            }
+        )
+        .withColumns(
+            {
+                "expected_incremental_revenue": orders * c("_basket"),
+                "expected_incremental_profit": orders * c("_unit") - c("fixed_cost"),
+                "break_even_orders": F.when(c("_unit") > 0, needed).otherwise(unreachable),
+            }
+        )
+        .withColumns(
+            {
+                "break_even_revenue": c("break_even_orders") * c("_basket"),
+                "break_even_probability": clamp(orders / c("break_even_orders"), 0.01, 0.99),
+                "expected_roi": ratio(profit, c("fixed_cost"), F.lit(0.0)) * 100,
+                "confidence": clamp(certainty, 0.55, 0.93),
+                "model_name": F.lit(fv.BREAK_EVEN_MODEL),
+            }
+        )
         .drop("_net", "_unit", "_basket")
     )
 
@@ -158,10 +176,14 @@ def uplift_measures(plans: DataFrame) -> DataFrame:
     return (
         plans.withColumn("expected_redemption_rate", clamp(redemption, 0.02, 0.32))
         .withColumn("expected_incremental_orders", nearest_even(c("target_customers") * c("expected_redemption_rate")))
-        .withColumn("expected_uplift_rate", clamp(orders / baseline, 0.03, 1.5))
-        .withColumn("expected_incremental_revenue", rounded(orders * c("avg_order_value") * kept, 2))
-        .withColumn("confidence", clamp(certainty, 0.58, 0.92))
-        .withColumn("model_name", F.lit(fv.UPLIFT_MODEL))
+        .withColumns(
+            {
+                "expected_uplift_rate": clamp(orders / baseline, 0.03, 1.5),
+                "expected_incremental_revenue": rounded(orders * c("avg_order_value") * kept, 2),
+                "confidence": clamp(certainty, 0.58, 0.92),
+                "model_name": F.lit(fv.UPLIFT_MODEL),
+            }
+        )
     )
 
 

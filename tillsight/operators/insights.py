@@ -56,12 +56,15 @@ def _explained(
     df: DataFrame, kind: str, summary: Column, highlights: Sequence[Column], entries: Sequence[Column]
 ) -> DataFrame:
     checked = check_window(df).withColumnRenamed("cold_start", "cold_start_mode").drop("day_count")
-    explained = (
-        checked.withColumn("analysis_type", F.lit(kind))
-        .withColumn("summary", safe_text(summary))
-        .withColumn("highlights", present(*highlights))
+    return checked.withColumns(
+        {
+            "analysis_type": F.lit(kind),
+            "summary": safe_text(summary),
+            "highlights": present(*highlights),
+            "evidence": F.array(*entries),
+            "version": version("analysis"),
+        }
     )
-    return with_version(with_evidence(explained, entries), "analysis")
 
 
 def sales_insight(changes: DataFrame) -> DataFrame:

@@ -98,10 +98,13 @@ def menu_pricing(df: DataFrame, signal_col: str | None = None) -> DataFrame:
     low = lookup(F.col("pricing_signal"), {"raise_price": 1.05, "lower_price": 0.90}, 1.0)
     high = lookup(F.col("pricing_signal"), {"raise_price": 1.15, "lower_price": 0.98}, 1.05)
     return (
-        df.withColumn("pricing_signal", rule)
-        .withColumn("action", action)
-        .withColumn("recommended_price_min", truncated(price * low))
-        .withColumn("recommended_price_max", truncated(price * high))
+        df.withColumn("pricing_signal", rule).withColumns(
+            {
+                "action": action,
+                "recommended_price_min": truncated(price * low),
+                "recommended_price_max": truncated(price * high),
+            }
+        )
     )
 
 

@@ -176,17 +176,18 @@ def dashboard(
 def store_intelligence(
     stores: DataFrame, sales: DataFrame, churn: DataFrame, staffing: DataFrame | None = None
 ) -> DataFrame:
-    """One row per store with sales and churn input: combined summary and up to five priority actions.
+    """One row per row of `sales`: combined summary and up to five priority actions.
 
-    `stores` gives roi_rate, avg_order_value and recent_visit_count per store (0 where absent). The
-    earliest staffing hour of a store supplies the staffing advice.
+    A store without churn input keeps its sales part. `stores` gives roi_rate, avg_order_value and
+    recent_visit_count per store (0 where absent). The earliest staffing hour of a store supplies the
+    staffing advice.
     """
     c = F.col
     told = ("summary", "highlights", "evidence", "warnings", "cold_start_mode")
     rows = (
         sales_insight(sales)
         .select("store_id", F.struct(*told).alias("sales"))
-        .join(churn_explanation(churn).select("store_id", F.struct(*told).alias("churn")), "store_id")
+        .join(churn_explanation(churn).select("store_id", F.struct(*told).alias("churn")), "store_id", "left")
         .join(stores.select("store_id", "roi_rate", "avg_order_value", "recent_visit_count"), "store_id", "left")
     )
     if staffing is None:
@@ -203,9 +204,12 @@ def store_intelligence(
     )
     closing = F.coalesce(c("advice"), F.lit(fv.STORE_NO_STAFFING))
     visits = fmt(fv.STORE_VISITS, F.coalesce(c("recent_visit_count").cast("bigint"), F.lit(0).cast("bigint")))
-    advice = F.when(c("advice").isNotNull(), F.array(c("advice"))).otherwise(F.array().cast("array<string>"))
+    nothing = F.array().cast("array<string>")
     actions = F.concat(
-        F.slice(c("sales.highlights"), 1, 2), F.slice(c("churn.highlights"), 1, 2), advice, F.array(visits)
+        F.slice(c("sales.highlights"), 1, 2),
+        F.coalesce(F.slice(c("churn.highlights"), 1, 2), nothing),
+        present(c("advice")),
+        F.array(visits),
     )
     return rows.select(
         "store_id",

@@ -91,22 +91,22 @@ def sales_diagnostics(changes: DataFrame) -> DataFrame:
     inputs = ("customer_delta_pct", "avg_ticket_delta_pct", "channel_delta_pct", "weather_impact_pct")
     drivers = ranked([(name, F.abs(column)) for name, column in zip(fv.DRIVER_NAMES, inputs)])
     values = F.create_map(*[c for pair in zip(map(F.lit, fv.DRIVER_NAMES), map(F.col, inputs)) for c in pair])
-    return (
-        changes.withColumn("traffic_impact", F.col("customer_delta_pct") * CUSTOMER_WEIGHT)
-        .withColumn("ticket_impact", F.col("avg_ticket_delta_pct") * TICKET_WEIGHT)
-        .withColumn("channel_impact", F.col("channel_delta_pct") * CHANNEL_WEIGHT)
-        .withColumn("weather_impact", F.col("weather_impact_pct") * WEATHER_WEIGHT)
-        .withColumn(
-            "composite_gap",
-            F.col("traffic_impact") + F.col("ticket_impact") + F.col("channel_impact") + F.col("weather_impact"),
-        )
-        .withColumn("direction", F.when(F.col("revenue_delta_pct") >= 0, "up").otherwise("down"))
-        .withColumn(
-            "drivers",
-            F.transform(
+    impacts = {
+        "traffic_impact": F.col("customer_delta_pct") * CUSTOMER_WEIGHT,
+        "ticket_impact": F.col("avg_ticket_delta_pct") * TICKET_WEIGHT,
+        "channel_impact": F.col("channel_delta_pct") * CHANNEL_WEIGHT,
+        "weather_impact": F.col("weather_impact_pct") * WEATHER_WEIGHT,
+    }
+    traffic, ticket, channel, weather = impacts.values()
+    return changes.withColumns(
+        {
+            **impacts,
+            "composite_gap": traffic + ticket + channel + weather,
+            "direction": F.when(F.col("revenue_delta_pct") >= 0, "up").otherwise("down"),
+            "drivers": F.transform(
                 drivers.getField("name"), lambda name: F.struct(name.alias("name"), values[name].alias("value"))
             ),
-        )
+        }
     )
 
 
