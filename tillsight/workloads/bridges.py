@@ -79,16 +79,21 @@ def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store x month. Orders fold to customer x month before the store is looked up."""
+    per_customer = table(spark, sf_dir, "orders").groupBy("o_custkey", _month(F.col("o_orderdate")).alias("date")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spent"),
+        F.count("*").alias("orders"),
+        F.max(F.col("o_orderpriority").startswith("1").cast("int")).alias("promo"),
+    )
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("store_id"))
     return (
-        table(spark, sf_dir, "orders")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("store_id", _month(F.col("o_orderdate")).alias("date"))
+        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("store_id", "date")
         .agg(
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"),
-            F.count("*").cast("double").alias("orders"),
-            F.countDistinct("o_custkey").cast("double").alias("customers"),
-            F.max(F.col("o_orderpriority").startswith("1").cast("int")).alias("promo_flag"),
+            F.sum("spent").cast("double").alias("revenue"),
+            F.sum("orders").cast("double").alias("orders"),
+            F.count("*").cast("double").alias("customers"),
+            F.max("promo").alias("promo_flag"),
         )
         .withColumn("avg_ticket", F.col("revenue") / F.col("orders"))
         .withColumn("channel", F.lit("all"))
@@ -333,18 +338,25 @@ def retention_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per store: mean order value, orders of the last 90 days, share of customers with two or more orders."""
-    orders = store_visits(spark, sf_dir)
-    latest = visits(spark, sf_dir).agg(F.max("visit_date").alias("latest"))
+    orders = visits(spark, sf_dir)
+    latest = orders.agg(F.max("visit_date").alias("latest"))
     recent = F.datediff(F.col("latest"), F.col("visit_date")) < 90
-    per_customer = attach(orders, latest).groupBy("store_id", "customer_id").agg(
+    per_customer = attach(orders, latest).groupBy("customer_id").agg(
         F.count("*").alias("orders"),
         F.count_if(recent).alias("recent"),
         F.sum(F.col("payment_amount").cast("decimal(18,2)")).alias("spent"),
     )
-    return per_customer.groupBy("store_id").agg(
-        F.round(F.sum("spent").cast("double") / F.sum("orders"), 2).alias("avg_order_value"),
-        F.sum("recent").alias("recent_visit_count"),
-        F.round(F.count_if(F.col("orders") >= 2) / F.count("*"), 4).alias("return_rate"),
+    stores = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id")
+    )
+    return (
+        per_customer.join(stores, "customer_id")
+        .groupBy("store_id")
+        .agg(
+            F.round(F.sum("spent").cast("double") / F.sum("orders"), 2).alias("avg_order_value"),
+            F.sum("recent").alias("recent_visit_count"),
+            F.round(F.count_if(F.col("orders") >= 2) / F.count("*"), 4).alias("return_rate"),
+        )
     )
 
 
