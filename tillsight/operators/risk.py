@@ -52,7 +52,7 @@ def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     timed = receipts.select(
         *keys,
         F.col("sales_date").cast("date").alias("sales_date"),
-        F.split("sales_time", ":")[0].cast("int").alias("hour"),
+        F.substring_index("sales_time", ":", 1).cast("int").alias("hour"),
         "receipt_no",
         "status",
     )

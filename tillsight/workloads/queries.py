@@ -320,7 +320,8 @@ def menu_quadrants_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {sql.menus()} select count(*) filter (category = 'Star') as star_count,
+    f"""with {sql.menus()}, figures as (
+    select count(*) filter (category = 'Star') as star_count,
     count(*) filter (category = 'Plowhorse') as plowhorse_count, count(*) filter (category = 'Puzzle') as puzzle_count,
     count(*) filter (category = 'Dog') as dog_count,
     (select cast(menu_name as varchar) from quadrants where category = 'Star' order by qty desc, menu_name desc limit 1)
@@ -329,10 +330,15 @@ def menu_quadrants_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
       limit 1) as top_plowhorse,
     (select cast(menu_name as varchar) from quadrants where category = 'Puzzle' order by unit_margin desc, menu_name desc
       limit 1) as top_puzzle
-    from quadrants"""
+    from quadrants)
+    select *, concat_ws('|', case when star_count > 0 then concat('효자 메뉴 ''', top_star, ''' 유지') end,
+      case when plowhorse_count > 0 then concat('식사 메뉴 ''', top_plowhorse, ''' 수익성 개선') end,
+      case when puzzle_count > 0 then concat('수수께끼 메뉴 ''', top_puzzle, ''' 판매 촉진') end,
+      case when dog_count > 0 then '비효율 메뉴 정비' end) as insights from figures"""
 )
 def menu_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.menu_report(b.menu_sales(spark, sf_dir), b.lineup(spark, sf_dir))["summary"].drop("insights")
+    summary = reports.menu_report(b.menu_sales(spark, sf_dir), b.lineup(spark, sf_dir))["summary"]
+    return summary.withColumn("insights", F.concat_ws("|", F.col("insights.title")))
 
 
 _PRICE_COLUMNS = """menu_id, store_id, price, quantity, round(margin_rate, 4) as margin_rate, pricing_signal, action,
@@ -528,12 +534,19 @@ def inventory_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     concat_ws('|', case when customer_count < 30 then 'small_segment' end,
               case when coupon_budget = 0 then 'budget_missing' end) as warnings,
     format('{{}} 세그먼트 {{}}명에게 {{:,}}원 수준 복귀 오퍼를 제안합니다.', segment_name, customer_count,
-           cast(discount as bigint)) as summary
+           cast(discount as bigint)) as summary,
+    format('예상 복귀율 {{:.1f}}%, 예상 매출 {{:,}}원', expected_return * 100,
+           cast(round_even(expected_revenue, 0) as bigint)) as first_effect
     from offers"""
 )
 def retention_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = insights.retention_strategy(b.retention_segments(spark, sf_dir))
-    rows = rows.withColumn("warnings", F.concat_ws("|", F.col("warnings.code")))
+    rows = rows.withColumns(
+        {
+            "warnings": F.concat_ws("|", F.col("warnings.code")),
+            "first_effect": F.col("actions")[0]["expected_effect"],
+        }
+    )
     return rounded(
         rows.drop("actions", "evidence", "version", "prompt", "source_name", "uploaded_at"), 2, "expected_revenue"
     )
@@ -605,8 +618,7 @@ def campaign_break_even_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""with {sql.PLANS}, redeemed as (
+_UPLIFT = f"""{sql.PLANS}, redeemed as (
     select *, (store_id % 6) * 0.1::double as discount_rate from plans),
     rated as (
       select *, least(0.32, greatest(0.02,
@@ -615,14 +627,19 @@ def campaign_break_even_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
         * cast(case channel when 'sms' then 1.03 when 'push' then 0.94 else 1.08 end as double)
         * least(1.35, 0.95 + discount_rate * 2.4) * greatest(0.75, least(1.2, 0.85 + return_rate * 1.4)))) as redemption
       from redeemed),
-    ordered as (select *, cast(round_even(target_customers * redemption, 0) as bigint) as orders from rated)
-    select store_id, segment_name, channel, target_customers, {sql.exact('redemption', 4)} as expected_redemption_rate,
-      orders as expected_incremental_orders,
-      {sql.exact('least(1.5, greatest(0.03, orders / greatest(1, round_even(recent_visit_count / 7, 0))))', 4)}
-        as expected_uplift_rate,
-      {sql.exact('orders * avg_order_value * greatest(0.82, 1 - discount_rate * 0.6)', 2)} as expected_incremental_revenue,
-      {sql.exact('least(0.92, greatest(0.58, 0.63 + least(recent_visit_count, 700) / 3500 + least(target_customers, 3000) / 15000))', 4)} as confidence
-    from ordered"""
+    ordered as (select *, cast(round_even(target_customers * redemption, 0) as bigint) as orders from rated),
+    valued as (
+      select *, {sql.exact('orders * avg_order_value * greatest(0.82, 1 - discount_rate * 0.6)', 2)} as revenue,
+        least(1.5, greatest(0.03, orders / greatest(1, round_even(recent_visit_count / 7, 0)))) as uplift,
+        0.63 + least(recent_visit_count, 700) / 3500 + least(target_customers, 3000) / 15000 as certainty
+      from ordered)"""
+
+
+@query(
+    f"""with {_UPLIFT} select store_id, segment_name, channel, target_customers,
+    {sql.exact('redemption', 4)} as expected_redemption_rate, orders as expected_incremental_orders,
+    {sql.exact('uplift', 4)} as expected_uplift_rate, revenue as expected_incremental_revenue,
+    {sql.exact('least(0.92, greatest(0.58, certainty))', 4)} as confidence from valued"""
 )
 def campaign_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = campaigns.campaign_uplift(b.uplift_plans(spark, sf_dir))
@@ -632,6 +649,20 @@ def campaign_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""with {_UPLIFT} select store_id, segment_name, channel,
+    format('추가 주문 {{:,}}건, 추가 매출 {{:,}}원 수준을 기대합니다.', orders, cast(round_even(revenue, 0) as bigint))
+      as order_guide,
+    format('예상 리딤률은 {{:.1f}}%입니다.', redemption * 100) as redemption_guide from valued"""
+)
+def campaign_uplift_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = insights.uplift_strategy(b.uplift_plans(spark, sf_dir))
+    guide = F.col("action_guide")
+    return rows.select(
+        "store_id", "segment_name", "channel", guide[1].alias("order_guide"), guide[0].alias("redemption_guide")
+    )
+
+
 @query(f"with {sql.TARGETS} select campaign_id, customer_id, reason from judged where reason is not null")
 def target_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.target_exclusions(b.campaign_targets(spark, sf_dir))
@@ -986,11 +1017,15 @@ def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {sql.SEGMENTS}, {sql.hourly()}, {sql.menus()}, {sql.cancels()}
     select round(max(anomaly_score), 2) as risk_score,
-      (select count(*) from quadrants where category = 'Star') as star_count,
-      (select count(*) from segments where segment = 'VIP') as vip_count,
+      (select concat_ws('|', count(*) filter (category = 'Star'), count(*) filter (category = 'Plowhorse'),
+         count(*) filter (category = 'Puzzle'), count(*) filter (category = 'Dog')) from quadrants) as menu_counts,
+      (select concat_ws('|', count(*) filter (segment = 'VIP'), count(*) filter (segment = 'At Risk'),
+         count(*) filter (segment = 'Lost'), count(*) filter (segment = 'New'), count(*) filter (segment = 'Loyal'))
+       from segments) as customer_counts,
       (select concat('오늘의 주요 피크 타임은 ', string_agg(cast(hour as varchar), ', ' order by hour) filter (is_peak),
         '시이며, ', arg_max(hour, sum_revenue), '시에 최대 매출이 발생했습니다.') from trend) as sales_summary,
-      '{fv.DASHBOARD_TEXT["headline"]}' as headline
+      '{fv.DASHBOARD_TEXT["headline"]}' as headline, '{fv.DASHBOARD_TEXT["reasoning"]}' as reasoning,
+      '{fv.DASHBOARD_TEXT["action_item"]}' as action_item
     from scored"""
 )
 def dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1001,6 +1036,12 @@ def dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.receipts(spark, sf_dir),
         menu_sales=b.menu_sales(spark, sf_dir),
     )
+    menus = [F.col(f"menu_summary.{name}_count") for name in ("star", "plowhorse", "puzzle", "dog")]
+    customers = [F.col(f"churn_summary.{name}_count") for name in ("vip", "at_risk", "lost", "new", "loyal")]
     return tables["overview"].select(
-        "risk_score", "menu_summary.star_count", "churn_summary.vip_count", "sales_summary", "headline"
+        "risk_score",
+        F.concat_ws("|", *[count.cast("string") for count in menus]).alias("menu_counts"),
+        F.concat_ws("|", *[count.cast("string") for count in customers]).alias("customer_counts"),
+        "sales_summary",
+        *fv.DASHBOARD_TEXT,
     )
