@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillsight import fixed_values as fv
 from tillsight.functions.structs import evidence, version
-from tillsight.functions.text import contains_any, fmt, mask_personal_data, safe_text, text_lines, violates_policy
+from tillsight.functions.text import contains_any, fmt, mask_personal_data, safe_text, text_lines
 
 
 def mask_pii(df: DataFrame, column: str, enabled: bool = True) -> DataFrame:
@@ -18,7 +18,10 @@ def mask_pii(df: DataFrame, column: str, enabled: bool = True) -> DataFrame:
 
 def policy_flags(df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_TERMS) -> DataFrame:
     """Add `policy_violation`: whether the lower-cased text contains a blocked term."""
-    return df.withColumn("policy_violation", F.coalesce(violates_policy(F.col(column), terms), F.lit(False)))
+    # Lower-cased in a column of its own, so that it happens once for all terms.
+    lowered = df.withColumn("_lowered", F.lower(F.col(column)))
+    found = contains_any(F.col("_lowered"), terms)
+    return lowered.withColumn("policy_violation", F.coalesce(found, F.lit(False))).drop("_lowered")
 
 
 def require_policy_safe(df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_TERMS) -> DataFrame:
