@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tillsight.llm import decontaminate
+from tillsight.llm import bpe, decontaminate, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_bpe": bpe.op3_bpe,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLES = {
