@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, simhash
+from tillsight.llm import bpe, decontaminate, lines, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_line_dedup": lines.OP2_SQL,
 }
