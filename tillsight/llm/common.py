@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to a Python function at once; an Arrow batch is cut into pieces of about this many bytes.
 PIECE_BYTES = 4 << 20
+#: A stored table of narrow rows is sent to every task up to this many rows; beyond that both sides are shuffled.
+SENT_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,11 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+def sent_if_small(stored: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast when its counted rows are few enough."""
+    return F.broadcast(stored) if stored.limit(SENT_ROWS + 1).count() <= SENT_ROWS else stored
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import table, without
+from tillsight.llm.common import sent_if_small, table, without
 from tillsight.llm.graph import connected_components
 from tillsight.plans.shared import stored
 
@@ -22,13 +22,6 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Buckets in which token frequencies are counted: a fixed number, so the counts can be sent to every task.
 RARITY_BUCKETS = 1 << 16
-#: A lookup table is sent to every task up to this many rows; beyond that both sides are shuffled.
-SENT_ROWS = 2_000_000
-
-
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast when its counted rows (narrow ones) are few enough."""
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
 def words_of(line: Column) -> Column:

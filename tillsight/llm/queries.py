@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, lines, simhash
+from tillsight.llm import bpe, decontaminate, lines, quality, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_quality": quality.op4_quality,
     "op6_simhash": simhash.op6_simhash,
 }
 

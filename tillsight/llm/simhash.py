@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import map_texts, table
+from tillsight.llm.common import map_texts, sent_if_small, table
 from tillsight.llm.graph import Forest, connected_components
 from tillsight.plans.shared import stored
 
@@ -203,19 +203,48 @@ def near_duplicates(
     component; a component of null ids only has none. Repeated rows and ids are rows of one component. Only the
     two columns named are read, so others cannot clash; an empty table gives an empty result.
     """
-    prints = stored(
-        with_fingerprints(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", size, ["doc_id"]),
-        "fingerprints",
-    )
+    return _grouped(documents, doc_id, text, size, most, trie_size).select("doc_id", "fingerprint_bits", "component_id")
+
+
+def _grouped(documents: DataFrame, doc_id: str, text: str, size: int, most: int, trie_size: int) -> DataFrame:
+    """`doc_id`, `row` (hash of the text), `fingerprint_bits`, `group` (its smallest fingerprint) and `component_id`."""
+    value = F.col(f"`{text}`")
+    narrow = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(value).alias("row"), value.alias("text"))
+    prints = stored(with_fingerprints(narrow, "text", size, ["doc_id", "row"]), "fingerprints")
     least = stored(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least_id")), "fingerprint-groups")
     nodes = connected_components(fingerprint_links(least.select("fingerprint_bits"), most, trie_size), "a", "b")
     nodes = stored(nodes.select(F.col("node").alias("fingerprint_bits"), "component"), "fingerprint-components")
-    linked = nodes.join(least, "fingerprint_bits")
-    joined = linked.groupBy("component").agg(F.min("least_id").alias("joined_id"))
-    smallest = nodes.join(joined, "component").select("fingerprint_bits", "joined_id")
-    component = F.coalesce("joined_id", "least_id").alias("component_id")
-    groups = least.join(smallest, "fingerprint_bits", "left").select("fingerprint_bits", component)
-    return prints.join(groups, "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
+    joined = nodes.join(least, "fingerprint_bits").groupBy("component").agg(F.min("least_id").alias("joined_id"))
+    smallest = nodes.join(joined, "component")
+    groups = least.join(smallest, "fingerprint_bits", "left").select(
+        "fingerprint_bits",
+        F.coalesce("component", "fingerprint_bits").alias("group"),
+        F.coalesce("joined_id", "least_id").alias("component_id"),
+    )
+    return prints.join(groups, "fingerprint_bits")
+
+
+def keep_one(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = SHINGLE_WORDS,
+    most: int = MOST_BITS,
+    trie_size: int = TRIE_FINGERPRINTS,
+) -> DataFrame:
+    """The rows of `documents` that stay when each group of near duplicates keeps one: its smallest id.
+
+    Null ids come last. Of several rows with the id the one with the smallest text hash stays, of rows equal in
+    both one. Columns and texts are unchanged.
+    """
+    found = _grouped(documents, doc_id, text, size, most, trie_size)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    copies = found.groupBy("group", "doc_id", "row").count()
+    kept = copies.groupBy("group").agg(F.min_by(F.struct("doc_id", "row", "count"), order).alias("first"))
+    kept = stored(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.count").alias("copies")), "kept-rows")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_row"))
+    rows = documents.join(sent_if_small(kept), same, "left_semi")
+    return rows.dropDuplicates([doc_id, text]) if kept.where("copies > 1").limit(1).count() else rows
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
