@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, lines, quality, simhash
+from tillsight.llm import bpe, decontaminate, lines, quality, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality.op4_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op10_sharding": sharding.OP10_SQL,
 }
