@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, embeddings, lines, quality, sharding, simhash
+from tillsight.llm import bpe, decontaminate, embeddings, licenses, lines, quality, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality.op4_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
     "op8_embedding_dedup": embeddings.OP8_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }
