@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, embeddings, licenses, lines, quality, sharding, simhash
+from tillsight.llm import bpe, decontaminate, embeddings, language, licenses, lines, quality, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality.op4_quality,
+    "op5_language": language.op5_language,
     "op6_simhash": simhash.op6_simhash,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
