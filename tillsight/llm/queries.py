@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, decontaminate, embeddings, language, licenses, lines, quality, sharding, simhash
+from tillsight.llm import bpe, decontaminate, embeddings, language, licenses, lines, quality, scoring, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
+    "op9_lm_score": scoring.op9_lm_score,
     "op10_sharding": sharding.op10_sharding,
 }
 
