@@ -78,7 +78,7 @@ def map_texts(
     added = StructType.fromDDL(results)
     base = without(df, [f.name for f in added.fields if f.name.lower() != text.lower()])
     kept = [c for c in base.columns if keep is None or c in keep]
-    source = base.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text_of_row"))
+    source = base.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__llm_text"))
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
     names = [f.name for f in added.fields]
     replaced = {name.lower() for name in names}

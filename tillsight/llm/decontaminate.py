@@ -169,9 +169,9 @@ def find_contamination(
 
 def _merged(found: DataFrame, text: str, make) -> DataFrame:
     """Add the hits of one more pass."""
-    earlier = {"hit_spans": "_spans", "hit_items": "_items"}
+    earlier = {"hit_spans": "__llm_spans", "hit_items": "__llm_items"}
     more = map_texts(found.withColumnsRenamed(earlier), text, RESULTS, make)
-    ordered = F.array_sort(F.concat("_spans", "hit_spans"))
+    ordered = F.array_sort(F.concat("__llm_spans", "hit_spans"))
     # Spans that touch or overlap become one, as within a pass.
     joined = F.aggregate(
         ordered,
@@ -189,9 +189,9 @@ def _merged(found: DataFrame, text: str, make) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    more = more.withColumn("hit_spans", joined).withColumn("hit_items", F.array_sort(F.array_union("_items", "hit_items")))
+    more = more.withColumn("hit_spans", joined).withColumn("hit_items", F.array_sort(F.array_union("__llm_items", "hit_items")))
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    return more.withColumn("n_hit", hit).drop("_spans", "_items")
+    return more.withColumn("n_hit", hit).drop("__llm_spans", "__llm_items")
 
 
 def contaminated(n_words="n_words", n_hit="n_hit"):

@@ -61,7 +61,8 @@ def words_of(text: Column) -> Column:
 def word_ranks(words: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary from rare to frequent in all of `words`, a table of word arrays; ties by the word."""
     asked = words.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
-    counts = words.select(F.explode("words").alias("word")).join(F.broadcast(asked), "word").groupBy("word").count()
+    # explode_outer: a plain one is given a filter on its array, for which the words would be split again.
+    counts = words.select(F.explode_outer("words").alias("word")).join(F.broadcast(asked), "word").groupBy("word").count()
     found = {r["word"]: r["count"] for r in counts.collect()}
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
@@ -96,7 +97,7 @@ def template_blocks(documents: DataFrame, doc_id: str, text: str, templates: lis
     fewest = min(need for *_, need in whole)
     held = blocks.withColumn("known", known).where(F.size("known") >= fewest)
     held = held.select("doc_id", "row", F.sort_array(F.transform("known", lambda w: (F.array_position(ordered, w) - 1).cast("int"))).alias("held"))
-    met = held.select("doc_id", "row", "held", F.posexplode("held").alias("at", "rank")).join(first, "rank")
+    met = held.select("doc_id", "row", "held", F.posexplode_outer("held").alias("at", "rank")).join(first, "rank")
     fits = (F.size("held") >= F.col("need")) & (F.least(F.size("held") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
     pairs = met.where(fits).select("doc_id", "row", "held", "template").distinct()
     shared = F.size(F.array_intersect("held", "ranks"))
@@ -149,30 +150,30 @@ def scan_licenses(
     base = without(documents, RESULTS)
     value = F.col(f"`{text}`")
     found = stored(template_blocks(base, doc_id, text, TEMPLATES if templates is None else templates, containment), "license-blocks")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("labels").alias("_labels"), F.col("score").alias("_score"))
-    worded = base.withColumns({"_words": words_of(F.coalesce(value, F.lit(""))), "_row": F.xxhash64(value)})
-    places = phrase_places("_words", PHRASES if phrases is None else phrases)
-    placed = worded.withColumns({"_places": places, "n_words": F.size("_words").cast("bigint")}).drop("_words")
-    starts = F.transform("_places", lambda p: p["at"])
-    names = F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["label"])))
+    found = found.select(F.col("doc_id").alias("__llm_id"), F.col("row").alias("__llm_row"), F.col("labels").alias("__llm_labels"), F.col("score").alias("__llm_score"))
+    worded = base.withColumns({"__llm_words": words_of(F.coalesce(value, F.lit(""))), "__llm_row": F.xxhash64(value)})
+    places = phrase_places("__llm_words", PHRASES if phrases is None else phrases)
+    placed = worded.withColumns({"__llm_places": places, "n_words": F.size("__llm_words").cast("bigint")}).drop("__llm_words")
+    starts = F.transform("__llm_places", lambda p: p["at"])
+    names = F.array_sort(F.array_distinct(F.transform("__llm_places", lambda p: p["label"])))
     described = placed.withColumns(
         {
-            "n_base": F.size("_places").cast("bigint"),
+            "n_base": F.size("__llm_places").cast("bigint"),
             "first_word": F.array_min(starts),
             "last_word": F.array_max(starts),
-            "_names": names,
+            "__llm_names": names,
         }
-    ).drop("_places")
-    same = F.col(f"`{doc_id}`").eqNullSafe(found["_id"]) & (described["_row"] == found["_row"])
-    joined = described.join(found, same, "left").drop(found["_row"])
+    ).drop("__llm_places")
+    same = F.col(f"`{doc_id}`").eqNullSafe(found["__llm_id"]) & (described["__llm_row"] == found["__llm_row"])
+    joined = described.join(found, same, "left").drop(found["__llm_row"])
     none = F.expr("cast(array() as array<string>)")
     return joined.withColumns(
         {
-            "base_labels": F.array_join("_names", ","),
-            "labels": F.array_join(F.array_sort(F.array_union("_names", F.coalesce("_labels", none))), ","),
-            "score": F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_score", F.lit(0.0))),
+            "base_labels": F.array_join("__llm_names", ","),
+            "labels": F.array_join(F.array_sort(F.array_union("__llm_names", F.coalesce("__llm_labels", none))), ","),
+            "score": F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("__llm_score", F.lit(0.0))),
         }
-    ).drop("_id", "_row", "_names", "_labels", "_score")
+    ).drop("__llm_id", "__llm_row", "__llm_names", "__llm_labels", "__llm_score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

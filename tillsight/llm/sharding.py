@@ -88,12 +88,12 @@ def into_shards(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_i
     value = F.col(f"`{text}`")
     keyed = base.withColumns(
         {
-            "_key": row_key(F.col(f"`{doc_id}`"), value),
+            "__llm_key": row_key(F.col(f"`{doc_id}`"), value),
             "size": row_size(value),
             "text_crc32": F.coalesce(F.crc32(value.cast("binary")), F.lit(0)).cast("bigint"),
         }
     )
-    sized = stored(keyed.select(F.col("_key").alias("key"), "size"), "sized-keys")
+    sized = stored(keyed.select(F.col("__llm_key").alias("key"), "size"), "sized-keys")
     splitters = find_splitters(sized, shards, tolerance)
 
     def shard_of(key: Column) -> Column:
@@ -109,15 +109,15 @@ def into_shards(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_i
     rows, digits = sized.count(), 1
     while rows >> (4 * digits) > RUN_ROWS:
         digits += 1
-    run = ["shard", "_run"]
-    counted = sized.select(shard_of(F.col("key")).alias("shard"), F.substring("key", 1, digits).alias("_run")).groupBy(run).count()
+    run = ["shard", "__llm_run"]
+    counted = sized.select(shard_of(F.col("key")).alias("shard"), F.substring("key", 1, digits).alias("__llm_run")).groupBy(run).count()
     # Rows of the shard before each run; a shard has about one run for every 4096 of its rows.
-    before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = stored(counted.select(*run, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")), "shard-runs")
-    placed = keyed.withColumns({"shard": shard_of(F.col("_key")), "_run": F.substring("_key", 1, digits)})
-    number = F.row_number().over(Window.partitionBy(run).orderBy("_key"))
-    slotted = placed.withColumn("_number", number).join(runs, run)
-    return slotted.withColumn("slot", F.col("_before") + F.col("_number") - 1).drop("_key", "_run", "_number", "_before")
+    before = Window.partitionBy("shard").orderBy("__llm_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = stored(counted.select(*run, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__llm_before")), "shard-runs")
+    placed = keyed.withColumns({"shard": shard_of(F.col("__llm_key")), "__llm_run": F.substring("__llm_key", 1, digits)})
+    number = F.row_number().over(Window.partitionBy(run).orderBy("__llm_key"))
+    slotted = placed.withColumn("__llm_number", number).join(runs, run)
+    return slotted.withColumn("slot", F.col("__llm_before") + F.col("__llm_number") - 1).drop("__llm_key", "__llm_run", "__llm_number", "__llm_before")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

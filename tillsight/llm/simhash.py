@@ -241,8 +241,8 @@ def keep_one(
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     copies = found.groupBy("group", "doc_id", "row").count()
     kept = copies.groupBy("group").agg(F.min_by(F.struct("doc_id", "row", "count"), order).alias("first"))
-    kept = stored(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.count").alias("copies")), "kept-rows")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_row"))
+    kept = stored(kept.select(F.col("first.doc_id").alias("__llm_id"), F.col("first.row").alias("__llm_row"), F.col("first.count").alias("copies")), "kept-rows")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__llm_row"))
     rows = documents.join(sent_if_small(kept), same, "left_semi")
     return rows.dropDuplicates([doc_id, text]) if kept.where("copies > 1").limit(1).count() else rows
 
