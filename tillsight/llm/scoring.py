@@ -171,7 +171,7 @@ class TokenModel:
         apart = classes[others]
         score = float(self.chances[before, classes].sum() + self.within[places[there]].sum())
         score -= float(self.spread[apart[apart >= CLASSES - SHARED]].sum())
-        return len(tokens), int(there.sum()), base, score, [{"token": t, "times": n} for t, n in rare.items()]
+        return len(tokens), int((self.counts[places[there]] > 0).sum()), base, score, [{"token": t, "times": n} for t, n in rare.items()]
 
 
 def train(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int]) -> tuple[TokenModel, DataFrame]:
