@@ -1,10 +1,11 @@
 """Recency, frequency, money and segments, including ties, nulls and hot customers."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 from statistics import median
 
+import duckdb
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -114,7 +115,18 @@ def test_segments(spark):
     assert summary == {"At Risk": 1, "Lost": 1, "VIP": 1, "Loyal": 2, "New": 1}
 
 
-def test_segments_do_not_depend_on_the_percentile_path(spark):
+def test_median_of_small_amounts(spark):
+    """Amounts are neither rounded nor cut, so the middle customer of five splits them."""
+    amounts = [0.001, 0.002, 0.003, 0.004, 0.014]
+    table = spark.createDataFrame(
+        [(f"c{i}", 1, 9, v, 0.1) for i, v in enumerate(amounts)],
+        "customer_id string, recency int, frequency long, monetary double, churn_probability double",
+    )
+    assert exact_percentile(table, "monetary", 0.5).first()[0] == 0.003
+    assert [r["segment"] for r in rows(rfm_segments(table), "customer_id")] == ["Loyal", "Loyal", "VIP", "VIP", "VIP"]
+
+
+def test_segments_against_sorting(spark):
     random.seed(3)
     data = [
         (f"c{i}", random.randrange(120), random.randrange(1, 9), random.randrange(10**6) / 100, random.random())
@@ -123,9 +135,22 @@ def test_segments_do_not_depend_on_the_percentile_path(spark):
     table = spark.createDataFrame(
         data, "customer_id string, recency int, frequency long, monetary double, churn_probability double"
     )
-    small = rows(rfm_segments(table), "customer_id")
-    large = rows(rfm_segments(table, single_task_rows=10), "customer_id")
-    assert small == large
+    middle = median(r[3] for r in data)
+
+    def segment(row):
+        _, recency, frequency, monetary, probability = row
+        if probability > 0.8:
+            return "At Risk"
+        if recency > 90:
+            return "Lost"
+        if frequency >= 5 and monetary >= middle:
+            return "VIP"
+        return "Loyal" if frequency >= 2 else "New"
+
+    found = {r["customer_id"]: r["segment"] for r in rows(rfm_segments(table))}
+    assert found == {r[0]: segment(r) for r in data}
+    strict = rows(rfm_segments(table, at_risk_probability=0.5, lost_days=10, vip_visits=8, loyal_visits=7))
+    assert Counter(r["segment"] for r in strict) != Counter(found.values())
 
 
 @pytest.mark.parametrize("fraction, count", [(0.0, 7), (1.0, 7), (0.5, 1), (0.5, 2), (0.8, 300), (0.5, 300)])
@@ -133,9 +158,27 @@ def test_percentile_by_narrowing(spark, fraction, count):
     random.seed(count)
     values = [random.choice([random.randrange(-50000, 50000), 777]) / 100 for _ in range(count)]
     table = spark.createDataFrame([(v,) for v in values], "v double")
-    expected = exact_percentile(table, "v", fraction).first()[0]
-    narrowed = exact_percentile(table, "v", fraction, single_task_rows=0, fanout=8).first()[0]
-    assert narrowed == pytest.approx(expected, abs=1e-9)
+    expected = table.select(F.percentile("v", fraction)).first()[0]
+    for fanout in (2, 8, 1 << 16):
+        assert exact_percentile(table, "v", fraction, fanout=fanout).first()[0] == pytest.approx(expected, abs=1e-9)
+
+
+def test_percentile_against_sql(spark):
+    random.seed(17)
+    values = [(f"g{min(i % 7, 3)}", random.choice([1, 1e-9, 1e9, -1e300]) * random.random()) for i in range(10_000)]
+    values += [("none", None), ("none", None), ("odd", float("nan")), ("odd", float("inf")), ("odd", 2.5), (None, 1.0)]
+    table = spark.createDataFrame(values, "k string, v double")
+    frame = table.toPandas()  # noqa: F841  read by the SQL below
+    with duckdb.connect() as connection:
+        usable = "case when isfinite(v) then v end"
+        overall = connection.execute(f"select quantile_cont({usable}, 0.37) from frame").fetchone()[0]
+        groups = dict(connection.execute(f"select k, quantile_cont({usable}, 0.37) from frame where k is not null group by k").fetchall())
+    assert exact_percentile(table, "v", 0.37).first()[0] == pytest.approx(overall, rel=1e-12)
+    found = {r["k"]: r["percentile"] for r in rows(exact_percentile(table, "v", 0.37, ["k"]))}
+    assert found == {k: v if v is None else pytest.approx(v, rel=1e-12) for k, v in groups.items()}
+    assert found["none"] is None and found["odd"] == 2.5
+    empty = table.limit(0)
+    assert exact_percentile(empty, "v", 0.5).first()[0] is None and exact_percentile(empty, "v", 0.5, ["k"]).count() == 0
 
 
 def test_percentile_by_narrowing_per_group(spark):
@@ -143,7 +186,7 @@ def test_percentile_by_narrowing_per_group(spark):
     values = [("hot", float(random.randrange(10**9)) / 100) for _ in range(900)]
     values += [(f"g{i % 5}", float(random.randrange(1000))) for i in range(83)] + [("one", 4.0), (None, 1.0), ("one", None)]
     table = spark.createDataFrame(values, "k string, v double")
-    found = {r["k"]: r["percentile"] for r in rows(exact_percentile(table, "v", 0.5, ["k"], single_task_rows=0, fanout=16))}
+    found = {r["k"]: r["percentile"] for r in rows(exact_percentile(table, "v", 0.5, ["k"], fanout=16))}
     groups = defaultdict(list)
     for k, v in values:
         if k is not None and v is not None:
@@ -151,6 +194,22 @@ def test_percentile_by_narrowing_per_group(spark):
     assert found == pytest.approx({k: median(v) for k, v in groups.items()})
 
 
+def test_store_without_amounts_keeps_its_customers(spark):
+    table = spark.createDataFrame(
+        [("s1", "a", 1, 9, 5.0, 0.1), ("s2", "b", 1, 9, None, 0.1), ("s2", "c", 100, 9, None, 0.1)],
+        "store_id string, customer_id string, recency int, frequency long, monetary double, churn_probability double",
+    )
+    found = {r["customer_id"]: r["segment"] for r in rows(rfm_segments(table, ["store_id"]))}
+    assert found == {"a": "VIP", "b": "Loyal", "c": "Lost"}
+
+
+@pytest.mark.parametrize("schema", [DATED, TIMED])
+def test_amounts_are_not_rounded_before_they_are_added(spark, schema):
+    data = [("a", "2026-01-01", 0.004)] * 1000 + [("b", "2026-01-01", 1e17), ("b", "2026-01-02", 1e17)]
+    found = {r["customer_id"]: r["monetary"] for r in rows(rfm(visits(spark, data, schema)))}
+    assert found == {"a": 4.0, "b": 2e17}
+
+
 def test_per_store(spark):
     data = [("s1", "a", "2026-01-01", 1.0), ("s1", "a", "2026-01-03", 1.0), ("s2", "a", "2026-02-01", 2.0), (None, "a", "2026-02-01", 2.0)]
     table = spark.createDataFrame(data, "store_id string, customer_id string, visit_date string, payment_amount double")

@@ -4,6 +4,7 @@ import csv
 from datetime import date, datetime, timezone
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -47,7 +48,42 @@ def test_csv_by_header_name(spark, tmp_path):
 
 def test_line_breaks_inside_fields(spark, tmp_path):
     path = write_csv(tmp_path / "menu.csv", [{**MENU, "category": "a\nb"}])
-    assert read_raw(spark, "menu", path, multi_line=True).first()["category"] == "a\nb"
+    assert read_raw(spark, "menu", path).first()["category"] == "a\nb"
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "menus"
+    folder.mkdir()
+    names = list(MENU)
+    write_csv(folder / "a.csv", [{**MENU, "menu_id": "M1"}, {**MENU, "menu_id": "M2"}], names)
+    write_csv(folder / "b.csv", [{**MENU, "menu_id": "M3", "category": "two\nlines"}], names[::-1])
+    fewer = [n for n in names if n != "category"]
+    write_csv(folder / "c.csv", [{k: v for k, v in {**MENU, "menu_id": "M4"}.items() if k in fewer}], fewer)
+    found = {r["menu_id"]: r for r in read_raw(spark, "menu", str(folder)).collect()}
+    assert set(found) == {"M1", "M2", "M3", "M4"} and {r["store_id"] for r in found.values()} == {MENU["store_id"]}
+    assert found["M3"]["category"] == "two\nlines" and found["M4"]["category"] is None
+    same = {r["menu_id"] for r in read_raw(spark, "menu", str(folder / "a.csv"), one_header=True).collect()}
+    assert same == {"M1", "M2"}
+
+
+def test_broken_feed_lines(spark, tmp_path):
+    path = tmp_path / "feed.json"
+    path.write_text('{"receipt_no": "1", "total_amount": 5.0}\n{"receipt_no": "2", "total\n{"receipt_no": "3", "total_amount": "abc"}\n')
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_feed(spark, "receipts", str(path)).collect()
+    kept = read_feed(spark, "receipts", str(path), broken="keep").collect()
+    assert len(kept) == 3 and [r["corrupt_record"] is None for r in kept] == [True, False, False]
+    with pytest.raises(ValueError):
+        read_feed(spark, "receipts", str(path), broken="drop")
+
+
+def test_tables_are_not_overwritten(spark, tmp_path):
+    table, path = spark.range(3), str(tmp_path / "table")
+    write_table(table, path)
+    with pytest.raises(PySparkException):
+        write_table(table, path)
+    write_table(table, path, mode="append")
+    assert spark.read.parquet(path).count() == 6
 
 
 def test_every_dataset_normalises(spark):

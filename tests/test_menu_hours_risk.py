@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillsight.operators.menu import menu_metrics, menu_quadrants
 from tillsight.operators.reports import menu_summary, risk_summary
-from tillsight.operators.risk import cancel_anomalies, high_value_cancels
+from tillsight.operators.risk import cancel_anomalies, event_anomalies, high_value_cancels
 from tillsight.operators.sales import hourly_trend, hourly_trend_summary
 
 SALES = "menu_name string, qty int"
@@ -162,3 +162,13 @@ def test_results_do_not_depend_on_partitions(spark):
     expected = rows(cancel_anomalies(table.repartition(1)).withColumn("anomaly_score", F.round("anomaly_score", 9)), "sales_date", "hour")
     again = rows(cancel_anomalies(table.repartition(7)).withColumn("anomaly_score", F.round("anomaly_score", 9)), "sales_date", "hour")
     assert expected == again
+
+
+def test_events_without_amount_or_type_stay(spark):
+    table = spark.createDataFrame(
+        [("a", "x", 1.0), ("b", "x", 3.0), ("c", "x", None), ("d", None, 2.0)], "event_id string, event_type string, amount double"
+    )
+    found = {r["event_id"]: (r["anomaly_probability"], r["severity"]) for r in event_anomalies(table).collect()}
+    assert found == {"a": (0.3333, "low"), "b": (0.3333, "low"), "c": (None, None), "d": (None, None)}
+    strict = {r["event_id"]: r["severity"] for r in event_anomalies(table, deviations=1.0, cuts=[(0.9, "top")]).collect()}
+    assert strict == {"a": "top", "b": "top", "c": None, "d": None}

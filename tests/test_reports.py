@@ -3,9 +3,10 @@
 from datetime import date
 
 import pytest
-from conftest import UPLOADED, rows
+from conftest import DATA, UPLOADED, rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from tillsight.functions.structs import version
 from tillsight.operators.insights import (
     anomaly_explanation,
@@ -234,3 +235,27 @@ def test_reports_per_store(spark):
     )
     found = {r["store_id"]: r["new_count"] for r in rows(customer_report(visits, keys=["store_id"])["summary"])}
     assert found == {"s1": 1, "s2": 1}
+
+
+def test_plans_stay_one_per_request(spark, staffing_rows, stock_rows):
+    """Two staffing rows and three stock rows of a request are lines of one plan, not six plans."""
+    requests = spark.createDataFrame(
+        [("r1", "operations_tuning"), ("r2", "operations_tuning"), ("r3", "retention_recovery")], "request_id string, scenario string"
+    )
+    staffing = staffing_rows.filter("store_id = 'S001'").withColumn("request_id", F.lit("r1"))
+    first = stock_rows.limit(3).withColumn("request_id", F.lit("r1"))
+    second = stock_rows.limit(1).withColumn("request_id", F.lit("r2"))
+    plans = action_plan(requests, staffing=staffing, inventory=first.unionByName(second), key="request_id")
+    found = {r["request_id"]: r for r in plans.collect()}
+    assert plans.count() == 3 and set(found) == {"r1", "r2", "r3"}
+    assert len(found["r1"]["outputs"]["staffing"].split("\n")) == 2
+    assert len(found["r1"]["outputs"]["inventory"].split("\n")) == 3
+    assert [s["name"] for s in found["r2"]["steps"]] == ["inventory"] and "\n" not in found["r2"]["outputs"]["inventory"]
+    assert found["r3"]["steps"] == []
+
+
+@pytest.mark.parametrize("name", ["sales_insight", "churn_explanation", "store_intelligence", "campaign_break_even_guide"])
+def test_texts_are_written_once(spark, name):
+    """A text is formatted for its summary and its lines, not again for every check of it."""
+    plan = contract.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string(") <= 25 and plan.count("regexp_replace(") <= 12, (plan.count("format_string("), plan.count("regexp_replace("))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 MICROS_PER_DAY = 86_400_000_000
+#: Decimals of an amount that count in a sum; with them a decimal(38) holds amounts up to 10^28.
+AMOUNT_SCALE = 10
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -67,21 +69,21 @@ def lookup(key: Column, table: Mapping[str, object], default: object | None = No
     return found if default is None else found.otherwise(F.lit(default))
 
 
-def money_sum(x: Column, scale: int | None = 2) -> Column:
+def money_sum(x: Column, scale: int | None = AMOUNT_SCALE) -> Column:
     """Sum of amounts that does not depend on summation order; all-null gives 0.
 
     Amounts are kept to `scale` decimals and added as decimals. `scale=None` adds plain doubles.
     """
     if scale is None:
         return F.coalesce(F.sum(x), F.lit(0.0))
-    return F.coalesce(F.sum(x.cast(f"decimal(18,{scale})")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(x.cast(f"decimal(38,{scale})")).cast("double"), F.lit(0.0))
 
 
-def money_mean(x: Column, scale: int | None = 2) -> Column:
+def money_mean(x: Column, scale: int | None = AMOUNT_SCALE) -> Column:
     """Mean over non-null amounts with the same order-independent sum; null when there are none."""
     if scale is None:
         return F.avg(x)
-    total = F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
+    total = F.sum(x.cast(f"decimal(38,{scale})")).cast("double")
     return F.when(F.count(x) > 0, total / F.count(x))
 
 

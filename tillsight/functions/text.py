@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight import fixed_values as fv
 
@@ -53,23 +53,37 @@ def mask_personal_data(x: Column, enabled: bool = True) -> Column:
     if not enabled:
         return x
     masked = x
-    for sign, pattern, mask in (
-        ("-", fv.PHONE_PATTERN, fv.PHONE_MASK),
-        ("@", fv.EMAIL_PATTERN, fv.EMAIL_MASK),
-        ("-", fv.RESIDENT_PATTERN, fv.RESIDENT_MASK),
-    ):
+    for sign, pattern, mask in _MASKS:
         masked = F.when(x.contains(sign), F.regexp_replace(masked, "(?U)" + pattern, mask)).otherwise(masked)
     return masked
 
 
+_MASKS = (
+    ("-", fv.PHONE_PATTERN, fv.PHONE_MASK),
+    ("@", fv.EMAIL_PATTERN, fv.EMAIL_MASK),
+    ("-", fv.RESIDENT_PATTERN, fv.RESIDENT_MASK),
+)
+
+
 def violates_policy(x: Column, terms: Iterable[str] = fv.BLOCKED_TERMS) -> Column:
     return contains_any(F.lower(x), terms)
 
 
-def safe_text(x: Column, masking: bool = True, terms: Iterable[str] = fv.BLOCKED_TERMS) -> Column:
-    """Masked text; a row whose text holds a blocked term fails the job."""
-    masked = mask_personal_data(x, masking)
-    return F.when(violates_policy(masked, terms), F.raise_error(F.lit(fv.POLICY_ERROR))).otherwise(masked)
+def with_safe_text(
+    df: DataFrame, name: str, text: Column, masking: bool = True, terms: Iterable[str] = fv.BLOCKED_TERMS
+) -> DataFrame:
+    """Add the masked text as column `name`; a row whose text holds a blocked term fails the job.
+
+    Each step is a column of its own: a step names its input several times, and nested into one expression the text
+    would be written out again for each of them.
+    """
+    df = df.withColumn(name, text)
+    for sign, pattern, mask in _MASKS if masking else ():
+        replaced = F.regexp_replace(name, "(?U)" + pattern, mask)
+        df = df.withColumn(name, F.when(F.col(name).contains(sign), replaced).otherwise(F.col(name)))
+    df = df.withColumn("_lowered", F.lower(name))
+    blocked = F.when(contains_any(F.col("_lowered"), terms), F.raise_error(F.lit(fv.POLICY_ERROR)))
+    return df.withColumn(name, blocked.otherwise(F.col(name))).drop("_lowered")
 
 
 _NUMBER_SPEC = re.compile(r"%([+,]?)\.(\d)f")

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType
 
-from tillsight.functions.numeric import at_least, at_most, band, clamp, floor_days, money_sum, rounded
+from tillsight.functions.numeric import AMOUNT_SCALE, at_least, at_most, band, clamp, floor_days, money_sum, rounded
 from tillsight.plans.attach import all_present, attach, grouped
-from tillsight.plans.percentiles import SINGLE_TASK_ROWS, exact_percentile
+from tillsight.plans.percentiles import exact_percentile
 from tillsight.plans.shared import stored
 
 # Weights and cuts of the risk score, defaults of the segment rules.
@@ -43,7 +43,7 @@ def rfm(
     reference: object | None = None,
     keys: Sequence[str] = (),
     *,
-    amount_scale: int | None = 2,
+    amount_scale: int | None = AMOUNT_SCALE,
 ) -> DataFrame:
     """Per customer: recency, frequency, monetary, avg_interval, churn_probability.
 
@@ -113,7 +113,7 @@ def _customers_by_timestamp(visits: DataFrame, customer: list[str], scale: int |
     # first and last visit of each day matter. Folding to days before ordering keeps a customer
     # with very many visits from being sorted in one task.
     visits = visits.withColumn("visit_date", F.col("visit_date").cast("timestamp"))
-    amounts = F.sum(F.col("payment_amount").cast(f"decimal(18,{scale})" if scale is not None else "double"))
+    amounts = F.sum(F.col("payment_amount").cast(f"decimal(38,{scale})" if scale is not None else "double"))
     days = visits.groupBy(*customer, F.to_date("visit_date").alias("day")).agg(
         F.min("visit_date").alias("first_visit"),
         F.max("visit_date").alias("last_visit"),
@@ -136,27 +136,31 @@ def _customers_by_timestamp(visits: DataFrame, customer: list[str], scale: int |
 
 
 def rfm_segments(
-    customers: DataFrame, keys: Sequence[str] = (), *, single_task_rows: int = SINGLE_TASK_ROWS
+    customers: DataFrame,
+    keys: Sequence[str] = (),
+    *,
+    at_risk_probability: float = AT_RISK_PROBABILITY,
+    lost_days: float = LOST_DAYS,
+    vip_visits: float = VIP_VISITS,
+    loyal_visits: float = LOYAL_VISITS,
 ) -> DataFrame:
     """Add `segment` to an `rfm` result: At Risk, Lost, VIP, Loyal or New, first match wins."""
-    median = exact_percentile(
-        customers, "monetary", 0.5, keys, output="_median", single_task_rows=single_task_rows
-    )
+    median = exact_percentile(customers, "monetary", 0.5, keys, output="_median")
     return (
         attach(customers, median, keys)
         .withColumn(
             "segment",
-            F.when(F.col("churn_probability") > AT_RISK_PROBABILITY, "At Risk")
-            .when(F.col("recency") > LOST_DAYS, "Lost")
-            .when((F.col("frequency") >= VIP_VISITS) & (F.col("monetary") >= F.col("_median")), "VIP")
-            .when(F.col("frequency") >= LOYAL_VISITS, "Loyal")
+            F.when(F.col("churn_probability") > at_risk_probability, "At Risk")
+            .when(F.col("recency") > lost_days, "Lost")
+            .when((F.col("frequency") >= vip_visits) & (F.col("monetary") >= F.col("_median")), "VIP")
+            .when(F.col("frequency") >= loyal_visits, "Loyal")
             .otherwise("New"),
         )
         .drop("_median")
     )
 
 
-def segment_summary(segments: DataFrame, keys: Sequence[str] = (), *, amount_scale: int | None = 2) -> DataFrame:
+def segment_summary(segments: DataFrame, keys: Sequence[str] = (), *, amount_scale: int | None = AMOUNT_SCALE) -> DataFrame:
     """Customers, revenue and visits per segment."""
     return segments.groupBy(*keys, "segment").agg(
         F.count("*").alias("customer_count"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillsight import fixed_values as fv
 from tillsight.functions.numeric import clamp
 from tillsight.functions.structs import evidence, present, version
-from tillsight.functions.text import fmt, percent, plain_number, safe_text, signed_percent, won
+from tillsight.functions.text import fmt, percent, plain_number, signed_percent, with_safe_text, won
 from tillsight.operators.campaigns import (
     BREAK_EVEN_DECIMALS,
     UPLIFT_DECIMALS,
@@ -56,10 +56,9 @@ def _explained(
     df: DataFrame, kind: str, summary: Column, highlights: Sequence[Column], entries: Sequence[Column]
 ) -> DataFrame:
     checked = check_window(df).withColumnRenamed("cold_start", "cold_start_mode").drop("day_count")
-    return checked.withColumns(
+    return with_safe_text(checked, "summary", summary).withColumns(
         {
             "analysis_type": F.lit(kind),
-            "summary": safe_text(summary),
             "highlights": present(*highlights),
             "evidence": F.array(*entries),
             "version": version("analysis"),
@@ -159,7 +158,7 @@ def retention_strategy(segments: DataFrame) -> DataFrame:
         evidence("segment_size", c("customer_count").cast("string"), fv.EVIDENCE_PERIODS["recent_campaign"]),
         evidence("segment_margin", won(c("avg_margin_per_customer").cast("double")), fv.EVIDENCE_PERIODS["last_30_days"]),
     ]
-    rows = with_prompt(rows.withColumn("summary", safe_text(summary)), "retention_offer", context)
+    rows = with_prompt(with_safe_text(rows, "summary", summary), "retention_offer", context)
     return with_version(with_evidence(rows, entries), "strategy")
 
 
@@ -198,7 +197,7 @@ def break_even_strategy(plans: DataFrame) -> DataFrame:
         evidence("break_even_orders", fmt("%,d건", bep), period),
     ]
     rows = with_prompt(
-        rows.withColumn("summary", safe_text(summary)).withColumn("action_guide", guide),
+        with_safe_text(rows, "summary", summary).withColumn("action_guide", guide),
         "campaign_bep_simulation",
         context,
     )
@@ -236,7 +235,7 @@ def uplift_strategy(plans: DataFrame) -> DataFrame:
         evidence("redemption", percent(redeemed), fv.EVIDENCE_PERIODS["campaign_run"]),
     ]
     rows = with_prompt(
-        rows.withColumn("summary", safe_text(summary)).withColumn("action_guide", guide),
+        with_safe_text(rows, "summary", summary).withColumn("action_guide", guide),
         "campaign_uplift_estimate",
         context,
     )
@@ -272,7 +271,7 @@ def pricing_strategy(menus: DataFrame) -> DataFrame:
             fv.EVIDENCE_PERIODS["latest_rollup"],
         ),
     ]
-    rows = with_prompt(rows.withColumn("summary", safe_text(summary)), "menu_pricing", context)
+    rows = with_prompt(with_safe_text(rows, "summary", summary), "menu_pricing", context)
     return with_version(with_evidence(rows, entries), "strategy")
 
 
@@ -294,7 +293,7 @@ def staffing_recommendation(df: DataFrame) -> DataFrame:
         evidence("staffing", fmt("%d명 -> %d명", c("staff_actual"), c("staff_recommended")), period),
         evidence("hour_sales", won(c("sales").cast("double")), period),
     ]
-    rows = with_prompt(rows.withColumn("recommendation", safe_text(c("recommendation"))), "staffing", context)
+    rows = with_prompt(with_safe_text(rows, "recommendation", c("recommendation")), "staffing", context)
     return with_version(with_evidence(rows, entries), "analysis")
 
 
@@ -319,5 +318,5 @@ def inventory_recommendation(df: DataFrame) -> DataFrame:
             c("month"),
         ),
     ]
-    rows = with_prompt(rows.withColumn("recommendation", safe_text(c("recommendation"))), "inventory", context)
+    rows = with_prompt(with_safe_text(rows, "recommendation", c("recommendation")), "inventory", context)
     return with_version(with_evidence(rows, entries), "analysis")

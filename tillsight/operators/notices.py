@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillsight import fixed_values as fv
 from tillsight.functions.structs import evidence, version
-from tillsight.functions.text import contains_any, fmt, mask_personal_data, safe_text, text_lines
+from tillsight.functions.text import contains_any, fmt, mask_personal_data, text_lines, with_safe_text
 
 
 def mask_pii(df: DataFrame, column: str, enabled: bool = True) -> DataFrame:
@@ -26,7 +26,7 @@ def policy_flags(df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_T
 
 def require_policy_safe(df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_TERMS) -> DataFrame:
     """The same rows; a text with a blocked term fails the job."""
-    return df.withColumn(column, safe_text(F.col(column), masking=False, terms=terms))
+    return with_safe_text(df, column, F.col(column), masking=False, terms=terms)
 
 
 def notice_summary(
@@ -48,7 +48,7 @@ def notice_summary(
     if "from_file" in notices.columns:
         confidence = F.when(F.col("from_file"), fv.NOTICE_CONFIDENCE_FILE).otherwise(confidence)
     if policy == "raise":
-        checked = opened.withColumn("summary", safe_text(head, masking, terms))
+        checked = with_safe_text(opened, "summary", head, masking, terms)
     else:
         checked = policy_flags(opened.withColumn("summary", mask_personal_data(head, masking)), "summary", terms)
     result = (

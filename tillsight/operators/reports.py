@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillsight import fixed_values as fv
 from tillsight.functions.numeric import rounded
 from tillsight.functions.structs import present, typed_text, version
-from tillsight.functions.text import fmt, safe_text
+from tillsight.functions.text import fmt, with_safe_text
 from tillsight.operators.churn import rfm, rfm_segments
 from tillsight.operators.insights import (
     anomaly_explanation,
@@ -176,11 +176,11 @@ def dashboard(
 def store_intelligence(
     stores: DataFrame, sales: DataFrame, churn: DataFrame, staffing: DataFrame | None = None
 ) -> DataFrame:
-    """One row per row of `sales`: combined summary and up to five priority actions.
+    """One row per row of `sales`: combined summary, up to five priority actions, and the staffing of the store.
 
     A store without churn input keeps its sales part. `stores` gives roi_rate, avg_order_value and
-    recent_visit_count per store (0 where absent). The earliest staffing hour of a store supplies the
-    staffing advice.
+    recent_visit_count per store (0 where absent). `staffing` lists every staffing row of the store by date and
+    hour (as many as the calendar has hours); the earliest supplies the staffing advice.
     """
     c = F.col
     told = ("summary", "highlights", "evidence", "warnings", "cold_start_mode")
@@ -191,11 +191,19 @@ def store_intelligence(
         .join(stores.select("store_id", "roi_rate", "avg_order_value", "recent_visit_count"), "store_id", "left")
     )
     if staffing is None:
-        rows = rows.withColumn("advice", F.lit(None).cast("string"))
+        listed = "array<struct<date:date,hour:int,recommendation:string>>"
+        rows = rows.withColumns({"advice": F.lit(None).cast("string"), "staffing": F.expr(f"cast(array() as {listed})")})
     else:
         advised = staffing_recommendation(staffing)
-        first = advised.groupBy("store_id").agg(F.min(F.struct("date", "hour", "recommendation")).alias("first"))
-        rows = rows.join(first.select("store_id", c("first.recommendation").alias("advice")), "store_id", "left")
+        hours = advised.groupBy("store_id").agg(
+            F.array_sort(F.collect_list(F.struct("date", "hour", "recommendation"))).alias("staffing")
+        )
+        rows = rows.join(hours, "store_id", "left").withColumns(
+            {
+                "staffing": F.coalesce("staffing", F.array().cast(hours.schema["staffing"].dataType)),
+                "advice": F.get("staffing", F.lit(0))["recommendation"],
+            }
+        )
     zero = F.lit(0.0)
     promotion = fmt(
         fv.STORE_PROMOTION,
@@ -211,12 +219,14 @@ def store_intelligence(
         present(c("advice")),
         F.array(visits),
     )
-    return rows.select(
+    summary = F.concat_ws(" ", c("sales.summary"), c("churn.summary"), promotion, closing)
+    return with_safe_text(rows, "summary", summary).select(
         "store_id",
-        safe_text(F.concat_ws(" ", c("sales.summary"), c("churn.summary"), promotion, closing)).alias("summary"),
+        "summary",
         F.slice(actions, 1, 5).alias("priority_actions"),
         "sales",
         "churn",
+        "staffing",
         version("analysis").alias("version"),
     )
 
@@ -230,11 +240,13 @@ def action_plan(
     menu: DataFrame | None = None,
     staffing: DataFrame | None = None,
     inventory: DataFrame | None = None,
+    key: str = "store_id",
 ) -> DataFrame:
-    """Steps, outputs and status per requested plan.
+    """Steps, outputs and status per requested plan: as many plans as requests.
 
-    `requests` has store_id and scenario. Every input table holds at most one row per store; a store
-    without a row skips that step.
+    `requests` has the key (a store, or a request id) and scenario; every input table has the key. A key without
+    rows in an input skips that step; the texts of several rows (segments, hours, items) are the lines of its
+    detail, sorted. Inputs belong to one request: a few rows, not a whole table per key.
     """
     inputs = {
         "churn": (churn, churn_explanation, "summary"),
@@ -249,7 +261,8 @@ def action_plan(
         if table is None:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
         else:
-            rows = rows.join(explain(table).select("store_id", F.col(text).alias(name)), "store_id", "left")
+            texts = explain(table).where(F.col(text).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(text)).alias(name))
+            rows = rows.join(texts.select(key, F.array_join(name, "\n").alias(name)), key, "left")
 
     c = F.col
     recovery, followup, tuning = (

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillsight.functions.numeric import at_most, band, money_mean, rounded
+from tillsight.functions.numeric import AMOUNT_SCALE, at_most, band, money_mean, rounded
 from tillsight.plans.attach import all_present, attach, grouped
 from tillsight.plans.shared import stored
 
@@ -14,33 +14,45 @@ from tillsight.plans.shared import stored
 PROBABILITY_CUTS = [(0.7, "high"), (0.4, "medium")]
 SCORE_CUTS = [(80, "high"), (50, "medium")]
 SERIOUS_SCORE = 2.0
+FULL_DEVIATIONS = 3.0
 
 
-def event_anomalies(df: DataFrame, group: str = "event_type", value: str = "amount") -> DataFrame:
+def event_anomalies(
+    df: DataFrame,
+    group: str = "event_type",
+    value: str = "amount",
+    *,
+    deviations: float = FULL_DEVIATIONS,
+    cuts: Sequence[tuple[float, str]] = PROBABILITY_CUTS,
+) -> DataFrame:
     """Add anomaly_probability and severity: distance of an amount from its group's mean.
 
     Three population standard deviations or more give 1; equal amounts give 0; a group of one gives
-    0.5.
+    0.5. A row without group or amount stays, with null probability and severity.
     """
-    rows = all_present(df, [group, value])
-    statistics = rows.groupBy(group).agg(
+    statistics = all_present(df, [group, value]).groupBy(group).agg(
         F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")
     )
     distance = F.abs((F.col(value) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0)))
     probability = (
-        F.when(F.col("_n") < 2, 0.5).when(F.col("_std") == 0, 0.0).otherwise(rounded(at_most(distance / 3.0, 1.0), 4))
+        F.when(F.col(value).isNull(), F.lit(None).cast("double"))
+        .when(F.col("_n") < 2, 0.5)
+        .when(F.col("_std") == 0, 0.0)
+        .otherwise(rounded(at_most(distance / deviations, 1.0), 4))
     )
     return (
-        attach(rows, statistics, [group])
+        attach(df, statistics, [group])
         .withColumn("anomaly_probability", probability)
-        .withColumn("severity", band(F.col("anomaly_probability"), PROBABILITY_CUTS, "low"))
+        .withColumn("severity", F.when(F.col("anomaly_probability").isNotNull(), band(F.col("anomaly_probability"), list(cuts), "low")))
         .drop("_n", "_mean", "_std")
     )
 
 
-def anomaly_severity(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
+def anomaly_severity(
+    df: DataFrame, score: str = "anomaly_score", *, cuts: Sequence[tuple[float, str]] = SCORE_CUTS
+) -> DataFrame:
     """Add `severity` to scores on the 0-100 scale."""
-    return df.withColumn("severity", band(F.col(score), SCORE_CUTS, "low"))
+    return df.withColumn("severity", band(F.col(score), list(cuts), "low"))
 
 
 def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +89,7 @@ def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def high_value_cancels(
-    receipts: DataFrame, factor: float = 3.0, keys: Sequence[str] = (), *, amount_scale: int | None = 2
+    receipts: DataFrame, factor: float = 3.0, keys: Sequence[str] = (), *, amount_scale: int | None = AMOUNT_SCALE
 ) -> DataFrame:
     """Cancelled receipts above `factor` times the mean amount of all receipts."""
     receipts = all_present(receipts, keys)

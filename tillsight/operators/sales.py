@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillsight import fixed_values as fv
-from tillsight.functions.numeric import money_mean, money_sum, ratio, rounded
+from tillsight.functions.numeric import AMOUNT_SCALE, money_mean, money_sum, ratio, rounded
 from tillsight.functions.structs import ranked
 from tillsight.functions.text import fmt
 from tillsight.plans.attach import all_present
@@ -110,7 +110,7 @@ def sales_diagnostics(changes: DataFrame) -> DataFrame:
     )
 
 
-def hourly_trend(sales: DataFrame, keys: Sequence[str] = (), *, amount_scale: int | None = 2) -> DataFrame:
+def hourly_trend(sales: DataFrame, keys: Sequence[str] = (), *, amount_scale: int | None = AMOUNT_SCALE) -> DataFrame:
     """Per hour: revenue mean, sum and count, centred 3-row moving average, and the peak flag.
 
     The windows run over at most one row per hour of a group, after the aggregation.

@@ -26,10 +26,11 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFra
     Without keys `stats` is a global aggregate of exactly one row and arrives as a scalar subquery:
     no join, no broadcast. With keys it is written to the shared folder first and joined without a
     hint: Spark knows its real size, broadcasts it below the session's threshold so that `df` is not
-    shuffled, and otherwise shuffles both sides and splits skewed keys at run time.
+    shuffled, and otherwise shuffles both sides and splits skewed keys at run time. Rows whose keys have no
+    statistics stay, with nulls.
     """
     if keys:
-        return df.join(stored(stats, "group-statistics"), list(keys), "inner")
+        return df.join(stored(stats, "group-statistics"), list(keys), "left")
     return attach_one_row(df, stats)
 
 

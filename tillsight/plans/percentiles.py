@@ -1,9 +1,8 @@
 """Exact percentiles of any number of values.
 
-Spark's `percentile` keeps every distinct value of a group in one task. That is fine while groups
-are small; past `single_task_rows` values the same answer is found by narrowing: each pass counts
-the values in at most `fanout` equal-width ranges per group (partial counts, then one small row per
-range), keeps the range that holds the wanted rank, and repeats until the range is one value wide.
+Spark's `percentile` keeps every distinct value of a group in one task. Here the wanted rank is found by
+narrowing, whatever the size: each pass counts the values of a group in at most `fanout` ranges (partial counts,
+then one small row per range), keeps the range that holds the rank, and goes on until it is one value wide.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tillsight.plans.attach import all_present, attach_one_row, grouped
 from tillsight.plans.shared import stored
 
-SINGLE_TASK_ROWS = 1_000_000
 FANOUT = 1 << 16
 
 
@@ -26,87 +24,61 @@ def exact_percentile(
     keys: Sequence[str] = (),
     *,
     output: str = "percentile",
-    scale: int = 2,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """One row per group (one row without keys): the linearly interpolated percentile of `value`.
 
-    The narrowing path treats values as amounts with `scale` decimals. `df` is read several times
-    and should be a stored table or cheap to compute.
+    Null and non-finite values do not count; a group without others has a null percentile. `df` is read once per pass
+    (two or three for most data) and should be a stored table or cheap to compute.
     """
-    rows = all_present(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias(value))
-    unit = 10**scale
-    counted = grouped(
-        rows.withColumn("_v", F.col(value).cast(f"decimal(28,{scale})")),
+    number = F.col(value).cast("double")
+    finite = F.abs(number) < F.lit(float("inf"))
+    rows = all_present(df, keys).select(*keys, F.when(finite, number).alias("_v"))
+    target = (F.count("_v") - 1) * F.lit(fraction)
+    state = grouped(
+        rows,
         keys,
-        F.count("*").alias("_n"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
-    )
-    largest = counted.agg(F.max("_n").alias("n"), F.max(F.col("_high") - F.col("_low")).alias("span")).first()
-    if (largest["n"] or 0) <= single_task_rows:
-        return grouped(rows, keys, F.percentile(value, fraction).alias(output))
-
-    whole = rows.select(*keys, (F.col(value).cast(f"decimal(28,{scale})") * unit).cast("bigint").alias("_v"))
-    target = (F.col("_n") - 1) * F.lit(fraction)
-    state = stored(
-        counted.select(
-            *keys,
-            (F.col("_low") * unit).cast("bigint").alias("_low"),
-            F.expr(f"cast((_high - _low) * {unit} as bigint) div {fanout} + 1").alias("_width"),
-            F.floor(target).alias("_rank"),
-            (target - F.floor(target)).alias("_part"),
-        ),
-        "percentile-bounds",
-    )
-    width = int(largest["span"] * unit) // fanout + 1
-    while True:
-        state = stored(_narrow(whole, state, keys, fanout), "percentile-range")
-        if width == 1:
-            break
-        width = (width - 1) // fanout + 1
-
-    after = grouped(
-        _beside(whole, state.select(*keys, "_low"), keys).filter(F.col("_v") > F.col("_low")),
-        keys,
-        F.min("_v").alias("_next"),
-    )
-    joined = state.join(after, list(keys), "left") if keys else attach_one_row(state, after)
-    upper = F.when(F.col("_rank") + 1 < F.col("_here"), F.col("_low")).otherwise(
-        F.coalesce(F.col("_next"), F.col("_low"))
-    )
-    return joined.select(
-        *keys, ((F.col("_low") + F.col("_part") * (upper - F.col("_low"))) / F.lit(float(unit))).alias(output)
-    )
-
-
-def _beside(values: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return values.join(state, list(keys)) if keys else attach_one_row(values, state)
+        F.count("_v").alias("_here"),
+        F.floor(target).alias("_rank"),
+        (target - F.floor(target)).alias("_part"),
+    ).withColumn("_after", F.lit(None).cast("double"))
+    state = stored(state, "percentile-bounds")
+    while state.filter("_low < _high").limit(1).count():
+        settled = state.filter("_low = _high or _low is null")
+        state = stored(settled.unionByName(_narrow(rows, state.filter("_low < _high"), keys, fanout)), "percentile-range")
+    upper = F.when(F.col("_rank") + 1 < F.col("_here"), F.col("_low")).otherwise(F.coalesce("_after", "_low"))
+    return state.select(*keys, (F.col("_low") + F.col("_part") * (upper - F.col("_low"))).alias(output))
 
 
 def _narrow(values: DataFrame, state: DataFrame, keys: Sequence[str], fanout: int) -> DataFrame:
-    """The sub-range of each group that holds the wanted rank, with the rank counted from its start."""
-    slot = F.expr("(_v - _low) div _width")
+    """The sub-range of each group that holds the wanted rank, with the rank counted from its start.
+
+    Ranges follow each other as their values do, and the least and the largest value never share one, so every
+    pass makes progress.
+    """
+    beside = values.join(state, list(keys)) if keys else attach_one_row(values, state)
+    # Halves first: the distance of two finite values can be infinite.
+    share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    slot = F.when(F.col("_v") == F.col("_high"), fanout).otherwise(F.least(F.floor(share * fanout), F.lit(fanout - 1)))
     counts = (
-        _beside(values, state, keys)
-        .filter(F.col("_v") >= F.col("_low"))
-        .withColumn("_slot", slot)
-        .filter(F.col("_slot") < fanout)
-        .groupBy(*keys, "_low", "_width", "_rank", "_part", "_slot")
-        .agg(F.count("*").alias("_here"))
+        beside.filter((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        .groupBy(*keys, slot.alias("_slot"), "_rank", "_part", "_after")
+        .agg(F.count("*").alias("_count"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
     running = Window.partitionBy(*keys).orderBy("_slot")
-    upto = F.sum("_here").over(running)
+    upto = F.sum("_count").over(running)
     return (
-        counts.withColumn("_upto", upto)
-        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_here") <= F.col("_rank")))
+        counts.withColumns({"_upto": upto, "_next": F.lead("_least").over(running)})
+        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_count") <= F.col("_rank")))
         .select(
             *keys,
-            (F.col("_low") + F.col("_slot") * F.col("_width")).alias("_low"),
-            F.expr(f"(_width - 1) div {fanout} + 1").alias("_width"),
-            (F.col("_rank") - (F.col("_upto") - F.col("_here"))).alias("_rank"),
+            F.col("_least").alias("_low"),
+            F.col("_most").alias("_high"),
+            F.col("_count").alias("_here"),
+            (F.col("_rank") - (F.col("_upto") - F.col("_count"))).alias("_rank"),
             "_part",
-            "_here",
+            F.coalesce("_next", "_after").alias("_after"),
         )
     )

@@ -23,21 +23,22 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# One shuffle partition per this much input, and the most partitions a shuffle is given.
-INPUT_PER_PARTITION = 2 << 30
-MOST_PARTITIONS = 50_000
+# One shuffle partition per this much input.
+INPUT_PER_PARTITION = 192 << 20
 
 
-def size_shuffles(spark: SparkSession, path: str) -> int:
-    """Raise `spark.sql.shuffle.partitions` to suit the bytes under `path`; never lowers it.
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raise `spark.sql.shuffle.partitions` to suit the bytes under the tables read; never lowers it.
 
     Adaptive execution merges partitions that turn out small but cannot add any, so a job over a
     very large input has to start with enough of them.
     """
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    size = files.getContentSummary(location).getLength()
-    needed = min(size // INPUT_PER_PARTITION + 1, MOST_PARTITIONS)
+    size = 0
+    for path in paths:
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        size += files.getContentSummary(location).getLength()
+    needed = size // INPUT_PER_PARTITION + 1
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return partitions

@@ -2,36 +2,89 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tillsight.schemas import FEEDS, dataset
 
+CORRUPT = "corrupt_record"
+
 
-def read_raw(spark: SparkSession, name: str, path: str, *, multi_line: bool = False) -> DataFrame:
-    """CSV files of a dataset as text columns, matched by header name; absent columns are null.
+def read_raw(
+    spark: SparkSession, name: str, path: str, *, multi_line: bool = True, one_header: bool = False
+) -> DataFrame:
+    """CSV files of a dataset as text columns, matched by the header of each file; absent columns are null.
 
-    `multi_line` allows line breaks inside quoted fields at the price of unsplittable files.
+    Line breaks inside quoted fields belong to the field; `multi_line=False` takes every line as a record, which
+    lets Spark split large files. `one_header=True` promises that all files name the same columns in
+    the same order and saves looking at every first line.
     """
-    raw = (
+    wanted = [column for column, _ in dataset(name).all_columns]
+    reader = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("multiLine", multi_line)
-        .csv(path)
     )
+    if one_header:
+        return _columns(reader.csv(path), wanted)
+    parts = []
+    for header, files in sorted(_headers(spark, path).items()):
+        found = next(csv.reader([header]))
+        # A name that is not read, or comes twice, gets one that is not used.
+        names = [c if c in wanted and found.index(c) == i else f"_{i}" for i, c in enumerate(found)]
+        schema = StructType()
+        for column in names:
+            schema.add(column, StringType())
+        parts.append(_columns(reader.schema(schema).csv(files), wanted))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in wanted))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table
+
+
+def _columns(raw: DataFrame, wanted: list[str]) -> DataFrame:
     known = set(raw.columns)
     return raw.select(
-        *[
-            F.col(f"`{column}`") if column in known else F.lit(None).cast("string").alias(column)
-            for column, _ in dataset(name).all_columns
-        ]
+        *[F.col(f"`{c}`") if c in known else F.lit(None).cast("string").alias(c) for c in wanted]
     )
 
 
-def read_feed(spark: SparkSession, name: str, path: str, file_format: str = "json") -> DataFrame:
-    """Record feed (JSON lines or parquet) with its declared schema; nothing is inferred."""
-    reader = spark.read.schema(FEEDS[name])
-    return reader.json(path) if file_format == "json" else reader.format(file_format).load(path)
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header: as many rows as there are files, which a scan lists anyway."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    headers: dict[str, list[str]] = {}
+    for row in first.collect():
+        headers.setdefault(row["header"].removeprefix("\ufeff").rstrip("\r"), []).append(row["file"])
+    return {header: sorted(files) for header, files in headers.items()}
+
+
+def read_feed(
+    spark: SparkSession, name: str, path: str, file_format: str = "json", *, broken: str = "fail"
+) -> DataFrame:
+    """Record feed (JSON lines or parquet) with its declared schema; nothing is inferred.
+
+    A line that is no JSON record, or has a value of the wrong kind, fails the job; `broken="keep"` keeps it
+    instead, whole, in the added column `corrupt_record` (null for good records).
+    """
+    if file_format != "json":
+        return spark.read.schema(FEEDS[name]).format(file_format).load(path)
+    if broken == "fail":
+        return spark.read.schema(FEEDS[name]).option("mode", "FAILFAST").json(path)
+    if broken != "keep":
+        raise ValueError(f"broken is 'fail' or 'keep', not {broken!r}")
+    reader = spark.read.schema(f"{FEEDS[name]}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.json(path)
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:

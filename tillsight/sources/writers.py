@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 from tillsight.plans.attach import attach_one_row
 
 
-def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), file_format: str = "parquet") -> None:
-    writer = df.write.mode("overwrite").format(file_format)
+def write_table(
+    df: DataFrame, path: str, *, partition_by: Sequence[str] = (), file_format: str = "parquet", mode: str = "errorifexists"
+) -> None:
+    """Write a table; an existing one is left alone unless `mode` says to append or overwrite."""
+    writer = df.write.mode(mode).format(file_format)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
 
 def write_scores(
-    task: str, predictions: DataFrame, path: str, metric: Callable[[DataFrame], DataFrame | None] | None = None
+    task: str, predictions: DataFrame, path: str, metric: Callable[[DataFrame], DataFrame | None] | None = None,
+    *, mode: str = "errorifexists",
 ) -> DataFrame:
     """Write a scoring run; return its one-row summary: task, row_count and the columns of the metric.
 
     `metric` turns the written rows into a one-row table, e.g. `quality.churn_accuracy`. Count and
     metric are taken from the written rows, so the scores are computed once.
     """
-    write_table(predictions, path)
+    write_table(predictions, path, mode=mode)
     written = predictions.sparkSession.read.schema(predictions.schema).parquet(path)
     summary = written.agg(F.count("*").alias("row_count")).select(F.lit(task).alias("task"), "row_count")
     measured = metric(written) if metric else None

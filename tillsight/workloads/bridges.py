@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillsight.operators.churn import rfm, rfm_segments, segment_summary
 from tillsight.operators.sales import sales_changes
 from tillsight.plans.attach import attach
+from tillsight.plans.shared import stored
 
 # Fixed values of the bridges: word lists for the generated prose, extra policy terms.
 POSITIVE_WORDS = ("that", "with", "this", "from")
@@ -60,10 +61,14 @@ def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     coupon = (
         table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey")
+        .select("o_orderkey", "o_custkey", "o_orderdate")
         .join(shares, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy(F.col("o_custkey").alias("customer_id"))
-        .agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("coupon_use_rate"))
+        .agg(
+            F.coalesce(F.avg("share"), F.lit(0.0)).alias("coupon_use_rate"),
+            F.min(F.col("o_orderdate").cast("date")).alias("first_visit"),
+            F.max(F.col("o_orderdate").cast("date")).alias("last_visit"),
+        )
     )
     stores = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id")
@@ -425,12 +430,10 @@ def churn_input(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.avg(F.col("recency").cast("double")), 1).alias("delayed_visit_days"),
             F.round(F.avg("avg_interval"), 1).alias("avg_visit_cycle_days"),
             F.round(F.avg("coupon_use_rate"), 3).alias("coupon_redemption_rate"),
+            F.min("first_visit").alias("window_start"),
+            F.max("last_visit").alias("window_end"),
         ),
         "customers",
-    ).select(
-        "*",
-        F.lit("1998-01-01").cast("date").alias("window_start"),
-        F.lit("1998-01-31").cast("date").alias("window_end"),
     )
 
 
@@ -469,12 +472,20 @@ def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One row per store for every plan input: the store's largest segment, best seller, first hour, worst loss."""
-    retention = retention_segments(spark, sf_dir)
-    sold = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey"
+    """Plan inputs per store: all its segments and staffing hours, its best seller, its total stock loss.
+
+    The lines are read once and folded to supplier and part before the supplier's store is looked up.
+    """
+    lost = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.07)
+    folded = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        F.sum("l_quantity").alias("quantity"),
+        F.sum(F.when(lost, 0.0).otherwise(F.col("l_quantity"))).alias("kept"),
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("store_id"))
+    per_menu = stored(
+        folded.join(suppliers, "l_suppkey").groupBy("store_id", "l_partkey").agg(F.sum("quantity").alias("quantity"), F.sum("kept").alias("kept")),
+        "store-menus",
     )
-    per_menu = sold.groupBy(F.col("s_nationkey").alias("store_id"), "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
     best = per_menu.groupBy("store_id").agg(F.max(F.struct("quantity", "l_partkey")).alias("best"))
     cost_rate = 0.3 + F.col("p_size") / 100
     menu = _labelled(
@@ -491,30 +502,20 @@ def action_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "menu_metrics",
     )
-    lost = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.07)
     stock = _labelled(
-        sold.groupBy(F.col("s_nationkey").alias("store_id"))
-        .agg(
-            F.sum("l_quantity").alias("system_qty"),
-            F.sum(F.when(lost, 0.0).otherwise(F.col("l_quantity"))).alias("actual_qty"),
-        )
+        per_menu.groupBy("store_id")
+        .agg(F.sum("quantity").alias("system_qty"), F.sum("kept").alias("actual_qty"))
         .withColumn("loss_rate", F.try_divide(F.col("system_qty") - F.col("actual_qty"), F.col("system_qty")))
         .withColumn("item_id", F.lit("all"))
         .withColumn("month", F.lit("all")),
         "inventory_monthly",
     )
 
-    def one_per_store(rows: DataFrame, *order: str) -> DataFrame:
-        rest = [name for name in rows.columns if name != "store_id" and name not in order]
-        return rows.groupBy("store_id").agg(F.min(F.struct(*order, *rest)).alias("row")).select("store_id", "row.*")
-
     return {
         "churn": churn_input(spark, sf_dir),
-        "retention": one_per_store(
-            retention.withColumn("rank", -F.col("customer_count")), "rank", "segment_name"
-        ).drop("rank"),
+        "retention": retention_segments(spark, sf_dir),
         "anomaly": anomaly_input(spark, sf_dir),
         "menu": menu,
-        "staffing": one_per_store(store_staffing(spark, sf_dir), "date", "hour"),
+        "staffing": store_staffing(spark, sf_dir),
         "inventory": stock,
     }

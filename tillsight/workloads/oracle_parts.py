@@ -202,13 +202,14 @@ HIGH_VALUE = """risky as (
   where status = 'cancelled' and total_amount > mean * 3)"""
 
 EVENTS_SCORED = f"""grouped as (
-  select event_type, count(*) as n, avg(value) as mean, stddev_pop(value) as std from events group by event_type),
+  select event_type, count(*) as n, avg(value) as mean, stddev_pop(value) as std from events
+  where event_type is not null and value is not null group by event_type),
 events_scored as (
   select event_id, user_id as store_id, e.event_type, value as amount,
          case when e.event_type = 'error' then 1 else 0 end as is_anomaly,
-         case when n < 2 then 0.5 when std = 0 then 0.0
+         case when value is null or n is null then null when n < 2 then 0.5 when std = 0 then 0.0
               else {exact('least(abs((value - mean) / std) / 3.0, 1.0)', 4)} end as anomaly_probability
-  from events e join grouped g on e.event_type = g.event_type)"""
+  from events e left join grouped g on e.event_type = g.event_type)"""
 
 
 def hits(words, column: str = "lowered") -> str:

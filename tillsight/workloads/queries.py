@@ -149,9 +149,9 @@ def churn_insight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_CHURN_INPUT} select store_id,
-    printf('이탈 위험 고객은 %d명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
-           at_risk_customers, cycle_ratio, risk_band, save_rate * 100) as summary,
-    concat_ws('|', printf('이탈 위험 고객 %d명', at_risk_customers),
+    printf('이탈 위험 고객은 %s명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
+           format('{{:,}}', at_risk_customers), cycle_ratio, risk_band, save_rate * 100) as summary,
+    concat_ws('|', format('이탈 위험 고객 {{:,}}명', at_risk_customers),
       printf('방문 지연 %.1f일, 평균 주기 %.1f일', delayed_visit_days, avg_visit_cycle_days),
       printf('쿠폰 반응률 %.1f%%', coupon_redemption_rate * 100),
       case when risk_band = 'high' then '{fv.CHURN_HIGH_ADVICE}' end) as highlights,
@@ -952,16 +952,17 @@ def scoring_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {sql.VISITS}, {sql.FIGURES}, {_DIAGNOSED}, {_CHURN_INPUT.split(sql.VISITS + ',', 1)[1]},
     {sql.staffing("cast(user_id % 25 as integer)")}, first_hours as (
-      select store_id, arg_min(recommendation, epoch(date) / 3600 + hour) as advice from staffed group by store_id)
+      select store_id, arg_min(recommendation, epoch(date) / 3600 + hour) as advice, cast(count(*) as integer) as hours
+      from staffed group by store_id)
     select d.store_id, concat_ws(' ', {_SALES_TEXT},
-      printf('이탈 위험 고객은 %d명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
-           at_risk_customers, cycle_ratio, risk_band, save_rate * 100),
+      printf('이탈 위험 고객은 %s명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
+           format('{{:,}}', at_risk_customers), cycle_ratio, risk_band, save_rate * 100),
       format('프로모션 ROI는 42.1%이고 평균 객단가는 {{:,}}원입니다.', cast(round_even(avg_order_value, 0) as bigint)),
       coalesce(advice, '{fv.STORE_NO_STAFFING}')) as summary,
-      concat_ws('|', split_part(lines, '|', 1), split_part(lines, '|', 2), printf('이탈 위험 고객 %d명', at_risk_customers),
+      concat_ws('|', split_part(lines, '|', 1), split_part(lines, '|', 2), format('이탈 위험 고객 {{:,}}명', at_risk_customers),
         printf('방문 지연 %.1f일, 평균 주기 %.1f일', delayed_visit_days, avg_visit_cycle_days),
         coalesce(advice, format('최근 방문 {{:,}}건 기준으로 재방문 고객 액션 우선순위를 점검하세요.', recent_visit_count)))
-        as priority_actions
+        as priority_actions, coalesce(hours, 0) as staffing_rows
     from diagnosed d join saved s on d.store_id = s.store_id left join figures f on d.store_id = f.store_id
     left join first_hours h on d.store_id = h.store_id"""
 )
@@ -972,11 +973,13 @@ def store_intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.churn_input(spark, sf_dir),
         b.store_staffing(spark, sf_dir),
     )
-    return rows.select("store_id", "summary", joined("priority_actions"))
+    return rows.select("store_id", "summary", joined("priority_actions"), F.size("staffing").alias("staffing_rows"))
 
 
 @query(
-    """with scenarios as (
+    f"""with {sql.staffing("cast(user_id % 25 as integer)")}, staffed_hours as (
+      select store_id, cast(count(*) as integer) as hours from staffed group by store_id),
+    scenarios as (
       select n_nationkey as store_id, unnest(['retention_recovery', 'anomaly_followup', 'operations_tuning']) as scenario
       from nation),
     buying as (select distinct c_nationkey as store_id from orders join customer on o_custkey = c_custkey),
@@ -999,8 +1002,9 @@ def store_intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
         when follow then concat_ws('|', case when active then 'analysis' end, 'execution')
         when scenario = 'operations_tuning' then concat_ws('|', case when stocked then 'inventory|menu_strategy' end,
           case when active then 'staffing' end)
-        else '' end as outputs
-    from known"""
+        else '' end as outputs,
+      case when scenario = 'operations_tuning' then coalesce(hours, 0) else 0 end as staffing_texts
+    from known left join staffed_hours using (store_id)"""
 )
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.action_plan(b.action_requests(spark, sf_dir), **b.action_inputs(spark, sf_dir))
@@ -1011,6 +1015,7 @@ def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status",
         F.concat_ws("|", steps).alias("steps"),
         F.concat_ws("|", F.array_sort(F.map_keys("outputs"))).alias("outputs"),
+        F.coalesce(F.size(F.split(F.try_element_at("outputs", F.lit("staffing")), "\n")), F.lit(0)).alias("staffing_texts"),
     )
 
 
