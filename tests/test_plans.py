@@ -9,9 +9,8 @@ from conftest import DATA
 import __spark_entry__ as contract
 from tillsight.streaming import ROW_OPERATORS
 from tillsight.workloads import bridges as b
+from tillsight.workloads.queries import ORACLES, QUERIES
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")

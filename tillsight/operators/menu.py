@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,6 +20,20 @@ PROFITABILITY_CUT = 1.0
 LOW_MARGIN = 0.2
 
 
+@dataclass(frozen=True)
+class PricingRule:
+    """Margins and quantities at which a price is raised, lowered or bundled."""
+
+    raise_below: float = 0.25  # margin that always raises the price
+    popular_raise_below: float = 0.40  # margin that raises it for more than `popular` pieces
+    popular: float = 200
+    lower_above: float = 0.55  # margin that lowers it for fewer than `slow` pieces
+    slow: float = 50
+    bundle_below: float = 0.35  # margin that bundles more than `bundled` pieces
+    bundled: float = 300
+    review_below: float = LOW_MARGIN
+
+
 def menu_metrics(sales: DataFrame, lineup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per menu: qty, unit_margin, total_margin, popularity_index and profitability_index.
 
@@ -51,16 +66,22 @@ def menu_metrics(sales: DataFrame, lineup: DataFrame, keys: Sequence[str] = ())
     )
 
 
-def menu_quadrants(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def menu_quadrants(
+    metrics: DataFrame,
+    keys: Sequence[str] = (),
+    *,
+    popularity_share: float = POPULARITY_SHARE,
+    profitability_cut: float = PROFITABILITY_CUT,
+) -> DataFrame:
     """Add `category`: Star, Plowhorse, Puzzle or Dog.
 
-    Popular means at least 0.7 / number of menus of the quantity; profitable means at least the mean
-    margin. With a mean margin of 0 the index is undefined and a positive margin counts as profitable.
+    Popular means at least `popularity_share` / number of menus of the quantity; profitable means at least
+    `profitability_cut` times the mean margin. With a mean margin of 0 the index is undefined and a positive margin counts as profitable.
     """
     counted = attach(metrics, grouped(metrics, keys, F.count("*").alias("_menus")), keys)
-    popular = F.coalesce(F.col("popularity_index") >= (1 / F.col("_menus")) * POPULARITY_SHARE, F.lit(False))
+    popular = F.coalesce(F.col("popularity_index") >= (1 / F.col("_menus")) * popularity_share, F.lit(False))
     profitable = F.coalesce(
-        F.col("profitability_index") >= PROFITABILITY_CUT, F.col("unit_margin") > 0, F.lit(False)
+        F.col("profitability_index") >= profitability_cut, F.col("unit_margin") > 0, F.lit(False)
     )
     return counted.withColumn(
         "category",
@@ -71,34 +92,31 @@ def menu_quadrants(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).drop("_menus")
 
 
-def pricing_signal(margin: Column, quantity: Column) -> Column:
-    return (
-        F.when(margin < 0.25, "raise_price")
-        .when((margin > 0.55) & (quantity < 50), "lower_price")
-        .when((margin < 0.40) & (quantity > 200), "raise_price")
-        .otherwise("hold")
-    )
+def price_move(margin: Column, quantity: Column, rule: PricingRule = PricingRule()) -> Column:
+    """Which way the price should go: thin margins raise it, slow sellers with a wide one lower it."""
+    thin = (margin < rule.raise_below) | ((margin < rule.popular_raise_below) & (quantity > rule.popular))
+    slow = (margin > rule.lower_above) & (quantity < rule.slow)
+    return F.when(thin, "raise_price").when(slow, "lower_price").otherwise("hold")
 
 
-def menu_pricing(df: DataFrame, signal_col: str | None = None) -> DataFrame:
+def menu_pricing(df: DataFrame, signal_col: str | None = None, rule: PricingRule = PricingRule()) -> DataFrame:
     """Add pricing_signal, action and the recommended price range.
 
     `signal_col` names an own signal for the action; the price range always follows the margin rule.
     """
     margin, quantity, price = F.col("margin_rate"), F.col("quantity"), F.col("price")
-    rule = pricing_signal(margin, quantity)
     signal = F.col(signal_col) if signal_col else F.col("pricing_signal")
     action = (
         F.when(signal == "raise_price", "price_up_test")
-        .when(margin < LOW_MARGIN, "cost_review")
-        .when((quantity > 300) & (margin < 0.35), "bundle_promotion")
+        .when(margin < rule.review_below, "cost_review")
+        .when((quantity > rule.bundled) & (margin < rule.bundle_below), "bundle_promotion")
         .otherwise("maintain")
     )
     # Price factors (low, high) per signal.
     low = lookup(F.col("pricing_signal"), {"raise_price": 1.05, "lower_price": 0.90}, 1.0)
     high = lookup(F.col("pricing_signal"), {"raise_price": 1.15, "lower_price": 0.98}, 1.05)
     return (
-        df.withColumn("pricing_signal", rule).withColumns(
+        df.withColumn("pricing_signal", price_move(margin, quantity, rule)).withColumns(
             {
                 "action": action,
                 "recommended_price_min": truncated(price * low),

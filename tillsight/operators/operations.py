@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tillsight import fixed_values as fv
@@ -16,13 +18,13 @@ AMOUNT_PER_UNIT = 1000
 LOSS_CUTS = [(0.10, "high"), (0.06, "medium")]
 
 
-def staffing_gaps(df: DataFrame) -> DataFrame:
-    """Add gap, status and opportunity_cost to hourly staffing rows."""
+def staffing_gaps(df: DataFrame, *, lost_sales_share: float = LOST_SALES_SHARE, tolerated: int = 0) -> DataFrame:
+    """Add gap, status and opportunity_cost to hourly staffing rows; a gap of up to `tolerated` is balanced."""
     gap = F.col("gap")
-    cost = truncated((F.col("sales") * LOST_SALES_SHARE) * gap)
+    cost = truncated((F.col("sales") * lost_sales_share) * gap)
     return (
         df.withColumn("gap", F.col("staff_recommended") - F.col("staff_actual"))
-        .withColumn("status", F.when(gap >= 1, "understaffed").when(gap <= -1, "overstaffed").otherwise("balanced"))
+        .withColumn("status", F.when(gap > tolerated, "understaffed").when(gap < -tolerated, "overstaffed").otherwise("balanced"))
         .withColumn("opportunity_cost", F.when(gap <= 0, F.lit(0).cast("bigint")).otherwise(cost))
     )
 
@@ -38,22 +40,29 @@ def staffing_advice(gaps: DataFrame) -> DataFrame:
     )
 
 
-def inventory_reorder(df: DataFrame) -> DataFrame:
+def inventory_reorder(
+    df: DataFrame,
+    *,
+    safety_share: float = SAFETY_SHARE,
+    low_risk_share: float = LOW_RISK_SHARE,
+    amount_per_unit: float = AMOUNT_PER_UNIT,
+    cuts: Sequence[tuple[float, str]] = LOSS_CUTS,
+) -> DataFrame:
     """Add risk_level, reorder_qty and estimated_loss_amount to monthly stock counts."""
     system, missing = F.col("system_qty"), F.col("system_qty") - F.col("actual_qty")
     short = F.greatest(truncated(missing), F.lit(0))
-    safety = truncated(system * SAFETY_SHARE)
+    safety = truncated(system * safety_share)
     risk = F.col("risk_level")
     reorder = (
         F.when(missing.isNull(), None)
         .when(risk == "high", short + safety)
         .when(risk == "medium", short + truncated(safety * 0.5))
-        .otherwise(F.greatest(short, truncated(system * LOW_RISK_SHARE)))
+        .otherwise(F.greatest(short, truncated(system * low_risk_share)))
     )
     return (
-        df.withColumn("risk_level", band(F.col("loss_rate"), LOSS_CUTS, "low"))
+        df.withColumn("risk_level", band(F.col("loss_rate"), list(cuts), "low"))
         .withColumn("reorder_qty", reorder)
-        .withColumn("estimated_loss_amount", truncated(missing * AMOUNT_PER_UNIT))
+        .withColumn("estimated_loss_amount", truncated(missing * amount_per_unit))
     )
 
 

@@ -57,16 +57,23 @@ def sales_changes(
 
 
 def sales_factors(
-    daily: DataFrame, keys: Sequence[str] = ("store_id",), order: Sequence[str] = ("date", "channel")
+    daily: DataFrame,
+    keys: Sequence[str] = ("store_id",),
+    order: Sequence[str] = ("date", "channel"),
+    *,
+    customer_weight: float = CUSTOMER_WEIGHT,
+    ticket_weight: float = TICKET_WEIGHT,
+    channel_weight: float = CHANNEL_WEIGHT,
+    promo_points: float = PROMO_POINTS,
 ) -> DataFrame:
     """Per store: dominant_factor, the three top_factors and revenue_delta_pct (2 decimals)."""
     changes = sales_changes(daily, keys, order)
     by_impact = ranked(
         [
-            ("customers", F.abs("customer_delta_pct") * CUSTOMER_WEIGHT),
-            ("avg_ticket", F.abs("avg_ticket_delta_pct") * TICKET_WEIGHT),
-            ("channel_mix", F.abs("channel_delta_pct") * CHANNEL_WEIGHT),
-            ("promo", F.col("promo_share") * PROMO_POINTS),
+            ("customers", F.abs("customer_delta_pct") * customer_weight),
+            ("avg_ticket", F.abs("avg_ticket_delta_pct") * ticket_weight),
+            ("channel_mix", F.abs("channel_delta_pct") * channel_weight),
+            ("promo", F.col("promo_share") * promo_points),
         ]
     )
     enough = F.col("record_count") >= 2
