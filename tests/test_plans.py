@@ -7,7 +7,7 @@ from compare import database, difference
 from conftest import DATA
 
 import __spark_entry__ as contract
-from tillsight.streaming import ROW_OPERATORS
+from tillsight.operators.reviews import review_sentiment
 from tillsight.workloads import bridges as b
 from tillsight.workloads.queries import ORACLES, QUERIES
 
@@ -58,8 +58,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_row_operators_run_on_a_stream(spark, tmp_path):
     source = spark.createDataFrame([("친절",), ("최악",)], "review_text string")
     source.write.parquet(str(tmp_path / "in"))
-    review = next(op for op in ROW_OPERATORS if op.__name__ == "review_sentiment")
-    stream = review(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
+    stream = review_sentiment(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("streamed").option(
         "checkpointLocation", str(tmp_path / "cp")
     ).start()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillsight import fixed_values as fv
 from tillsight.functions.numeric import rounded
 from tillsight.operators.churn import churn_score
 from tillsight.operators.reviews import review_sentiment
@@ -57,9 +59,19 @@ def metric_record(
     )
 
 
-def evaluate(reviews: DataFrame, customers: DataFrame, events: DataFrame, version: str, k: int = 2) -> DataFrame:
+def evaluate(
+    reviews: DataFrame,
+    customers: DataFrame,
+    events: DataFrame,
+    version: str,
+    k: int = 2,
+    *,
+    positive: Sequence[str] = fv.POSITIVE_KEYWORDS,
+    negative: Sequence[str] = fv.NEGATIVE_KEYWORDS,
+) -> DataFrame:
     """The three quality metrics of a run as metric-log records, from normalised labelled tables."""
-    sentiment = accuracy(review_sentiment(reviews), "sentiment_label", "sentiment")
+    scored = review_sentiment(reviews, positive=positive, negative=negative)
+    sentiment = accuracy(scored, "sentiment_label", "sentiment")
     churn = churn_accuracy(churn_score(customers))
     precision = precision_at_k(event_anomalies(events), "is_anomaly", "anomaly_probability", k, "event_id")
     sized = precision.withColumn("sample_size", events.agg(F.count("*").alias("n")).scalar())

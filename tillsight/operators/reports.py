@@ -261,8 +261,10 @@ def action_plan(
         if table is None:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
         else:
-            texts = explain(table).where(F.col(text).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(text)).alias(name))
-            rows = rows.join(texts.select(key, F.array_join(name, "\n").alias(name)), key, "left")
+            # Null texts are not collected; a filter on the text would be pushed down and write it out again.
+            texts = explain(table).groupBy(key).agg(F.array_sort(F.collect_list(text)).alias(name))
+            lines = F.when(F.size(name) > 0, F.array_join(name, "\n"))
+            rows = rows.join(texts.select(key, lines.alias(name)), key, "left")
 
     c = F.col
     recovery, followup, tuning = (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -899,29 +898,19 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluate, append each metric to an empty log, load the log."""
     path = new_path(spark, "metrics")
-    records = _evaluated(spark, sf_dir)
+    labelled = b.with_labels(spark, sf_dir, b.reviews(spark, sf_dir)).filter(F.col("sentiment_label").isNotNull())
+    records = quality.evaluate(
+        labelled,
+        b.customer_rfm(spark, sf_dir),
+        b.anomaly_events(spark, sf_dir),
+        "run-1",
+        positive=b.POSITIVE_WORDS,
+        negative=b.NEGATIVE_WORDS,
+    )
     append_metrics(records, path)
     return load_metrics(spark, path).drop("created_at")
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = _rated(spark, sf_dir).filter(F.col("sentiment_label").isNotNull())
-    events = b.anomaly_events(spark, sf_dir)
-    sentiment = quality.accuracy(labelled, "sentiment_label", "sentiment")
-    proxy = quality.churn_accuracy(churn.churn_score(b.customer_rfm(spark, sf_dir)))
-    precision = quality.precision_at_k(
-        risk.event_anomalies(events), "is_anomaly", "anomaly_probability", 2, "event_id"
-    ).withColumn("sample_size", events.agg(F.count("*").alias("n")).scalar())
-    return reduce(
-        DataFrame.unionByName,
-        [
-            quality.metric_record(sentiment, "review_sentiment", "run-1", "accuracy", "accuracy", "sample_size"),
-            quality.metric_record(proxy, "churn", "run-1", "accuracy_proxy", "accuracy", "sample_size"),
-            quality.metric_record(precision, "anomaly", "run-1", "precision_at_2", "precision_at_k", "sample_size"),
-        ],
-    )
-
-
 @query(
     f"""with {sql.REVIEWS} select 'review_baseline' as task, count(*) as row_count,
     round(avg(case when sentiment_label = sentiment then 1.0 else 0.0 end), 4) as accuracy, count(*) as sample_size
