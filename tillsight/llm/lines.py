@@ -1,10 +1,9 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join.
 
-The tokens of a line are the hashes of its five-word shingles. Equal lines are folded first. Two different lines can
-only be similar enough if they share one of the first tokens of any order common to all lines, so a pass in
-hash order leaves the lines that share such a token with another line. Over these the tokens are counted
-and ordered by rarity, and the join on the rarest tokens of each line is cut by length and position; what is left is
-verified on whole token sets.
+The tokens of a line are the hashes of its five-word shingles, ordered by rarity: a token is as rare as the word it
+starts with, and words are counted over all lines. Lines that are similar enough share one of their first tokens. Lines
+that share none are done; the others are joined on them, the join is cut by length and position, and what is
+left is verified on whole token sets.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from tillsight.plans.shared import stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Buckets in which token frequencies are counted: a fixed number, so the counts can be sent to every task.
-RARITY_BUCKETS = 1 << 16
+#: Buckets in which words are counted: a fixed number, so the counts can be sent to every task.
+WORD_BUCKETS = 1 << 14
 
 
 def words_of(line: Column) -> Column:
@@ -30,7 +29,7 @@ def words_of(line: Column) -> Column:
 
 
 def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`doc_id`, `row` (hash of the text), `pos` (from 0) and `words` of every line that has words."""
+    """`doc_id`, `row` (hash of the text), `pos` (from 0), `key` (hash of the line) and `line` of every line with words."""
     value = F.col(f"`{text}`")
     return (
         documents.where(value.isNotNull())
@@ -39,19 +38,50 @@ def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             F.xxhash64(value).alias("row"),
             F.posexplode(F.split(value, "\n")).alias("pos", "line"),
         )
-        .select("doc_id", "row", "pos", words_of(F.col("line")).alias("words"))
-        .where(F.size("words") > 0)
+        .where(F.btrim("line", F.lit(" \t\r")) != "")
+        .select("doc_id", "row", "pos", F.xxhash64("line").alias("key"), "line")
     )
 
 
+def word_levels(lines: DataFrame) -> Column:
+    """One number for each of a fixed number of word buckets: the digits of the bucket's count over all lines."""
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
+    levels = [0] * WORD_BUCKETS
+    for row in counts.collect():
+        levels[row["bucket"]] = row["count"].bit_length()
+    # A constant, folded to an array once per plan.
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+
+
+def _bucket(word_hash: Column) -> Column:
+    return word_hash.bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")
+
+
+def ranked_tokens(lines: DataFrame, size: int, levels: Column) -> DataFrame:
+    """`key`, `tokens` (the line's distinct shingles from rare to frequent) and `n`, how many.
+
+    A token is the level of its first word above 56 bits of its hash: as rare as the word it starts with. This
+    order is common to all lines, whatever the counts are.
+    """
+    rest = F.lit((1 << 56) - 1)
+    made = with_shingles(lines.select("key", words_of(F.col("line")).alias("words")), size)
+
+    def ranked(shingle: Column, word: Column) -> Column:
+        return F.shiftleft(F.get(levels, _bucket(word)), 56).bitwiseOR(shingle.bitwiseAND(rest))
+
+    tokens = F.array_distinct(F.zip_with("shingles", F.slice("run0", 1, F.size("shingles")), ranked))
+    return made.select("key", F.sort_array(tokens).alias("tokens")).select("key", F.size("tokens").alias("n"), "tokens")
+
+
 def with_shingles(lines: DataFrame, size: int) -> DataFrame:
-    """Replace `words` by `tokens`, the distinct hashes of its shingles; a line of fewer words is one shingle.
+    """Replace `words` by `run0`, the hashes of the words, and `shingles`, the hashes of its runs of `size` words.
 
-    Runs of 2, 4, 8 ... words are made from their halves, and the size asked for from its binary digits. Each step
-    is a column of its own, so that no step is computed twice.
+    A line of fewer words is one shingle. Runs of 2, 4, 8 ... words are made from their halves, and the size asked
+    for from its binary digits. Each step is a column of its own, so that no step is computed twice.
     """
     others = [c for c in lines.columns if c != "words"]
-    now = lines.select(*others, "words", F.transform("words", lambda x: F.xxhash64(x)).alias("run0"))
+    now = lines.select(*others, F.transform("words", lambda x: F.xxhash64(x)).alias("run0"))
     runs, made, covered = 1, None, 0
     while 1 << runs <= size:
         now = now.withColumn(f"run{runs}", _joined(f"run{runs - 1}", f"run{runs - 1}", 1 << (runs - 1)))
@@ -60,20 +90,19 @@ def with_shingles(lines: DataFrame, size: int) -> DataFrame:
         if size & (1 << k):
             now = now.withColumn("made", _joined("made", f"run{k}", covered)) if made else now.withColumn("made", F.col(f"run{k}"))
             made, covered = True, covered + (1 << k)
-    count = F.size("words")
-    whole = F.array(F.xxhash64("words"))
-    tokens = F.array_distinct(F.slice("made", 1, F.greatest(count - (size - 1), F.lit(0))))
-    return now.select(*others, F.when(count < size, whole).otherwise(tokens).alias("tokens"))
+    count = F.size("run0")
+    shingles = F.slice("made", 1, F.greatest(count - (size - 1), F.lit(0)))
+    return now.select(*others, "run0", F.when(count < size, F.array(F.xxhash64("run0"))).otherwise(shingles).alias("shingles"))
 
 
 def _joined(left: str, right: str, shift: int) -> Column:
-    return F.zip_with(left, F.slice(right, shift + 1, F.size("words")), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(left, F.slice(right, shift + 1, F.size("run0")), lambda a, b: F.xxhash64(a, b))
 
 
-def prefix_size(n: Column, similarity: Fraction) -> Column:
-    """How many first tokens hold one that any similar enough set shares: n - ceil(t n) + 1."""
+def least_shared(n: Column, similarity: Fraction) -> Column:
+    """Tokens a set of n must share with any similar enough set: ceil(t n)."""
     p, q = similarity.numerator, similarity.denominator
-    return (n - F.floor((n * p + (q - 1)) / q) + 1).cast("int")
+    return F.floor((n * p + (q - 1)) / q).cast("int")
 
 
 def _enough(shared: Column, n: Column, m: Column, similarity: Fraction) -> Column:
@@ -82,68 +111,69 @@ def _enough(shared: Column, n: Column, m: Column, similarity: Fraction) -> Colum
 
 
 def _fits(a: str, b: str, similarity: Fraction) -> Column:
-    """Length and positional filter for two lines that meet in a token at these places (from 0)."""
-    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    """Length and positional filter for two lines that meet in a token with so many tokens `left` from there on."""
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "left") for x in (a, b))
     p, q = similarity.numerator, similarity.denominator
-    return (n * q >= m * p) & (m * q >= n * p) & _enough(F.least(n - i, m - j), n, m, similarity)
+    return (n * q >= m * p) & (m * q >= n * p) & _enough(F.least(i, j), n, m, similarity)
+
+
+def first_tokens(ranked: DataFrame, similarity: Fraction) -> DataFrame:
+    """`key`, `n`, `held` (tokens kept of n) and `first`, the tokens one of which any similar enough line shares."""
+    held, n = F.size("tokens"), F.col("n")
+    return ranked.select("key", "n", held.alias("held"), F.slice("tokens", 1, held - least_shared(n, similarity) + 1).alias("first"))
+
 
+def placed_tokens(first: DataFrame) -> DataFrame:
+    """A row for each of the first tokens: `lost` of the line's tokens are not kept, `left` are from this one on."""
+    # outer: a plain explode is given a filter on its array, for which all steps above would be computed again. No
+    # line is without tokens, so both give the same rows.
+    rows = first.select("key", "n", "held", F.posexplode_outer("first").alias("pos", "token"))
+    return rows.select("key", "n", (F.col("n") - F.col("held")).alias("lost"), (F.col("held") - F.col("pos")).alias("left"), "token")
 
-def _verified(pairs: DataFrame, tokens: DataFrame, similarity: Fraction) -> DataFrame:
+
+def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs `a`, `b` of lines whose token sets are similar enough."""
-    x = tokens.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    y = tokens.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(x, "a").join(y, "b").where(_enough(shared, F.size("ta"), F.size("tb"), similarity)).select("a", "b")
+    x, y = ranked.alias("x"), ranked.alias("y")
+    beside = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
+    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    return beside.where(_enough(shared, F.col("x.n"), F.col("y.n"), similarity)).select("a", "b")
 
 
 def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """`key`, `tokens` of the distinct lines that share a first token, in hash order, with another line."""
-    tokens = with_shingles(lines.select(F.xxhash64("words").alias("key"), "words"), size)
-    ordered = tokens.select("key", F.sort_array("tokens").alias("tokens"))
-    first = ordered.select("key", F.slice("tokens", 1, prefix_size(F.size("tokens"), similarity)).alias("first"))
-    shared = (
-        first.select("key", F.explode("first").alias("token"))
-        .groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where(F.col("low") != F.col("high")).select("token")
+    """`key`, `n`, `tokens` of the distinct lines that can have a similar enough partner.
+
+    First the lines that meet another in one of their rarest tokens, where lengths and places allow enough shared
+    ones. Of these only the tokens are kept that any other of them has (`n` counts all), and only lines of which enough
+    are left: near copies that differ too much drop out here, before they are paired.
+    """
+    levels = word_levels(lines)
+    # Copies of a line are folded before its tokens meet others.
+    once = first_tokens(ranked_tokens(lines, size, levels), similarity).groupBy("key").agg(
+        F.first(F.struct("n", "held", "first")).alias("line")
     )
-    shared = sent_if_small(stored(shared, "shared-tokens"))
-    keys = first.select("key", F.explode("first").alias("token")).join(shared, "token", "left_semi").select("key").distinct()
-    keys = sent_if_small(stored(keys, "contested-keys"))
-    keyed = lines.select(F.xxhash64("words").alias("key"), "words").join(keys, "key", "left_semi")
-    # Copies of a line are folded by its key before their tokens are made.
-    once = keyed.groupBy("key").agg(F.first("words").alias("words"))
-    return stored(with_shingles(once, size), "contested-lines")
-
-
-def by_rarity(contested: DataFrame) -> DataFrame:
-    """`key`, `tokens` with the tokens ordered from rare to frequent; the order is common to all lines."""
-    bucket = F.pmod(F.col("token"), F.lit(RARITY_BUCKETS)).cast("int")
-    counts = contested.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).count()
-    # The digits of a count are all that the order needs: one byte for each of a fixed number of buckets.
-    level = bytearray(RARITY_BUCKETS)
-    for row in counts.collect():
-        level[row["bucket"]] = row["count"].bit_length()
-    levels = F.unhex(F.lit(bytes(b + 0x20 for b in level).hex()))
-    # A token of equal level keeps its place by hash; 56 bits of it remain beside the level.
-    rest = F.lit((1 << 56) - 1)
+    met = _with_partner(placed_tokens(once.select("key", "line.*")), _fits("x", "y", similarity))
+    keys = sent_if_small(stored(met.select("key").distinct(), "contested-keys"))
+    again = lines.select("key", "line").join(keys, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    tokens = ranked_tokens(again, size, levels).select("key", "n", F.explode_outer("tokens").alias("token"))
+    common = _with_partner(tokens).groupBy("key", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return stored(common.where(F.size("tokens") >= least_shared(F.col("n"), similarity)), "contested-lines")
 
-    def rank(t: Column) -> Column:
-        at = F.pmod(t, F.lit(RARITY_BUCKETS)).cast("int") + 1
-        return F.shiftleft(F.ascii(F.substring(levels, at, F.lit(1)).cast("string")).cast("bigint"), 56).bitwiseOR(t.bitwiseAND(rest))
 
-    ranked = contested.select("key", F.sort_array(F.transform("tokens", rank)).alias("tokens"))
-    return stored(ranked, "ranked-lines")
+def _with_partner(rows: DataFrame, fits: Column | None = None) -> DataFrame:
+    """Rows whose token another line has too. One exchange serves both sides; a row is done with its first partner."""
+    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key"))
+    return rows.alias("x").join(rows.alias("y"), other if fits is None else other & fits, "left_semi")
 
 
 def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, similarity: Fraction) -> DataFrame:
     """`key`, `component` of the lines that are similar to another line, over any number of links."""
-    ranked = by_rarity(contested_lines(lines_of(documents, doc_id, text), size, similarity))
-    n = F.size("tokens")
-    placed = ranked.select("key", n.alias("n"), F.posexplode(F.slice("tokens", 1, prefix_size(n, similarity))).alias("pos", "token"))
-    met = placed.groupBy("token").agg(F.count("*").alias("lines"), F.min(F.struct("pos", "n", "key")).alias("hub")).where("lines > 1")
-    met = stored(met.select("token", F.col("hub.key").alias("key"), F.col("hub.pos").alias("pos"), F.col("hub.n").alias("n")), "meeting-tokens")
-    # Every line against the line in which the shared token is rarest: this links a group of near copies
-    # without forming its pairs.
+    ranked = contested_lines(lines_of(documents, doc_id, text), size, similarity)
+    placed = placed_tokens(first_tokens(ranked, similarity))
+    hub = F.min(F.struct("lost", "left", "n", "key")).alias("hub")
+    met = placed.groupBy("token").agg(F.count("*").alias("lines"), hub).where("lines > 1")
+    met = stored(met.select("token", "hub.*"), "meeting-tokens")
+    # Every line against the line that shares most of itself: this links a group of near copies without forming
+    # its pairs.
     star = (
         placed.alias("x").join(met.alias("y"), "token").where(F.col("x.key") != F.col("y.key")).where(_fits("x", "y", similarity))
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
@@ -182,7 +212,7 @@ def remove_lines(
     """
     ratio = Fraction(str(similarity))
     base = without(documents, ["n_lines", "n_removed", "removed_lines"])
-    places = stored(lines_of(base, doc_id, text).select("doc_id", "row", "pos", F.xxhash64("words").alias("key")), "line-places")
+    places = stored(lines_of(base, doc_id, text).drop("line"), "line-places")
     classes = line_classes(base, doc_id, text, size, ratio)
     firsts = places.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "pos")).alias("first"))
     firsts = firsts.join(classes, "key", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
@@ -192,22 +222,21 @@ def remove_lines(
     gone = (
         places.join(sent_if_small(repeated), "key")
         .where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+        .groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("__llm_gone"))
     )
-    gone = sent_if_small(stored(gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"), "removed-lines"))
+    gone = sent_if_small(stored(gone.select(F.col("doc_id").alias("__llm_id"), F.col("row").alias("__llm_row"), "__llm_gone"), "removed-lines"))
     value = F.col(f"`{text}`")
-    joined = base.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(value) == F.col("_row")), "left")
-    lines = F.split(value, "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.transform(F.array_except(numbers, "_gone"), lambda i: F.get(lines, i))
-    n_lines = F.when(value.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
-    fresh = {
-        text: F.when(F.col("_gone").isNull(), value).otherwise(F.array_join(left, "\n")),
-    }
-    return joined.select(
+    joined = base.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(value) == F.col("__llm_row")), "left")
+    # Columns of their own, so that a text is split once.
+    parts = joined.withColumn("__llm_lines", F.split(value, "\n"))
+    numbers = F.sequence(F.lit(0), F.size("__llm_lines") - 1)
+    parts = parts.withColumn("__llm_left", F.when(F.col("__llm_gone").isNotNull(), F.array_except(numbers, F.col("__llm_gone"))))
+    left = F.transform("__llm_left", lambda i: F.get("__llm_lines", i))
+    fresh = {text: F.when(F.col("__llm_gone").isNull(), value).otherwise(F.array_join(left, "\n"))}
+    removed = F.coalesce("__llm_gone", F.expr("cast(array() as array<int>)"))
+    return parts.select(
         *(fresh.get(c, F.col(f"`{c}`")).alias(c) for c in base.columns),
-        n_lines.alias("n_lines"),
+        F.when(value.isNull(), 0).otherwise(F.size("__llm_lines")).cast("bigint").alias("n_lines"),
         F.size(removed).cast("bigint").alias("n_removed"),
         removed.alias("removed_lines"),
     )
