@@ -70,3 +70,13 @@ def test_shared_classes_agree(spark):
     frame = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "token binary")
     found = {bytes(r["token"]): r["c"] for r in frame.select("token", scoring.shared_class_column("token").alias("c")).collect()}
     assert found == {w.encode(): scoring.shared_class(w.encode()) for w in words}
+
+
+def test_frequent_tokens_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "KNOWN_TOKENS", 10)
+    rows = [(bytearray(f"t{k}".encode()), 1 + k) for k in range(30)]
+    counts = spark.createDataFrame(rows, "token binary, count bigint")
+    found = sorted(r["count"] for r in scoring.frequent(counts).collect())
+    assert 5 <= len(found) <= 10 and found == list(range(31 - len(found), 31))
+    assert scoring.frequent(counts.limit(0)).count() == 0
+    assert scoring.frequent(spark.createDataFrame([(r[0], 1) for r in rows], "token binary, count bigint")).count() == 0

@@ -133,6 +133,22 @@ def train_classes(pairs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens, at most KNOWN_TOKENS: all whose count reaches a level.
+
+    Levels are steps of about four in a hundred; how many tokens each has is counted first, so that only the
+    chosen ones leave the tasks.
+    """
+    level = F.floor(F.log2("count") * 16)
+    lowest, total = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > KNOWN_TOKENS:
+            break
+        lowest = row["level"]
+    return counts.limit(0) if lowest is None else counts.where(level >= lowest)
+
+
 @dataclass
 class TokenModel:
     """What a task needs to score texts but for the counts of rarer tokens."""
@@ -179,8 +195,7 @@ def train(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int
     modulus, remainder = held_out
     texts = documents.where(fold(F.col(f"`{doc_id}`"), modulus) != remainder).select(F.col(f"`{text}`").alias("text"))
     counts = stored(token_counts(texts), "token-counts")
-    top = counts.orderBy(F.col("count").desc(), "token").limit(KNOWN_TOKENS).collect()
-    top = sorted(((bytes(r["token"]), r["count"]) for r in top), key=lambda r: (r[0] != END, -r[1], r[0]))
+    top = sorted(((bytes(r["token"]), r["count"]) for r in frequent(counts).collect()), key=lambda r: (r[0] != END, -r[1], r[0]))
     if not top or top[0][0] != END:
         top.insert(0, (END, 0))
     own = CLASSES - SHARED
