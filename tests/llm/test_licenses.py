@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import textwrap
 
 from tillsight.llm import licenses
 
@@ -58,3 +60,50 @@ def test_edges(edge, nothing):
     rows = found.collect()
     assert len(rows) == 11 and {(r["n_base"], r["labels"], r["score"], r["first_word"]) for r in rows} == {(0, "", 0.0, None)}
     assert licenses.scan_licenses(nothing).count() == 0
+
+
+def by_windows(text, templates, least):
+    """Labels by lines and, over all windows, by words and neighbouring words."""
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+
+    found, best, whole = set(), 0.0, words(text)
+    for label, t in templates:
+        run, parts = words(t), set(words(t))
+        pairs = set(zip(run, run[1:]))
+        span = len(run) + math.ceil(len(run) / 10)
+        blocks = [b for b in map(words, text.split("\n")) if len(b) <= licenses.LINE_WORDS]
+        for i in range(len(whole)):
+            window = whole[i : i + span]
+            if len(pairs & set(zip(window, window[1:]))) >= max(2 * least - 1, 0.5) * len(pairs) - 1e-9:
+                blocks.append(window)
+        share = max((len(parts & set(b)) / len(parts) for b in blocks), default=0.0)
+        if share >= least - 1e-12:
+            found.add(label)
+            best = max(best, share)
+    return ",".join(sorted(found)), best
+
+
+def test_wrapped_notices_and_long_lines(spark):
+    draw = random.Random(5)
+    filler = [f"w{k}" for k in range(300)] + ["the", "of", "or", "and", "to", "in"]
+    rows = []
+    for k in range(120):
+        label, notice = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        words = draw.choices(filler, k=draw.randint(0, 90)) + notice.split() + draw.choices(filler, k=draw.randint(0, 90))
+        for _ in range(draw.choice([0, 0, 0, 1, 2, 4])):
+            words.insert(draw.randrange(len(words)), draw.choice(filler))
+        width = draw.choice([30, 75, 10_000])
+        rows.append((k, "\n# ".join(textwrap.wrap(" ".join(words), width))))
+    scattered = draw.choices(filler, k=20_000)
+    for i, w in enumerate("Released under the BSD License".split()):
+        scattered[i * 3_000] = w
+    rows += [
+        (900, " ".join(scattered)),
+        (901, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+    ]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), phrases={"no phrase": "none"}).collect()}
+    for k, text in rows:
+        assert (found[k]["labels"], found[k]["score"]) == by_windows(text, licenses.TEMPLATES, 0.9), text
+    assert (found[900]["labels"], found[901]["labels"]) == ("", "bsd")
+    assert sum(r["labels"] != "" for r in found.values()) > 80

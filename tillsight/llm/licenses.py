@@ -1,8 +1,9 @@
 """License notices in documents: phrases word by word, and templates by an exact set-similarity join.
 
-A text block is a line. The words of the templates are counted over the whole corpus and ordered from rare to
-frequent. A block that holds enough of a template shares one of the template's rarest words with it; blocks and templates
-meet on these words, are cut by length and position, and what is left is verified on whole word sets.
+The words of the templates are counted over the whole corpus and ordered from rare to frequent. A text that holds enough
+of a template shares one of the template's rarest words with it; texts and templates meet on these words and are cut by
+length and position. What is left is verified on blocks: lines, and windows of a template's length around its rarest
+words that run over line breaks, as notices are wrapped.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import table, without
+from tillsight.llm.common import sent_if_small, table, without
 from tillsight.plans.shared import stored
 
 # Phrases of the base labels.
@@ -43,6 +44,8 @@ TEMPLATES = [
 ]
 
 CONTAINMENT = 0.9
+#: A line of more words is no block by itself; notices in it are found by windows.
+LINE_WORDS = 64
 RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,44 +70,86 @@ def word_ranks(words: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
-def template_blocks(documents: DataFrame, doc_id: str, text: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
-    """`doc_id`, `row` (hash of the text), `labels` and `score` of the rows in which a block holds a template.
-
-    The score is the largest share of a template's words that a block holds.
-    """
+def held_templates(documents: DataFrame, doc_id: str, text: str, sets: list[list[str]], needs: list[int]) -> tuple[DataFrame, list[str]]:
+    """`doc_id`, `row` (hash of the text) and `template` where the whole text holds enough of a template's words, and
+    the templates' words from rare to frequent."""
     spark = documents.sparkSession
-    share = Fraction(str(containment))
     value = F.col(f"`{text}`")
-    blocks = (
-        documents.where(value.isNotNull())
-        .select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(value).alias("row"), F.explode(F.split(value, "\n")).alias("block"))
-        .select("doc_id", "row", words_of(F.col("block")).alias("words"))
-    )
-    sets = [(label, template_words(t)) for label, t in templates]
-    order = word_ranks(blocks.select("words"), sorted({w for _, s in sets for w in s}))
+    texts = documents.where(value.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(value).alias("row"), words_of(value).alias("words"))
+    order = word_ranks(texts.select("words"), sorted({w for words in sets for w in words}))
     rank = {w: i for i, w in enumerate(order)}
     prefixes, whole = [], []
-    for number, (label, words) in enumerate(sets):
+    for number, (words, need) in enumerate(zip(sets, needs)):
         ranks = sorted(rank[w] for w in words)
-        need = -(-len(ranks) * share.numerator // share.denominator)
-        whole.append((number, label, ranks, need))
+        whole.append((number, ranks, need))
         prefixes += [(r, number, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     first = F.broadcast(spark.createDataFrame(prefixes, "rank int, template int, place int, size int, need int"))
-    all_of = F.broadcast(spark.createDataFrame(whole, "template int, label string, ranks array<int>, need int"))
+    all_of = F.broadcast(spark.createDataFrame(whole, "template int, ranks array<int>, need int"))
     ordered = F.array(*map(F.lit, order))
-    # Only words of the templates can be shared; a block with too few of them is left before it is taken apart.
+    # Only words of the templates can be shared; a text with too few of them is left before it is taken apart.
     known = F.array_intersect("words", ordered)
-    fewest = min(need for *_, need in whole)
-    held = blocks.withColumn("known", known).where(F.size("known") >= fewest)
+    held = texts.withColumn("known", known).where(F.size("known") >= min(needs))
     held = held.select("doc_id", "row", F.sort_array(F.transform("known", lambda w: (F.array_position(ordered, w) - 1).cast("int"))).alias("held"))
     met = held.select("doc_id", "row", "held", F.posexplode_outer("held").alias("at", "rank")).join(first, "rank")
     fits = (F.size("held") >= F.col("need")) & (F.least(F.size("held") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
     pairs = met.where(fits).select("doc_id", "row", "held", "template").distinct()
-    shared = F.size(F.array_intersect("held", "ranks"))
-    verified = pairs.join(all_of, "template").where(shared >= F.col("need")).withColumn("share", shared / F.size("ranks"))
+    enough = pairs.join(all_of, "template").where(F.size(F.array_intersect("held", "ranks")) >= F.col("need"))
+    return enough.select("doc_id", "row", "template"), order
+
+
+def template_blocks(documents: DataFrame, doc_id: str, text: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
+    """`doc_id`, `row` (hash of the text), `labels` and `score` of the rows in which a block holds a template.
+
+    A block is a line of at most LINE_WORDS words, or a window over the words of the whole text, a tenth longer than the
+    template, that also holds the template's neighbouring words: of these twice the share may be missing that may be
+    of its words, as a missing word parts two, but never more than half. The score is the largest share of a template's words
+    that a block holds.
+    """
+    spark = documents.sparkSession
+    share = Fraction(str(containment))
+    value = F.col(f"`{text}`")
+    sets = [template_words(t) for _, t in templates]
+    needs = [_part(len(words), share) for words in sets]
+    found, order = held_templates(documents, doc_id, text, sets, needs)
+    met = sent_if_small(stored(found.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "template"), "license-texts"))
+    rank = {w: i for i, w in enumerate(order)}
+    whole = []
+    for number, ((label, notice), words, need) in enumerate(zip(templates, sets, needs)):
+        run = re.findall(r"[a-z0-9]+", notice.lower())
+        pairs = sorted({f"{a} {b}" for a, b in zip(run, run[1:])})
+        rarest = sorted(words, key=rank.get)[: len(words) - need + 1]
+        whole.append((number, label, words, need, rarest, pairs, _part(len(pairs), max(2 * share - 1, Fraction(1, 2))), len(run) + -(-len(run) // 10)))
+    schema = "template int, label string, parts array<string>, need int, rarest array<string>, pairs array<string>, need_pairs int, span int"
+    all_of = F.broadcast(spark.createDataFrame(whole, schema))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("met_id")) & (F.xxhash64(value) == F.col("met_row"))
+    texts = documents.select(F.col(f"`{doc_id}`"), value).join(met, same).join(all_of, "template")
+    texts = texts.select(F.col("met_id").alias("doc_id"), F.col("met_row").alias("row"), "label", "parts", "need", "rarest", "pairs", "need_pairs", "span", value.alias("value"), words_of(value).alias("words"))
+    span = F.col("span")
+
+    def shared(words: Column) -> Column:
+        return F.size(F.array_intersect(words, F.col("parts")))
+
+    def in_order(words: Column) -> Column:
+        beside = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.size(F.array_intersect(beside, F.col("pairs"))) >= F.col("need_pairs")
+
+    lines = F.filter(F.transform(F.split("value", "\n"), words_of), lambda w: F.size(w) <= LINE_WORDS)
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("rarest", F.get("words", i)))
+    # All words that are in one window with a rare one.
+    around = F.transform(places, lambda p: F.slice("words", F.greatest(p - span + 2, F.lit(1)), F.least(p + 1, span) + span - 1))
+    near = texts.withColumns({"line": F.coalesce(F.array_max(F.transform(lines, shared)), F.lit(0)), "arounds": around})
+    near = near.drop("value", "words").withColumn("around", F.explode_outer("arounds")).drop("arounds")
+    windows = F.transform(F.sequence(F.lit(1), F.size("around")), lambda i: F.slice("around", i, span))
+    windows = F.filter(F.filter(windows, lambda w: shared(w) >= F.col("need")), in_order)
+    near = near.withColumn("held", F.greatest("line", F.array_max(F.transform(windows, shared))))
+    verified = near.where(F.col("held") >= F.col("need")).withColumn("share", F.col("held") / F.size("parts"))
     return verified.groupBy("doc_id", "row").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
 
 
+def _part(count: int, share: Fraction) -> int:
+    return -(-count * share.numerator // share.denominator)
+
+
 def phrase_places(words: str, phrases: dict[str, str]) -> Column:
     """Places (`at`, `label`) in the column `words` where a phrase's words stand one after another."""
 
@@ -142,8 +187,9 @@ def scan_licenses(
     """Every row with `n_words`, `n_base`, `first_word`, `last_word`, `base_labels`, `labels`, `score`.
 
     Base places are all starts of a phrase among the words of the whole text, from 0; overlapping and repeated
-    ones count. `labels` adds those of the templates of which one line holds at least the share `containment` of
-    the words. The score is 1 with a base place, else the largest such share, else 0. A null or empty text has no
+    ones count. `labels` adds those of the templates of which one block holds at least the share `containment` of
+    the words: a line of at most LINE_WORDS words, or a run of words of about the template's length, over any line
+    breaks (`template_blocks`). The score is 1 with a base place, else the largest such share, else 0. A null or empty text has no
     words, no labels (empty strings) and score 0. Rows equal in id and text get the same result; an empty
     table stays empty. Columns named like a result are replaced, others stay.
     """
