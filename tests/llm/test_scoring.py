@@ -80,3 +80,27 @@ def test_frequent_tokens_are_bounded(spark, monkeypatch):
     assert 5 <= len(found) <= 10 and found == list(range(31 - len(found), 31))
     assert scoring.frequent(counts.limit(0)).count() == 0
     assert scoring.frequent(spark.createDataFrame([(r[0], 1) for r in rows], "token binary, count bigint")).count() == 0
+
+
+def test_rare_tokens_have_vectors_of_their_own(spark):
+    """Beyond the class count, tokens of equal count differ after a context, and the chances sum to one."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for k in range(1_500):
+        pair = [f"a{k} b{k}"] * 12
+        filler = [f"f{int(x)}" for x in draw.integers(0, 200, 24)]
+        rows.append((k, " ".join(x for both in zip(pair, filler) for x in both)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = scoring.train(frame, "doc_id", "text", (7, 2))
+    seen = [k for k in range(1_500) if crc_fold(k, 7) != 2][:200]
+    first = model.vocabulary.places([f"a{k}".encode() for k in seen])
+    right = model.vocabulary.places([f"b{k}".encode() for k in seen])
+    assert len(model.vocabulary.counts) > scoring.CLASSES and min(first.min(), right.min()) >= 0
+    assert len({v.tobytes() for v in model.tree.contexts[first]}) == len({v.tobytes() for v in model.tree.contexts[right]}) == len(seen)
+    own, other = model.tree.chances(first, right), model.tree.chances(first, np.roll(right, 1))
+    assert np.mean(own - other) > 0.1 and np.mean(own > other) > 0.7
+    *_, base, score = model.score([r[1].encode() for r in rows[:50]])
+    assert sum(score) > sum(base) + 100  # a task's scores use the token before
+    leaves = np.arange(model.tree.seen + scoring.SHARED)
+    for before in (int(first[0]), -1):
+        assert (10 ** model.tree.chances(np.full(len(leaves), before), leaves)).sum() == pytest.approx(1, abs=1e-4)

@@ -1,9 +1,9 @@
 """Language-model scores of documents.
 
-A log-bilinear model gives the chance of a token's class after the class before it: the product of two learnt vectors
-plus a bias. Frequent tokens are classes of their own, the others share classes by their hash and are told apart in
-them by their counts. All counts are taken over all training documents; the model is trained on the counts of
-neighbouring classes with noise-contrastive estimation, and one product of matrices gives its normalised chances.
+A log-bilinear model gives the chance of a token after the token before it. Every token of the training texts has two
+vectors, one as the token before and one as the token after, learnt with noise-contrastive estimation on the counts of
+all neighbouring pairs. The chances are normalised over a binary tree on all tokens in the order of their counts,
+which grows with the vocabulary. Only tokens not seen in training share classes by their hash.
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import fold, map_texts, pieces, table
 from tillsight.plans.shared import stored
 
-#: Classes: the end of a text, the most frequent tokens, and shared classes for all others.
+#: Classes the vectors start from: the most frequent tokens and bands of counts for all others. Unseen tokens share SHARED classes.
 CLASSES = 512
 SHARED = 128
-#: Tokens whose counts every task knows; the counts of all others are joined.
+#: Tokens `frequent` returns at most; the model itself knows all tokens.
 KNOWN_TOKENS = 200_000
 #: Distinct tokens a task counts before it passes them on.
 COUNTED = 300_000
 WIDTH = 24
 NOISE = 8
 EPOCHS = 200
+#: Steps of a fit of token vectors, tokens that stand for the noise in it, and the weight of a vector against its pairs.
+STEPS = 15
+BACKGROUND = 128
+PENALTY = 2.0
+#: Pairs a task fits at once (a token with more is still fitted whole); it counts 32 times as many neighbours at once.
+HELD_PAIRS = 1 << 17
 RATE = 0.05
 SEED = 42
 
@@ -80,29 +86,169 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, count bigint").groupBy("token").agg(F.sum("count").alias("count"))
 
 
-def class_pairs(texts: DataFrame, classes: dict[bytes, int]) -> np.ndarray:
-    """How often each class follows each class (rows: the one before) over all rows; texts start after an end."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
+@dataclass
+class Vocabulary:
+    """All tokens of the training texts by hash; an id is the place by count, the most frequent first."""
+
+    hashes: np.ndarray  # sorted
+    ids: np.ndarray  # of `hashes`
+    counts: np.ndarray  # by id
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        """The ids of tokens, -1 for one not seen."""
+        hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tokens], np.uint64).view(np.int64)
+        if not len(self.hashes):
+            return np.full(len(tokens), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ids[at].astype(np.int64), -1)
+
+
+def numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts, all tokens as places among them, and how many each text has."""
+    seen: dict[bytes, int] = {}
+    sizes, line = [], []
+    for text in texts:
+        tokens = tokens_of(text)
+        sizes.append(len(tokens))
+        line += [seen.setdefault(t, len(seen)) for t in tokens]
+    return list(seen), np.array(line, np.int64), np.array(sizes, np.int64)
+
+
+def after_ends(line: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The token before each one; texts start after an end."""
+    before = np.empty_like(line)
+    before[1:] = line[:-1]
+    before[np.cumsum(sizes) - sizes] = end
+    return before
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    found = counts.select(F.xxhash64("token").alias("hash"), "count").toArrow()
+    hashes, totals = found.column("hash").to_numpy(), found.column("count").to_numpy()
+    order = np.lexsort((hashes, -totals))
+    ids = np.empty(len(order), np.int32)
+    ids[order] = np.arange(len(order))
+    by_hash = np.argsort(hashes)
+    return Vocabulary(hashes[by_hash], ids[by_hash], totals[order])
+
+
+def token_pairs(texts: DataFrame, vocabulary) -> DataFrame:
+    """`before`, `after` (ids) and `n`, how often they are neighbours over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros(CLASSES * CLASSES, np.int64)
+        known = vocabulary.value
+        end = int(known.places([END])[0])
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))],
+                names=["before", "after", "n"],
+            )
+
         for batch in batches:
             for _, values in pieces(batch, 0):
-                line = [own.get(t) if t in own else shared_class(t) for value in values for t in tokens_of(value)]
-                if line:
-                    after = np.array(line, np.int64)
-                    # Every text ends with class 0, so the next one starts after it.
-                    before = np.concatenate(([0], after[:-1]))
-                    total += np.bincount(before * CLASSES + after, minlength=len(total))
+                tokens, line, sizes = numbered(values)
+                after = known.places(tokens)[line]
+                held.append((after_ends(after, sizes, end) << 32) | after)
+                if sum(map(len, held)) > 32 * HELD_PAIRS:
+                    yield counted()
+        if held:
+            yield counted()
+
+    return texts.mapInArrow(run, "before int, after int, n bigint").groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+def start_classes(count: int) -> np.ndarray:
+    """The class each id starts from: its own, or a band of the places by count."""
+    own = CLASSES - SHARED
+    ids = np.arange(count)
+    bands = np.floor(8 * np.log2(np.maximum(ids, own) / own)).astype(np.int64)
+    return np.where(ids < own, ids, own + np.minimum(bands, SHARED - 1))
+
+
+def class_pairs(pairs: DataFrame, count: int) -> np.ndarray:
+    """How often each start class follows each (rows: the one before), from the counted token pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = start_classes(count)
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            before, after, n = (batch.column(i).to_numpy() for i in range(3))
+            np.add.at(total, classes[before] * CLASSES + classes[after], n)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "count"])
 
-    cells = texts.mapInArrow(run, "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count"))
-    pairs = np.zeros(CLASSES * CLASSES)
+    cells = pairs.mapInArrow(run, "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count"))
+    found = np.zeros(CLASSES * CLASSES)
     for row in cells.collect():  # at most CLASSES squared
-        pairs[row["cell"]] = row["count"]
-    return pairs.reshape(CLASSES, CLASSES)
+        found[row["cell"]] = row["count"]
+    return found.reshape(CLASSES, CLASSES)
+
+
+def fit_tokens(starts: np.ndarray, others: np.ndarray, n: np.ndarray, vectors: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """A vector for each token: its pairs (from `starts` on, with `others`) against noise, `vectors` held.
+
+    With the log share of a token as its bias, the chance that a pair was seen is that of its product less log(NOISE).
+    The noise are tokens drawn by count. The fewer pairs, the nearer the vector stays to zero.
+    """
+    sizes = np.diff(np.append(starts, len(others)))
+    token = np.repeat(np.arange(len(starts)), sizes)
+    total = np.add.reduceat(n, starts).astype(np.float32)[:, None]
+    weights = (n / total[token, 0]).astype(np.float32)
+    beside = vectors[others].astype(np.float32)
+    noise = noise.astype(np.float32)
+    border = np.float32(np.log(NOISE))
+    result = np.zeros((len(starts), vectors.shape[1]), np.float32)
+    first, second = np.zeros_like(result), np.zeros_like(result)
+    for step in range(1, STEPS + 1):
+        seen = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", beside, result[token]) - border, -60, 60)))
+        slope = np.add.reduceat(beside * (weights * seen)[:, None], starts)
+        drawn = 1 / (1 + np.exp(np.clip(border - result @ noise.T, -60, 60)))
+        slope -= NOISE / len(noise) * (drawn @ noise) + PENALTY / (total + PENALTY) * result
+        first += 0.2 * (slope - first)
+        second += 0.1 * (slope**2 - second)
+        result += 0.3 * (1 - step / (STEPS + 1)) * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.9**step)) + 1e-4)
+    return result
+
+
+def token_vectors(pairs: DataFrame, side: str, other: str, vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Vectors of all tokens of the column `side` from those of the column `other`, fitted where a token's pairs lie."""
+    draw = np.random.default_rng(SEED).choice(len(counts), BACKGROUND, p=counts / counts.sum())
+    shared = pairs.sparkSession.sparkContext.broadcast((vectors, vectors[draw]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, noise = shared.value
+
+        def fitted(ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            found = fit_tokens(starts, others, n, known, noise).astype(np.float16)
+            return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array([v.tobytes() for v in found], pa.binary())], names=["id", "vector"])
+
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            rows += batch.num_rows
+            if rows >= HELD_PAIRS:
+                ids, others, n = (np.concatenate(c) for c in zip(*held))
+                cut = int(np.searchsorted(ids, ids[-1]))  # the last token may go on
+                if cut:
+                    yield fitted(ids[:cut], others[:cut], n[:cut])
+                held, rows = [(ids[cut:], others[cut:], n[cut:])], len(ids) - cut
+        if rows:
+            yield fitted(*(np.concatenate(c) for c in zip(*held)))
+
+    laid = pairs.select(F.col(side).alias("id"), F.col(other).alias("other"), "n").repartition("id").sortWithinPartitions("id")
+    found = laid.mapInArrow(run, "id int, vector binary").toArrow()
+    shared.destroy()
+    result = np.zeros(vectors.shape, np.float16)
+    for ids, values in zip(found.column("id").chunks, found.column("vector").chunks):
+        if len(ids):
+            result[ids.to_numpy()] = np.frombuffer(b"".join(values.to_pylist()), np.float16).reshape(len(ids), -1)
+    return result
 
 
 def train_classes(pairs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
@@ -111,6 +257,14 @@ def train_classes(pairs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     The noise is the classes' own distribution, NOISE draws for each pair seen; as all pairs are counted, their
     expectation stands in for single draws. Without any pair all classes are equally likely.
     """
+    contexts, targets, bias = class_vectors(pairs, epochs)
+    scores = contexts @ targets.T + bias
+    most = scores.max(axis=1, keepdims=True)
+    return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
+
+
+def class_vectors(pairs: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of the class before and after and the bias, as `train_classes` learns them."""
     total = pairs.sum()
     draw = np.random.default_rng(11)
     contexts, targets = draw.normal(0, 0.1, (len(pairs), WIDTH)), draw.normal(0, 0.1, (len(pairs), WIDTH))
@@ -128,9 +282,7 @@ def train_classes(pairs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
                 first += 0.1 * (gradient - first)
                 second += 0.01 * (gradient**2 - second)
                 value -= RATE * (1 - epoch / (epochs + 1)) * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-9)
-    scores = contexts @ targets.T + bias
-    most = scores.max(axis=1, keepdims=True)
-    return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
+    return contexts, targets, bias
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -149,73 +301,94 @@ def frequent(counts: DataFrame) -> DataFrame:
     return counts.limit(0) if lowest is None else counts.where(level >= lowest)
 
 
+class TokenTree:
+    """A binary tree over all tokens by id, then the classes of unseen tokens, which together count as one token.
+
+    The odds of a node's halves are those of their counts (each plus one), changed by the product of the vector of the token before
+    and the difference of the halves' mean vectors. A leaf's chance is the product along its path, so they sum to one.
+    """
+
+    def __init__(self, counts: np.ndarray, contexts: np.ndarray, targets: np.ndarray):
+        self.seen, self.contexts = len(counts), contexts
+        self.depth = int(np.ceil(np.log2(len(counts) + SHARED)))
+        width = targets.shape[1]
+        weight = np.zeros(1 << self.depth)
+        weight[: self.seen] = counts + 1
+        weight[self.seen : self.seen + SHARED] = 1 / SHARED
+        sums = np.zeros((1 << self.depth, width), np.float32)
+        sums[: self.seen] = targets * weight[: self.seen, None]
+        self.nodes = np.zeros((1 << self.depth, width), np.float16)  # of node i the halves are 2i and 2i+1; the root is 1
+        self.bias = np.zeros(1 << self.depth, np.float32)
+        for level in range(self.depth - 1, -1, -1):
+            halves, means = weight.reshape(-1, 2), (sums / np.maximum(weight, 1e-9)[:, None]).reshape(-1, 2, width)
+            at = slice(1 << level, 2 << level)
+            there = halves[:, 1] > 0
+            self.nodes[at] = np.where(there[:, None], means[:, 1] - means[:, 0], 0)
+            self.bias[at] = np.log(np.maximum(halves[:, 1], 1e-30) / np.maximum(halves[:, 0], 1e-30))
+            self.bias[at][~there] = -1e4  # an empty half
+            weight, sums = halves.sum(axis=1), sums.reshape(-1, 2, width).sum(axis=1)
+
+    def chances(self, before: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each leaf after an id (-1: one not seen, which tells nothing)."""
+        total = np.zeros(len(leaves), np.float64)
+        for start in range(0, len(leaves), 1 << 16):
+            leaf, ahead = leaves[start : start + (1 << 16)], before[start : start + (1 << 16)]
+            vectors = self.contexts[ahead].astype(np.float32) if self.seen else np.zeros((len(leaf), self.nodes.shape[1]), np.float32)
+            vectors[ahead < 0] = 0
+            path = leaf + (1 << self.depth)
+            for level in range(self.depth, 0, -1):
+                node = path >> level
+                odds = np.einsum("ij,ij->i", self.nodes[node].astype(np.float32), vectors) + self.bias[node]
+                right = (path >> (level - 1)) & 1
+                total[start : start + len(leaf)] -= np.logaddexp(0, np.where(right, -odds, odds))
+        return total / np.log(10)
+
+
 @dataclass
 class TokenModel:
-    """What a task needs to score texts but for the counts of rarer tokens."""
-
-    known: dict[bytes, int]  # place in the arrays below
-    classes: np.ndarray
-    counts: np.ndarray
-    chances: np.ndarray  # log10 of a class after a class
-    class_tokens: np.ndarray  # N of each class
-    class_distinct: np.ndarray  # V of each class
-    tokens: int
-    distinct: int
+    """What a task needs to score texts."""
 
-    def __post_init__(self):
-        self.spread = np.log10(self.class_tokens + self.class_distinct + 1)
-        logs = np.log10(self.counts + 1)
-        self.base = logs - np.log10(self.tokens + self.distinct + 1)
-        # A token with a class of its own is all of it.
-        self.within = np.where(self.classes < CLASSES - SHARED, 0.0, logs - self.spread[self.classes])
+    vocabulary: Vocabulary
+    tree: TokenTree
+    tokens: int
 
-    def score(self, text: bytes | None) -> tuple[int, int, float, float, list]:
-        """Tokens, known tokens, base and model score without log10(count + 1) of the others, and those others."""
-        tokens = tokens_of(text)
-        get = self.known.get
-        places = np.fromiter([get(t, -1) for t in tokens], np.int64, len(tokens))
-        classes = self.classes[places] if len(self.classes) else np.zeros(len(tokens), np.int64)
-        others = np.flatnonzero(places < 0)
-        rare: Counter = Counter()
-        for i in others.tolist():
-            token = tokens[i]
-            classes[i] = shared_class(token) if token else 0
-            rare[token] += 1
-        before = np.concatenate(([0], classes[:-1]))
-        there = places >= 0
-        base = float(self.base[places[there]].sum()) - len(others) * np.log10(self.tokens + self.distinct + 1)
-        apart = classes[others]
-        score = float(self.chances[before, classes].sum() + self.within[places[there]].sum())
-        score -= float(self.spread[apart[apart >= CLASSES - SHARED]].sum())
-        return len(tokens), int((self.counts[places[there]] > 0).sum()), base, score, [{"token": t, "times": n} for t, n in rare.items()]
-
-
-def train(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int]) -> tuple[TokenModel, DataFrame]:
-    """The model and the stored table of `token`, `count`, from all rows outside the held-out fold."""
+    def score(self, texts: list[bytes | None]) -> list[list]:
+        """Tokens, known tokens, base and model score of each text."""
+        tokens, line, sizes = numbered(texts)
+        ids = self.vocabulary.places(tokens)
+        own = CLASSES - SHARED
+        leaves = np.array([i if i >= 0 else self.tree.seen + shared_class(t) - own for t, i in zip(tokens, ids.tolist())], np.int64)
+        counts = np.where(ids >= 0, self.vocabulary.counts[ids], 0) if self.tree.seen else np.zeros(len(ids))
+        base = np.log10(counts + 1) - np.log10(self.tokens + self.tree.seen + 1)
+        before = after_ends(ids[line], sizes, int(self.vocabulary.places([END])[0]))
+        # Each neighbouring pair of the texts once.
+        pairs, at = np.unique(((before + 1) << 32) | leaves[line], return_inverse=True)
+        chances = self.tree.chances((pairs >> 32) - 1, pairs & 0xFFFFFFFF)[at]
+        starts = np.cumsum(sizes) - sizes
+        sums = [sizes, *(np.add.reduceat(v, starts) for v in ((ids >= 0).astype(np.int64)[line], base[line], chances))]
+        return [v.tolist() for v in sums]
+
+
+def train(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int]) -> TokenModel:
+    """The model from all rows outside the held-out fold: vectors of all tokens, first from those of classes, then from each other."""
     modulus, remainder = held_out
     texts = documents.where(fold(F.col(f"`{doc_id}`"), modulus) != remainder).select(F.col(f"`{text}`").alias("text"))
-    counts = stored(token_counts(texts), "token-counts")
-    top = sorted(((bytes(r["token"]), r["count"]) for r in frequent(counts).collect()), key=lambda r: (r[0] != END, -r[1], r[0]))
-    if not top or top[0][0] != END:
-        top.insert(0, (END, 0))
-    own = CLASSES - SHARED
-    classes = np.array([i if i < own else shared_class(t) for i, (t, _) in enumerate(top)], np.int64)
-    chosen = [t for t, _ in top[:own]]
-    totals = counts.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
-    rest = counts.where(~F.col("token").isin([bytearray(t) for t in chosen])).groupBy(shared_class_column("token").alias("class"))
-    class_tokens, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in rest.agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
-        class_tokens[row["class"]], class_distinct[row["class"]] = row["n"], row["v"]
-    pairs = class_pairs(texts, {t: int(c) for (t, _), c in zip(top, classes)})
-    chances = train_classes(pairs) / np.log(10)
-    known = {t: i for i, (t, _) in enumerate(top)}
-    model = TokenModel(
-        known, classes, np.array([n for _, n in top], np.float64), chances, class_tokens, class_distinct, totals["n"] or 0, totals["v"]
-    )
-    return model, counts
+    vocabulary = vocabulary_of(token_counts(texts))
+    counts = vocabulary.counts
+    contexts = targets = np.zeros((len(counts), WIDTH), np.float16)
+    if len(counts):
+        shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+        pairs = stored(token_pairs(texts, shared), "token-pairs")
+        shared.destroy()
+        start = class_vectors(class_pairs(pairs, len(counts)))[0][start_classes(len(counts))].astype(np.float32)
+        # A part of its own for each token, so that tokens of one class are told apart from the start.
+        start = (start + np.random.default_rng(SEED).normal(0, 0.5, start.shape)).astype(np.float16)
+        targets = token_vectors(pairs, "after", "before", start, counts)
+        contexts = token_vectors(pairs, "before", "after", targets, counts)
+    return TokenModel(vocabulary, TokenTree(counts, contexts, targets), int(counts.sum()))
 
 
-PARTS = "n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<token:binary,times:int>>"
+PARTS = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -225,34 +398,21 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     log10((c+1)/(N+V+1)) over the tokens, `score` the log10 chance of the text under the model; a token not
     seen in training has the chance of all unseen tokens of its class. A null or empty text has one token, the end.
     A row without id is neither learnt from nor held out. Repeated rows count as often as they occur. Only the
-    two columns named are read; an empty table gives an empty result. The counts of the most frequent tokens are
-    sent to every task (a fixed number), those of all others are joined by token.
+    two columns named are read; an empty table gives an empty result. Tokens are told apart by 64-bit hashes. The
+    counts and vectors of all tokens pass through the driver and are sent to every task; they grow with the vocabulary.
     """
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model, counts = train(rows, "doc_id", "text", held_out)
+    model = train(rows, "doc_id", "text", held_out)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        known = shared.value
-        return lambda texts: [list(column) for column in zip(*map(known.score, texts))]
-
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = stored(map_texts(numbered, "text", PARTS, make, ["doc_id", "row"]), "token-scores")
-    rare = parts.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.times")
-    found = rare.join(counts, "token").groupBy("row").agg(
-        F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("_logs")
-    )
-    joined = parts.drop("rare").join(found, "row", "left")
-    logs = F.coalesce("_logs", F.lit(0.0))
     modulus, remainder = held_out
-    return joined.select(
+    return map_texts(rows, "text", PARTS, lambda: shared.value.score, ["doc_id"]).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
+        "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+        "base_score",
+        "score",
     )
 
 
