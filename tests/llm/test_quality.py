@@ -67,3 +67,18 @@ def test_edges(spark, edge, nothing):
         assert 0 <= r["quality_score"] <= 1
         assert (r["quality_score"] == 0) == (not (r["text"] or "").strip())
     assert quality.with_quality(nothing, quality.train(nothing, labels.limit(0))).count() == 0
+
+
+def test_sample_is_bounded_in_rows_and_lines(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda documents: fitted.append(documents))
+    rows = [(1, f"Copy number {k}.\nA second line.") for k in range(30)] + [(1, None), (1, " \n")]
+    rows += [(k, f"Document {k}.\nA second line.\nA third one.") for k in range(2, 12)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 12)], "doc_id bigint, quality int")
+    quality.train(documents, labels, held_out=(1, 1))
+    quality.train(documents, labels, held_out=(1, 1), total_lines=10)
+    quality.train(documents, labels, held_out=(1, 1), total_lines=1)
+    sizes = [[len(features) for features, _ in found] for found in fitted]
+    assert sorted(sizes[0]) == [2] + [3] * 10
+    assert 7 < sum(sizes[1]) <= 10 and sizes[2] == []

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import fold, map_texts, table
+from tillsight.plans.shared import stored
 
 #: Labelled documents the model is fitted on at most, and the lines one of them may have.
 SAMPLE_DOCUMENTS = 6_000
 SAMPLE_LINES = 2_000
+#: Lines of all labelled documents together the model is fitted on at most.
+SAMPLE_TOTAL_LINES = 400_000
 EPOCHS = 150
 STEP = 0.1
 PENALTY = 1e-3
@@ -187,12 +190,14 @@ def train(
     quality: str = "quality",
     held_out: tuple[int, int] = (3, 1),
     sample: int = SAMPLE_DOCUMENTS,
+    total_lines: int = SAMPLE_TOTAL_LINES,
 ) -> LineChain:
     """Fit the line chain on a bounded sample of labelled documents.
 
     The sample holds the `sample` labelled ids with the smallest hash outside the held-out fold (modulus,
-    remainder of crc32); documents of over SAMPLE_LINES lines or without content are not learnt from. An id with
-    several labels takes the lowest. Without labels of both kinds the model leans to the only one, or is
+    remainder of crc32); documents of over SAMPLE_LINES lines or without content are not learnt from. Of an id with
+    several rows the text with the smallest hash is taken, once. In the order of their ids' hash, documents are
+    learnt from while they have at most `total_lines` lines together. An id with several labels takes the lowest. Without labels of both kinds the model leans to the only one, or is
     undecided.
     """
     modulus, remainder = held_out
@@ -203,7 +208,18 @@ def train(
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), "_id")
-    rows = rows.where(F.size(F.split("_text", "\n")) <= SAMPLE_LINES)
+    lines = F.size(F.split("_text", "\n"))
+    rows = rows.where((lines <= SAMPLE_LINES) & F.col("_text").rlike(r"[^ \t\n\r\x0B\f]"))
+    # One row of an id leaves each task, however often the id is repeated.
+    one = rows.groupBy("_id", "_good").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+    one = stored(one.select("_id", "_good", "_text", F.xxhash64("_id").alias("_hash"), lines.cast("bigint").alias("_lines")), "quality-sample")
+    last, taken = None, 0
+    for row in sorted(one.select("_hash", "_lines").collect()):  # at most `sample`
+        taken += row["_lines"]
+        if taken > total_lines:
+            break
+        last = row["_hash"]
+    rows = one.where(F.lit(False) if last is None else F.col("_hash") <= last)
 
     def make():
         def compute(texts):
