@@ -112,3 +112,18 @@ def test_edges(spark, edge, nothing):
         elif r["text"] is None:
             assert (r["n_lines"], r["n_removed"]) == (0, 0)
     assert lines.remove_lines(nothing).count() == 0
+
+
+def test_long_lists_of_removed_lines_are_not_sent(spark, monkeypatch):
+    from tillsight.llm import common
+
+    monkeypatch.setattr(common, "SENT_VALUES", 5, raising=False)
+    gone = spark.createDataFrame([(1, list(range(4))), (2, list(range(4)))], "id int, gone array<int>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert not hinted(common.sent_if_small(gone, "gone")) and hinted(common.sent_if_small(gone.limit(1), "gone"))
+    documents = spark.createDataFrame([(k, "\n".join(["the same line over again"] * 8)) for k in range(2)], "doc_id int, text string")
+    sent = []
+    monkeypatch.setattr(lines, "sent_if_small", lambda df, *array: sent.append((df.columns, array)) or common.sent_if_small(df, *array))
+    found = lines.remove_lines(documents)
+    assert sorted(r["n_removed"] for r in found.collect()) == [7, 8]
+    assert [array for columns, array in sent if "__llm_gone" in columns] == [("__llm_gone",)]

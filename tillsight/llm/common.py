@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 4 << 20
 #: A stored table of narrow rows is sent to every task up to this many rows; beyond that both sides are shuffled.
 SENT_ROWS = 500_000
+#: Values in an array column of a table that is sent, over all its rows.
+SENT_VALUES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,10 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
-def sent_if_small(stored: DataFrame) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcast when its counted rows are few enough."""
+def sent_if_small(stored: DataFrame, array: str | None = None) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast when its counted rows, and the values in its column `array`, are few enough."""
+    if array and (stored.agg(F.sum(F.size(array).cast("bigint"))).first()[0] or 0) > SENT_VALUES:
+        return stored
     return F.broadcast(stored) if stored.limit(SENT_ROWS + 1).count() <= SENT_ROWS else stored
 
 

@@ -224,7 +224,7 @@ def remove_lines(
         .where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("__llm_gone"))
     )
-    gone = sent_if_small(stored(gone.select(F.col("doc_id").alias("__llm_id"), F.col("row").alias("__llm_row"), "__llm_gone"), "removed-lines"))
+    gone = sent_if_small(stored(gone.select(F.col("doc_id").alias("__llm_id"), F.col("row").alias("__llm_row"), "__llm_gone"), "removed-lines"), "__llm_gone")
     value = F.col(f"`{text}`")
     joined = base.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(value) == F.col("__llm_row")), "left")
     # Columns of their own, so that a text is split once.
