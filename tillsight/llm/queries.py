@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillsight.llm import bpe, centroids, decontaminate, embeddings, language, licenses, lines, quality, scoring, sharding, simhash
+from tillsight.llm import bpe, centroids, decontaminate, divergence, embeddings, language, licenses, lines, quality, scoring, sharding, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_lm_score": scoring.op9_lm_score,
     "op10_sharding": sharding.op10_sharding,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_warc": warc.op12_warc,
     "op13_centroids": centroids.op13_centroids,
 }
 
@@ -24,5 +26,7 @@ ORACLES = {
     "op7_license_scan": licenses.OP7_SQL,
     "op8_embedding_dedup": embeddings.OP8_SQL,
     "op10_sharding": sharding.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
     "op13_centroids": centroids.OP13_SQL,
 }
