@@ -78,10 +78,10 @@ def test_event_anomalies(event_rows):
 def test_event_anomalies_equal_amounts_and_outlier(spark):
     data = [("same", 0.1)] * 4 + [("wild", 1.0)] * 30 + [("wild", 1000.0), (None, 3.0)]
     found = event_anomalies(spark.createDataFrame(data, "event_type string, amount double"))
-    got = {(r["event_type"], r["amount"]): r["anomaly_probability"] for r in rows(found)}
-    assert got[("same", 0.1)] == 0.0
-    assert got[("wild", 1000.0)] == 1.0
-    assert (None, 3.0) not in got
+    got = {(r["event_type"], r["amount"]): (r["anomaly_probability"], r["severity"]) for r in rows(found)}
+    assert got[("same", 0.1)] == (0.0, "low")
+    assert got[("wild", 1000.0)] == (1.0, "high")
+    assert got[(None, 3.0)] == (None, None)
 
 
 def test_anomaly_severity(spark):
