@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tillsight.llm import divergence
@@ -52,10 +53,11 @@ def corpus(n, seed=1, vocabulary=60):
     return rows
 
 
-@pytest.mark.parametrize("block,segment", [(400_000, 4096), (50, 3), (1, 1)])
-def test_against_plain_counts(spark, monkeypatch, block, segment):
+@pytest.mark.parametrize("block,segment,merged", [(400_000, 4096, 500_000), (50, 3, 10), (1, 1, 1)])
+def test_against_plain_counts(spark, monkeypatch, block, segment, merged):
     monkeypatch.setattr(divergence, "BLOCK_POSTINGS", block)
     monkeypatch.setattr(divergence, "SEGMENT", segment)
+    monkeypatch.setattr(divergence, "MERGED_POSTINGS", merged)
     rows = corpus(150) + [(1000, "only here once", "fr", "a"), (1001, None, "fr", "b"), (1002, "", "xx", "b")]
     rows += [(1003, "copy of a row", "de", "c")] * 40
     assert run(spark, rows, least=4, top=3) == plain(rows, least=4, top=3)
@@ -93,10 +95,17 @@ def test_edges(spark, edge, nothing):
     assert divergence.source_divergence(nothing).count() == 0
 
 
-def test_merge_holds_only_overlapping_segments():
-    segments = [[("en", f"{a}{i:02d}", "s", 1, 1) for i in range(20)] for a in "abcd" for _ in range(2)]
-    merged = list(divergence.merged_runs((s[0][:2], s) for s in segments))
-    assert merged == sorted(p for s in segments for p in s)
+def test_merge_settles_whole_keys(monkeypatch):
+    """A part has all postings of its keys and none of later ones, in any cut of the runs."""
+    monkeypatch.setattr(divergence, "MERGED_POSTINGS", 7)
+    draw = random.Random(5)
+    runs = [sorted(b"en\x00%03d" % draw.randint(0, 40) for _ in range(30)) for _ in range(6)]
+    segments = [run[i : i + n] for run, n in zip(runs, (1, 2, 5, 7, 30, 4)) for i in range(0, 30, n)]
+    segments.sort(key=lambda s: s[0])
+    tables = [pa.table([pa.array(s, pa.binary()), ["s"] * len(s), [1] * len(s), [1] * len(s)], names=divergence.COLUMNS) for s in segments]
+    parts = [sorted(p.column("keys").to_pylist()) for p in divergence.merged_runs(iter(tables)) if p.num_rows]
+    assert len(parts) > 5 and sorted(k for p in parts for k in p) == sorted(k for r in runs for k in r)
+    assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
 
 
 def test_shares_beyond_64_bits():

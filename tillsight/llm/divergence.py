@@ -9,13 +9,15 @@ and only terms that one of them holds are corrected.
 from __future__ import annotations
 
 import heapq
+import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,20 +32,21 @@ ADDED = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Postings (term of a language and source) a task holds before it passes a run on, and postings of one segment of a run.
-BLOCK_POSTINGS = 400_000
-SEGMENT = 4096
+BLOCK_POSTINGS = 1_500_000
+SEGMENT = 8192
+#: Postings a merging task holds before it settles the terms that are complete, and hash shards for each partition.
+MERGED_POSTINGS = 500_000
+SHARDS_EACH = 4
 #: Cells (posting by source) corrected at once, and corrections (source by source) held before they are passed on.
 CELLS = 1 << 21
 HELD = 1 << 22
 
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: Between the language and the term of a key; no term holds it.
+_END = b"\x00"
 
-RUNS = (
-    "shard int, first_lang string, first_term string, langs array<string>, terms array<string>, sources array<string>, "
-    "totals array<bigint>, docs array<bigint>"
-)
-COLUMNS = ["langs", "terms", "sources", "totals", "docs"]
-KINDS = [pa.list_(pa.string())] * 3 + [pa.list_(pa.int64())] * 2
+RUNS = "shard int, first binary, keys array<binary>, sources array<string>, totals array<bigint>, docs array<bigint>"
+COLUMNS = ["keys", "sources", "totals", "docs"]
 FREQUENCIES = "lang string, term string, sources array<string>, totals array<bigint>"
 
 
@@ -67,27 +70,46 @@ class Block:
         docs.update(set(terms))
         return len(docs) - before
 
-    def runs(self, shards: int) -> Iterator[tuple[int, list[tuple]]]:
-        """Segments of the block's sorted run of every shard: language, term, source, occurrences, documents."""
-        cut = defaultdict(list)
-        for (lang, source), docs in self.docs.items():
-            totals, salt = self.totals[lang, source], lang.encode() + b" "
-            for term, n in docs.items():
-                cut[xxhash.xxh64_intdigest(salt + term) % shards].append((lang, term.decode(), source, totals[term], n))
-        for shard, postings in cut.items():
-            postings.sort()
-            for start in range(0, len(postings), SEGMENT):
-                yield shard, postings[start : start + SEGMENT]
+    def runs(self, shards: int) -> Iterator[tuple[int, pa.Table]]:
+        """Segments of the block's run of every shard, in the order of keys (language, then term)."""
+        keys: list[bytes] = []
+        codes: list[int] = []
+        totals, docs, groups, sources = [], [], [], []
+        for (lang, source), counted in self.docs.items():
+            start = lang.encode() + _END
+            seed = zlib.crc32(start)
+            keys += [start + term for term in counted]
+            codes += [zlib.crc32(term, seed) for term in counted]
+            own = self.totals[lang, source]
+            totals.append(np.fromiter(map(own.__getitem__, counted), np.int64, len(counted)))
+            docs.append(np.fromiter(counted.values(), np.int64, len(counted)))
+            groups.append(np.full(len(counted), len(sources), np.int32))
+            sources.append(source)
+        if not keys:
+            return
+        names = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(groups)), pa.array(sources, pa.string())).cast(pa.string())
+        shard = np.array(codes, np.int64) % shards
+        columns = [pa.array(keys, pa.binary()), names, pa.array(np.concatenate(totals)), pa.array(np.concatenate(docs))]
+        postings = pa.table([pa.array(shard), *columns], names=["shard", *COLUMNS])
+        postings = postings.sort_by([("shard", "ascending"), ("keys", "ascending")]).combine_chunks()
+        numbers = postings.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts, cuts[1:]):
+            for start in range(a, b, SEGMENT):
+                yield int(numbers[a]), postings.slice(start, min(SEGMENT, b - start)).select(COLUMNS)
 
 
 def sorted_runs(documents: DataFrame, shards: int) -> DataFrame:
-    """Runs of `lang`, `source`, `text` in segments, each with its shard and first term."""
+    """Runs of `lang`, `source`, `text` in segments, each with its shard and first key."""
 
     def rows(block: Block) -> Iterator[pa.RecordBatch]:
-        for shard, postings in block.runs(shards):
-            columns = [pa.array([column], kind) for column, kind in zip(zip(*postings, strict=True), KINDS, strict=True)]
-            first = [pa.array([shard], pa.int32()), pa.array([postings[0][0]]), pa.array([postings[0][1]])]
-            yield pa.RecordBatch.from_arrays(first + columns, names=["shard", "first_lang", "first_term", *COLUMNS])
+        for shard, segment in block.runs(shards):
+            lists = []
+            for column in segment.columns:
+                values = column.combine_chunks()
+                lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            first = [pa.array([shard], pa.int32()), segment.column("keys").slice(0, 1).combine_chunks()]
+            yield pa.RecordBatch.from_arrays(first + lists, names=["shard", "first", *COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = Block(), 0
@@ -103,68 +125,71 @@ def sorted_runs(documents: DataFrame, shards: int) -> DataFrame:
     return documents.select("lang", "source", "text").mapInArrow(run, RUNS)
 
 
-def merged_runs(segments: Iterator[tuple[tuple[str, str], list]]) -> Iterator[tuple[str, str, str, int, int]]:
-    """Postings of many sorted segments in one order; the segments come in the order of their first terms.
+def merged_runs(segments: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Postings of sorted segments that come in the order of their first keys; all postings of a key come together.
 
-    A segment joins the heap when the merge has come up to its first term, so the heap holds only segments that overlap.
+    Segments lie in a heap by the first key they have left. When enough postings are held, those below the first key of the
+    segment that comes next are complete: their segments are taken from the heap and cut there.
     """
-    heap: list = []
-    number = 0
-
-    def up_to(limit) -> Iterator[tuple]:
-        while heap and (limit is None or heap[0][0][:2] < limit):
-            posting, order, rest = heap[0]
-            yield posting
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (following, order, rest))
-
-    for first, postings in segments:
-        yield from up_to(first)
-        rest = iter(postings)
-        heapq.heappush(heap, (next(rest), number, rest))
+    heap: list[tuple[bytes, int, pa.Table]] = []
+    held = number = 0
+
+    def below(limit: bytes | None) -> Iterator[pa.Table]:
+        nonlocal held, number
+        parts = []
+        while heap and (limit is None or heap[0][0] < limit):
+            _, _, segment = heapq.heappop(heap)
+            keys = segment.column("keys")
+            cut = len(keys) if limit is None else bisect_left(range(len(keys)), limit, key=lambda i: keys[i].as_py())
+            parts.append(segment.slice(0, cut))
+            held -= cut
+            if cut < len(keys):
+                heapq.heappush(heap, (keys[cut].as_py(), number, segment.slice(cut)))
+                number += 1
+        if parts:
+            yield pa.concat_tables(parts)
+
+    for segment in segments:
+        first = segment.column("keys")[0].as_py()
+        if held >= MERGED_POSTINGS:
+            yield from below(first)
+        heapq.heappush(heap, (first, number, segment))
         number += 1
-    yield from up_to(None)
+        held += segment.num_rows
+    yield from below(None)
+
+
+def kept_terms(postings: pa.Table, least: int) -> pa.Table:
+    """Occurrences by key and source of the keys that enough documents have."""
+    docs = postings.group_by("keys").aggregate([("docs", "sum")])
+    kept = docs.filter(pc.greater_equal(docs.column("docs_sum"), least)).column("keys")
+    return postings.filter(pc.is_in(postings.column("keys"), kept)).group_by(["keys", "sources"]).aggregate([("totals", "sum")])
 
 
-def term_frequencies(runs: DataFrame, shards: int, least: int) -> DataFrame:
+def term_frequencies(runs: DataFrame, partitions: int, least: int) -> DataFrame:
     """`lang`, `term`, `sources`, `totals` of the terms that occur in at least `least` documents of the language."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[str, str], list]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                columns = [batch.column(name)[i].values.to_pylist() for name in COLUMNS]
-                first = (batch.column("first_lang")[i].as_py(), batch.column("first_term")[i].as_py())
-                yield batch.column("shard")[i].as_py(), first, list(zip(*columns, strict=True))
+                yield batch.column("shard")[i].as_py(), pa.table([batch.column(name)[i].values for name in COLUMNS], names=COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [], [])
-
-        def batch_of() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["lang", "term", "sources", "totals"])
-            for column in out:
-                column.clear()
-            return made
-
         for _, segments in groupby(read(batches), key=lambda row: row[0]):
-            merged = merged_runs((first, postings) for _, first, postings in segments)
-            for (lang, term), own in groupby(merged, key=lambda p: p[:2]):
-                totals: dict[str, int] = {}
-                docs = 0
-                for _, _, source, total, n in own:
-                    totals[source] = totals.get(source, 0) + total
-                    docs += n
-                if docs >= least:
-                    for column, value in zip(out, (lang, term, list(totals), list(totals.values())), strict=True):
-                        column.append(value)
-                    if len(out[0]) >= SEGMENT:
-                        yield batch_of()
-        yield batch_of()
-
-    dealt = runs.repartition(shards, "shard").sortWithinPartitions("shard", "first_lang", "first_term")
+            for postings in merged_runs(segment for _, segment in segments):
+                found = kept_terms(postings, least).sort_by([("keys", "ascending"), ("sources", "ascending")]).combine_chunks()
+                if found.num_rows:
+                    keys = found.column("keys").combine_chunks()
+                    starts = np.flatnonzero(np.append(True, pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)))
+                    offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+                    names = [key.rpartition(_END) for key in keys.take(pa.array(starts)).to_pylist()]
+                    lists = [pa.ListArray.from_arrays(offsets, found.column(c).combine_chunks()) for c in ("sources", "totals_sum")]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang.decode() for lang, _, _ in names]), pa.array([term.decode() for _, _, term in names]), *lists],
+                        names=["lang", "term", "sources", "totals"],
+                    )
+
+    dealt = runs.repartition(partitions, "shard").sortWithinPartitions("shard", "first")
     return dealt.mapInArrow(run, FREQUENCIES)
 
 
@@ -299,8 +324,8 @@ def source_divergence(
     """
     spark = documents.sparkSession
     given = documents.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequencies = stored(term_frequencies(sorted_runs(given, shards), shards, least), "term-frequencies")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequencies = stored(term_frequencies(sorted_runs(given, SHARDS_EACH * partitions), partitions, least), "term-frequencies")
 
     each = frequencies.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("c")).groupBy("lang", F.col("c.sources").alias("source"))
     counted = each.agg(F.sum("c.totals").alias("total"))
