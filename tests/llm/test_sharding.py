@@ -9,17 +9,19 @@ from tillsight.llm import sharding
 
 
 def plain(rows, shards):
+    """Id, size, checksum and shard of every row, in the order of keys; copies follow each other."""
+
     def key(row):
         return hashlib.md5(f"{'' if row[0] is None else row[0]}:{row[1] or ''}".encode()).hexdigest()
 
-    sizes = defaultdict(int)
-    for row in rows:
-        sizes[key(row)] += len((row[1] or "").encode()) + 16
-    total, below, shard = sum(sizes.values()), 0, {}
-    for k in sorted(sizes):
-        shard[k] = below * shards // total
-        below += sizes[k]
-    return sorted(((row[0], len((row[1] or "").encode()) + 16, zlib.crc32((row[1] or "").encode()), shard[key(row)]) for row in rows), key=repr)
+    def size(row):
+        return len((row[1] or "").encode()) + 16
+
+    total, below, found = sum(map(size, rows)), 0, []
+    for row in sorted(rows, key=key):
+        found.append((row[0], size(row), zlib.crc32((row[1] or "").encode()), below * shards // total))
+        below += size(row)
+    return sorted(found, key=repr)
 
 
 def check(spark, rows, shards=40, tolerance=0):
@@ -63,6 +65,29 @@ def test_tolerance_is_met(spark):
         assert abs(below - (k + 1) * total / 8) <= tolerance + 66
 
 
+@pytest.mark.parametrize("runs", [4096, 100])
+def test_repeated_rows_are_spread(spark, monkeypatch, runs):
+    """A third of the rows are one row: every shard is used, and their bytes differ by a row at most."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", runs)
+    text = "the same row " * 10
+    rows = [(k, "w" * (k % 200)) for k in range(6000)] + [(None, text)] * 3000 + [(7, "twice")] * 2 + [(8, None)] * 150
+    found = check(spark, rows)
+    sums = defaultdict(int)
+    for r in found:
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 40 and max(sums.values()) - min(sums.values()) <= 2 * max(len(text) + 16, 216)
+
+
+def test_slots_follow_the_order_of_keys(spark, monkeypatch):
+    """Hot keys in one run with others, below and above them."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", 5)
+    monkeypatch.setattr(sharding, "_run_digits", lambda rows: 1)
+    rows = [(k, "x") for k in range(40)] + [(100, "a")] * 20 + [(101, "b")] * 30 + [(102, "c")] * 7
+    found = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    slots = sorted((r["shard"], r["slot"], hashlib.md5(f"{r['doc_id']}:{r['text']}".encode()).hexdigest()) for r in sharding.into_shards(found, 3).collect())
+    assert [k for *_, k in slots] == sorted(k for *_, k in slots)
+
+
 def test_edges(edge, nothing):
     found = sharding.into_shards(edge)
     assert found.columns.count("shard") == 1 and "row" in found.columns and found.count() == 11
