@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tillsight.llm import language
 from tillsight.llm.common import crc_fold
@@ -50,6 +51,31 @@ def test_held_out_accuracy_and_rejection(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_a_hot_row_leaves_no_language_out(spark, parts):
+    german = [(k, f"der Hund und die Katze gehen nicht in das Haus {k}", "de") for k in range(400)]
+    english = [(1000 + k, f"the dog and the cat do not go into the house {k}", "en") for k in range(400)]
+    hot = [(5000 + k, "the same english row over and over again", "en") for k in range(4000)]
+    rows = spark.createDataFrame(german + english + hot, "doc_id int, text string, lang string").repartition(parts)
+    model = language.train(rows, per_language=50)
+    assert model.languages == ["de", "en"]
+    assert model.predict(b"und die Katze ist nicht der Hund")[0] == "de" and model.predict(b"the cat is not the dog")[0] == "en"
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda sample: seen.append(sample) or language.LanguageModel())
+    rows = [(k, " ".join(f"{w}{k}x{i}" for i in range(300)), lang) for k in range(40) for w, lang in (("a", "x"), ("b", "y"))]
+    rows += [(99, "short text", "z"), (1, "same text", "z"), (2, "same text", "z")]
+    known = spark.createDataFrame([(3 * i + 1, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id int, text string, lang string")
+    language.train(known, most_bytes=60_000)
+    sizes = {lang: sum(8 * len(b) for b, _, name in seen[0] if name == lang) for lang in "xyz"}
+    assert 0 < sizes["x"] <= 20_000 and 0 < sizes["y"] <= 20_000 and sizes["z"] > 0
+    assert sum(name == "z" for *_, name in seen[0]) <= 2
+    language.train(known, most_bytes=1)
+    assert sorted(name for *_, name in seen[1]) == ["x", "y", "z"]
+
+
 def test_edges(spark, edge, nothing):
     rows = [(k, t, lang) for k in range(60) for t, lang in [(f"the thing of that {k}", "en"), (f"que los niños son {k}", "es")]]
     known = spark.createDataFrame([(2 * i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id int, text string, lang string")

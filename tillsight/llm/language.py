@@ -13,14 +13,17 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillsight.llm.common import fold, map_texts, table
+from tillsight.plans.shared import stored
 
 BUCKETS = 1 << 15
 WIDTH = 16
 SIZES = (2, 3, 4)
-#: Documents a language is learnt from, about; the whole sample has at most twice as many for each language.
+#: Distinct texts a language is learnt from, about (never more than twice as many), and bytes of n-gram counts in the whole sample.
 SAMPLE_PER_LANGUAGE = 800
+SAMPLE_BYTES = 128 << 20
 EPOCHS = 8
 RATE = 0.5
 DECAY = 1e-4
@@ -160,20 +163,27 @@ def train(
     lang: str = "lang",
     held_out: tuple[int, int] = (5, 0),
     per_language: int = SAMPLE_PER_LANGUAGE,
+    most_bytes: int = SAMPLE_BYTES,
 ) -> LanguageModel:
     """Fit on a bounded sample outside the held-out fold (modulus, remainder of crc32 of the id).
 
-    Languages are counted over all rows, then about `per_language` rows of each are drawn by a hash of id and text,
-    at most twice as many in all. Rows without id, language or letters are not learnt from. Without any row the
-    model knows no language and answers `und`.
+    A text that is repeated within a language counts once. Distinct texts are counted per language, and about `per_language` of
+    each, at most twice as many, are drawn by the smallest hashes of their texts, whatever the other languages have. Of the
+    n-gram counts made from them each language brings at most its share of `most_bytes` to the driver, one text at
+    least. Rows without id, language or letters are not learnt from. Without any row the model knows no language and
+    answers `und`.
     """
     modulus, remainder = held_out
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id"), modulus) != remainder))
-    counts = rows.groupBy("lang").count().withColumn("drawn", F.lit(float(per_language)) / F.col("count")).drop("count")
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    languages = counts.count()
-    drawn = rows.join(F.broadcast(counts), "lang").where(draw < F.col("drawn")).limit(2 * per_language * max(languages, 1))
+    rows = rows.withColumn("hash", F.xxhash64("text")).select("lang", "hash", "text")
+    # One row per language: the share of hashes that holds about the wanted number of distinct texts.
+    shares = rows.groupBy("lang").agg((F.lit(1.25 * per_language) / F.approx_count_distinct("hash")).alias("share"))
+    shares = stored(shares, "language-shares")
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    once = rows.join(shares, "lang").where(place < F.col("share")).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash")
+    drawn = once.withColumn("number", F.row_number().over(by_hash)).where(F.col("number") <= 2 * per_language)
 
     def make():
         def compute(texts):
@@ -191,9 +201,13 @@ def train(
 
         return compute
 
-    found = map_texts(drawn, "text", "buckets binary", make, ["id", "lang"]).where("buckets is not null")
+    found = stored(map_texts(drawn, "text", "buckets binary", make, ["lang", "number"]).where("buckets is not null"), "language-sample")
+    languages = found.select("lang").distinct().count()
+    held = F.sum(F.octet_length("buckets").cast("bigint")).over(Window.partitionBy("lang").orderBy("number"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("number")) == 1
+    sent = found.withColumns({"held": held, "first": first}).where((F.col("held") * max(languages, 1) <= most_bytes) | F.col("first"))
     sample = []
-    for row in sorted(found.collect(), key=lambda r: (str(r["id"]), r["lang"], bytes(r["buckets"]))):
+    for row in sorted(sent.select("lang", "number", "buckets").collect()):
         used, often = np.frombuffer(bytes(row["buckets"]), np.uint32).reshape(2, -1)
         sample.append((used.astype(np.int64), often.astype(np.float64), row["lang"]))
     return fit(sample)
