@@ -1,44 +1,46 @@
 """Language-model scores of documents.
 
-A log-bilinear model gives the chance of a token after the token before it. Every token of the training texts has two
-vectors, one as the token before and one as the token after, learnt with noise-contrastive estimation on the counts of
-all neighbouring pairs. The chances are normalised over a binary tree on all tokens in the order of their counts,
-which grows with the vocabulary. Only tokens not seen in training share classes by their hash.
+A log-bilinear model gives the chance of a token's class after the class of the token before it: both classes have a vector, learnt
+with noise-contrastive estimation on the counts of all neighbouring pairs, and batched products of the vectors are
+normalised over all classes. Within its class a token has its share of the count, and tokens never seen have a share that
+follows from the tokens seen once. The most frequent tokens are classes of their own, the others go by their endings; the number
+of classes grows with the root of the vocabulary, so the table of pairs never outgrows it.
+
+Counts of tokens stay a table: texts are dealt into pieces, each piece asks for the counts of its distinct tokens, and the
+answers meet the texts again by piece. No task and not the driver holds the vocabulary.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tillsight.llm.common import fold, map_texts, pieces, table
+from tillsight.llm.common import fold, pieces, table
 from tillsight.plans.shared import stored
-
-#: Classes the vectors start from: the most frequent tokens and bands of counts for all others. Unseen tokens share SHARED classes.
-CLASSES = 512
-SHARED = 128
-#: Tokens `frequent` returns at most; the model itself knows all tokens.
-KNOWN_TOKENS = 200_000
-#: Distinct tokens a task counts before it passes them on.
-COUNTED = 300_000
+from tillsight.session import size_shuffles
+
+#: Bytes of text of a piece; a longer text is a piece of its own.
+PIECE = 8 << 20
+#: Classes: the root of the number of distinct tokens within these bounds; OTHERS of them take tokens by their last byte.
+LEAST_CLASSES, MOST_CLASSES = 64, 2048
+OTHERS = 16
+ENDING = 3
 WIDTH = 24
 NOISE = 8
-EPOCHS = 200
-#: Steps of a fit of token vectors, tokens that stand for the noise in it, and the weight of a vector against its pairs.
-STEPS = 15
-BACKGROUND = 128
-PENALTY = 2.0
-#: Pairs a task fits at once (a token with more is still fitted whole); it counts 32 times as many neighbours at once.
-HELD_PAIRS = 1 << 17
+EPOCHS = 150
 RATE = 0.05
 SEED = 42
+#: Unseen tokens of a class count at least as much as this part of one token.
+LEAST_UNSEEN = 0.5
 
 END = b""
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -51,61 +53,9 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return tokens
 
 
-def shared_class(token: bytes) -> int:
-    """The class of a token that has none of its own, as `shared_class_column` gives it."""
-    digest = xxhash.xxh64_intdigest(token, SEED)
-    return CLASSES - SHARED + (digest - (1 << 64) if digest >> 63 else digest) % SHARED
-
-
-def shared_class_column(token: str):
-    return F.pmod(F.xxhash64(token), F.lit(SHARED)) + (CLASSES - SHARED)
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """`token`, `count` over all rows of a table with the one column `text`; the end is the empty token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def counted() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "count"]
-            )
-            counts.clear()
-            return found
-
-        for batch in batches:
-            for _, values in pieces(batch, 0):
-                for value in values:
-                    counts.update(tokens_of(value))
-                if len(counts) > COUNTED:
-                    yield counted()
-        if counts:
-            yield counted()
-
-    return texts.mapInArrow(run, "token binary, count bigint").groupBy("token").agg(F.sum("count").alias("count"))
-
-
-@dataclass
-class Vocabulary:
-    """All tokens of the training texts by hash; an id is the place by count, the most frequent first."""
-
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray  # of `hashes`
-    counts: np.ndarray  # by id
-
-    def places(self, tokens: list[bytes]) -> np.ndarray:
-        """The ids of tokens, -1 for one not seen."""
-        hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in tokens], np.uint64).view(np.int64)
-        if not len(self.hashes):
-            return np.full(len(tokens), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at].astype(np.int64), -1)
-
-
 def numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct tokens of texts, all tokens as places among them, and how many each text has."""
-    seen: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {END: 0}
     sizes, line = [], []
     for text in texts:
         tokens = tokens_of(text)
@@ -122,143 +72,130 @@ def after_ends(line: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def vocabulary_of(counts: DataFrame) -> Vocabulary:
-    found = counts.select(F.xxhash64("token").alias("hash"), "count").toArrow()
-    hashes, totals = found.column("hash").to_numpy(), found.column("count").to_numpy()
-    order = np.lexsort((hashes, -totals))
-    ids = np.empty(len(order), np.int32)
-    ids[order] = np.arange(len(order))
-    by_hash = np.argsort(hashes)
-    return Vocabulary(hashes[by_hash], ids[by_hash], totals[order])
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t, SEED) for t in tokens], np.uint64).view(np.int64)
 
 
-def token_pairs(texts: DataFrame, vocabulary) -> DataFrame:
-    """`before`, `after` (ids) and `n`, how often they are neighbours over all rows."""
+def endings_of(tokens: list[bytes]) -> np.ndarray:
+    """The last bytes of each token as a number; the empty token has 0."""
+    return np.array([int.from_bytes(t[-ENDING:]) for t in tokens], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        end = int(known.places([END])[0])
-        held: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))],
-                names=["before", "after", "n"],
-            )
 
-        for batch in batches:
-            for _, values in pieces(batch, 0):
-                tokens, line, sizes = numbered(values)
-                after = known.places(tokens)[line]
-                held.append((after_ends(after, sizes, end) << 32) | after)
-                if sum(map(len, held)) > 32 * HELD_PAIRS:
-                    yield counted()
-        if held:
-            yield counted()
+def dealt(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int]) -> DataFrame:
+    """`piece`, `doc_id`, `held` (null where the id is), `text`: every row in a piece of bounded text, stored."""
+    modulus, remainder = held_out
+    value = F.col(f"`{doc_id}`")
+    rows = documents.select(value.alias("doc_id"), (fold(value, modulus) == remainder).alias("held"), F.col(f"`{text}`").cast("string").alias("text"))
 
-    return texts.mapInArrow(run, "before int, after int, n bigint").groupBy("before", "after").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part, _ in pieces(batch, 2):
+                numbers = pa.array(np.full(part.num_rows, piece, np.int64))
+                yield pa.RecordBatch.from_arrays([numbers, *part.columns], names=["piece", "doc_id", "held", "text"])
+                filled += pc.sum(pc.binary_length(part.column(2))).as_py() or 0
+                if filled >= PIECE:
+                    piece, filled = piece + 1, 0
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stored(rows.mapInArrow(run, f"piece bigint, doc_id {kind}, held boolean, text string"), "dealt-texts")
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes | None], np.ndarray]]:
+    """Piece, texts and learnt-from flags of each stretch of rows of one piece."""
+    for batch in batches:
+        for part, texts in pieces(batch, batch.num_columns - 1):
+            numbers = part.column("piece").to_numpy()
+            learnt = pc.fill_null(pc.invert(part.column("held")), False).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield int(numbers[a]), texts[a:b], learnt[a:b]
+
+
+def counted_tokens(texts: DataFrame) -> DataFrame:
+    """`piece`, `hash`, `ending`, `own` (occurrences there in texts learnt from), `total` (over all), `first`, stored.
+
+    A row for each distinct token of a piece, so no token has more rows than there are pieces; the totals come by a window
+    over the tokens, with one exchange. `first` marks one row of each token.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, values, learnt in _by_piece(batches):
+            tokens, line, sizes = numbered(values)
+            weights = np.repeat(learnt, sizes)
+            own = np.bincount(line, weights, minlength=len(tokens)).astype(np.int64)
+            columns = [np.full(len(tokens), piece, np.int64), hashes_of(tokens), endings_of(tokens).astype(np.int32), own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["piece", "hash", "ending", "own"])
 
-def start_classes(count: int) -> np.ndarray:
-    """The class each id starts from: its own, or a band of the places by count."""
-    own = CLASSES - SHARED
-    ids = np.arange(count)
-    bands = np.floor(8 * np.log2(np.maximum(ids, own) / own)).astype(np.int64)
-    return np.where(ids < own, ids, own + np.minimum(bands, SHARED - 1))
+    rows = texts.select("piece", "held", "text").mapInArrow(run, "piece bigint, hash bigint, ending int, own bigint")
+    token = Window.partitionBy("hash")
+    found = rows.withColumns({"total": F.sum("own").over(token), "first": F.row_number().over(token.orderBy("piece")) == 1})
+    return stored(found, "token-counts")
 
 
-def class_pairs(pairs: DataFrame, count: int) -> np.ndarray:
-    """How often each start class follows each (rows: the one before), from the counted token pairs."""
+@dataclass
+class Classes:
+    """Which class a token belongs to: one of its own by hash, else by its ending, else by its last byte. Size: the classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = start_classes(count)
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            before, after, n = (batch.column(i).to_numpy() for i in range(3))
-            np.add.at(total, classes[before] * CLASSES + classes[after], n)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "count"])
+    own: np.ndarray  # hashes, sorted
+    endings: np.ndarray  # sorted
 
-    cells = pairs.mapInArrow(run, "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count"))
-    found = np.zeros(CLASSES * CLASSES)
-    for row in cells.collect():  # at most CLASSES squared
-        found[row["cell"]] = row["count"]
-    return found.reshape(CLASSES, CLASSES)
+    @property
+    def count(self) -> int:
+        return len(self.own) + len(self.endings) + OTHERS
 
+    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        found = len(self.own) + len(self.endings) + (endings & (OTHERS - 1))
+        for known, values, start in ((self.endings, endings, len(self.own)), (self.own, hashes, 0)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                found = np.where(known[at] == values, start + at, found)
+        return found
 
-def fit_tokens(starts: np.ndarray, others: np.ndarray, n: np.ndarray, vectors: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """A vector for each token: its pairs (from `starts` on, with `others`) against noise, `vectors` held.
 
-    With the log share of a token as its bias, the chance that a pair was seen is that of its product less log(NOISE).
-    The noise are tokens drawn by count. The fewer pairs, the nearer the vector stays to zero.
-    """
-    sizes = np.diff(np.append(starts, len(others)))
-    token = np.repeat(np.arange(len(starts)), sizes)
-    total = np.add.reduceat(n, starts).astype(np.float32)[:, None]
-    weights = (n / total[token, 0]).astype(np.float32)
-    beside = vectors[others].astype(np.float32)
-    noise = noise.astype(np.float32)
-    border = np.float32(np.log(NOISE))
-    result = np.zeros((len(starts), vectors.shape[1]), np.float32)
-    first, second = np.zeros_like(result), np.zeros_like(result)
-    for step in range(1, STEPS + 1):
-        seen = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", beside, result[token]) - border, -60, 60)))
-        slope = np.add.reduceat(beside * (weights * seen)[:, None], starts)
-        drawn = 1 / (1 + np.exp(np.clip(border - result @ noise.T, -60, 60)))
-        slope -= NOISE / len(noise) * (drawn @ noise) + PENALTY / (total + PENALTY) * result
-        first += 0.2 * (slope - first)
-        second += 0.1 * (slope**2 - second)
-        result += 0.3 * (1 - step / (STEPS + 1)) * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.9**step)) + 1e-4)
-    return result
-
-
-def token_vectors(pairs: DataFrame, side: str, other: str, vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Vectors of all tokens of the column `side` from those of the column `other`, fitted where a token's pairs lie."""
-    draw = np.random.default_rng(SEED).choice(len(counts), BACKGROUND, p=counts / counts.sum())
-    shared = pairs.sparkSession.sparkContext.broadcast((vectors, vectors[draw]))
+def classes_of(counts: DataFrame, distinct: int, learnt: int) -> Classes:
+    """Half of the classes are the most frequent tokens (seen twice at least), half the most frequent endings of the others."""
+    wanted = int(np.clip(np.sqrt(distinct), LEAST_CLASSES, MOST_CLASSES)) - OTHERS
+    seen = counts.where("first and total > 0")
+    end = int(hashes_of([END])[0])
+    often = [r["hash"] for r in seen.where("total > 1").orderBy(F.desc("total"), "hash").select("hash").limit(wanted // 2).collect()]
+    own = np.array(sorted({*often, end} if learnt else set()), np.int64)
+    rest = seen.where(~F.col("hash").isin(own.tolist())) if len(own) else seen
+    most = rest.groupBy("ending").agg(F.sum("total").alias("n")).orderBy(F.desc("n"), "ending").limit(wanted - wanted // 2)
+    return Classes(own, np.array(sorted(r["ending"] for r in most.collect()), np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, noise = shared.value
 
-        def fitted(ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            found = fit_tokens(starts, others, n, known, noise).astype(np.float16)
-            return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array([v.tobytes() for v in found], pa.binary())], names=["id", "vector"])
+def class_pairs(texts: DataFrame, classes: Classes) -> np.ndarray:
+    """How often each class follows each (rows: the one before) in the texts learnt from."""
+    size = classes.count
 
-        held: list[tuple] = []
-        rows = 0
-        for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
-            rows += batch.num_rows
-            if rows >= HELD_PAIRS:
-                ids, others, n = (np.concatenate(c) for c in zip(*held))
-                cut = int(np.searchsorted(ids, ids[-1]))  # the last token may go on
-                if cut:
-                    yield fitted(ids[:cut], others[:cut], n[:cut])
-                held, rows = [(ids[cut:], others[cut:], n[cut:])], len(ids) - cut
-        if rows:
-            yield fitted(*(np.concatenate(c) for c in zip(*held)))
-
-    laid = pairs.select(F.col(side).alias("id"), F.col(other).alias("other"), "n").repartition("id").sortWithinPartitions("id")
-    found = laid.mapInArrow(run, "id int, vector binary").toArrow()
-    shared.destroy()
-    result = np.zeros(vectors.shape, np.float16)
-    for ids, values in zip(found.column("id").chunks, found.column("vector").chunks):
-        if len(ids):
-            result[ids.to_numpy()] = np.frombuffer(b"".join(values.to_pylist()), np.float16).reshape(len(ids), -1)
-    return result
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size * size, np.int64)
+        for _, values, learnt in _by_piece(batches):
+            tokens, line, sizes = numbered([v for v, l in zip(values, learnt, strict=True) if l])
+            if len(line):
+                own = classes.of(hashes_of(tokens), endings_of(tokens))
+                after = own[line]
+                np.add.at(cells, after_ends(after, sizes, own[0]) * size + after, 1)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
+
+    found = texts.select("piece", "held", "text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    arrow = found.toArrow()  # at most MOST_CLASSES squared
+    total = np.zeros(size * size)
+    total[arrow.column("cell").to_numpy()] = arrow.column("n").to_numpy()
+    return total.reshape(size, size)
 
 
 def train_classes(pairs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Normalised natural-log chances (row: class before) of a log-bilinear model trained against noise.
+    """Natural-log chances (row: class before), normalised over all classes, of a log-bilinear model trained against noise.
 
     The noise is the classes' own distribution, NOISE draws for each pair seen; as all pairs are counted, their
     expectation stands in for single draws. Without any pair all classes are equally likely.
     """
     contexts, targets, bias = class_vectors(pairs, epochs)
-    scores = contexts @ targets.T + bias
+    scores = (contexts @ targets.T + bias).astype(np.float64)
     most = scores.max(axis=1, keepdims=True)
     return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
 
@@ -267,125 +204,86 @@ def class_vectors(pairs: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray,
     """The vectors of the class before and after and the bias, as `train_classes` learns them."""
     total = pairs.sum()
     draw = np.random.default_rng(11)
-    contexts, targets = draw.normal(0, 0.1, (len(pairs), WIDTH)), draw.normal(0, 0.1, (len(pairs), WIDTH))
+    contexts, targets = (draw.normal(0, 0.1, (len(pairs), WIDTH)).astype(np.float32) for _ in range(2))
     noise = (pairs.sum(axis=0) + 1) / (total + len(pairs))
-    bias = np.log(noise)
+    bias = np.log(noise).astype(np.float32)
     if total:
-        seen, drawn = pairs / total, NOISE * pairs.sum(axis=1, keepdims=True) / total * noise
-        border = np.log(NOISE * noise)
+        seen = (pairs / total).astype(np.float32)
+        drawn = (NOISE * pairs.sum(axis=1, keepdims=True) / total * noise).astype(np.float32)
+        border = np.log(NOISE * noise).astype(np.float32)
         values = [contexts, targets, bias]
         moments = [[np.zeros_like(v), np.zeros_like(v)] for v in values]
         for epoch in range(1, epochs + 1):
-            chance = 1 / (1 + np.exp(border - np.clip(contexts @ targets.T + bias, -60, 60)))
-            slope = drawn * chance - seen * (1 - chance)  # of the loss, by the score of each pair
+            slope = np.clip(contexts @ targets.T + bias, -60, 60)
+            slope = 1 / (1 + np.exp(border - slope))  # chance that a pair was seen
+            slope *= drawn + seen
+            slope -= seen  # of the loss, by the score of each pair: drawn * chance - seen * (1 - chance)
             for value, (first, second), gradient in zip(values, moments, (slope @ targets, slope.T @ contexts, slope.sum(axis=0))):
                 first += 0.1 * (gradient - first)
                 second += 0.01 * (gradient**2 - second)
-                value -= RATE * (1 - epoch / (epochs + 1)) * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-9)
+                value -= (RATE * (1 - epoch / (epochs + 1)) * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-9)).astype(np.float32)
     return contexts, targets, bias
 
 
-def frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent tokens, at most KNOWN_TOKENS: all whose count reaches a level.
-
-    Levels are steps of about four in a hundred; how many tokens each has is counted first, so that only the
-    chosen ones leave the tasks.
-    """
-    level = F.floor(F.log2("count") * 16)
-    lowest, total = None, 0
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        total += row["count"]
-        if total > KNOWN_TOKENS:
-            break
-        lowest = row["level"]
-    return counts.limit(0) if lowest is None else counts.where(level >= lowest)
-
-
-class TokenTree:
-    """A binary tree over all tokens by id, then the classes of unseen tokens, which together count as one token.
-
-    The odds of a node's halves are those of their counts (each plus one), changed by the product of the vector of the token before
-    and the difference of the halves' mean vectors. A leaf's chance is the product along its path, so they sum to one.
-    """
-
-    def __init__(self, counts: np.ndarray, contexts: np.ndarray, targets: np.ndarray):
-        self.seen, self.contexts = len(counts), contexts
-        self.depth = int(np.ceil(np.log2(len(counts) + SHARED)))
-        width = targets.shape[1]
-        weight = np.zeros(1 << self.depth)
-        weight[: self.seen] = counts + 1
-        weight[self.seen : self.seen + SHARED] = 1 / SHARED
-        sums = np.zeros((1 << self.depth, width), np.float32)
-        sums[: self.seen] = targets * weight[: self.seen, None]
-        self.nodes = np.zeros((1 << self.depth, width), np.float16)  # of node i the halves are 2i and 2i+1; the root is 1
-        self.bias = np.zeros(1 << self.depth, np.float32)
-        for level in range(self.depth - 1, -1, -1):
-            halves, means = weight.reshape(-1, 2), (sums / np.maximum(weight, 1e-9)[:, None]).reshape(-1, 2, width)
-            at = slice(1 << level, 2 << level)
-            there = halves[:, 1] > 0
-            self.nodes[at] = np.where(there[:, None], means[:, 1] - means[:, 0], 0)
-            self.bias[at] = np.log(np.maximum(halves[:, 1], 1e-30) / np.maximum(halves[:, 0], 1e-30))
-            self.bias[at][~there] = -1e4  # an empty half
-            weight, sums = halves.sum(axis=1), sums.reshape(-1, 2, width).sum(axis=1)
-
-    def chances(self, before: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each leaf after an id (-1: one not seen, which tells nothing)."""
-        total = np.zeros(len(leaves), np.float64)
-        for start in range(0, len(leaves), 1 << 16):
-            leaf, ahead = leaves[start : start + (1 << 16)], before[start : start + (1 << 16)]
-            vectors = self.contexts[ahead].astype(np.float32) if self.seen else np.zeros((len(leaf), self.nodes.shape[1]), np.float32)
-            vectors[ahead < 0] = 0
-            path = leaf + (1 << self.depth)
-            for level in range(self.depth, 0, -1):
-                node = path >> level
-                odds = np.einsum("ij,ij->i", self.nodes[node].astype(np.float32), vectors) + self.bias[node]
-                right = (path >> (level - 1)) & 1
-                total[start : start + len(leaf)] -= np.logaddexp(0, np.where(right, -odds, odds))
-        return total / np.log(10)
-
-
 @dataclass
-class TokenModel:
-    """What a task needs to score texts."""
+class ClassModel:
+    """What a task needs to score a piece beside the counts of its tokens; its size follows the number of classes."""
 
-    vocabulary: Vocabulary
-    tree: TokenTree
+    classes: Classes
+    chances: np.ndarray  # log10, class before by class
+    sizes: np.ndarray  # tokens learnt from, by class
+    unseen: np.ndarray  # what the unseen tokens of a class count together
     tokens: int
+    distinct: int
+
+    def shares(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of a token's chance within its class; an unseen token has the chance of all unseen ones of the class."""
+        whole = self.sizes + self.unseen
+        return np.log10(np.where(counts > 0, counts, self.unseen[classes]) / whole[classes])
 
-    def score(self, texts: list[bytes | None]) -> list[list]:
-        """Tokens, known tokens, base and model score of each text."""
+    def score(self, texts: list[bytes | None], hashes: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
+        """Tokens, known tokens, base and model score of each text; `hashes` are sorted and hold all tokens of the texts."""
         tokens, line, sizes = numbered(texts)
-        ids = self.vocabulary.places(tokens)
-        own = CLASSES - SHARED
-        leaves = np.array([i if i >= 0 else self.tree.seen + shared_class(t) - own for t, i in zip(tokens, ids.tolist())], np.int64)
-        counts = np.where(ids >= 0, self.vocabulary.counts[ids], 0) if self.tree.seen else np.zeros(len(ids))
-        base = np.log10(counts + 1) - np.log10(self.tokens + self.tree.seen + 1)
-        before = after_ends(ids[line], sizes, int(self.vocabulary.places([END])[0]))
-        # Each neighbouring pair of the texts once.
-        pairs, at = np.unique(((before + 1) << 32) | leaves[line], return_inverse=True)
-        chances = self.tree.chances((pairs >> 32) - 1, pairs & 0xFFFFFFFF)[at]
+        own = hashes_of(tokens)
+        counts = totals[np.searchsorted(hashes, own)]
+        classes = self.classes.of(own, endings_of(tokens))
+        base = np.log10(counts + 1) - np.log10(self.tokens + self.distinct + 1)
+        inside = self.shares(classes, counts)
+        after = classes[line]
+        model = self.chances[after_ends(after, sizes, classes[0]), after] + inside[line]
         starts = np.cumsum(sizes) - sizes
-        sums = [sizes, *(np.add.reduceat(v, starts) for v in ((ids >= 0).astype(np.int64)[line], base[line], chances))]
-        return [v.tolist() for v in sums]
+        return [sizes, *(np.add.reduceat(v, starts) for v in ((counts > 0).astype(np.int64)[line], base[line], model))]
 
 
-def train(documents: DataFrame, doc_id: str, text: str, held_out: tuple[int, int]) -> TokenModel:
-    """The model from all rows outside the held-out fold: vectors of all tokens, first from those of classes, then from each other."""
-    modulus, remainder = held_out
-    texts = documents.where(fold(F.col(f"`{doc_id}`"), modulus) != remainder).select(F.col(f"`{text}`").alias("text"))
-    vocabulary = vocabulary_of(token_counts(texts))
-    counts = vocabulary.counts
-    contexts = targets = np.zeros((len(counts), WIDTH), np.float16)
-    if len(counts):
-        shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
-        pairs = stored(token_pairs(texts, shared), "token-pairs")
-        shared.destroy()
-        start = class_vectors(class_pairs(pairs, len(counts)))[0][start_classes(len(counts))].astype(np.float32)
-        # A part of its own for each token, so that tokens of one class are told apart from the start.
-        start = (start + np.random.default_rng(SEED).normal(0, 0.5, start.shape)).astype(np.float16)
-        targets = token_vectors(pairs, "after", "before", start, counts)
-        contexts = token_vectors(pairs, "before", "after", targets, counts)
-    return TokenModel(vocabulary, TokenTree(counts, contexts, targets), int(counts.sum()))
+def unseen_counts(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """Tokens seen once, by class: they stand for those not seen. A class of one token has no others."""
+    once = counts.where("total = 1 and own = 1").groupBy("ending").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes.count, np.int64)
+        for batch in batches:
+            endings = batch.column(0).to_numpy().astype(np.int64)
+            # Tokens with classes of their own are seen twice at least, but for the end, whose ending no other token has.
+            np.add.at(total, classes.of(np.zeros(len(endings), np.int64), endings), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["class", "n"])
+
+    found = np.zeros(classes.count)
+    for row in once.mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        found[row["class"]] = row["n"]
+    found = np.maximum(found, LEAST_UNSEEN)
+    found[: len(classes.own)] = 0
+    return found
+
+
+def train(texts: DataFrame, counts: DataFrame) -> ClassModel:
+    """The model from the dealt texts and their counted tokens."""
+    seen = F.col("total") > 0
+    row = counts.agg(F.sum("own"), F.count_if(F.col("first") & seen)).first()
+    tokens, distinct = row[0] or 0, row[1] or 0
+    classes = classes_of(counts, distinct, tokens)
+    pairs = class_pairs(texts, classes)
+    chances = (train_classes(pairs) / np.log(10)).astype(np.float32)
+    return ClassModel(classes, chances, pairs.sum(axis=0), unseen_counts(counts, classes), tokens, distinct)
 
 
 PARTS = "n_tokens bigint, n_known bigint, base_score double, score double"
@@ -397,25 +295,37 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Learns from the rows outside the held-out fold (modulus, remainder of crc32 of the id). `base_score` is the sum of
     log10((c+1)/(N+V+1)) over the tokens, `score` the log10 chance of the text under the model; a token not
     seen in training has the chance of all unseen tokens of its class. A null or empty text has one token, the end.
-    A row without id is neither learnt from nor held out. Repeated rows count as often as they occur. Only the
-    two columns named are read; an empty table gives an empty result. Tokens are told apart by 64-bit hashes. The
-    counts and vectors of all tokens pass through the driver and are sent to every task; they grow with the vocabulary.
+    A row without id is neither learnt from nor held out. Repeated rows count as often as they occur. A very long text is
+    a piece of its own. Only the two columns named are read; an empty table gives an empty result. Tokens are told apart by
+    64-bit hashes. What the driver holds is bounded by MOST_CLASSES squared.
     """
-    rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model = train(rows, "doc_id", "text", held_out)
+    texts = dealt(documents, doc_id, text, held_out)
+    counts = counted_tokens(texts)
+    model = train(texts, counts)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    modulus, remainder = held_out
-    return map_texts(rows, "text", PARTS, lambda: shared.value.score, ["doc_id"]).select(
-        "doc_id",
-        F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        "base_score",
-        "score",
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in (("doc_id", rows.schema.field("doc_id").type), *NUMBERS)})
+        hashes, at = np.unique(known.column("hash").to_numpy(), return_index=True)
+        totals = known.column("total").to_numpy()[at]
+        values = rows.column("text").combine_chunks().cast(pa.binary()).to_pylist()
+        found = shared.value.score(values, hashes, totals)
+        held = pc.fill_null(rows.column("held"), False)
+        columns = [pa.array(v.astype(t.to_pandas_dtype())) for v, (_, t) in zip(found, NUMBERS[1:], strict=True)]
+        return pa.table([rows.column("doc_id"), held, *columns], names=["doc_id", *(n for n, _ in NUMBERS)])
+
+    scored = texts.groupBy("piece").cogroup(counts.select("piece", "hash", "total").groupBy("piece")).applyInArrow(
+        run, f"doc_id {kind}, held_out boolean, {PARTS}"
     )
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+NUMBERS = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and scores of every document."""
+    size_shuffles(spark, f"{sf_dir}/documents.parquet")
     return score_documents(table(spark, sf_dir, "documents"))
