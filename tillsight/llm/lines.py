@@ -1,9 +1,10 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join.
 
-The tokens of a line are the hashes of its five-word shingles, ordered by rarity: a token is as rare as the word it
-starts with, and words are counted over all lines. Lines that are similar enough share one of their first tokens. Lines
-that share none are done; the others are joined on them, the join is cut by length and position, and what is
-left is verified on whole token sets.
+The tokens of a line are the hashes of its five-word shingles. Lines that are similar enough share one of their first tokens in
+any order common to all. Lines that share none are done: this first cut takes a token to be as rare as the word it starts with,
+words being counted over all lines. The tokens of the lines that remain are counted themselves and ordered by rarity; the lines
+are joined on their first ones, the join is cut by length, position and a bitmap of the tokens, and what is left is verified on
+whole token sets.
 """
 
 from __future__ import annotations
@@ -118,17 +119,19 @@ def _fits(a: str, b: str, similarity: Fraction) -> Column:
 
 
 def first_tokens(ranked: DataFrame, similarity: Fraction) -> DataFrame:
-    """`key`, `n`, `held` (tokens kept of n) and `first`, the tokens one of which any similar enough line shares."""
+    """`held` (tokens kept of n) and `first`, the tokens one of which any similar enough line shares, in place of `tokens`."""
     held, n = F.size("tokens"), F.col("n")
-    return ranked.select("key", "n", held.alias("held"), F.slice("tokens", 1, held - least_shared(n, similarity) + 1).alias("first"))
+    first = F.slice("tokens", 1, held - least_shared(n, similarity) + 1)
+    return ranked.select(*(c for c in ranked.columns if c != "tokens"), held.alias("held"), first.alias("first"))
 
 
-def placed_tokens(first: DataFrame) -> DataFrame:
+def placed_tokens(first: DataFrame, *more: str) -> DataFrame:
     """A row for each of the first tokens: `lost` of the line's tokens are not kept, `left` are from this one on."""
     # outer: a plain explode is given a filter on its array, for which all steps above would be computed again. No
     # line is without tokens, so both give the same rows.
-    rows = first.select("key", "n", "held", F.posexplode_outer("first").alias("pos", "token"))
-    return rows.select("key", "n", (F.col("n") - F.col("held")).alias("lost"), (F.col("held") - F.col("pos")).alias("left"), "token")
+    rows = first.select("key", "n", "held", *more, F.posexplode_outer("first").alias("pos", "token"))
+    lost, left = F.col("n") - F.col("held"), F.col("held") - F.col("pos")
+    return rows.select("key", "n", lost.alias("lost"), left.alias("left"), "token", *more)
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> DataFrame:
@@ -140,42 +143,58 @@ def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> Data
 
 
 def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """`key`, `n`, `tokens` of the distinct lines that can have a similar enough partner.
+    """`key`, `n`, `tokens`, `bits0`, `bits1` of the distinct lines that can have a similar enough partner.
 
-    First the lines that meet another in one of their rarest tokens, where lengths and places allow enough shared
-    ones. Of these only the tokens are kept that any other of them has (`n` counts all), and only lines of which enough
-    are left: near copies that differ too much drop out here, before they are paired.
+    First the lines that meet another in one of the tokens that start with their rarest words, where lengths and places allow
+    enough shared ones. Of these all tokens are counted: `tokens` holds those that another of them has, rarest first (`n`
+    counts all), and only lines of which enough are left go on. The bits tell which tokens a line can have.
     """
     levels = word_levels(lines)
     # Copies of a line are folded before its tokens meet others.
     once = first_tokens(ranked_tokens(lines, size, levels), similarity).groupBy("key").agg(
         F.first(F.struct("n", "held", "first")).alias("line")
     )
-    met = _with_partner(placed_tokens(once.select("key", "line.*")), _fits("x", "y", similarity))
+    placed = placed_tokens(once.select("key", "line.*"))
+    # One exchange serves both sides; a row is done with its first partner.
+    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key")) & _fits("x", "y", similarity)
+    met = placed.alias("x").join(placed.alias("y"), other, "left_semi")
     keys = sent_if_small(stored(met.select("key").distinct(), "contested-keys"))
     again = lines.select("key", "line").join(keys, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    tokens = ranked_tokens(again, size, levels).select("key", "n", F.explode_outer("tokens").alias("token"))
-    common = _with_partner(tokens).groupBy("key", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    return stored(common.where(F.size("tokens") >= least_shared(F.col("n"), similarity)), "contested-lines")
+    tokens = stored(ranked_tokens(again, size, levels).select("key", "n", F.explode_outer("tokens").alias("token")), "contested-tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1")
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    upper = F.col("token").bitwiseAND(F.lit(64)) != 0
+    common = tokens.join(counts, "token").groupBy("key", "n").agg(
+        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("ordered"),
+        F.coalesce(F.bit_or(F.when(~upper, bit)), F.lit(0)).alias("bits0"),
+        F.coalesce(F.bit_or(F.when(upper, bit)), F.lit(0)).alias("bits1"),
+    )
+    held = common.where(F.size("ordered") >= least_shared(F.col("n"), similarity))
+    return stored(held.select("key", "n", F.transform("ordered", lambda t: t["token"]).alias("tokens"), "bits0", "bits1"), "contested-lines")
+
+
+def _can_share(similarity: Fraction) -> Column:
+    """Enough shared tokens as far as the lines' bits tell: a bit that only one line has stands for a token the other lacks."""
 
+    def most(one: str, other: str) -> Column:
+        lacking = (F.bit_count(F.col(f"{one}.{b}").bitwiseAND(F.bitwise_not(f"{other}.{b}"))) for b in ("bits0", "bits1"))
+        return F.col(f"{one}.n") - F.col(f"{one}.lost") - sum(lacking)
 
-def _with_partner(rows: DataFrame, fits: Column | None = None) -> DataFrame:
-    """Rows whose token another line has too. One exchange serves both sides; a row is done with its first partner."""
-    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key"))
-    return rows.alias("x").join(rows.alias("y"), other if fits is None else other & fits, "left_semi")
+    return _enough(F.least(most("x", "y"), most("y", "x")), F.col("x.n"), F.col("y.n"), similarity)
 
 
 def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, similarity: Fraction) -> DataFrame:
     """`key`, `component` of the lines that are similar to another line, over any number of links."""
     ranked = contested_lines(lines_of(documents, doc_id, text), size, similarity)
-    placed = placed_tokens(first_tokens(ranked, similarity))
-    hub = F.min(F.struct("lost", "left", "n", "key")).alias("hub")
+    placed = placed_tokens(first_tokens(ranked, similarity), "bits0", "bits1")
+    hub = F.min(F.struct("lost", "left", "n", "key", "bits0", "bits1")).alias("hub")
     met = placed.groupBy("token").agg(F.count("*").alias("lines"), hub).where("lines > 1")
     met = stored(met.select("token", "hub.*"), "meeting-tokens")
+    possible = _fits("x", "y", similarity) & _can_share(similarity)
     # Every line against the line that shares most of itself: this links a group of near copies without forming
     # its pairs.
     star = (
-        placed.alias("x").join(met.alias("y"), "token").where(F.col("x.key") != F.col("y.key")).where(_fits("x", "y", similarity))
+        placed.alias("x").join(met.alias("y"), "token").where(F.col("x.key") != F.col("y.key")).where(possible)
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     )
     links = stored(_verified(star, ranked, similarity), "line-links")
@@ -186,7 +205,7 @@ def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, simila
     rest = stored(labelled.join(open_tokens.select("token"), "token", "left_semi"), "open-lines")
     apart = (
         rest.alias("x").join(rest.alias("y"), "token")
-        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _fits("x", "y", similarity))
+        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible)
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     )
     more = stored(_verified(apart, ranked, similarity), "line-links")
