@@ -18,11 +18,11 @@ def plain(text, templates, phrases=licenses.PHRASES, least=0.9):
         for i in range(len(whole))
         if whole[i : i + len(phrase.split())] == phrase.split()
     ]
-    shares = [
-        (len(set(words(block)) & set(licenses.template_words(t))) / len(licenses.template_words(t)), label)
-        for block in (text or "").split("\n")
-        for label, t in templates
-    ]
+    shares = []
+    for label, t in templates:
+        parts = set(licenses.template_words(t))
+        span = len(words(t)) + math.ceil(len(words(t)) / 10)
+        shares += [(len(set(whole[i : i + span]) & parts) / len(parts), label) for i in range(len(whole))]
     held = [(s, label) for s, label in shares if s >= least - 1e-12]
     base = sorted({label for _, label in places})
     starts = [i for i, _ in places]
@@ -62,28 +62,6 @@ def test_edges(edge, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
-def by_windows(text, templates, least):
-    """Labels by lines and, over all windows, by words and neighbouring words."""
-    def words(t):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
-
-    found, best, whole = set(), 0.0, words(text)
-    for label, t in templates:
-        run, parts = words(t), set(words(t))
-        pairs = set(zip(run, run[1:]))
-        span = len(run) + math.ceil(len(run) / 10)
-        blocks = [b for b in map(words, text.split("\n")) if len(b) <= licenses.LINE_WORDS]
-        for i in range(len(whole)):
-            window = whole[i : i + span]
-            if len(pairs & set(zip(window, window[1:]))) >= max(2 * least - 1, 0.5) * len(pairs) - 1e-9:
-                blocks.append(window)
-        share = max((len(parts & set(b)) / len(parts) for b in blocks), default=0.0)
-        if share >= least - 1e-12:
-            found.add(label)
-            best = max(best, share)
-    return ",".join(sorted(found)), best
-
-
 def test_wrapped_notices_and_long_lines(spark):
     draw = random.Random(5)
     filler = [f"w{k}" for k in range(300)] + ["the", "of", "or", "and", "to", "in"]
@@ -102,8 +80,15 @@ def test_wrapped_notices_and_long_lines(spark):
         (900, " ".join(scattered)),
         (901, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
     ]
-    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), phrases={"no phrase": "none"}).collect()}
+    mpl = next(t for label, t in licenses.TEMPLATES if label == "mpl").split()
+    draw.shuffle(mpl)
+    for length in (64, 65, 400):  # the length of a line says nothing
+        rows.append((1000 + length, " ".join(draw.choices(filler, k=20) + mpl + draw.choices(filler, k=length - 20 - len(mpl)))))
+        rows.append((2000 + length, " ".join(draw.choices(filler, k=length - 6) + "Released under the new BSD License".split())))
+    phrases = {"no phrase": "none"}
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), phrases=phrases).collect()}
     for k, text in rows:
-        assert (found[k]["labels"], found[k]["score"]) == by_windows(text, licenses.TEMPLATES, 0.9), text
+        assert tuple(found[k][c] for c in licenses.RESULTS) == plain(text, licenses.TEMPLATES, phrases), text
+    assert all("mpl" in found[1000 + n]["labels"] and "bsd" in found[2000 + n]["labels"] for n in (64, 65, 400))
     assert (found[900]["labels"], found[901]["labels"]) == ("", "bsd")
     assert sum(r["labels"] != "" for r in found.values()) > 80

@@ -2,8 +2,8 @@
 
 The words of the templates are counted over the whole corpus and ordered from rare to frequent. A text that holds enough
 of a template shares one of the template's rarest words with it; texts and templates meet on these words and are cut by
-length and position. What is left is verified on blocks: lines, and windows of a template's length around its rarest
-words that run over line breaks, as notices are wrapped.
+length and position. What is left is verified on blocks: all windows of a template's length over the words of the whole text,
+over line breaks too, as notices are wrapped.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillsight.llm.common import sent_if_small, table, without
 from tillsight.plans.shared import stored
@@ -44,8 +45,6 @@ TEMPLATES = [
 ]
 
 CONTAINMENT = 0.9
-#: A line of more words is no block by itself; notices in it are found by windows.
-LINE_WORDS = 64
 RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,53 +96,56 @@ def held_templates(documents: DataFrame, doc_id: str, text: str, sets: list[list
     return enough.select("doc_id", "row", "template"), order
 
 
+def window_words(words: int) -> int:
+    """Words of the block in which a template of so many words is looked for: a tenth more."""
+    return words + -(-words // 10)
+
+
 def template_blocks(documents: DataFrame, doc_id: str, text: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
     """`doc_id`, `row` (hash of the text), `labels` and `score` of the rows in which a block holds a template.
 
-    A block is a line of at most LINE_WORDS words, or a window over the words of the whole text, a tenth longer than the
-    template, that also holds the template's neighbouring words: of these twice the share may be missing that may be
-    of its words, as a missing word parts two, but never more than half. The score is the largest share of a template's words
-    that a block holds.
+    A block is any run of consecutive words of the whole text that is a tenth longer than the template, whatever lines it
+    runs over. It holds the template if it has at least the share `containment` of its distinct words. The score is
+    the largest such share of a template that is held.
+
+    A word counts once in a block. So each place of a word of the template counts for the blocks that start after the word's
+    place before and reach this one: a stretch of starts. How many stretches lie over a start is a running sum, and a
+    text costs no more than its places sorted.
     """
     spark = documents.sparkSession
     share = Fraction(str(containment))
     value = F.col(f"`{text}`")
     sets = [template_words(t) for _, t in templates]
     needs = [_part(len(words), share) for words in sets]
-    found, order = held_templates(documents, doc_id, text, sets, needs)
-    met = sent_if_small(stored(found.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "template"), "license-texts"))
-    rank = {w: i for i, w in enumerate(order)}
-    whole = []
-    for number, ((label, notice), words, need) in enumerate(zip(templates, sets, needs)):
-        run = re.findall(r"[a-z0-9]+", notice.lower())
-        pairs = sorted({f"{a} {b}" for a, b in zip(run, run[1:])})
-        rarest = sorted(words, key=rank.get)[: len(words) - need + 1]
-        whole.append((number, label, words, need, rarest, pairs, _part(len(pairs), max(2 * share - 1, Fraction(1, 2))), len(run) + -(-len(run) // 10)))
-    schema = "template int, label string, parts array<string>, need int, rarest array<string>, pairs array<string>, need_pairs int, span int"
-    all_of = F.broadcast(spark.createDataFrame(whole, schema))
+    found, _ = held_templates(documents, doc_id, text, sets, needs)
+    asked = found.groupBy("doc_id", "row").agg(F.collect_set("template").alias("templates"))
+    met = sent_if_small(stored(asked.select(F.col("doc_id").alias("met_id"), F.col("row").alias("met_row"), "templates"), "license-texts"))
+    parts = [
+        (word, number, window_words(len(re.findall(r"[a-z0-9]+", notice.lower()))))
+        for number, ((_, notice), words) in enumerate(zip(templates, sets, strict=True))
+        for word in words
+    ]
+    known = F.broadcast(spark.createDataFrame(parts, "word string, template int, span int"))
+    wanted = F.broadcast(
+        spark.createDataFrame(
+            [(n, label, len(words), need) for n, ((label, _), words, need) in enumerate(zip(templates, sets, needs, strict=True))],
+            "template int, label string, size int, need int",
+        )
+    )
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("met_id")) & (F.xxhash64(value) == F.col("met_row"))
-    texts = documents.select(F.col(f"`{doc_id}`"), value).join(met, same).join(all_of, "template")
-    texts = texts.select(F.col("met_id").alias("doc_id"), F.col("met_row").alias("row"), "label", "parts", "need", "rarest", "pairs", "need_pairs", "span", value.alias("value"), words_of(value).alias("words"))
-    span = F.col("span")
-
-    def shared(words: Column) -> Column:
-        return F.size(F.array_intersect(words, F.col("parts")))
-
-    def in_order(words: Column) -> Column:
-        beside = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-        return F.size(F.array_intersect(beside, F.col("pairs"))) >= F.col("need_pairs")
-
-    lines = F.filter(F.transform(F.split("value", "\n"), words_of), lambda w: F.size(w) <= LINE_WORDS)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("rarest", F.get("words", i)))
-    # All words that are in one window with a rare one.
-    around = F.transform(places, lambda p: F.slice("words", F.greatest(p - span + 2, F.lit(1)), F.least(p + 1, span) + span - 1))
-    near = texts.withColumns({"line": F.coalesce(F.array_max(F.transform(lines, shared)), F.lit(0)), "arounds": around})
-    near = near.drop("value", "words").withColumn("around", F.explode_outer("arounds")).drop("arounds")
-    windows = F.transform(F.sequence(F.lit(1), F.size("around")), lambda i: F.slice("around", i, span))
-    windows = F.filter(F.filter(windows, lambda w: shared(w) >= F.col("need")), in_order)
-    near = near.withColumn("held", F.greatest("line", F.array_max(F.transform(windows, shared))))
-    verified = near.where(F.col("held") >= F.col("need")).withColumn("share", F.col("held") / F.size("parts"))
-    return verified.groupBy("doc_id", "row").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
+    texts = documents.select(F.col(f"`{doc_id}`"), value).join(met, same)
+    texts = texts.select(F.col("met_id").alias("doc_id"), F.col("met_row").alias("row"), "templates", value.alias("value")).dropDuplicates(["doc_id", "row"])
+    words = texts.select("doc_id", "row", "templates", F.posexplode_outer(words_of(F.col("value"))).alias("pos", "word"))
+    places = words.join(known, "word").where(F.array_contains("templates", F.col("template"))).select("doc_id", "row", "template", "word", "span", "pos")
+    one = ["doc_id", "row", "template"]
+    before = F.lag("pos").over(Window.partitionBy(*one, "word").orderBy("pos"))
+    first = F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("pos") - F.col("span") + 1, F.lit(0))
+    ends = F.array(F.struct(first.alias("at"), F.lit(1).alias("step")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = places.select(*one, ends.alias("ends")).select(*one, F.inline("ends"))
+    # Ordered by place alone, the default frame takes all steps of a place together.
+    running = steps.withColumn("held", F.sum("step").over(Window.partitionBy(*one).orderBy("at")))
+    most = running.groupBy(*one).agg(F.max("held").alias("held")).join(wanted, "template").where(F.col("held") >= F.col("need"))
+    return most.groupBy("doc_id", "row").agg(F.collect_set("label").alias("labels"), F.max(F.col("held") / F.col("size")).alias("score"))
 
 
 def _part(count: int, share: Fraction) -> int:
@@ -188,8 +190,7 @@ def scan_licenses(
 
     Base places are all starts of a phrase among the words of the whole text, from 0; overlapping and repeated
     ones count. `labels` adds those of the templates of which one block holds at least the share `containment` of
-    the words: a line of at most LINE_WORDS words, or a run of words of about the template's length, over any line
-    breaks (`template_blocks`). The score is 1 with a base place, else the largest such share, else 0. A null or empty text has no
+    the distinct words: a run of words a tenth longer than the template, over any line breaks (`template_blocks`). The score is 1 with a base place, else the largest such share, else 0. A null or empty text has no
     words, no labels (empty strings) and score 0. Rows equal in id and text get the same result; an empty
     table stays empty. Columns named like a result are replaced, others stay.
     """
@@ -240,20 +241,24 @@ _SQL_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP7_SQL = f"""
 with templates as (
-    select unnest({list(range(len(TEMPLATES)))}) as t, unnest({[label for label, _ in TEMPLATES]}) as label,
-        unnest({[template_words(t) for _, t in TEMPLATES]}) as tw
+    select *, len(tw) as size from (
+        select unnest({list(range(len(TEMPLATES)))}) as t, unnest({[label for label, _ in TEMPLATES]}) as label,
+            unnest({[template_words(t) for _, t in TEMPLATES]}) as tw,
+            unnest({[window_words(len(re.findall("[a-z0-9]+", t.lower()))) for _, t in TEMPLATES]}) as span)
 ), docs as (
     select row_number() over () as r, doc_id, text,
         coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_SQL_WORDS}'), []) as w
     from documents
-), blocks as (
-    select r, regexp_extract_all(translate(block, '{_UPPER}', '{_LOWER}'), '{_SQL_WORDS}') as b
-    from (select r, unnest(string_split(text, chr(10))) as block from docs)
-), held as (
-    select r, label, len(list_intersect(list_distinct(b), tw)) as n, len(tw) as size from blocks, templates
-    where list_has_any(b, ['license', 'licensed', 'permission', 'redistribution', 'software', 'cc'])
+), met as (
+    select r, w, t, label, tw, size, span from docs, templates where 10 * len(list_intersect(list_distinct(w), tw)) >= 9 * size
+), hits as (
+    select r, t, any_value(label) as label, any_value(size) as size, any_value(span) as span, pos, any_value(word) as word
+    from (select *, unnest(w) as word, generate_subscripts(w, 1) as pos from met) where list_contains(tw, word) group by r, t, pos
+), windows as (
+    select a.r, a.t, a.label, a.size, a.pos, count(distinct b.word) as n
+    from hits a join hits b on a.r = b.r and a.t = b.t and b.pos between a.pos and a.pos + a.span - 1 group by all
 ), found as (
-    select r, list_distinct(list(label)) as labels, max(n / size) as score from held where 10 * n >= 9 * size group by r
+    select r, list_distinct(list(label)) as labels, max(n / size) as score from windows where 10 * n >= 9 * size group by r
 ), places as (
     select r, doc_id, len(w) as n_words, {_phrase_sql()} as p from docs
 )
