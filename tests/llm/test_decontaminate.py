@@ -39,6 +39,30 @@ def test_search_finds_what_brute_force_finds(block):
         assert all(x[1] + 1 < y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_equal_windows_of_many_items_are_one():
+    items = [(str(k), b"one two three four five six") for k in range(50)] + [("x", b"one two three four five seven"), (None, b"two three four")]
+    searches = dc.build_searches(items, 4, 2)
+    assert [len(s.first) for s in searches.lengths] == [1, 4]
+    spans, found = dc.search(dc.words_of(b"zero one two three four nine four five six two three four five seven"), searches)
+    assert spans == [(1, 4), (9, 13)] and found == {str(k) for k in range(50)} | {"x", None}
+
+
+def test_tables_of_a_large_benchmark_stay_small():
+    """Four megabytes of text: flat arrays, not objects for each window."""
+    import tracemalloc
+
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(30_000)]
+    items = [(str(k), " ".join(draw.choices(words, k=700)).encode()) for k in range(1_000)]
+    tracemalloc.start()
+    searches = dc.build_searches(items, 13, 2)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 << 20
+    text = dc.words_of(items[500][1])
+    assert dc.search(text, searches) == ([(0, len(text) - 1)], {"500"})
+
+
 def test_passes_agree_and_rows_stay(spark, edge):
     draw = random.Random(5)
     texts = [random_text(draw, 80) for _ in range(30)]

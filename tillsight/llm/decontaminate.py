@@ -2,15 +2,18 @@
 
 The windows of the benchmark are the patterns, words are the symbols. For all windows of one length a shift
 table says, for the block of words that ends at a position, how far the search may move on without passing
-an occurrence; where it may not move, the bucket of the windows that end in this block is searched by the
-window's first block, and what is left is compared word by word.
+an occurrence; where it may not move, the windows of the bucket that ends in this block are compared word by word.
+Tables and buckets are flat arrays over the numbers of the benchmark's words, built once in a worker.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,45 +46,124 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 
 
 class WindowSearch:
-    """Shift tables and buckets for windows of one length."""
+    """Shift tables and buckets for the windows of one length, as flat arrays over the benchmark's word numbers.
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], frozenset[str]], block: int):
+    Equal windows are one: `first` says where one of them starts, and `owners` which items have it. They are sorted by the
+    block they end in, so a bucket is a stretch of them.
+    """
+
+    def __init__(self, length: int, flat: np.ndarray, starts: np.ndarray, items: np.ndarray, block: int):
         self.length = length
         self.block = block = min(block, length)
-        self.furthest = length - block + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for window, items in patterns.items():
-            for end in range(block, length + 1):
-                key = b" ".join(window[end - block : end])
-                self.shift[key] = min(self.shift.get(key, self.furthest), length - end)
-            self.buckets[b" ".join(window[-block:])][b" ".join(window[:block])].append((list(window), items))
-
-    def find(self, words: list[bytes]) -> Iterable[tuple[int, frozenset[str]]]:
-        """First word and items of every occurrence, in the order of the text."""
-        length, block, furthest, shift = self.length, self.block, self.furthest, self.shift.get
-        end, total = length, len(words)
-        while end <= total:
-            key = words[end - 2] + b" " + words[end - 1] if block == 2 else b" ".join(words[end - block : end])
-            step = shift(key, furthest)
+        self.furthest = min(length - block + 1, 127)
+        self.flat = flat
+        # The hashed block that ends at every word of the benchmark; only those within a window are used.
+        codes = block_codes(flat, block)
+        self.mask = (1 << max(10, int(len(starts) * 2).bit_length())) - 1
+        self.shift = np.full(self.mask + 1, self.furthest, np.int8)
+        for end in range(block - 1, length):
+            np.minimum.at(self.shift, codes[starts + end] & self.mask, np.int8(min(length - 1 - end, self.furthest)))
+        groups = same_windows(flat, starts, length)
+        order = np.lexsort((groups, codes[starts + length - 1]))
+        ends, groups, items, starts = codes[starts + length - 1][order], groups[order], items[order], starts[order]
+        fresh = np.append(True, (ends[1:] != ends[:-1]) | (groups[1:] != groups[:-1])) if len(starts) else np.zeros(0, bool)
+        own = np.flatnonzero(fresh)
+        self.first, self.ends = starts[own], ends[own]
+        self.owners, self.owned = items, np.append(own, len(starts))
+
+    def find(self, words: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
+        """First word and items of every occurrence, in the order of the text; unknown words are negative."""
+        length, total = self.length, len(words)
+        if total < length:
+            return
+        codes = block_codes(words, self.block)
+        shifts = np.where(block_known(words, self.block), self.shift[codes & self.mask], np.int8(self.furthest)).tolist()
+        end = length - 1
+        while end < total:
+            step = shifts[end]
             if step:
                 end += step
                 continue
-            start = end - length
-            for window, items in self.buckets[key].get(b" ".join(words[start : start + block]), ()):
-                if words[start:end] == window:
-                    yield start, items
+            start = end - length + 1
+            here = words[start : end + 1]
+            for k in range(np.searchsorted(self.ends, codes[end]), np.searchsorted(self.ends, codes[end], "right")):
+                at = self.first[k]
+                if np.array_equal(self.flat[at : at + length], here):
+                    yield start, self.owners[self.owned[k] : self.owned[k + 1]]
             end += 1
 
 
-def build_searches(items: Iterable[tuple[str | None, bytes | None]], size: int, block: int) -> list[WindowSearch]:
-    patterns: dict[int, dict[tuple[bytes, ...], set]] = defaultdict(lambda: defaultdict(set))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def block_codes(words: np.ndarray, block: int) -> np.ndarray:
+    """A hash of the last `block` words at every place (of fewer at the start)."""
+    numbers = words.astype(np.uint64) + np.uint64(1)
+    codes = np.zeros(len(words), np.uint64)
+    for k in range(block - 1, -1, -1):
+        codes[k:] = (codes[k:] ^ numbers[: len(numbers) - k]) * _MIX
+        codes[k:] ^= codes[k:] >> np.uint64(29)
+    return codes
+
+
+def block_known(words: np.ndarray, block: int) -> np.ndarray:
+    """Whether all of the last `block` words are words of the benchmark."""
+    known = words >= 0
+    result = known.copy()
+    for k in range(1, block):
+        result[k:] &= known[: len(known) - k]
+        result[:k] = False
+    return result
+
+
+def same_windows(flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """One number for equal windows, told apart word by word: windows that agree in their first words get those of the next."""
+    groups = np.zeros(len(starts), np.int64)
+    for k in range(length):
+        _, groups = np.unique(groups * (len(flat) + 1) + flat[starts + k], return_inverse=True)
+    return groups
+
+
+@dataclass
+class Searches:
+    """The searches of a benchmark, with the numbers of its words and its items."""
+
+    numbers: dict[bytes, int]
+    items: list[str | None]
+    lengths: list[WindowSearch]
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        get = self.numbers.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+
+def build_searches(items: Iterable[tuple[str | None, bytes | None]], size: int, block: int) -> Searches:
+    numbers: dict[bytes, int] = {}
+    texts, names, starts, owners = [], [], defaultdict(list), defaultdict(list)
+    total = 0
     for item, text in items:
-        for window in windows_of(words_of(text), size):
-            patterns[len(window)][window].add(item)
-    return [
-        WindowSearch(length, {w: frozenset(ids) for w, ids in found.items()}, block) for length, found in sorted(patterns.items())
-    ]
+        words = words_of(text)
+        if words:
+            texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64))
+            length, count = min(size, len(words)), max(1, len(words) - size + 1)
+            starts[length].append(np.arange(total, total + count))
+            owners[length].append(np.full(count, len(names)))
+            names.append(item)
+            total += len(words)
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    lengths = [WindowSearch(n, flat, np.concatenate(starts[n]), np.concatenate(owners[n]), block) for n in sorted(starts)]
+    return Searches(numbers, names, lengths)
+
+
+_BUILT: dict[str, Searches] = {}
+
+
+def kept_searches(name: str, rows: list[tuple[str | None, bytes | None]], size: int, block: int) -> Searches:
+    """The searches of a pass, built once in a worker and kept for its next tasks."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build_searches(rows, size, block)
+    return _BUILT[name]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,18 +178,19 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def search(words: list[bytes], searches: list[WindowSearch]) -> tuple[list[tuple[int, int]], set]:
+def search(words: list[bytes], searches: Searches) -> tuple[list[tuple[int, int]], set]:
     spans: list[tuple[int, int]] = []
-    items: set = set()
-    for one in searches:
-        for start, ids in one.find(words):
+    found: set = set()
+    numbers = searches.numbered(words)
+    for one in searches.lengths:
+        for start, items in one.find(numbers):
             last = start + one.length - 1
             if spans and spans[-1][1] + 1 >= start >= spans[-1][0]:
                 spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
             else:
                 spans.append((start, last))
-            items |= ids
-    return merge_spans(spans), items
+            found.update(items.tolist())
+    return merge_spans(spans), {searches.items[i] for i in found}
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str, pass_bytes: int) -> list[DataFrame]:
@@ -133,7 +216,7 @@ def find_contamination(
     Adds `n_words`, `n_hit`, `hit_spans` (disjoint, first and last word) and `hit_items` (sorted ids as strings).
     An item of fewer words than a window is one window; an item without words, or a null text, has none.
     Windows of an item without id hit words but add no item. Null and empty documents have no words. Repeated
-    rows and ids are searched one by one; an empty benchmark hits nothing. Other columns stay; those named
+    rows and ids are searched one by one, very long texts as a whole; an empty benchmark hits nothing. Other columns stay; those named
     like a result are replaced. The benchmark reaches the tasks in passes of at most about `pass_bytes`, so
     what a task holds does not grow with it; between passes the rows go to the shared folder.
     """
@@ -142,10 +225,10 @@ def find_contamination(
     passes = _passes(benchmark, item_id, item_text, pass_bytes)
     for number, part in enumerate(passes or [None]):
         rows = [] if part is None else [(r["item"], r["text"] and bytes(r["text"])) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(rows)
+        shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def make(shared=shared):
-            searches = build_searches(shared.value, window, block)
+        def make(shared=shared, name=name):
+            searches = kept_searches(name, shared.value, window, block)
 
             def compute(texts):
                 out: list[list] = [[], [], [], []]
