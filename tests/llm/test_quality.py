@@ -82,3 +82,10 @@ def test_sample_is_bounded_in_rows_and_lines(spark, monkeypatch):
     sizes = [[len(features) for features, _ in found] for found in fitted]
     assert sorted(sizes[0]) == [2] + [3] * 10
     assert 7 < sum(sizes[1]) <= 10 and sizes[2] == []
+    # A document of very many lines is learnt from if the total holds it, and does not keep out the others if not.
+    long = documents.union(spark.createDataFrame([(12, "One line of many.\n" * 5000)], "doc_id bigint, text string"))
+    more = labels.union(spark.createDataFrame([(12, 1)], "doc_id bigint, quality int"))
+    for total in (400_000, 40):
+        quality.train(long, more, held_out=(1, 1), total_lines=total)
+    sizes = [sorted(len(features) for features, _ in found) for found in fitted[3:]]
+    assert sizes[0] == [2] + [3] * 10 + [5001] and sizes[1] == [2] + [3] * 10

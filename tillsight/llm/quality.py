@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import fold, map_texts, table
 from tillsight.plans.shared import stored
 
-#: Labelled documents the model is fitted on at most, and the lines one of them may have.
+#: Labelled documents the model is fitted on at most.
 SAMPLE_DOCUMENTS = 6_000
-SAMPLE_LINES = 2_000
 #: Lines of all labelled documents together the model is fitted on at most.
 SAMPLE_TOTAL_LINES = 400_000
 EPOCHS = 150
@@ -195,10 +194,10 @@ def train(
     """Fit the line chain on a bounded sample of labelled documents.
 
     The sample holds the `sample` labelled ids with the smallest hash outside the held-out fold (modulus,
-    remainder of crc32); documents of over SAMPLE_LINES lines or without content are not learnt from. Of an id with
-    several rows the text with the smallest hash is taken, once. In the order of their ids' hash, documents are
-    learnt from while they have at most `total_lines` lines together. An id with several labels takes the lowest. Without labels of both kinds the model leans to the only one, or is
-    undecided.
+    remainder of crc32); documents without content are not learnt from, null ids are never sampled. Of an id with several rows
+    the text with the smallest hash is taken, once. In the order of their ids' hash, documents are learnt from as
+    long as `total_lines` lines hold them; one that does not fit, whatever its length, makes room for the next. An
+    id with several labels takes the lowest. Without labels of both kinds the model leans to the only one, or is undecided.
     """
     modulus, remainder = held_out
     known = (
@@ -209,17 +208,16 @@ def train(
     )
     rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), "_id")
     lines = F.size(F.split("_text", "\n"))
-    rows = rows.where((lines <= SAMPLE_LINES) & F.col("_text").rlike(r"[^ \t\n\r\x0B\f]"))
+    rows = rows.where(F.col("_text").rlike(r"[^ \t\n\r\x0B\f]"))
     # One row of an id leaves each task, however often the id is repeated.
     one = rows.groupBy("_id", "_good").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
     one = stored(one.select("_id", "_good", "_text", F.xxhash64("_id").alias("_hash"), lines.cast("bigint").alias("_lines")), "quality-sample")
-    last, taken = None, 0
+    chosen, taken = [], 0
     for row in sorted(one.select("_hash", "_lines").collect()):  # at most `sample`
-        taken += row["_lines"]
-        if taken > total_lines:
-            break
-        last = row["_hash"]
-    rows = one.where(F.lit(False) if last is None else F.col("_hash") <= last)
+        if taken + row["_lines"] <= total_lines:
+            taken += row["_lines"]
+            chosen.append(row["_hash"])
+    rows = one.where(F.col("_hash").isin(chosen)) if chosen else one.limit(0)
 
     def make():
         def compute(texts):
@@ -236,8 +234,9 @@ def train(
 def with_quality(documents: DataFrame, model: LineChain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add `quality_score` to every row from its whole text.
 
-    0 to 1, higher is better; null texts and texts of white space score 0. Lines end at line feeds. Equal texts
-    get equal scores; an empty table stays empty. A column of the result's name is replaced, others stay.
+    0 to 1, higher is better; null texts and texts of white space score 0. Lines end at line feeds, and all lines of a text
+    count, however many there are. Null ids do not matter. Equal texts get equal scores; an empty table stays empty. A
+    column of the result's name is replaced, others stay.
     """
     return map_texts(documents, text, "quality_score double", lambda: lambda texts: [model.scores(texts)], keep)
 
