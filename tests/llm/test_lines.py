@@ -1,6 +1,8 @@
 import random
 from fractions import Fraction
 
+import pytest
+
 from tillsight.llm import lines
 
 
@@ -97,6 +99,25 @@ def test_near_copies_link_without_their_pairs(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("vocabulary", [200, 20_000])
+def test_variants_are_not_paired_all_with_all(spark, monkeypatch, vocabulary):
+    """Two of eighteen words changed: the pairs that are verified stay near those that are linked."""
+    verified = []
+    real = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: verified.append(pairs.count()) or real(pairs, *more))
+    for count in (500, 2000):
+        draw = random.Random(3)
+        rows = []
+        for k in range(count):
+            words = [f"w{i}" for i in range(18)]
+            for place in draw.sample(range(18), 2):
+                words[place] = f"v{draw.randrange(vocabulary)}"
+            rows.append((k, " ".join(words)))
+        verified.clear()
+        lines.remove_lines(spark.createDataFrame(rows, "doc_id int, text string")).count()
+        assert sum(verified) <= count  # with all pairs it would be thousands of times that
+
+
 def test_edges(spark, edge, nothing):
     found = lines.remove_lines(edge)
     assert sorted(found.columns) == sorted(edge.columns + ["n_lines", "n_removed", "removed_lines"])

@@ -13,6 +13,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillsight.llm.common import sent_if_small, table, without
 from tillsight.llm.graph import connected_components
@@ -20,10 +21,16 @@ from tillsight.plans.shared import stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bits of a line's bitmap, 64 to a number, and rounds in which lines are paired one by one before all that remain.
+BITMAP = 512
+ROUNDS = 4
 #: Buckets in which words are counted: a fixed number, so the counts can be sent to every task.
 WORD_BUCKETS = 1 << 14
 
 
+BITS = [f"bits{i}" for i in range(BITMAP // 64)]
+
+
 def words_of(line: Column) -> Column:
     spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
@@ -125,13 +132,12 @@ def first_tokens(ranked: DataFrame, similarity: Fraction) -> DataFrame:
     return ranked.select(*(c for c in ranked.columns if c != "tokens"), held.alias("held"), first.alias("first"))
 
 
-def placed_tokens(first: DataFrame, *more: str) -> DataFrame:
+def placed_tokens(first: DataFrame) -> DataFrame:
     """A row for each of the first tokens: `lost` of the line's tokens are not kept, `left` are from this one on."""
     # outer: a plain explode is given a filter on its array, for which all steps above would be computed again. No
     # line is without tokens, so both give the same rows.
-    rows = first.select("key", "n", "held", *more, F.posexplode_outer("first").alias("pos", "token"))
-    lost, left = F.col("n") - F.col("held"), F.col("held") - F.col("pos")
-    return rows.select("key", "n", lost.alias("lost"), left.alias("left"), "token", *more)
+    rows = first.select("key", "n", "held", F.posexplode_outer("first").alias("pos", "token"))
+    return rows.select("key", "n", (F.col("n") - F.col("held")).alias("lost"), (F.col("held") - F.col("pos")).alias("left"), "token")
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> DataFrame:
@@ -143,7 +149,7 @@ def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> Data
 
 
 def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """`key`, `n`, `tokens`, `bits0`, `bits1` of the distinct lines that can have a similar enough partner.
+    """`key`, `n`, `tokens` and `bits` of the distinct lines that can have a similar enough partner.
 
     First the lines that meet another in one of the tokens that start with their rarest words, where lengths and places allow
     enough shared ones. Of these all tokens are counted: `tokens` holds those that another of them has, rarest first (`n`
@@ -163,52 +169,76 @@ def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFr
     tokens = stored(ranked_tokens(again, size, levels).select("key", "n", F.explode_outer("tokens").alias("token")), "contested-tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1")
     bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
-    upper = F.col("token").bitwiseAND(F.lit(64)) != 0
+    number = F.expr(f"cast(shiftright(token, 6) & {BITMAP // 64 - 1} as int)")
     common = tokens.join(counts, "token").groupBy("key", "n").agg(
         F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("ordered"),
-        F.coalesce(F.bit_or(F.when(~upper, bit)), F.lit(0)).alias("bits0"),
-        F.coalesce(F.bit_or(F.when(upper, bit)), F.lit(0)).alias("bits1"),
+        *(F.coalesce(F.bit_or(F.when(number == i, bit)), F.lit(0)).alias(name) for i, name in enumerate(BITS)),
     )
     held = common.where(F.size("ordered") >= least_shared(F.col("n"), similarity))
-    return stored(held.select("key", "n", F.transform("ordered", lambda t: t["token"]).alias("tokens"), "bits0", "bits1"), "contested-lines")
+    return stored(held.select("key", "n", F.transform("ordered", lambda t: t["token"]).alias("tokens"), *BITS), "contested-lines")
 
 
 def _can_share(similarity: Fraction) -> Column:
     """Enough shared tokens as far as the lines' bits tell: a bit that only one line has stands for a token the other lacks."""
 
     def most(one: str, other: str) -> Column:
-        lacking = (F.bit_count(F.col(f"{one}.{b}").bitwiseAND(F.bitwise_not(f"{other}.{b}"))) for b in ("bits0", "bits1"))
+        lacking = (F.bit_count(F.col(f"{one}.{b}").bitwiseAND(F.bitwise_not(f"{other}.{b}"))) for b in BITS)
         return F.col(f"{one}.n") - F.col(f"{one}.lost") - sum(lacking)
 
     return _enough(F.least(most("x", "y"), most("y", "x")), F.col("x.n"), F.col("y.n"), similarity)
 
 
+def led_pairs(lines: DataFrame, possible: Column, order: Column, count: int) -> DataFrame:
+    """A pair for each line at most: with the first, by `order`, of the lines of another component that lead one of its tokens.
+
+    A token is led by one line of each of `count` components, the first by `order`.
+    """
+    kept = [c for c in lines.columns if c not in ("token", "component", "tokens")]
+    leads = lines.groupBy("token", "component").agg(F.min(F.struct(order.alias("order"), *kept)).alias("lead"))
+    leads = leads.select("token", "lead.*", "component")
+    if count == 1:
+        leads = leads.groupBy("token").agg(F.min(F.struct("order", *kept, "component")).alias("lead")).select("token", "lead.*")
+    else:
+        place = F.row_number().over(Window.partitionBy("token").orderBy("order", "key"))
+        leads = leads.withColumn("place", place).where(F.col("place") <= count).drop("place")
+    met = lines.alias("x").join(leads.alias("y"), "token").where((F.col("x.component") != F.col("y.component")) & possible)
+    one = met.groupBy(F.col("x.key").alias("key")).agg(F.min(F.struct("y.order", "y.key")).alias("lead"))
+    return one.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+
+
+def open_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
+    """Lines by token, with their component so far, where lines of several components meet."""
+    known = components.select(F.col("node").alias("key"), F.col("component").alias("joined"))
+    labelled = lines.drop("component").join(known, "key", "left").withColumn("component", F.coalesce("joined", "key")).drop("joined")
+    several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return labelled.join(several.select("token"), "token", "left_semi")
+
+
 def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, similarity: Fraction) -> DataFrame:
     """`key`, `component` of the lines that are similar to another line, over any number of links."""
     ranked = contested_lines(lines_of(documents, doc_id, text), size, similarity)
-    placed = placed_tokens(first_tokens(ranked, similarity), "bits0", "bits1")
-    hub = F.min(F.struct("lost", "left", "n", "key", "bits0", "bits1")).alias("hub")
-    met = placed.groupBy("token").agg(F.count("*").alias("lines"), hub).where("lines > 1")
-    met = stored(met.select("token", "hub.*"), "meeting-tokens")
-    possible = _fits("x", "y", similarity) & _can_share(similarity)
-    # Every line against the line that shares most of itself: this links a group of near copies without forming
-    # its pairs.
-    star = (
-        placed.alias("x").join(met.alias("y"), "token").where(F.col("x.key") != F.col("y.key")).where(possible)
-        .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    )
-    links = stored(_verified(star, ranked, similarity), "line-links")
-    near = stored(connected_components(links, "a", "b"), "line-components")
-    # Then the lines that meet in a token without being linked so far.
-    labelled = placed.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = stored(labelled.join(open_tokens.select("token"), "token", "left_semi"), "open-lines")
-    apart = (
-        rest.alias("x").join(rest.alias("y"), "token")
-        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible)
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    placed = placed_tokens(first_tokens(ranked.drop(*BITS), similarity)).withColumn("component", F.col("key"))
+    fits = _fits("x", "y", similarity)
+    # Groups of near copies grow together with one pair for each line and round instead of all pairs: first with the line
+    # that shares most of itself, then with any other that leads a token.
+    order = F.struct("lost", "n")
+    links = stored(_verified(led_pairs(placed, fits, order, 1), ranked, similarity), "line-links")
+    components = stored(connected_components(links, "a", "b"), "line-components")
+    rest = stored(open_lines(placed, components).join(ranked.select("key", "tokens", *BITS), "key"), "open-lines")
+    possible = fits & _can_share(similarity)
+    for number in range(ROUNDS):
+        found = stored(_verified(led_pairs(rest, possible, F.xxhash64("key", F.lit(number)), 2), ranked, similarity), "line-links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        components = stored(connected_components(links, "a", "b"), "line-components")
+        rest = stored(open_lines(rest, components), "open-lines")
+    # Then the lines that still meet in a token without being linked: compared where they meet, so that only links come out.
+    similar = _enough(F.size(F.array_intersect("x.tokens", "y.tokens")), F.col("x.n"), F.col("y.n"), similarity)
+    more = rest.alias("x").join(rest.alias("y"), "token").where(
+        (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible & similar
     )
-    more = stored(_verified(apart, ranked, similarity), "line-links")
+    more = stored(more.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "line-links")
     return connected_components(links.union(more), "a", "b").withColumnRenamed("node", "key")
 
 
