@@ -88,4 +88,4 @@ def test_same_as_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11)) and queries.QUERIES.keys() <= contract.queries().keys()
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 14)) and queries.QUERIES.keys() <= contract.queries().keys()

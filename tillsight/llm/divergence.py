@@ -24,7 +24,6 @@ from pyspark.sql.window import Window
 
 from tillsight.llm.common import pieces, table
 from tillsight.plans.shared import stored
-from tillsight.session import size_shuffles
 
 #: Documents of a language that a term has to occur in, counts added to every term, and the scale of shares.
 LEAST_DOCUMENTS = 30
@@ -362,7 +361,6 @@ def source_divergence(
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between sources and their typical terms, over all documents."""
-    size_shuffles(spark, f"{sf_dir}/documents.parquet")
     return source_divergence(table(spark, sf_dir, "documents"))
 
 

@@ -12,9 +12,8 @@ from tillsight.plans.shared import stored
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """`node`, `component` (smallest node reachable) for every node of a link; self links and repeats are allowed.
 
-    Alternates two steps until nothing changes: every larger neighbour of a node is linked to the node's
-    smallest neighbour, then every smaller one is. The links shrink to stars in a number of rounds that grows with
-    the logarithm of the longest path. Each round is written to the shared folder, which cuts the lineage. Rows of
+    Alternates two steps until all links are stars: every larger neighbour of a node is linked to the node's
+    smallest neighbour, then every smaller one is. The number of rounds grows with the logarithm of the longest path. Each round is written to the shared folder, which cuts the lineage. Rows of
     a node with many links are folded by a partial minimum before they move, and its join can be split.
     """
     edges = stored(
@@ -23,17 +22,22 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         .distinct(),
         "links",
     )
-    while True:
+    while _open(edges):
         large = _star(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
-        after = stored(_star(large, larger=False).distinct(), "links")
-        moved = edges.exceptAll(after).limit(1).count() or after.exceptAll(edges).limit(1).count()
-        edges = after
-        if not moved:
-            break
+        edges = stored(_star(large, larger=False).distinct(), "links")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether a node has two links up, or one up and one down: then the links are not stars yet."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("v").alias("node"), F.lit(0), F.lit(1))
+    )
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where("up > 1 or (up = 1 and down = 1)").limit(1).count() > 0
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Link the neighbours of each node on one side to its smallest neighbour; links go from larger to smaller."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tillsight.llm import bpe, centroids, decontaminate, divergence, embeddings, language, licenses, lines, quality, scoring, sharding, simhash, warc
+from tillsight.session import size_shuffles
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _sized(run: Query) -> Query:
+    """The query with as many shuffle partitions as its input folder asks for."""
 
-QUERIES = {
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        size_shuffles(spark, sf_dir)
+        return run(spark, sf_dir)
+
+    return query
+
+
+_RUNS: dict[str, Query] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
@@ -20,6 +38,8 @@ QUERIES = {
     "op13_centroids": centroids.op13_centroids,
 }
 
+QUERIES = {name: _sized(run) for name, run in _RUNS.items()}
+
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,

@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 
 from tillsight.llm.common import fold, pieces, table
 from tillsight.plans.shared import stored
-from tillsight.session import size_shuffles
 
 #: Bytes of text of a piece; a longer text is a piece of its own.
 PIECE = 8 << 20
@@ -327,5 +326,4 @@ NUMBERS = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and scores of every document."""
-    size_shuffles(spark, f"{sf_dir}/documents.parquet")
     return score_documents(table(spark, sf_dir, "documents"))
