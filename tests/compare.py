@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -63,7 +64,7 @@ if __name__ == "__main__":
 
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = local_session("8")
+    spark = local_session("8", shared=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     connection = database(sf_dir)
     oracles = entry.oracle_sql()

@@ -21,8 +21,8 @@ UPLOADED = "2026-03-15T09:00:00+09:00"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", "tests", memory="4g", partitions=4)
+def spark(tmp_path_factory):
+    session = local_session("4", "tests", memory="4g", partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     release(session)

@@ -44,8 +44,10 @@ def size_shuffles(spark: SparkSession, *paths: str) -> int:
     return partitions
 
 
-def local_session(cores: str = "*", app: str = "tillsight", memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+def local_session(
+    cores: str = "*", app: str = "tillsight", memory: str = "8g", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A single-machine session for tests and benchmarks; `shared` is the folder for intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -53,6 +55,8 @@ def local_session(cores: str = "*", app: str = "tillsight", memory: str = "8g",
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return pin(builder.getOrCreate())
