@@ -55,19 +55,22 @@ def metric(dataset: str, scored: DataFrame, k: int = 2) -> DataFrame | None:
     return None
 
 
-def score(spark: SparkSession, dataset: str, path: str, output: str) -> DataFrame:
-    """Score the CSV files at `path`, write the rows to `output`, return the one-row summary."""
+def score(spark: SparkSession, dataset: str, path: str, output: str, run: str | None = None) -> DataFrame:
+    """Score the CSV files at `path`, write the rows to `output`, return the one-row summary.
+
+    With `run` the job can be run again: the rows of the run are replaced.
+    """
     scored = SCORERS[dataset](load(spark, dataset, path))
-    return write_scores(TASKS[dataset], scored, output, lambda written: metric(dataset, written))
+    return write_scores(TASKS[dataset], scored, output, lambda written: metric(dataset, written), run=run)
 
 
 def evaluate(
-    spark: SparkSession, paths: Mapping[str, str], registry: str, version: str = "baseline-0.1.0"
+    spark: SparkSession, paths: Mapping[str, str], registry: str, version: str = "baseline-0.1.0", run: str | None = None
 ) -> DataFrame:
-    """Evaluate the labelled datasets (review, customer, anomaly), append the metrics to the log, return them."""
+    """Evaluate the labelled datasets (review, customer, anomaly), add the metrics to the log under `run`, return them."""
     tables = [load(spark, name, paths[name]) for name in ("review", "customer", "anomaly")]
     records = stored(quality.evaluate(*tables, version), "metrics")
-    append_metrics(records, registry)
+    append_metrics(records, registry, run)
     return records
 
 
