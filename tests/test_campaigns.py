@@ -2,8 +2,11 @@
 
 import pytest
 from conftest import UPLOADED, rows
+from pyspark.sql import functions as F
 
 from tillsight.operators.campaigns import (
+    BreakEvenWeights,
+    UpliftWeights,
     campaign_break_even,
     campaign_handoff,
     campaign_uplift,
@@ -14,7 +17,7 @@ from tillsight.operators.campaigns import (
     target_summary,
     valid_targets,
 )
-from tillsight.operators.expectations import expect, expect_record, rejected_rows, valid_rows
+from tillsight.operators.expectations import expect, expect_record, rejected_rows, split_records, valid_rows
 from tillsight.operators.insights import break_even_strategy, retention_strategy, uplift_strategy
 
 SEGMENTS = (
@@ -218,3 +221,41 @@ def test_every_record_rule_runs(spark):
         kinds = {n: "string" if n in ("channel", "anomaly_type", "churn_risk_level", "offer_type", "customer_id", "scenario") else "boolean" if n == "consent" else "double" for n in names}
         table = spark.createDataFrame([tuple(None for _ in kinds)], ", ".join(f"{n} {k}" for n, k in kinds.items()))
         assert set(expect_record(table, record).first()["violations"]) == set(rules)
+
+
+def test_records_are_split_in_one_pass(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    data = spark.createDataFrame([(1, "sms", 0.5), (2, "mail", 2.0), (3, None, None), (4, "push", 0.0)], "id int, channel string, `odd rate` double")
+    rules = {"channel": "channel in ('sms', 'push')", "rate, of all": F.col("`odd rate`").between(0, 1)}
+    found = split_records(data.mapInArrow(count, data.schema), rules, str(tmp_path / "split"))
+    assert found.counts == {"rows": 4, "valid": 2, "rejected": 2} and found.broken == {"channel": 2, "rate, of all": 2}
+    assert sorted(found.valid.collect()) == [(1, "sms", 0.5), (4, "push", 0.0)]
+    assert {r["id"]: r["violations"] for r in found.rejected.collect()} == {2: ["channel", "rate, of all"], 3: ["channel", "rate, of all"]}
+    assert computed.value == 4
+    empty = split_records(data.limit(0), rules, str(tmp_path / "none"))
+    assert empty.counts == {"rows": 0, "valid": 0, "rejected": 0} and empty.valid.count() == empty.rejected.count() == 0
+
+
+def test_weights_are_parameters(spark):
+    plans = spark.createDataFrame(
+        [("s", "loyal", "sms", "coupon", 3000.0, 100, 12900.0, 0.35, 30000.0, 12900.0, 500, 0.3, 40.0, 0.1)],
+        "store_id string, segment_name string, channel string, offer_type string, offer_value double, target_customers int, menu_price double, "
+        "margin_rate double, fixed_cost double, avg_order_value double, recent_visit_count int, return_rate double, roi_rate double, discount_rate double",
+    )
+    fixed = BreakEvenWeights(segments={}, other_segments=1.0, channels={"sms": 0.5}, conversion=0.1, offers={"coupon": 1.0},
+                             demand=(1.0, 0.0), roi=(1.0, 1e9), visits=(1.0, 1e9), tired_above=50, tired=0.5)
+    found = campaign_break_even(plans, fixed).first()
+    assert (found["expected_open_rate"], found["expected_conversion_rate"], found["expected_incremental_orders"]) == (0.25, 0.1, 10)
+    assert campaign_break_even(plans).first()["expected_open_rate"] == 0.78
+    plain = UpliftWeights(segments={"loyal": 0.2}, channels={"sms": 1.0}, discount=(1.0, 0.0), returning=(1.0, 0.0), baseline_days=50.0)
+    found = campaign_uplift(plans, plain).first()
+    assert (found["expected_redemption_rate"], found["expected_incremental_orders"], found["expected_uplift_rate"]) == (0.2, 20, 1.5)
+    offers = spark.createDataFrame([("high", 10, 1000.0, 0)], "churn_risk_level string, customer_count int, avg_margin_per_customer double, coupon_budget int")
+    made = retention_offers(offers, discounts={"high": 5, "medium": 1, "low": 1}, returns={"high": 0.5, "medium": 0.1, "low": 0.1}).first()
+    assert (made["discount"], made["expected_revenue"]) == (5, 5000.0)

@@ -66,6 +66,8 @@ def lookup(key: Column, table: Mapping[str, object], default: object | None = No
     found = None
     for name, value in table.items():
         found = F.when(key == name, F.lit(value)) if found is None else found.when(key == name, F.lit(value))
+    if found is None:
+        return F.lit(default)
     return found if default is None else found.otherwise(F.lit(default))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight import fixed_values as fv
@@ -11,19 +14,85 @@ from tillsight.functions.text import fmt
 
 COOLDOWN_DAYS = 7
 
-
-def retention_offers(segments: DataFrame) -> DataFrame:
+Limits = tuple[float, float]
+
+
+@dataclass(frozen=True)
+class Certainty:
+    """How sure an estimate is: a start, and what recent visits and target customers add, each up to its most."""
+
+    start: float
+    visits: tuple[float, float]  # counted up to, divided by
+    customers: tuple[float, float]
+    limits: Limits
+
+    def of(self, visits: Column, customers: Column) -> Column:
+        total = F.lit(self.start)
+        for column, (most, part) in ((visits, self.visits), (customers, self.customers)):
+            total = total + at_most(column * 1.0, most) / part
+        return clamp(total, *self.limits)
+
+
+@dataclass(frozen=True)
+class BreakEvenWeights:
+    """Weights of `break_even_measures`; the defaults are the fixed values of the rules."""
+
+    conversion: float = 0.08
+    conversion_limits: Limits = (0.03, 0.45)
+    most_opened: float = 0.92
+    tired_above: float = 2000
+    tired: float = 0.94
+    most_discount_pull: float = 0.25
+    demand: Limits = (0.85, 1.1)  # start, per return rate
+    demand_limits: Limits = (0.65, 1.25)
+    roi: Limits = (0.92, 2000)  # start, roi rate divided by
+    roi_limits: Limits = (0.8, 1.2)
+    visits: Limits = (0.9, 4000)  # start, recent visits divided by
+    visits_limits: Limits = (0.85, 1.15)
+    probability_limits: Limits = (0.01, 0.99)
+    certainty: Certainty = Certainty(0.62, (1000.0, 4000), (3000.0, 12000), (0.55, 0.93))
+    channels: Mapping[str, float] = field(default_factory=lambda: fv.CHANNEL_OPEN_BIAS)
+    segments: Mapping[str, float] = field(default_factory=lambda: fv.SEGMENT_RESPONSE_BIAS)
+    other_segments: float = fv.SEGMENT_RESPONSE_DEFAULT
+    offers: Mapping[str, float] = field(default_factory=lambda: fv.OFFER_BIAS)
+
+
+@dataclass(frozen=True)
+class UpliftWeights:
+    """Weights of `uplift_measures`; the defaults are the fixed values of the rules."""
+
+    discount: Limits = (0.95, 2.4)  # start, per discount rate
+    most_discount: float = 1.35
+    returning: Limits = (0.85, 1.4)  # start, per return rate
+    returning_limits: Limits = (0.75, 1.2)
+    redemption_limits: Limits = (0.02, 0.32)
+    uplift_limits: Limits = (0.03, 1.5)
+    baseline_days: float = 7
+    discount_cost: float = 0.6
+    least_kept: float = 0.82
+    certainty: Certainty = Certainty(0.63, (700.0, 3500), (3000.0, 15000), (0.58, 0.92))
+    channels: Mapping[str, float] = field(default_factory=lambda: fv.CHANNEL_REDEMPTION)
+    segments: Mapping[str, float] = field(default_factory=lambda: fv.SEGMENT_REDEMPTION)
+    other_segments: float = fv.SEGMENT_REDEMPTION_DEFAULT
+
+
+def retention_offers(
+    segments: DataFrame,
+    *,
+    discounts: Mapping[str, float] = fv.RETENTION_DISCOUNT,
+    returns: Mapping[str, float] = fv.RETENTION_RETURN,
+    least_discount: int = fv.MIN_RETENTION_DISCOUNT,
+) -> DataFrame:
     """Add discount, expected_return and expected_revenue per segment row.
 
-    With a budget the discount is limited to budget per customer (whole amount, at least 500).
+    `discounts` and `returns` go by risk level; an unknown level counts as low. With a budget the discount is limited to
+    budget per customer (whole amount, at least `least_discount`).
     """
     risk, count, budget = F.col("churn_risk_level"), F.col("customer_count"), F.col("coupon_budget")
-    full = lookup(risk, {"high": fv.RETENTION_DISCOUNT["high"], "medium": fv.RETENTION_DISCOUNT["medium"]},
-                  fv.RETENTION_DISCOUNT["low"]).cast("bigint")
+    full = lookup(risk, {level: discounts[level] for level in ("high", "medium")}, discounts["low"]).cast("bigint")
     per_customer = F.expr("cast(coupon_budget as bigint) div nullif(cast(customer_count as bigint), 0)")
-    limited = F.least(full, F.greatest(per_customer, F.lit(fv.MIN_RETENTION_DISCOUNT).cast("bigint")))
-    returning = lookup(risk, {"high": fv.RETENTION_RETURN["high"], "medium": fv.RETENTION_RETURN["medium"]},
-                       fv.RETENTION_RETURN["low"])
+    limited = F.least(full, F.greatest(per_customer, F.lit(least_discount).cast("bigint")))
+    returning = lookup(risk, {level: returns[level] for level in ("high", "medium")}, returns["low"])
     return (
         segments.withColumn("discount", F.when((budget != 0) & (count > 0), limited).otherwise(full))
         .withColumn("expected_return", returning)
@@ -66,34 +135,27 @@ def retention_warnings(segments: DataFrame, min_customers: int = fv.MIN_SEGMENT_
     )
 
 
-def break_even_measures(plans: DataFrame) -> DataFrame:
+def break_even_measures(plans: DataFrame, weights: BreakEvenWeights = BreakEvenWeights()) -> DataFrame:
     """Add the break-even measures to a table of campaign plans, before rounding.
 
     An unknown channel or offer type gives nulls; `expect_record(..., "campaign_plan")` rejects both.
     """
-    c = F.col
-    response = lookup(c("segment_name"), fv.SEGMENT_RESPONSE_BIAS, fv.SEGMENT_RESPONSE_DEFAULT)
-    tired = F.when(c("target_customers") > 2000, 0.94).otherwise(1.0)
-    discount_pull = 1.0 + at_most(c("offer_value") / 100, 0.25)
-    offer_pull = F.when(c("offer_type") == "discount", discount_pull).otherwise(
-        lookup(c("offer_type"), fv.OFFER_BIAS)
-    )
-    demand = clamp(0.85 + c("return_rate") * 1.1, 0.65, 1.25)
-    roi = clamp(0.92 + c("roi_rate") / 2000, 0.8, 1.2)
-    visits = clamp(0.9 + c("recent_visit_count") / 4000, 0.85, 1.15)
+    c, w = F.col, weights
+    response = lookup(c("segment_name"), w.segments, w.other_segments)
+    tired = F.when(c("target_customers") > w.tired_above, w.tired).otherwise(1.0)
+    discount_pull = 1.0 + at_most(c("offer_value") / 100, w.most_discount_pull)
+    offer_pull = F.when(c("offer_type") == "discount", discount_pull).otherwise(lookup(c("offer_type"), w.offers))
+    demand = clamp(w.demand[0] + c("return_rate") * w.demand[1], *w.demand_limits)
+    roi = clamp(w.roi[0] + c("roi_rate") / w.roi[1], *w.roi_limits)
+    visits = clamp(w.visits[0] + c("recent_visit_count") / w.visits[1], *w.visits_limits)
     discount = F.when(c("offer_type") == "discount", c("menu_price") * (c("offer_value") / 100)).otherwise(
         c("offer_value")
     )
     needed = F.greatest(F.lit(1).cast("bigint"), nearest_even(c("fixed_cost") / F.nullif(c("_unit"), F.lit(0.0))))
     unreachable = F.lit(fv.UNREACHABLE_BREAK_EVEN).cast("bigint")
     orders, profit = c("expected_incremental_orders"), c("expected_incremental_profit")
-    certainty = (
-        0.62
-        + at_most(c("recent_visit_count") * 1.0, 1000.0) / 4000
-        + at_most(c("target_customers") * 1.0, 3000.0) / 12000
-    )
-    open_rate = at_most(lookup(c("channel"), fv.CHANNEL_OPEN_BIAS) * response * tired, 0.92)
-    conversion = clamp(0.08 * response * offer_pull * demand * roi * visits, 0.03, 0.45)
+    open_rate = at_most(lookup(c("channel"), w.channels) * response * tired, w.most_opened)
+    conversion = clamp(w.conversion * response * offer_pull * demand * roi * visits, *w.conversion_limits)
     return (
         plans.withColumns(
             {
@@ -119,9 +181,9 @@ def break_even_measures(plans: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "break_even_revenue": c("break_even_orders") * c("_basket"),
-                "break_even_probability": clamp(orders / c("break_even_orders"), 0.01, 0.99),
+                "break_even_probability": clamp(orders / c("break_even_orders"), *w.probability_limits),
                 "expected_roi": ratio(profit, c("fixed_cost"), F.lit(0.0)) * 100,
-                "confidence": clamp(certainty, 0.55, 0.93),
+                "confidence": w.certainty.of(c("recent_visit_count"), c("target_customers")),
                 "model_name": F.lit(fv.BREAK_EVEN_MODEL),
             }
         )
@@ -147,49 +209,44 @@ def round_columns(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
     return df.withColumns({name: rounded(F.col(name), places) for name, places in decimals.items()})
 
 
-def campaign_break_even(plans: DataFrame) -> DataFrame:
+def campaign_break_even(plans: DataFrame, weights: BreakEvenWeights = BreakEvenWeights()) -> DataFrame:
     """Add the break-even measures, rounded, to a table of campaign plans."""
-    return round_columns(break_even_measures(plans), BREAK_EVEN_DECIMALS)
+    return round_columns(break_even_measures(plans, weights), BREAK_EVEN_DECIMALS)
 
 
 def break_even_advice(probability: Column) -> Column:
     return F.when(probability < 0.8, fv.BREAK_EVEN_ADVICE_LOW).otherwise(fv.BREAK_EVEN_ADVICE_OK)
 
 
-def uplift_measures(plans: DataFrame) -> DataFrame:
+def uplift_measures(plans: DataFrame, weights: UpliftWeights = UpliftWeights()) -> DataFrame:
     """Add redemption, uplift, orders, revenue and confidence to uplift plans, before rounding of rates."""
-    c = F.col
+    c, w = F.col, weights
     redemption = (
-        lookup(c("segment_name"), fv.SEGMENT_REDEMPTION, fv.SEGMENT_REDEMPTION_DEFAULT)
-        * lookup(c("channel"), fv.CHANNEL_REDEMPTION)
-        * at_most(0.95 + c("discount_rate") * 2.4, 1.35)
-        * clamp(0.85 + c("return_rate") * 1.4, 0.75, 1.2)
+        lookup(c("segment_name"), w.segments, w.other_segments)
+        * lookup(c("channel"), w.channels)
+        * at_most(w.discount[0] + c("discount_rate") * w.discount[1], w.most_discount)
+        * clamp(w.returning[0] + c("return_rate") * w.returning[1], *w.returning_limits)
     )
-    baseline = F.greatest(F.lit(1).cast("bigint"), nearest_even(c("recent_visit_count") / 7))
+    baseline = F.greatest(F.lit(1).cast("bigint"), nearest_even(c("recent_visit_count") / w.baseline_days))
     orders = c("expected_incremental_orders")
-    kept = at_least(1 - c("discount_rate") * 0.6, 0.82)
-    certainty = (
-        0.63
-        + at_most(c("recent_visit_count") * 1.0, 700.0) / 3500
-        + at_most(c("target_customers") * 1.0, 3000.0) / 15000
-    )
+    kept = at_least(1 - c("discount_rate") * w.discount_cost, w.least_kept)
     return (
-        plans.withColumn("expected_redemption_rate", clamp(redemption, 0.02, 0.32))
+        plans.withColumn("expected_redemption_rate", clamp(redemption, *w.redemption_limits))
         .withColumn("expected_incremental_orders", nearest_even(c("target_customers") * c("expected_redemption_rate")))
         .withColumns(
             {
-                "expected_uplift_rate": clamp(orders / baseline, 0.03, 1.5),
+                "expected_uplift_rate": clamp(orders / baseline, *w.uplift_limits),
                 "expected_incremental_revenue": rounded(orders * c("avg_order_value") * kept, 2),
-                "confidence": clamp(certainty, 0.58, 0.92),
+                "confidence": w.certainty.of(c("recent_visit_count"), c("target_customers")),
                 "model_name": F.lit(fv.UPLIFT_MODEL),
             }
         )
     )
 
 
-def campaign_uplift(plans: DataFrame) -> DataFrame:
+def campaign_uplift(plans: DataFrame, weights: UpliftWeights = UpliftWeights()) -> DataFrame:
     """Add the uplift measures, rounded, to a table of uplift plans."""
-    return round_columns(uplift_measures(plans), UPLIFT_DECIMALS)
+    return round_columns(uplift_measures(plans, weights), UPLIFT_DECIMALS)
 
 
 def exclusion_reason() -> Column:

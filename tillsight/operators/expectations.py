@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillsight.functions.structs import present
 
@@ -98,3 +100,42 @@ def valid_rows(checked: DataFrame) -> DataFrame:
 
 def rejected_rows(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("violations") > 0)
+
+
+@dataclass
+class SplitRecords:
+    """`valid` rows, `rejected` rows with their `violations`, and counts: rows, valid, rejected, and rows that break each rule."""
+
+    valid: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+    broken: dict[str, int]
+
+
+def split_records(df: DataFrame, rules: str | Mapping[str, str | Column], path: str, *, mode: str = "errorifexists") -> SplitRecords:
+    """Check the rows of `df` in one pass: write valid and rejected rows apart under `path` and count them on the way.
+
+    `rules` names a record type or gives the rules. `df` is computed once, whatever is read later; the counts come with the
+    write (a task that ran again after a lost executor can count twice there; the tables never hold a row twice).
+    """
+    rules = RECORD_RULES[rules] if isinstance(rules, str) else rules
+    checked = expect(df, rules)
+    seen = Observation()
+    broken = {f"rule_{i}": F.count_if(F.array_contains("violations", name)) for i, name in enumerate(rules)}
+    observed = checked.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.size("violations") > 0).alias("rejected"),
+        *(count.alias(alias) for alias, count in broken.items()),
+    )
+    verdict = F.when(F.size("violations") > 0, "rejected").otherwise("valid")
+    observed.withColumn("verdict", verdict).write.mode(mode).partitionBy("verdict").parquet(path)
+    found = seen.get
+    counts = {"rows": found["rows"], "valid": found["rows"] - found["rejected"], "rejected": found["rejected"]}
+    written = df.sparkSession.read.schema(StructType([*checked.schema.fields, StructField("verdict", StringType())])).parquet(path)
+    return SplitRecords(
+        written.where("verdict = 'valid'").select(*(F.col(f"`{c}`") for c in df.columns)),
+        written.where("verdict = 'rejected'").drop("verdict"),
+        counts,
+        {name: found[f"rule_{i}"] for i, name in enumerate(rules)},
+    )
