@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillsight import fixed_values as fv
 from tillsight.functions.structs import evidence, version
 from tillsight.functions.text import contains_any, fmt, mask_personal_data, text_lines, with_safe_text
+from tillsight.operators.lexicon import term_hits
 
 
 def mask_pii(df: DataFrame, column: str, enabled: bool = True) -> DataFrame:
@@ -16,8 +17,16 @@ def mask_pii(df: DataFrame, column: str, enabled: bool = True) -> DataFrame:
     return df.withColumn(column, mask_personal_data(F.col(column), enabled))
 
 
-def policy_flags(df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_TERMS) -> DataFrame:
-    """Add `policy_violation`: whether the lower-cased text contains a blocked term."""
+def policy_flags(
+    df: DataFrame, column: str, terms: Sequence[str] = fv.BLOCKED_TERMS, lexicon: DataFrame | None = None
+) -> DataFrame:
+    """Add `policy_violation`: whether the lower-cased text contains a blocked term.
+
+    `lexicon` (columns `term` and `group`, whatever the groups) takes the place of the list.
+    """
+    if lexicon is not None:
+        hits = term_hits(df.withColumn("_lowered", F.lower(F.col(column))), "_lowered", lexicon, output="_hits")
+        return hits.withColumn("policy_violation", F.size("_hits") > 0).drop("_lowered", "_hits")
     # Lower-cased in a column of its own, so that it happens once for all terms.
     lowered = df.withColumn("_lowered", F.lower(F.col(column)))
     found = contains_any(F.col("_lowered"), terms)

@@ -55,12 +55,8 @@ def anomaly_severity(
     return df.withColumn("severity", band(F.col(score), list(cuts), "low"))
 
 
-def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per (sales_date, hour): total_count, cancel_count, cancel_rate and its z-score over all slots.
-
-    A spread of 0 or a single slot gives score 0. The slot table is stored: the receipts are scanned
-    once for both the slots and their mean and spread.
-    """
+def cancel_slots(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per (sales_date, hour): total_count and cancel_count. Counts of parts of the receipts add up to those of all."""
     timed = receipts.select(
         *keys,
         F.col("sales_date").cast("date").alias("sales_date"),
@@ -69,16 +65,18 @@ def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         "status",
     )
     slot = [*keys, "sales_date", "hour"]
-    slots = stored(
-        all_present(timed, slot)
-        .groupBy(*slot)
-        .agg(
-            F.count("receipt_no").alias("total_count"),
-            F.count_if(F.col("status") == "cancelled").alias("cancel_count"),
-        )
-        .withColumn("cancel_rate", F.try_divide("cancel_count", "total_count")),
-        "cancel-slots",
+    return all_present(timed, slot).groupBy(*slot).agg(
+        F.count("receipt_no").alias("total_count"),
+        F.count_if(F.col("status") == "cancelled").alias("cancel_count"),
     )
+
+
+def slot_anomalies(slots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add cancel_rate and its z-score over all slots to a table with one row per slot, which is read twice.
+
+    A spread of 0 or a single slot gives score 0.
+    """
+    slots = slots.withColumn("cancel_rate", F.try_divide("cancel_count", "total_count"))
     statistics = grouped(
         slots, keys, F.avg("cancel_rate").alias("_mean"), F.stddev_samp("cancel_rate").alias("_std")
     )
@@ -88,6 +86,14 @@ def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     return attach(slots, statistics, keys).withColumn("anomaly_score", score).drop("_mean", "_std")
 
 
+def cancel_anomalies(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per (sales_date, hour): total_count, cancel_count, cancel_rate and its z-score over all slots.
+
+    The slot table is stored: the receipts are scanned once for both the slots and their mean and spread.
+    """
+    return slot_anomalies(stored(cancel_slots(receipts, keys), "cancel-slots"), keys)
+
+
 def high_value_cancels(
     receipts: DataFrame, factor: float = 3.0, keys: Sequence[str] = (), *, amount_scale: int | None = AMOUNT_SCALE
 ) -> DataFrame:
