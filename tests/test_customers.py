@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from statistics import median
 
 import duckdb
@@ -11,6 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tillsight.operators.churn import rfm, rfm_segments, segment_summary
+from tillsight.plans import percentiles
 from tillsight.plans.percentiles import exact_percentile
 
 DATED = "customer_id string, visit_date date, payment_amount double"
@@ -181,6 +182,47 @@ def test_percentile_against_sql(spark):
     assert exact_percentile(empty, "v", 0.5).first()[0] is None and exact_percentile(empty, "v", 0.5, ["k"]).count() == 0
 
 
+def test_percentile_reads_its_input_twice(spark):
+    """Once for the sketch and once for the counts, also where one value is very common and the others are far apart."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    random.seed(5)
+    data = [(random.choice([0.0, 1e-12, 1e12]) * random.random(),) for _ in range(3000)] + [(4.0,)] * 3000 + [(None,)] * 5
+    table = spark.createDataFrame(data, "v double")
+    for fraction in (0.0, 0.25, 0.499, 0.9, 1.0):
+        read.value = 0
+        found = exact_percentile(table.mapInArrow(count, "v double"), "v", fraction, fanout=50).first()[0]
+        assert found == pytest.approx(table.select(F.percentile("v", fraction)).first()[0], rel=1e-12) and read.value == 2 * len(data)
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.3, 0.5, 1.0])
+def test_percentile_when_the_sketch_is_far_off(spark, monkeypatch, fraction):
+    """A wrong bracket costs a pass more, never a wrong result."""
+    table = spark.createDataFrame([(f"k{i % 3}", float((i * 7919) % 1009)) for i in range(500)] + [("n", None)], "k string, v double")
+    expected = {r["k"]: r["p"] for r in table.groupBy("k").agg(F.percentile("v", fraction).alias("p")).collect()}
+    for wrong in ([900.0, 901.0], [-5.0, -4.0], [2000.0, 3000.0], [400.0, 400.0]):
+        ends = F.array(*map(F.lit, wrong))
+        monkeypatch.setattr(percentiles, "_ends", lambda *_, ends=ends: F.first(ends))
+        found = {r["k"]: r["percentile"] for r in exact_percentile(table, "v", fraction, ["k"]).collect()}
+        assert found == pytest.approx({k: v for k, v in expected.items() if v is not None} | {"n": None})
+
+
+def test_approximate_percentile(spark):
+    random.seed(6)
+    values = [random.random() for _ in range(20_000)]
+    table = spark.createDataFrame([(f"k{i % 2}", v) for i, v in enumerate(values)] + [("none", None), ("none", float("inf"))], "k string, v double")
+    found = exact_percentile(table, "v", 0.3, approx=True, accuracy=100).first()[0]
+    below = sum(v < found for v in values)
+    assert found in values and abs(below - 0.3 * len(values)) <= len(values) / 100 + 1
+    by_key = {r["k"]: r["percentile"] for r in exact_percentile(table, "v", 0.3, ["k"], approx=True).collect()}
+    assert set(by_key) == {"k0", "k1", "none"} and by_key["none"] is None and by_key["k0"] in values
+
+
 def test_percentile_by_narrowing_per_group(spark):
     random.seed(9)
     values = [("hot", float(random.randrange(10**9)) / 100) for _ in range(900)]
@@ -218,3 +260,19 @@ def test_per_store(spark):
     assert set(found) == {"s1", "s2"}
     assert found["s1"]["recency"] == 0
     assert found["s2"]["avg_interval"] == 30.0
+
+
+def test_keys_and_more_figures_in_one_scan(spark):
+    """Keys looked up after the fold give what keys on the visits give; more aggregates come along."""
+    random.seed(8)
+    data = [(f"c{random.randrange(40)}", date(2026, 1, 1 + random.randrange(28)), float(random.randrange(100))) for _ in range(300)]
+    plain = spark.createDataFrame(data + [("nobody", date(2026, 1, 5), 1.0)], "customer_id string, visit_date date, payment_amount double")
+    stores = spark.createDataFrame([(f"c{i}", f"s{i % 3}") for i in range(40)] + [("nobody", None), ("away", "s1")], "customer_id string, store_id string")
+    wanted = rfm(plain.join(stores, "customer_id"), keys=["store_id"])
+    found = rfm(plain, keys=["store_id"], lookup=stores, also=[F.max("payment_amount").alias("dearest")])
+    assert found.columns == [*wanted.columns, "dearest"]
+    assert sorted(found.drop("dearest").collect()) == sorted(wanted.collect())
+    dearest = {c: max(p for k, _, p in data if k == c) for c, *_ in data}
+    assert {r["customer_id"]: r["dearest"] for r in found.collect()} == dearest
+    with pytest.raises(ValueError):
+        rfm(plain.withColumn("visit_date", F.col("visit_date").cast("timestamp")), also=[F.count("*").alias("n")])

@@ -1,6 +1,9 @@
 """Readers, typed normalisation, profiles, metric log and quality metrics."""
 
 import csv
+import gzip
+import io
+from collections import Counter
 from datetime import date, datetime, timezone
 
 import pytest
@@ -18,7 +21,7 @@ from tillsight.operators.profile import profile, profile_all
 from tillsight.operators.sufficiency import data_sufficiency
 from tillsight.plans import shared
 from tillsight.schemas import DATASETS, FEEDS, dataset
-from tillsight.sources import append_metrics, load_metrics, read_feed, read_notices, read_raw, write_scores, write_table
+from tillsight.sources import append_metrics, load_metrics, read_feed, read_notices, read_raw, readers, write_scores, write_table
 
 STAMP = "2026-03-15T09:00:00+09:00"
 MENU = {"menu_id": "M1", "store_id": "S1", "price": "8500.0", "cost": "5100", "quantity": "620", "margin_rate": "0.40",
@@ -66,6 +69,79 @@ def test_every_file_has_its_own_header(spark, tmp_path):
     assert same == {"M1", "M2"}
 
 
+@pytest.mark.parametrize("reached", [True, False])
+def test_headers_of_odd_files(spark, tmp_path, monkeypatch, reached):
+    """Byte order mark, blank first line, quoted and repeated names, packed and empty files, ragged rows, odd file names."""
+    if not reached:
+        monkeypatch.setattr(readers, "_arrow_reaches", lambda path: False)
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    names = list(MENU)
+    line = ",".join(MENU.values())
+    (folder / "mark.csv").write_text("\ufeff" + ",".join(names) + "\n" + line.replace("M1", "M2") + "\n", encoding="utf-8")
+    (folder / "blank.csv").write_text("\n" + ",".join(names) + "\n" + line.replace("M1", "M3") + "\n", encoding="utf-8")
+    (folder / "twice.csv").write_text('"menu_id",menu_id,store_id\nM4,M5,S9\nM6\nM7,x,S8,more,still\n', encoding="utf-8")
+    (folder / "packed.csv.gz").write_bytes(gzip.compress((",".join(names[::-1]) + "\n" + ",".join(list(MENU.values())[::-1]) + "\n").encode()))
+    (folder / "empty.csv").write_text("")
+    found = {r["menu_id"]: r for r in read_raw(spark, "menu", str(folder)).collect()}
+    assert set(found) == {"M1", "M2", "M3", "M4", "M6", "M7"}
+    assert [found[m]["store_id"] for m in ("M1", "M2", "M3", "M4", "M6", "M7")] == ["S1", "S1", "S1", "S9", None, "S8"]
+    assert found["M1"]["category"] == "set" and found["M7"]["category"] is None
+    assert read_raw(spark, "menu", str(folder / "empty.csv")).count() == 0
+
+
+def test_headers_take_first_bytes_only(spark, tmp_path, monkeypatch):
+    path = write_csv(tmp_path / "menu.csv", [{**MENU, "menu_id": f"M{i}"} for i in range(20_000)])
+    read = []
+    real = readers.pafs.FileSystem.from_uri
+
+    class Watched(io.RawIOBase):
+        def __init__(self, stream):
+            self.stream = stream
+
+        def readable(self):
+            return True
+
+        def readinto(self, buffer):
+            data = self.stream.read(len(buffer))
+            buffer[: len(data)] = data
+            read.append(len(data))
+            return len(data)
+
+    class System:
+        def __init__(self, system):
+            self.system = system
+
+        def open_input_stream(self, location, **options):
+            return Watched(self.system.open_input_stream(location, **options))
+
+    class Watching:
+        @staticmethod
+        def from_uri(uri):
+            system, location = real(uri)
+            return System(system), location
+
+    monkeypatch.setattr(readers.pafs, "FileSystem", Watching)
+    assert readers.first_record(f"file://{path}") == list(MENU)
+    assert 0 < sum(read) <= readers.HEADER_BYTES < (tmp_path / "menu.csv").stat().st_size
+
+
+def test_notices_are_decoded_strictly(spark, tmp_path):
+    folder = tmp_path / "notices"
+    folder.mkdir()
+    (folder / "good.txt").write_text("배너 반영\r\n둘째", encoding="utf-8", newline="")
+    (folder / "blank.txt").write_text("\n")
+    (folder / "latin.txt").write_bytes("für".encode("latin-1"))
+    with pytest.raises((PySparkException, Py4JJavaError), match="no UTF-8 text: .*latin.txt"):
+        read_notices(spark, str(folder)).collect()
+    found = {r["source_name"]: r for r in read_notices(spark, str(folder), broken="keep").collect()}
+    assert found["good.txt"]["notice_text"] == "배너 반영\r\n둘째" and found["good.txt"]["corrupt_file"] is None
+    assert found["blank.txt"]["notice_text"] == "\n" and found["blank.txt"]["corrupt_file"] is None
+    assert found["latin.txt"]["notice_text"] is None and bytes(found["latin.txt"]["corrupt_file"]) == "für".encode("latin-1")
+    with pytest.raises(ValueError):
+        read_notices(spark, str(folder), broken="replace")
+
+
 def test_broken_feed_lines(spark, tmp_path):
     path = tmp_path / "feed.json"
     path.write_text('{"receipt_no": "1", "total_amount": 5.0}\n{"receipt_no": "2", "total\n{"receipt_no": "3", "total_amount": "abc"}\n')
@@ -173,6 +249,32 @@ def test_metric_log(spark, tmp_path, review_rows, customers, event_rows):
     assert all(r["created_at"].endswith("+00:00") for r in found)
 
 
+def test_runs_are_written_once(spark, tmp_path, review_rows, customers, event_rows):
+    """A job that ends before its commit leaves nothing, one that is run again after it replaces its rows."""
+    path = str(tmp_path / "metrics")
+    records = quality.evaluate(review_rows, customers, event_rows, "v")
+    append_metrics(records, path, "monday")
+    failing = records.withColumn("task", F.when(F.col("task") == "churn", F.raise_error(F.lit("ended"))).otherwise(F.col("task")))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        append_metrics(failing, path, "tuesday")
+    assert {r["run"] for r in load_metrics(spark, path).collect()} == {"monday"}
+    for _ in range(2):
+        append_metrics(records, path, "tuesday")
+    found = Counter((r["run"], r["task"]) for r in load_metrics(spark, path).collect())
+    assert found == {(run, task): 1 for run in ("monday", "tuesday") for task in ("review_sentiment", "churn", "anomaly")}
+    assert len({append_metrics(records, path), append_metrics(records, path)}) == 2
+    assert load_metrics(spark, path).count() == 12
+
+
+def test_scores_of_a_run_are_replaced(spark, tmp_path, customers):
+    path = str(tmp_path / "scores")
+    scored = churn_score(customers)
+    for rows_of_run, run in ((scored, "a"), (scored.limit(2), "b"), (scored.limit(3), "b")):
+        summary = write_scores("churn_baseline", rows_of_run, path, quality.churn_accuracy, run=run).first()
+        assert summary["row_count"] == summary["sample_size"] == rows_of_run.count()
+    assert {r["run"]: r["count"] for r in spark.read.parquet(path).groupBy("run").count().collect()} == {"a": 6, "b": 3}
+
+
 def test_accuracy_and_precision_edges(spark):
     empty = spark.createDataFrame([], "label string, prediction string")
     assert quality.accuracy(empty, "label", "prediction").first()["accuracy"] == 0.0
@@ -181,6 +283,20 @@ def test_accuracy_and_precision_edges(spark):
     assert best == {0: 0.0, 1: 0.0, 2: 0.5, 3: 0.6667, 9: 0.6667}
 
 
+def test_precision_per_group(spark):
+    data = [(k, s, i, int(i % 3 == 0), float(i % 7)) for k, n in (("a", 40), ("b", 3), (None, 5)) for s, i in (("x", i) for i in range(n))]
+    scored = spark.createDataFrame(data, "store string, other string, id int, label int, score double")
+    best = quality.precision_at_k(scored, "label", "score", 5, "id", ["store"])
+    expected = {}
+    for store in ("a", "b"):
+        top = sorted((r for r in data if r[0] == store), key=lambda r: (-r[4], r[2]))[:5]
+        expected[store] = (round(sum(r[3] for r in top) / len(top), 4), len(top))
+    assert {r["store"]: (r["precision_at_k"], r["ranked_count"]) for r in best.collect()} == expected
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    none = quality.precision_at_k(scored, "label", "score", 0, "id", ["store"]).collect()
+    assert {(r["store"], r["precision_at_k"], r["ranked_count"]) for r in none} == {("a", 0.0, 0), ("b", 0.0, 0)}
+
+
 def test_scoring_run(spark, tmp_path, customers):
     scored = churn_score(customers)
     summary = write_scores("churn_baseline", scored, str(tmp_path / "out"), quality.churn_accuracy).first()

@@ -254,6 +254,23 @@ def test_plans_stay_one_per_request(spark, staffing_rows, stock_rows):
     assert found["r3"]["steps"] == []
 
 
+def test_long_steps_count_their_rest(spark, staffing_rows, stock_rows):
+    """Only the first rows become lines, whatever a request brings; rows nobody asks for are not looked at."""
+    requests = spark.createDataFrame([("r1", "operations_tuning"), ("r2", "operations_tuning"), ("r3", "anomaly_followup")], "request_id string, scenario string")
+    hours = spark.range(1200).selectExpr("id % 24 as hour", "date_add(date '2026-01-01', cast(id div 24 as int)) as date")
+    one = staffing_rows.limit(1).drop("date", "hour")
+    many = hours.crossJoin(one).withColumn("request_id", F.lit("r1")).withColumn("staff_recommended", F.lit(9).cast("int"))
+    few = hours.limit(2).crossJoin(one).withColumn("request_id", F.lit("r2"))
+    unasked = hours.crossJoin(one).withColumn("request_id", F.lit("r3")).withColumn("sales", F.raise_error(F.lit("not asked for")).cast("double"))
+    staffing = many.unionByName(few).unionByName(unasked.where("request_id = 'r9'"))
+    plan = action_plan(requests, staffing=staffing, key="request_id", most_lines=3)
+    found = {r["request_id"]: r["outputs"] for r in plan.collect()}
+    lines = found["r1"]["staffing"].split("\n")
+    assert len(lines) == 4 and lines[-1] == "외 1,197건" and len(found["r2"]["staffing"].split("\n")) == 2 and "staffing" not in found["r3"]
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in physical
+
+
 @pytest.mark.parametrize("name", ["sales_insight", "churn_explanation", "store_intelligence", "campaign_break_even_guide"])
 def test_texts_are_written_once(spark, name):
     """A text is formatted for its summary and its lines, not again for every check of it."""

@@ -170,6 +170,7 @@ STORE_VISITS = "최근 방문 %,d건 기준으로 재방문 고객 액션 우선
 PLAN_ANOMALY_STRATEGY = "이상 대응 플레이북은 다음 단계 구현 범위입니다."
 PLAN_ANOMALY_EXECUTION = "고위험 이상 대응은 사람 승인 후 실행됩니다."
 PLAN_ANOMALY_OUTPUT = "manual approval required"
+PLAN_MORE_LINES = "외 %,d건"
 
 # --- evidence labels --------------------------------------------------------------------------
 EVIDENCE_LABELS = {

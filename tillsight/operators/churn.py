@@ -44,6 +44,8 @@ def rfm(
     keys: Sequence[str] = (),
     *,
     amount_scale: int | None = AMOUNT_SCALE,
+    also: Sequence[Column] = (),
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Per customer: recency, frequency, monetary, avg_interval, churn_probability.
 
@@ -52,12 +54,20 @@ def rfm(
     `keys` every statistic is per group, e.g. per store.
 
     The visits are scanned once; the per-customer table is written to the shared folder and the
-    statistics over all customers are taken from there.
+    statistics over all customers are taken from there. `also` are named aggregates of a customer's visits (by date) that
+    are taken in the same scan and added to the result. `lookup` (customer_id and one row each with `keys`) gives the keys
+    to visits that do not have them: visits are folded to customers before they meet it, those of others are left out.
     """
-    visits = all_present(visits, [*keys, "customer_id"])
+    given = [*(() if lookup is not None else keys), "customer_id"]
+    visits = all_present(visits, given)
     by_date = isinstance(visits.schema["visit_date"].dataType, DateType)
-    summarise = _customers_by_date if by_date else _customers_by_timestamp
-    customers = stored(summarise(visits, [*keys, "customer_id"], amount_scale), "customers")
+    if also and not by_date:
+        raise ValueError("more aggregates need visits by date")
+    folded = _customers_by_date(visits, given, amount_scale, also) if by_date else _customers_by_timestamp(visits, given, amount_scale)
+    if lookup is not None:
+        folded = folded.join(all_present(lookup, keys).select("customer_id", *keys), "customer_id")
+    customers = stored(folded, "customers")
+    added = [c for c in customers.columns if c not in {*keys, "customer_id", "last_visit", "frequency", "monetary", "own_interval"}]
 
     statistics = grouped(
         customers,
@@ -80,6 +90,7 @@ def rfm(
         "monetary",
         "avg_interval",
         _overdue(F.col("recency"), F.col("avg_interval")).alias("churn_probability"),
+        *added,
     )
 
 
@@ -96,7 +107,7 @@ def _overdue(recency: Column, interval: Column) -> Column:
     ).otherwise(clamp(recency / F.nullif(interval * INTERVAL_FACTOR, F.lit(0.0)), 0.0, 1.0))
 
 
-def _customers_by_date(visits: DataFrame, customer: list[str], scale: int | None) -> DataFrame:
+def _customers_by_date(visits: DataFrame, customer: list[str], scale: int | None, also: Sequence[Column]) -> DataFrame:
     # Whole-day gaps add up to last - first, so the mean gap needs no ordering of the visits.
     spread = F.datediff(F.max("visit_date"), F.min("visit_date"))
     gaps = F.count("visit_date") - 1
@@ -105,6 +116,7 @@ def _customers_by_date(visits: DataFrame, customer: list[str], scale: int | None
         F.count("*").alias("frequency"),
         money_sum(F.col("payment_amount"), scale).alias("monetary"),
         F.when(gaps > 0, spread / gaps).alias("own_interval"),
+        *also,
     )
 
 

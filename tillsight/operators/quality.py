@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillsight import fixed_values as fv
 from tillsight.functions.numeric import rounded
 from tillsight.operators.churn import churn_score
 from tillsight.operators.reviews import review_sentiment
 from tillsight.operators.risk import event_anomalies
+from tillsight.plans.attach import all_present, grouped
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -31,17 +32,30 @@ def churn_accuracy(scored: DataFrame, churned: str = "churned") -> DataFrame:
     return accuracy(compared, "label", "prediction")
 
 
-def top_scored(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
-    """The k rows with the highest score; equal scores in order of `tie`."""
-    return df.orderBy(F.col(score).desc(), F.col(tie).asc()).limit(k)
+def top_scored(df: DataFrame, score: str, k: int, tie: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The k rows with the highest score, of every group where there are keys; equal scores in order of `tie`.
 
+    Only the k best rows of a group in each task are shuffled, also of a group that holds most rows.
+    """
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    if not keys:
+        return df.orderBy(*order).limit(k)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return all_present(df, keys).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
-def precision_at_k(df: DataFrame, label: str, score: str, k: int, tie: str) -> DataFrame:
-    """One row: share of positive labels (0/1) among the k best scores, 0 without rows or with k <= 0."""
-    best = top_scored(df.select(label, score, tie), score, max(k, 0), tie)
-    return best.agg(
-        F.coalesce(rounded(F.avg(label), 4), F.lit(0.0)).alias("precision_at_k"), F.count("*").alias("ranked_count")
+
+def precision_at_k(df: DataFrame, label: str, score: str, k: int, tie: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of positive labels (0/1) among the k best scores: one row, 0 without rows or with k <= 0.
+
+    With keys one row per group, by the k best of the group; null keys form none.
+    """
+    best = top_scored(df.select(*keys, label, score, tie), score, max(k, 0), tie, keys)
+    if keys and k <= 0:
+        best = all_present(df, keys).select(*keys, F.lit(None).cast("int").alias(label))
+    counted = grouped(
+        best, keys, F.coalesce(rounded(F.avg(label), 4), F.lit(0.0)).alias("precision_at_k"), F.count("*").alias("ranked_count")
     )
+    return counted.withColumn("ranked_count", F.lit(0).cast("bigint")) if keys and k <= 0 else counted
 
 
 def metric_record(

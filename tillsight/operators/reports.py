@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
 from tillsight import fixed_values as fv
 from tillsight.functions.numeric import rounded
@@ -26,6 +28,17 @@ from tillsight.operators.sales import hourly_trend, hourly_trend_summary
 from tillsight.plans.attach import attach, grouped
 
 
+# The scenarios of a plan request.
+SCENARIOS = ("retention_recovery", "anomaly_followup", "operations_tuning")
+
+
+def _first_rows(rows: DataFrame, key: str, order: Sequence[str], most: int) -> DataFrame:
+    """At most so many rows per key, in an order that all columns decide; each task passes on no more than that."""
+    others = [f.name for f in rows.schema.fields if f.name not in (key, *order) and not isinstance(f.dataType, MapType)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, *others))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def _insight(table: dict, name: str, condition: Column, *values: Column) -> Column:
     kind, title, description = table[name]
     title = fmt(title, *values) if "%" in title else F.lit(title)
@@ -231,6 +244,10 @@ def store_intelligence(
     )
 
 
+#: Lines a step's detail has at most; the others are counted in a last line.
+MOST_LINES = 20
+
+
 def action_plan(
     requests: DataFrame,
     *,
@@ -241,35 +258,50 @@ def action_plan(
     staffing: DataFrame | None = None,
     inventory: DataFrame | None = None,
     key: str = "store_id",
+    most_lines: int = MOST_LINES,
 ) -> DataFrame:
     """Steps, outputs and status per requested plan: as many plans as requests.
 
     `requests` has the key (a store, or a request id) and scenario; every input table has the key. A key without
-    rows in an input skips that step; the texts of several rows (segments, hours, items) are the lines of its
-    detail, sorted. Inputs belong to one request: a few rows, not a whole table per key.
+    rows in an input skips that step. The texts of several rows (segments, hours, items) are the lines of its
+    detail, sorted: those of the first `most_lines` rows (by segment, menu, date and hour, item, then all columns), and a line
+    that counts the others. Only rows that a request asks for are looked at, and only those that make a line become text.
     """
+    recovery, followup, tuning = SCENARIOS
     inputs = {
-        "churn": (churn, churn_explanation, "summary"),
-        "retention": (retention, retention_strategy, "summary"),
-        "anomaly": (anomaly, anomaly_explanation, "summary"),
-        "menu": (menu, pricing_strategy, "summary"),
-        "staffing": (staffing, staffing_recommendation, "recommendation"),
-        "inventory": (inventory, inventory_recommendation, "recommendation"),
+        "churn": (churn, churn_explanation, "summary", recovery, ()),
+        "retention": (retention, retention_strategy, "summary", recovery, ("segment_name",)),
+        "anomaly": (anomaly, anomaly_explanation, "summary", followup, ("anomaly_type",)),
+        "menu": (menu, pricing_strategy, "summary", tuning, ("menu_id",)),
+        "staffing": (staffing, staffing_recommendation, "recommendation", tuning, ("date", "hour")),
+        "inventory": (inventory, inventory_recommendation, "recommendation", tuning, ("month", "item_id")),
     }
-    rows = requests
-    for name, (table, explain, text) in inputs.items():
+    tagged = []
+    for name, (table, explain, text, scenario, order) in inputs.items():
         if table is None:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-        else:
-            # Null texts are not collected; a filter on the text would be pushed down and write it out again.
-            texts = explain(table).groupBy(key).agg(F.array_sort(F.collect_list(text)).alias(name))
-            lines = F.when(F.size(name) > 0, F.array_join(name, "\n"))
-            rows = rows.join(texts.select(key, lines.alias(name)), key, "left")
+            continue
+        asked = requests.where(F.col("scenario") == scenario).select(key).distinct()
+        needed = table.join(asked, key, "left_semi")
+        counted = needed.groupBy(key).agg(F.count("*").alias("total"))
+        chosen = explain(_first_rows(needed, key, order, most_lines))
+        tagged.append(chosen.select(key, F.lit(name).alias("part"), F.col(text).alias("line"), F.lit(0).cast("bigint").alias("total")))
+        tagged.append(counted.select(key, F.lit(name).alias("part"), F.lit(None).cast("string").alias("line"), "total"))
+    if not tagged:
+        rows = requests.withColumns({name: F.lit(None).cast("string") for name in inputs})
+    else:
+        # One small row per line and part meets under the key.
+        parts = {}
+        for name in inputs:
+            own = F.col("part") == name
+            lines = F.array_sort(F.collect_list(F.when(own, F.col("line"))))
+            others = F.sum(F.when(own, F.col("total"))) - most_lines
+            more = F.when(others > 0, fmt(fv.PLAN_MORE_LINES, others))
+            parts[name] = F.when(F.size(lines) > 0, F.array_join(F.concat(lines, present(more)), "\n"))
+        folded = reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*(column.alias(name) for name, column in parts.items()))
+        rows = requests.join(folded, key, "left")
 
     c = F.col
-    recovery, followup, tuning = (
-        c("scenario") == name for name in ("retention_recovery", "anomaly_followup", "operations_tuning")
-    )
+    recovery, followup, tuning = (c("scenario") == name for name in SCENARIOS)
     hold = F.lit(fv.HANDOFF_MESSAGES["pending_approval"])
 
     def step(when: Column, name: str, status: str, detail: Column) -> Column:

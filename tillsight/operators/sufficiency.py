@@ -36,12 +36,16 @@ def data_sufficiency(
     date_col: str = "date",
     min_days: int = fv.MIN_ANALYSIS_DAYS,
     min_records: int = fv.MIN_ANALYSIS_RECORDS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Per group: window, day and record counts, warnings and the cold_start flag."""
+    """Per group: window, day and record counts, warnings and the cold_start flag.
+
+    Rows that were folded before count as many records as `weight` says.
+    """
     window = all_present(df, keys).groupBy(*keys).agg(
         F.min(F.col(date_col).cast("date")).alias("window_start"),
         F.max(F.col(date_col).cast("date")).alias("window_end"),
-        F.count("*").alias("record_count"),
+        (F.count("*") if weight is None else F.sum(weight)).alias("record_count"),
     )
     return check_window(window, min_days, min_records)
 

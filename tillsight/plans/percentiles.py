@@ -42,9 +42,7 @@ def exact_percentile(
     rows = all_present(df, keys).select(*keys, F.when(finite, number).alias("_v"))
     if approx:
         return grouped(rows, keys, F.percentile_approx("_v", F.lit(fraction), F.lit(accuracy)).alias(output))
-    margin = 2 / accuracy
-    ends = F.array(F.lit(max(0.0, fraction - margin)), F.lit(min(1.0, fraction + margin)))
-    bracket = grouped(rows, keys, F.percentile_approx("_v", ends, F.lit(accuracy)).alias("_ends"))
+    bracket = grouped(rows, keys, _ends(fraction, accuracy).alias("_ends"))
     folded = stored(_folded(attach(rows, bracket, keys), keys), "percentile-values")
     most, missed = _size(folded, keys, fraction)
     if missed:  # the sketch was further off than it promises: count ranges of the whole input
@@ -57,6 +55,13 @@ def exact_percentile(
     return found.select(*keys, F.col("_value").alias(output))
 
 
+def _ends(fraction: float, accuracy: int) -> Column:
+    """Values of the sketch on either side of the wanted rank."""
+    margin = 2 / accuracy
+    around = F.array(F.lit(max(0.0, fraction - margin)), F.lit(min(1.0, fraction + margin)))
+    return F.percentile_approx("_v", around, F.lit(accuracy))
+
+
 def _folded(beside: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of each value between the ends, of all below (zone -1) and of all above (zone 1); nulls (zone -2) count 0."""
     low, high = F.col("_ends")[0], F.col("_ends")[1]

@@ -33,17 +33,27 @@ def _month(x: Column) -> Column:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return _visits_of(table(spark, sf_dir, "orders"))
+
+
+def _visits_of(orders: DataFrame, *more: str) -> DataFrame:
+    return orders.select(
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("visit_date"),
         F.col("o_totalprice").alias("payment_amount"),
+        *more,
     )
 
 
-def store_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits with the nation of the customer as the store."""
-    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("store_id"))
-    return visits(spark, sf_dir).join(customer, F.col("customer_id") == F.col("c_custkey")).drop("c_custkey")
+def customer_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation of each customer as the store."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id"))
+
+
+def store_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits per store and day, folded to customer and day before the store is looked up."""
+    folded = visits(spark, sf_dir).groupBy("customer_id", "visit_date").agg(F.count("*").alias("records"))
+    return folded.join(customer_stores(spark, sf_dir), "customer_id").groupBy("store_id", "visit_date").agg(F.sum("records").alias("records"))
 
 
 def timed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,29 +65,22 @@ def timed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RFM rows with the store, the mean share of discounted lines per order and the churned flag."""
+    """RFM rows with the store, the mean share of discounted lines per order and the churned flag; orders are read once."""
     shares = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         (F.count_if(F.col("l_discount") > 0.05) / F.count("*")).alias("share")
     )
-    coupon = (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate")
-        .join(shares, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .groupBy(F.col("o_custkey").alias("customer_id"))
-        .agg(
+    orders = table(spark, sf_dir, "orders").join(shares, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    found = rfm(
+        _visits_of(orders, "share"),
+        also=[
             F.coalesce(F.avg("share"), F.lit(0.0)).alias("coupon_use_rate"),
-            F.min(F.col("o_orderdate").cast("date")).alias("first_visit"),
-            F.max(F.col("o_orderdate").cast("date")).alias("last_visit"),
-        )
-    )
-    stores = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id")
+            F.min("visit_date").alias("first_visit"),
+            F.max("visit_date").alias("latest_visit"),
+        ],
     )
     return (
-        rfm(visits(spark, sf_dir))
-        .join(coupon, "customer_id", "left")
-        .join(stores, "customer_id", "left")
-        .withColumn("coupon_use_rate", F.coalesce("coupon_use_rate", F.lit(0.0)))
+        found.withColumnRenamed("latest_visit", "last_visit")
+        .join(customer_stores(spark, sf_dir), "customer_id", "left")
         .withColumn("churned", (F.coalesce(F.col("churn_probability"), F.lit(0.0)) > 0.8).cast("int"))
         .withColumn("last_visit_days", F.col("recency"))
     )
@@ -151,7 +154,11 @@ def menu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return receipts_of(table(spark, sf_dir, "events"))
+
+
+def receipts_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("receipt_no"),
         F.col("user_id").alias("store_id"),
         F.to_date("ts").alias("sales_date"),
@@ -276,6 +283,45 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(UPLOADED).alias("uploaded_at"))
 
 
+def _as_text(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select(*[F.concat(F.lit(" "), F.col(n).cast("string"), F.lit("\t")).alias(n) for n in names],
+                       F.lit("tables").alias("source_name"), F.lit(UPLOADED).alias("uploaded_at"))
+
+
+def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as raw text rows; some have a recency that is no number, some a blank store."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        key.alias("customer_id"),
+        F.when(key % 19 == 0, " ").otherwise(F.col("c_nationkey").cast("string")).alias("store_id"),
+        F.when(key % 17 == 0, "n/a").otherwise((key % 90).cast("string")).alias("recency"),
+        (key % 12).alias("frequency"),
+        F.col("c_acctbal").alias("monetary"),
+        F.when(key % 23 == 0, "NaN").otherwise((key % 90).cast("string")).alias("last_visit_days"),
+        ((key % 5) * 0.25).alias("coupon_use_rate"),
+        (key % 2).alias("churned"),
+    )
+    return _as_text(rows, "customer_id", "store_id", "recency", "frequency", "monetary", "last_visit_days", "coupon_use_rate", "churned")
+
+
+def raw_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw text rows of the anomaly dataset; every eleventh has no employee."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("store_id"), "event_type", F.col("value").alias("amount"), F.col("ts").alias("event_time"),
+        (F.col("event_type") == "error").cast("int").alias("is_anomaly"),
+        F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("E"), (F.col("user_id") % 7).cast("string"))).alias("employee_id"),
+    )
+    return _as_text(rows, "event_id", "store_id", "event_type", "amount", "employee_id", "event_time", "is_anomaly")
+
+
+def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(inventory(spark, sf_dir), "month", "store_id", "item_id", "system_qty", "actual_qty", "loss_rate")
+
+
+def raw_staffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(staffing(spark, sf_dir), "date", "store_id", "hour", "sales", "staff_actual", "staff_recommended")
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -285,6 +331,12 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct words of the benchmark texts as terms, grouped by their length."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    return words.distinct().withColumn("group", F.concat(F.lit("n"), (F.length("term") % 3).cast("string")))
+
+
 def campaign_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     recency = rfm(visits(spark, sf_dir)).select("customer_id", "recency")
@@ -316,20 +368,25 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def store_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers, visits and revenue per store and segment, with segments taken over all stores."""
-    segments = rfm_segments(rfm(visits(spark, sf_dir)))
-    stores = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id")
-    )
-    return segment_summary(segments.join(stores, "customer_id"), ("store_id",))
+def plan_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer the RFM figures, segment, orders of the last 90 days, amount spent and store: one table for all campaign plans.
+
+    Beside the latest date, for which one column is read, orders are read once.
+    """
+    orders = visits(spark, sf_dir)
+    latest = orders.agg(F.max("visit_date").alias("latest"))
+    recent = F.datediff(F.col("latest"), F.col("visit_date")) < 90
+    figures = [F.count_if(recent).alias("recent"), F.sum(F.col("payment_amount").cast("decimal(18,2)")).alias("spent")]
+    found = rfm_segments(rfm(attach(orders, latest), also=figures))
+    return stored(found.join(customer_stores(spark, sf_dir), "customer_id"), "plan-customers")
 
 
-def retention_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retention_segments(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """Retention input per store and segment; budget grows with the store key, 0 for every fifth store."""
     risk = F.when(F.col("segment") == "At Risk", "high").when(F.col("segment") == "Lost", "medium").otherwise("low")
+    customers = plan_customers(spark, sf_dir) if customers is None else customers
     return _labelled(
-        store_segments(spark, sf_dir).select(
+        segment_summary(customers, ("store_id",)).select(
             "store_id",
             F.col("segment").alias("segment_name"),
             "customer_count",
@@ -341,27 +398,12 @@ def retention_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _store_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store_figures(customers: DataFrame) -> DataFrame:
     """Per store: mean order value, orders of the last 90 days, share of customers with two or more orders."""
-    orders = visits(spark, sf_dir)
-    latest = orders.agg(F.max("visit_date").alias("latest"))
-    recent = F.datediff(F.col("latest"), F.col("visit_date")) < 90
-    per_customer = attach(orders, latest).groupBy("customer_id").agg(
-        F.count("*").alias("orders"),
-        F.count_if(recent).alias("recent"),
-        F.sum(F.col("payment_amount").cast("decimal(18,2)")).alias("spent"),
-    )
-    stores = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("store_id")
-    )
-    return (
-        per_customer.join(stores, "customer_id")
-        .groupBy("store_id")
-        .agg(
-            F.round(F.sum("spent").cast("double") / F.sum("orders"), 2).alias("avg_order_value"),
-            F.sum("recent").alias("recent_visit_count"),
-            F.round(F.count_if(F.col("orders") >= 2) / F.count("*"), 4).alias("return_rate"),
-        )
+    return customers.groupBy("store_id").agg(
+        F.round(F.sum("spent").cast("double") / F.sum("frequency"), 2).alias("avg_order_value"),
+        F.sum("recent").alias("recent_visit_count"),
+        F.round(F.count_if(F.col("frequency") >= 2) / F.count("*"), 4).alias("return_rate"),
     )
 
 
@@ -370,9 +412,10 @@ def _plan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.lit("new")
     for segment, name in SEGMENT_NAMES.items():
         named = F.when(F.col("segment") == segment, name).otherwise(named)
+    customers = plan_customers(spark, sf_dir)
     return (
-        store_segments(spark, sf_dir)
-        .join(_store_figures(spark, sf_dir), "store_id")
+        segment_summary(customers, ("store_id",))
+        .join(_store_figures(customers), "store_id")
         .select(
             "store_id",
             named.alias("segment_name"),
@@ -460,7 +503,7 @@ def anomaly_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store figures with a fixed promotion return."""
-    return _store_figures(spark, sf_dir).withColumn("roi_rate", F.lit(42.1))
+    return _store_figures(plan_customers(spark, sf_dir)).withColumn("roi_rate", F.lit(42.1))
 
 
 def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,25 +514,23 @@ def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def action_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Plan inputs per store: all its segments and staffing hours, its best seller, its total stock loss.
-
-    The lines are read once and folded to supplier and part before the supplier's store is looked up.
-    """
+def store_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity sold and kept per store, menu and supplier; lines are folded before the supplier's store is looked up."""
     lost = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.07)
     folded = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
         F.sum("l_quantity").alias("quantity"),
         F.sum(F.when(lost, 0.0).otherwise(F.col("l_quantity"))).alias("kept"),
     )
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("store_id"))
-    per_menu = stored(
-        folded.join(suppliers, "l_suppkey").groupBy("store_id", "l_partkey").agg(F.sum("quantity").alias("quantity"), F.sum("kept").alias("kept")),
-        "store-menus",
-    )
-    best = per_menu.groupBy("store_id").agg(F.max(F.struct("quantity", "l_partkey")).alias("best"))
+    return stored(folded.join(suppliers, "l_suppkey"), "store-sales")
+
+
+def action_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Plan inputs per store: all its segments, menus, staffing hours and stock items. Lines and customers are read once."""
+    sold = store_sales(spark, sf_dir)
     cost_rate = 0.3 + F.col("p_size") / 100
     menu = _labelled(
-        best.select("store_id", "best.*")
+        sold.groupBy("store_id", "l_partkey").agg(F.sum("quantity").alias("quantity"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "store_id",
@@ -503,19 +544,17 @@ def action_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "menu_metrics",
     )
     stock = _labelled(
-        per_menu.groupBy("store_id")
+        sold.groupBy("store_id", F.col("l_suppkey").alias("item_id"))
         .agg(F.sum("quantity").alias("system_qty"), F.sum("kept").alias("actual_qty"))
         .withColumn("loss_rate", F.try_divide(F.col("system_qty") - F.col("actual_qty"), F.col("system_qty")))
-        .withColumn("item_id", F.lit("all"))
         .withColumn("month", F.lit("all")),
         "inventory_monthly",
     )
-
     return {
         "churn": churn_input(spark, sf_dir),
         "retention": retention_segments(spark, sf_dir),
-        "anomaly": anomaly_input(spark, sf_dir),
-        "menu": menu,
-        "staffing": store_staffing(spark, sf_dir),
+        "anomaly": stored(anomaly_input(spark, sf_dir), "plan-anomalies"),
+        "menu": stored(menu, "plan-menus"),
+        "staffing": stored(store_staffing(spark, sf_dir), "plan-staffing"),
         "inventory": stock,
     }

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillsight import fixed_values as fv, jobs
-from tillsight.operators import campaigns, churn, insights, menu, normalize, notices, operations, profile, quality
+from tillsight.operators import campaigns, churn, insights, lexicon, menu, normalize, notices, operations, profile, quality
 from tillsight.operators import expectations, reports, reviews, risk, sales, sufficiency
-from tillsight.plans.shared import new_path
+from tillsight.plans.attach import attach
+from tillsight.plans.shared import new_path, stored
 from tillsight.session import pin, size_shuffles
-from tillsight.sources import append_metrics, load_metrics, read_feed, read_raw, write_scores, write_table
+from tillsight.sources import append_metrics, load_metrics, read_feed, read_notices, read_raw, write_scores, write_table
+from tillsight.streaming import slots
 from tillsight.workloads import bridges as b
 from tillsight.workloads import oracle_parts as sql
+from tillsight.workloads import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +80,8 @@ def rfm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rfm_segments_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("store_id",)
-    return _rfm_rounded(churn.rfm_segments(churn.rfm(b.store_visits(spark, sf_dir), keys=keys), keys))
+    by_store = churn.rfm(b.visits(spark, sf_dir), keys=keys, lookup=b.customer_stores(spark, sf_dir))
+    return _rfm_rounded(churn.rfm_segments(by_store, keys))
 
 
 @query(
@@ -385,6 +390,18 @@ def cancel_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.cancel_anomalies(b.receipts(spark, sf_dir)), 6, "cancel_rate", "anomaly_score")
 
 
+@query(f"with {sql.cancels()} select {_SLOT_COLUMNS} from scored")
+def streamed_cancel_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event files read as a stream of receipts, folded batch by batch, then scored."""
+    path, state = new_path(spark, "streamed-slots"), new_path(spark, "stream-state")
+    events = f"{sf_dir}/events.parquet"
+    # A glob, as a stream reads folders: the table itself or the files in it.
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    slots.stream_slots(b.receipts_of(stream), path, state).awaitTermination()
+    counted = stored(slots.streamed_slots(spark, path, risk.cancel_slots(b.receipts(spark, sf_dir)).schema), "cancel-slots")
+    return rounded(risk.slot_anomalies(counted), 6, "cancel_rate", "anomaly_score")
+
+
 @query(f"with {sql.cancels('store_id,')} select store_id, {_SLOT_COLUMNS} from scored")
 def cancel_anomalies_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.cancel_anomalies(b.receipts(spark, sf_dir), ("store_id",)), 6, "cancel_rate", "anomaly_score")
@@ -431,6 +448,19 @@ def event_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.precision_at_k(scored, "is_anomaly", "anomaly_probability", 100, "event_id")
 
 
+@query(
+    f"""with {sql.EVENTS_SCORED}, placed as (
+    select user_id % 25 as store_id, is_anomaly,
+      row_number() over (partition by user_id % 25 order by anomaly_probability desc, event_id) as place
+    from events_scored join events using (event_id))
+    select cast(store_id as integer) as store_id, round(avg(is_anomaly), 4) as precision_at_k, count(*) as ranked_count
+    from placed where place <= 20 group by store_id"""
+)
+def event_precision_at_k_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = risk.event_anomalies(b.anomaly_events(spark, sf_dir)).withColumn("store_id", (F.col("store_id") % 25).cast("int"))
+    return quality.precision_at_k(scored, "is_anomaly", "anomaly_probability", 20, "event_id", ["store_id"])
+
+
 _ANOMALY_INPUT = f"""anomalies as (
   select cast(user_id % 25 as integer) as store_id, count(*) as record_count,
          count(*) filter (event_type = 'error') as occurrence_count,
@@ -524,6 +554,31 @@ def inventory_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.inventory_recommendation(b.inventory(spark, sf_dir)).select("month", "item_id", "prompt")
 
 
+def _prompt_sql(task: str, *names: tuple[str, str]) -> str:
+    """A task's template with `name=value` lines for its context."""
+    lines = ", ".join(f"concat('{name}=', {value})" for name, value in names)
+    return f"replace('{fv.PROMPTS[task]}', '{{context}}', concat_ws(chr(10), {lines}))"
+
+
+@query(
+    f"""with {sql.staffing()} select date, hour, {_prompt_sql(
+        "staffing", ("store_id", "store_id"), ("hour", "hour"), ("sales", "sales"), ("staff_actual", "staff_actual"),
+        ("staff_recommended", "staff_recommended"), ("gap", "gap"), ("opportunity_cost", "opportunity_cost"))} as prompt from staffed"""
+)
+def staffing_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.staffing_recommendation(b.staffing(spark, sf_dir)).select("date", "hour", "prompt")
+
+
+@query(
+    f"""with {sql.RETENTION} select store_id, segment_name, {_prompt_sql(
+        "retention_offer", ("store_id", "store_id"), ("segment_name", "segment_name"), ("customer_count", "customer_count"),
+        ("churn_risk_level", "churn_risk_level"), ("coupon_budget", "coupon_budget"),
+        ("recommended_discount", "cast(discount as bigint)"))} as prompt from offers"""
+)
+def retention_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.retention_strategy(b.retention_segments(spark, sf_dir)).select("store_id", "segment_name", "prompt")
+
+
 # --- campaigns --------------------------------------------------------------------------------
 
 
@@ -752,6 +807,21 @@ def notice_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.notice_checklist(b.notices(spark, sf_dir), ("doc_id",), b.NOTICE_WORDS)
 
 
+@query(
+    """with terms as (
+      select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as term from benchmark),
+    texts as (select doc_id, lower(text) as text from documents)
+    select doc_id, count(*) filter (length(term) % 3 = 0) as n0, count(*) filter (length(term) % 3 = 1) as n1,
+      count(*) filter (length(term) % 3 = 2) as n2
+    from texts left join terms on term <> '' and contains(text, term) group by doc_id"""
+)
+def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct terms of a lexicon table every document holds, by group, in one pass over the texts."""
+    texts = b.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = lexicon.term_hits(texts, "text", b.benchmark_lexicon(spark, sf_dir))
+    return found.select("doc_id", *(F.coalesce(F.try_element_at("hits", F.lit(g)), F.lit(0)).alias(g) for g in ("n0", "n1", "n2")))
+
+
 # --- data quality -----------------------------------------------------------------------------
 
 
@@ -769,8 +839,8 @@ def notice_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sized"""
 )
 def data_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.store_visits(spark, sf_dir).withColumn("month", F.trunc("visit_date", "month"))
-    checked = sufficiency.data_sufficiency(rows, ("store_id", "month"), "visit_date", min_records=10)
+    rows = b.store_days(spark, sf_dir).withColumn("month", F.trunc("visit_date", "month"))
+    checked = sufficiency.data_sufficiency(rows, ("store_id", "month"), "visit_date", min_records=10, weight="records")
     return checked.withColumn("warnings", F.concat_ws("|", F.col("warnings.message")))
 
 
@@ -838,6 +908,46 @@ def quarantine_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("review_id", "store_id", "rating", "sentiment_label", joined("reasons"))
 
 
+@query(
+    """select cast(c_custkey as varchar) as customer_id, case when c_custkey % 19 <> 0 then cast(c_nationkey as varchar) end as store_id,
+    case when c_custkey % 17 <> 0 then cast(c_custkey % 90 as double) end as recency, cast(c_custkey % 12 as double) as frequency,
+    c_acctbal as monetary, case when c_custkey % 23 <> 0 then cast(c_custkey % 90 as double) end as last_visit_days,
+    cast((c_custkey % 5) * 0.25 as double) as coupon_use_rate, cast(c_custkey % 2 as integer) as churned,
+    concat_ws('|', case when c_custkey % 19 = 0 then 'missing:store_id' end, case when c_custkey % 17 = 0 then 'invalid:recency' end,
+              case when c_custkey % 23 = 0 then 'invalid:last_visit_days' end) as reasons from customer"""
+)
+def quarantine_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize.normalize(b.raw_customers(spark, sf_dir), "customer", mode="quarantine")
+    return rows.drop("source_name", "uploaded_at").withColumn("reasons", F.concat_ws("|", "reasons"))
+
+
+@query(
+    """select cast(event_id as varchar) as event_id, cast(user_id as varchar) as store_id, event_type, value as amount,
+    case when event_id % 11 <> 0 then concat('E', user_id % 7) end as employee_id,
+    cast(floor(epoch(ts)) as bigint) as event_seconds, cast(event_type = 'error' as integer) as is_anomaly,
+    case when event_id % 11 = 0 then 'missing:employee_id' else '' end as reasons from events"""
+)
+def quarantine_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize.normalize(b.raw_anomalies(spark, sf_dir), "anomaly", mode="quarantine")
+    return rows.withColumns({"event_seconds": F.unix_timestamp("event_time"), "reasons": F.concat_ws("|", "reasons")}).drop(
+        "event_time", "source_name", "uploaded_at"
+    )
+
+
+@query(
+    f"""with {sql.STOCK} select month, 'all' as store_id, cast(item_id as varchar) as item_id, system_qty, actual_qty,
+    round(loss_rate, 6) as loss_rate from reordered"""
+)
+def normalize_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize.normalize(b.raw_inventory(spark, sf_dir), "inventory").drop("source_name", "uploaded_at")
+    return rounded(rows, 6, "loss_rate")
+
+
+@query(f"with {sql.staffing()} select date, store_id, hour, sales, staff_actual, staff_recommended from staffed")
+def normalize_staffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(b.raw_staffing(spark, sf_dir), "staffing").drop("source_name", "uploaded_at")
+
+
 @query(
     f"""with {sql.PLANS} select store_id, segment_name, channel, concat_ws('|',
       case when target_customers < 1 then 'target_customers' end,
@@ -849,6 +959,22 @@ def expectation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("store_id", "segment_name", "channel", joined("violations"))
 
 
+@query(records.checks_sql())
+def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All record types: valid and rejected rows written apart in one pass each, counted from the written tables and on the way."""
+    parts = []
+    for record in expectations.RECORD_RULES:
+        found = expectations.split_records(records.records(spark, sf_dir, record), record, new_path(spark, f"records-{record}"))
+        valid = found.valid.agg(F.count("*").alias("valid_rows"))
+        rejected = found.rejected.agg(F.count("*").alias("rejected_rows"))
+        broken = "|".join(f"{name}:{n}" for name, n in found.broken.items())
+        row = attach(valid, rejected).withColumns(
+            {"record": F.lit(record), "row_count": F.lit(found.counts["rows"]).cast("bigint"), "broken": F.lit(broken)}
+        )
+        parts.append(row.select("record", "row_count", "valid_rows", "rejected_rows", "broken"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- sources and sinks ------------------------------------------------------------------------
 
 
@@ -870,6 +996,32 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """select source, source = 'src3' as is_broken,
+    case when source <> 'src3' then cast(sum(n_lines) as bigint) end as notice_lines,
+    case when source <> 'src3' then cast(sum(n_chars) as bigint) end as notice_chars, cast(sum(n_bytes) as bigint) as notice_bytes
+    from (select source, length(replace(text, chr(13), '')) + 1 as n_chars,
+            length(text) - length(replace(text, chr(10), '')) + 1 as n_lines, strlen(replace(text, chr(13), '')) + if(source = 'src3', 2, 1) as n_bytes
+          from documents where source is not null and text is not null)
+    group by source"""
+)
+def notice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files of their source, one source with broken bytes; decoded strictly, broken files kept apart."""
+    path = new_path(spark, "notice-files")
+    text = F.replace("text", F.lit("\r"), F.lit(""))
+    broken = F.concat(F.unhex(F.lit("FF")), text.cast("binary")).cast("string")
+    lines = b.table(spark, sf_dir, "documents").where("source is not null and text is not null")
+    lines.select(F.when(F.col("source") == "src3", broken).otherwise(text).alias("value"), "source").write.partitionBy("source").text(path)
+    files = read_notices(spark, path, broken="keep")
+    is_broken = F.col("corrupt_file").isNotNull()
+    return files.groupBy("source").agg(
+        F.bool_or(is_broken).alias("is_broken"),
+        F.sum(F.length("notice_text") - F.length(F.replace("notice_text", F.lit("\n"), F.lit("")))).alias("notice_lines"),
+        F.sum(F.length("notice_text")).alias("notice_chars"),
+        F.sum(F.octet_length(F.coalesce(F.col("notice_text").cast("binary"), "corrupt_file"))).alias("notice_bytes"),
+    )
+
+
 @query(f"with {sql.cancels()} select {_SLOT_COLUMNS} from scored")
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "receipts-json")
@@ -896,10 +1048,10 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
       (select count(*) from events)"""
 )
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluate, append each metric to an empty log, load the log."""
+    """Evaluate, add the metrics of a run to an empty log, load the log."""
     path = new_path(spark, "metrics")
     labelled = b.with_labels(spark, sf_dir, b.reviews(spark, sf_dir)).filter(F.col("sentiment_label").isNotNull())
-    records = quality.evaluate(
+    found = quality.evaluate(
         labelled,
         b.customer_rfm(spark, sf_dir),
         b.anomaly_events(spark, sf_dir),
@@ -907,8 +1059,11 @@ def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         positive=b.POSITIVE_WORDS,
         negative=b.NEGATIVE_WORDS,
     )
-    append_metrics(records, path)
-    return load_metrics(spark, path).drop("created_at")
+    found = stored(found, "run-metrics")
+    # Written twice, as by a job that is run again: the log has each metric once.
+    for _ in range(2):
+        append_metrics(found, path, "run-1")
+    return load_metrics(spark, path).drop("created_at", "run")
 
 
 @query(
@@ -965,46 +1120,74 @@ def store_intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("store_id", "summary", joined("priority_actions"), F.size("staffing").alias("staffing_rows"))
 
 
+_PLAN_TEXTS = {
+    "churn": f"""with {_CHURN_INPUT} select store_id, 1 as place,
+      printf('이탈 위험 고객은 %s명이며 방문 지연은 평균 주기의 %.1f배입니다. 위험도는 %s로 판단되며 현재 쿠폰 반응률 기준 예상 방어율은 %.1f%%입니다.',
+             format('{{:,}}', at_risk_customers), cycle_ratio, risk_band, save_rate * 100) as line from saved""",
+    "retention": f"""with {sql.RETENTION} select store_id, row_number() over (partition by store_id order by segment_name) as place,
+      format('{{}} 세그먼트 {{}}명에게 {{:,}}원 수준 복귀 오퍼를 제안합니다.', segment_name, customer_count, cast(discount as bigint)) as line from offers""",
+    "anomaly": f"""with {_ANOMALY_INPUT} select store_id, 1 as place,
+      format('payment 이상이 {{}}건 감지됐고 이상 점수는 {{:.1f}}점입니다. 예상 매출 영향은 {{:,}}원이며 대응 우선순위는 {{}}입니다.',
+             occurrence_count, anomaly_score, cast(round_even(revenue_impact, 0) as bigint), severity) as line from anomaly_rated""",
+    "menu": f"""with menu_rows as (
+        select p_partkey as menu_id, s_nationkey as store_id, cast(trunc(p_retailprice) as integer) as price,
+          sum(l_quantity) as quantity, 1 - (0.3 + p_size / 100) as margin_rate
+        from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+        group by p_partkey, s_nationkey, p_retailprice, p_size), {sql.priced()}
+      select store_id, row_number() over (partition by store_id order by menu_id) as place,
+        format('메뉴 {{}}는 현재 마진율 {{}}% 기준으로 `{{}}` 전략이 적합하며 권장 가격 범위는 {{:,}}원~{{:,}}원입니다.', menu_id,
+               printf('%.1f', margin_rate * 100), action, recommended_price_min, recommended_price_max) as line from priced""",
+    "staffing": f"""with {sql.staffing("cast(user_id % 25 as integer)")}
+      select store_id, row_number() over (partition by store_id order by date, hour) as place, recommendation as line from staffed""",
+    "inventory": f"""with {sql.STOCK.replace("strftime(l_shipdate, '%Y-%m') as month", "s_nationkey as month").replace("from lineitem", "from lineitem join supplier on l_suppkey = s_suppkey")}
+      select month as store_id, row_number() over (partition by month order by item_id) as place,
+        case risk_level when 'high' then '{fv.INVENTORY_ADVICE["high"]}' when 'medium' then '{fv.INVENTORY_ADVICE["medium"]}'
+          else '{fv.INVENTORY_ADVICE["low"]}' end as line from reordered""",
+}
+
+
+def _plan_text_sql() -> str:
+    """One CTE per part: the lines of the first 20 rows, sorted, and a count of the others."""
+    return ", ".join(
+        f"""{part}_lines as ({lines}), {part} as (
+      select store_id, string_agg(line, chr(10) order by line) filter (place <= 20)
+        || case when count(*) > 20 then chr(10) || format('외 {{:,}}건', count(*) - 20) else '' end as {part}
+      from {part}_lines group by store_id)"""
+        for part, lines in _PLAN_TEXTS.items()
+    )
+
+
 @query(
-    f"""with {sql.staffing("cast(user_id % 25 as integer)")}, staffed_hours as (
-      select store_id, cast(count(*) as integer) as hours from staffed group by store_id),
-    scenarios as (
+    f"""with {_plan_text_sql()}, scenarios as (
       select n_nationkey as store_id, unnest(['retention_recovery', 'anomaly_followup', 'operations_tuning']) as scenario
       from nation),
-    buying as (select distinct c_nationkey as store_id from orders join customer on o_custkey = c_custkey),
-    busy as (select distinct cast(user_id % 25 as integer) as store_id from events),
-    supplying as (select distinct s_nationkey as store_id from lineitem join supplier on l_suppkey = s_suppkey),
     known as (
-      select s.*, scenario = 'retention_recovery' and buying.store_id is not null as recover,
-        scenario = 'anomaly_followup' as follow, busy.store_id is not null as active,
-        supplying.store_id is not null as stocked
-      from scenarios s left join buying on s.store_id = buying.store_id left join busy on s.store_id = busy.store_id
-        left join supplying on s.store_id = supplying.store_id)
-    select store_id, scenario, case when recover or follow then 'pending_approval' else 'completed' end as status,
-      case when recover then 'analysis:completed|strategy:completed|execution:pending_approval'
-        when follow then concat_ws('|', case when active then 'analysis:completed' end, 'strategy:skipped',
-                                   'execution:pending_approval')
-        when scenario = 'operations_tuning' then concat_ws('|', case when stocked then 'strategy:completed' end,
-          case when active then 'staffing:completed' end, case when stocked then 'inventory:completed' end)
-        else '' end as steps,
-      case when recover then 'analysis|execution|strategy'
-        when follow then concat_ws('|', case when active then 'analysis' end, 'execution')
-        when scenario = 'operations_tuning' then concat_ws('|', case when stocked then 'inventory|menu_strategy' end,
-          case when active then 'staffing' end)
-        else '' end as outputs,
-      case when scenario = 'operations_tuning' then coalesce(hours, 0) else 0 end as staffing_texts
-    from known left join staffed_hours using (store_id)"""
+      select s.store_id, s.scenario, scenario = 'retention_recovery' as recover, scenario = 'anomaly_followup' as follow,
+        case when scenario = 'retention_recovery' then churn when scenario = 'anomaly_followup' then anomaly end as analysis,
+        case when scenario = 'retention_recovery' then retention end as strategy,
+        case when scenario = 'operations_tuning' then menu end as menu_strategy,
+        case when scenario = 'operations_tuning' then staffing end as staffing,
+        case when scenario = 'operations_tuning' then inventory end as inventory
+      from scenarios s left join churn using (store_id) left join retention using (store_id) left join anomaly using (store_id)
+        left join menu using (store_id) left join staffing using (store_id) left join inventory using (store_id)),
+    planned as (
+      select *, case when recover and strategy is not null then '{fv.HANDOFF_MESSAGES["pending_approval"]}'
+                     when follow then '{fv.PLAN_ANOMALY_OUTPUT}' end as execution from known)
+    select store_id, scenario, case when execution is not null then 'pending_approval' else 'completed' end as status,
+      concat_ws('|', case when analysis is not null then 'analysis:completed' end,
+        case when strategy is not null or menu_strategy is not null then 'strategy:completed' when follow then 'strategy:skipped' end,
+        case when execution is not null then 'execution:pending_approval' end,
+        case when staffing is not null then 'staffing:completed' end,
+        case when inventory is not null then 'inventory:completed' end) as steps,
+      analysis, strategy, execution, menu_strategy, staffing, inventory from planned"""
 )
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.action_plan(b.action_requests(spark, sf_dir), **b.action_inputs(spark, sf_dir))
     steps = F.transform("steps", lambda step: F.concat_ws(":", step["name"], step["status"]))
+    outputs = ("analysis", "strategy", "execution", "menu_strategy", "staffing", "inventory")
     return rows.select(
-        "store_id",
-        "scenario",
-        "status",
-        F.concat_ws("|", steps).alias("steps"),
-        F.concat_ws("|", F.array_sort(F.map_keys("outputs"))).alias("outputs"),
-        F.coalesce(F.size(F.split(F.try_element_at("outputs", F.lit("staffing")), "\n")), F.lit(0)).alias("staffing_texts"),
+        "store_id", "scenario", "status", F.concat_ws("|", steps).alias("steps"),
+        *(F.try_element_at("outputs", F.lit(name)).alias(name) for name in outputs),
     )
 
 
