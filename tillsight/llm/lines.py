@@ -23,7 +23,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits of a line's bitmap, 64 to a number, and rounds in which lines are paired one by one before all that remain.
 BITMAP = 512
-ROUNDS = 4
+ROUNDS = 2
 #: Buckets in which words are counted: a fixed number, so the counts can be sent to every task.
 WORD_BUCKETS = 1 << 14
 
@@ -193,7 +193,7 @@ def led_pairs(lines: DataFrame, possible: Column, order: Column, count: int) ->
 
     A token is led by one line of each of `count` components, the first by `order`.
     """
-    kept = [c for c in lines.columns if c not in ("token", "component", "tokens")]
+    kept = [c for c in lines.columns if c not in ("token", "component")]
     leads = lines.groupBy("token", "component").agg(F.min(F.struct(order.alias("order"), *kept)).alias("lead"))
     leads = leads.select("token", "lead.*", "component")
     if count == 1:
@@ -224,16 +224,17 @@ def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, simila
     order = F.struct("lost", "n")
     links = stored(_verified(led_pairs(placed, fits, order, 1), ranked, similarity), "line-links")
     components = stored(connected_components(links, "a", "b"), "line-components")
-    rest = stored(open_lines(placed, components).join(ranked.select("key", "tokens", *BITS), "key"), "open-lines")
-    possible = fits & _can_share(similarity)
+    rest = stored(open_lines(placed, components), "open-lines")
     for number in range(ROUNDS):
-        found = stored(_verified(led_pairs(rest, possible, F.xxhash64("key", F.lit(number)), 2), ranked, similarity), "line-links")
+        found = stored(_verified(led_pairs(rest, fits, F.xxhash64("key", F.lit(number)), 2), ranked, similarity), "line-links")
         if found.isEmpty():
             break
         links = links.union(found)
         components = stored(connected_components(links, "a", "b"), "line-components")
         rest = stored(open_lines(rest, components), "open-lines")
     # Then the lines that still meet in a token without being linked: compared where they meet, so that only links come out.
+    rest = rest.join(ranked.select("key", "tokens", *BITS), "key")
+    possible = fits & _can_share(similarity)
     similar = _enough(F.size(F.array_intersect("x.tokens", "y.tokens")), F.col("x.n"), F.col("y.n"), similarity)
     more = rest.alias("x").join(rest.alias("y"), "token").where(
         (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible & similar
