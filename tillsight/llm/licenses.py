@@ -135,7 +135,11 @@ def template_blocks(documents: DataFrame, doc_id: str, text: str, templates: lis
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("met_id")) & (F.xxhash64(value) == F.col("met_row"))
     texts = documents.select(F.col(f"`{doc_id}`"), value).join(met, same)
     texts = texts.select(F.col("met_id").alias("doc_id"), F.col("met_row").alias("row"), "templates", value.alias("value")).dropDuplicates(["doc_id", "row"])
-    words = texts.select("doc_id", "row", "templates", F.posexplode_outer(words_of(F.col("value"))).alias("pos", "word"))
+    # Only the templates' words and their places leave a text.
+    vocabulary = F.array(*map(F.lit, sorted({word for word, _, _ in parts})))
+    numbered = F.transform(words_of(F.col("value")), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    texts = texts.select("doc_id", "row", "templates", F.filter(numbered, lambda x: F.array_contains(vocabulary, x["word"])).alias("words"))
+    words = texts.select("doc_id", "row", "templates", F.inline("words"))
     places = words.join(known, "word").where(F.array_contains("templates", F.col("template"))).select("doc_id", "row", "template", "word", "span", "pos")
     one = ["doc_id", "row", "template"]
     before = F.lag("pos").over(Window.partitionBy(*one, "word").orderBy("pos"))
