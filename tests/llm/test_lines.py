@@ -118,6 +118,46 @@ def test_variants_are_not_paired_all_with_all(spark, monkeypatch, vocabulary):
         assert sum(verified) <= count  # with all pairs it would be thousands of times that
 
 
+def test_a_shared_passage_does_not_pass_the_first_cut(spark, monkeypatch):
+    """Lines that share only a few rare words are done before their tokens are counted."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{draw.randrange(300)}" for _ in range(50)]
+        words[20:20] = [f"passage{k // 2}word{i}" for i in range(6)]
+        rows.append((k, " ".join(words)))
+    near = rows[7][1].split()
+    near[40] = "changed"
+    rows.append((100, " ".join(near)))
+    kept = []
+    real = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: kept.append(name == "contested-keys" and df.count()) or real(df, name))
+    found = lines.remove_lines(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert [r["doc_id"] for r in found.where("n_removed > 0").collect()] == [100]
+    assert max(kept) == 2  # the near copies only
+
+
+@pytest.mark.parametrize("vocabulary", [2, 5, 40])
+def test_first_cut_keeps_similar_lines(spark, vocabulary):
+    """Every line with a similar one passes, also where words repeat and sketched tokens are fewer than shingles."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(7)
+    rows = []
+    for k in range(40):
+        words = [("v" * draw.choice([1, 3])) + str(draw.randrange(vocabulary)) for _ in range(draw.choice([1, 4, 5, 6, 12, 30, 90]))]
+        for _ in range(4):
+            rows.append(" ".join(words))
+            at = draw.randrange(len(words))
+            words = words[:at] + [f"x{draw.randrange(50)}"] * draw.choice([0, 1, 2]) + words[at + draw.choice([0, 1]):] or ["x"]
+    sets = {r: plain_tokens(r) for r in rows}
+    similar = {a for a in sets for b in sets if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame([(r,) for r in rows], "line string").withColumn("key", F.xxhash64("line"))
+    met = lines.met_keys(lines.sketched_lines(frame, 5, Fraction(4, 5)), Fraction(4, 5))
+    passed = {r["line"] for r in frame.join(met, "key").collect()}
+    assert len(similar) >= 15 and similar <= passed
+
+
 def test_edges(spark, edge, nothing):
     found = lines.remove_lines(edge)
     assert sorted(found.columns) == sorted(edge.columns + ["n_lines", "n_removed", "removed_lines"])

@@ -1,10 +1,10 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join.
 
-The tokens of a line are the hashes of its five-word shingles. Lines that are similar enough share one of their first tokens in
-any order common to all. Lines that share none are done: this first cut takes a token to be as rare as the word it starts with,
-words being counted over all lines. The tokens of the lines that remain are counted themselves and ordered by rarity; the lines
-are joined on their first ones, the join is cut by length, position and a bitmap of the tokens, and what is left is verified on
-whole token sets.
+The tokens of a line are the hashes of its five-word shingles. Lines that are similar enough share some of their first tokens in
+any order common to all. Lines that share too few are done: this first cut looks at the outer words of a shingle only and takes it
+to be as rare as the word it starts with is long. The tokens of the lines that remain are counted and ordered by rarity;
+the lines are joined on their first ones, the join is cut by length, position and a bitmap of the tokens, and what is left is
+verified on whole token sets.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ SIMILARITY = 0.8
 #: Bits of a line's bitmap, 64 to a number, and rounds in which lines are paired one by one before all that remain.
 BITMAP = 512
 ROUNDS = 2
-#: Buckets in which words are counted: a fixed number, so the counts can be sent to every task.
-WORD_BUCKETS = 1 << 14
-
+#: Bits of a token that come from its hash; its rank stands above them.
+HASHED = 56
 
 BITS = [f"bits{i}" for i in range(BITMAP // 64)]
 
@@ -39,47 +38,75 @@ def words_of(line: Column) -> Column:
 def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """`doc_id`, `row` (hash of the text), `pos` (from 0), `key` (hash of the line) and `line` of every line with words."""
     value = F.col(f"`{text}`")
+    # The hash is a column of its own, else it would be made again for every line of the text.
+    texts = documents.where(value.isNotNull()).select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(value).alias("row"), F.split(value, "\n").alias("parts")
+    )
     return (
-        documents.where(value.isNotNull())
-        .select(
-            F.col(f"`{doc_id}`").alias("doc_id"),
-            F.xxhash64(value).alias("row"),
-            F.posexplode(F.split(value, "\n")).alias("pos", "line"),
-        )
+        texts.select("doc_id", "row", F.posexplode("parts").alias("pos", "line"))
         .where(F.btrim("line", F.lit(" \t\r")) != "")
         .select("doc_id", "row", "pos", F.xxhash64("line").alias("key"), "line")
     )
 
 
-def word_levels(lines: DataFrame) -> Column:
-    """One number for each of a fixed number of word buckets: the digits of the bucket's count over all lines."""
-    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word"))
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
-    levels = [0] * WORD_BUCKETS
-    for row in counts.collect():
-        levels[row["bucket"]] = row["count"].bit_length()
-    # A constant, folded to an array once per plan.
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+def sketched_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """`key`, `most`, `least` and `first` of every distinct line: what the first cut looks at.
 
+    A sketched token is the hash of the first and the last word of a shingle below the length of the first one, long words
+    first. Several shingles may have the same, so a line has at least `least` shingles (its distinct sketched tokens) and at
+    most `most` (its places), and lacks no more sketched tokens of another line than shingles. `first` holds the first ones: as
+    many as may be missing from a similar line, one more, and half as many again.
+    """
 
-def _bucket(word_hash: Column) -> Column:
-    return word_hash.bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")
+    def sketched(first: Column, place: Column) -> Column:
+        # From 128 bytes on the rank starts again; any order common to all lines will do.
+        rank = F.shiftleft((-F.octet_length(first)).cast("bigint"), HASHED)
+        hashed = F.xxhash64(first, F.get("words", place + (size - 1)))
+        return rank.bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASHED) - 1)))
 
+    # Each step is a column of its own, so that no step is computed twice.
+    words = lines.select("key", words_of(F.col("line")).alias("words"))
+    made = words.select(
+        "key", F.greatest(F.size("words") - (size - 1), F.lit(1)).alias("most"), F.transform("words", sketched).alias("tokens")
+    )
+    made = made.select("key", "most", F.sort_array(F.array_distinct(F.slice("tokens", 1, F.col("most")))).alias("tokens"))
+    first = F.slice("tokens", 1, F.col("most") - least_shared(F.col("most"), similarity) + 1 + _spare(F.col("most"), similarity))
+    # Copies of a line are folded before its tokens meet others.
+    once = made.select("key", F.struct("most", F.size("tokens").alias("least"), first.alias("first")).alias("line"))
+    return once.groupBy("key").agg(F.first("line").alias("line")).select("key", "line.*")
 
-def ranked_tokens(lines: DataFrame, size: int, levels: Column) -> DataFrame:
-    """`key`, `tokens` (the line's distinct shingles from rare to frequent) and `n`, how many.
 
-    A token is the level of its first word above 56 bits of its hash: as rare as the word it starts with. This
-    order is common to all lines, whatever the counts are.
-    """
-    rest = F.lit((1 << 56) - 1)
-    made = with_shingles(lines.select("key", words_of(F.col("line")).alias("words")), size)
+def _spare(n: Column, similarity: Fraction) -> Column:
+    """Half of the tokens of n that may be missing from a similar line."""
+    p, q = similarity.numerator, similarity.denominator
+    return F.floor(n * (q - p) / (2 * q)).cast("int")
+
 
-    def ranked(shingle: Column, word: Column) -> Column:
-        return F.shiftleft(F.get(levels, _bucket(word)), 56).bitwiseOR(shingle.bitwiseAND(rest))
+def _needed(most: Column, least: Column, similarity: Fraction) -> Column:
+    """How many of its first sketched tokens a line has in common with those of any similar one."""
+    # The other line has at least `least_shared` shingles, and so at least as many spare ones.
+    spare = _spare(least_shared(least, similarity), similarity)
+    return F.greatest(F.least(spare + 1, least - most + least_shared(most, similarity)), F.lit(1))
 
-    tokens = F.array_distinct(F.zip_with("shingles", F.slice("run0", 1, F.size("shingles")), ranked))
-    return made.select("key", F.sort_array(tokens).alias("tokens")).select("key", F.size("tokens").alias("n"), "tokens")
+
+def met_keys(sketched: DataFrame, similarity: Fraction) -> DataFrame:
+    """`key` of the lines of which enough first tokens meet another line, where lengths and places allow enough shared ones."""
+    p, q = similarity.numerator, similarity.denominator
+    # outer: a plain explode is given a filter on its array, for which all steps would be computed again. No line is without
+    # tokens, so both give the same rows.
+    placed = sketched.select("key", "most", "least", F.posexplode_outer("first").alias("pos", "token"))
+    needed = _needed(F.col("x.most"), F.col("x.least"), similarity)
+
+    def possible(one: str, other: str) -> Column:
+        # Before a needed token are those the other line lacks, and less than `needed` shared ones.
+        lacking, bound = F.col(f"{one}.pos") - needed + 1, F.col(f"{one}.most") * q - F.col(f"{other}.least") * p
+        return (bound >= 0) & (lacking * (p + q) <= bound)
+
+    # One exchange serves both sides; a row is done with its first partner.
+    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key")) & possible("x", "y") & possible("y", "x")
+    met = placed.alias("x").join(placed.alias("y"), other, "left_semi")
+    met = met.groupBy("key").agg(F.count("*").alias("met"), F.first("most").alias("most"), F.first("least").alias("least"))
+    return met.where(F.col("met") >= _needed(F.col("most"), F.col("least"), similarity)).select("key")
 
 
 def with_shingles(lines: DataFrame, size: int) -> DataFrame:
@@ -134,8 +161,7 @@ def first_tokens(ranked: DataFrame, similarity: Fraction) -> DataFrame:
 
 def placed_tokens(first: DataFrame) -> DataFrame:
     """A row for each of the first tokens: `lost` of the line's tokens are not kept, `left` are from this one on."""
-    # outer: a plain explode is given a filter on its array, for which all steps above would be computed again. No
-    # line is without tokens, so both give the same rows.
+    # outer, as above.
     rows = first.select("key", "n", "held", F.posexplode_outer("first").alias("pos", "token"))
     return rows.select("key", "n", (F.col("n") - F.col("held")).alias("lost"), (F.col("held") - F.col("pos")).alias("left"), "token")
 
@@ -149,33 +175,33 @@ def _verified(pairs: DataFrame, ranked: DataFrame, similarity: Fraction) -> Data
 
 
 def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """`key`, `n`, `tokens` and `bits` of the distinct lines that can have a similar enough partner.
+    """`key`, `n` and `tokens` of the distinct lines that can have a similar enough partner.
 
-    First the lines that meet another in one of the tokens that start with their rarest words, where lengths and places allow
-    enough shared ones. Of these all tokens are counted: `tokens` holds those that another of them has, rarest first (`n`
-    counts all), and only lines of which enough are left go on. The bits tell which tokens a line can have.
+    First the lines that meet others in enough of their first sketched tokens. Of these all tokens are counted: `tokens` holds
+    those that another of them has, rarest first (`n` counts all), and only lines of which enough are left go on.
     """
-    levels = word_levels(lines)
-    # Copies of a line are folded before its tokens meet others.
-    once = first_tokens(ranked_tokens(lines, size, levels), similarity).groupBy("key").agg(
-        F.first(F.struct("n", "held", "first")).alias("line")
-    )
-    placed = placed_tokens(once.select("key", "line.*"))
-    # One exchange serves both sides; a row is done with its first partner.
-    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key")) & _fits("x", "y", similarity)
-    met = placed.alias("x").join(placed.alias("y"), other, "left_semi")
-    keys = sent_if_small(stored(met.select("key").distinct(), "contested-keys"))
+    keys = sent_if_small(stored(met_keys(sketched_lines(lines, size, similarity), similarity), "contested-keys"))
     again = lines.select("key", "line").join(keys, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    tokens = stored(ranked_tokens(again, size, levels).select("key", "n", F.explode_outer("tokens").alias("token")), "contested-tokens")
+    made = with_shingles(again.select("key", words_of(F.col("line")).alias("words")), size)
+    made = made.select("key", F.array_distinct("shingles").alias("shingles"))
+    made = stored(made.select("key", F.size("shingles").alias("n"), "shingles"), "contested-tokens")
+    hashed = F.col("shingle").bitwiseAND(F.lit((1 << HASHED) - 1)).alias("token")
+    tokens = made.select("key", "n", F.explode_outer("shingles").alias("shingle")).select("key", "n", hashed)
     counts = tokens.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1")
+    # Up to 63 lines are told apart, more by their digits.
+    rank = F.when(F.col("lines") < 64, F.col("lines")).otherwise(F.floor(F.log2("lines")) + 64).cast("bigint")
+    counts = counts.select("token", F.shiftleft(rank, HASHED).bitwiseOR(F.col("token")).alias("ranked"))
+    common = tokens.join(counts, "token").select("key", "n", "ranked").repartition("key").groupBy("key", "n").agg(F.sort_array(F.collect_list("ranked")).alias("tokens"))
+    return stored(common.where(F.size("tokens") >= least_shared(F.col("n"), similarity)), "contested-lines")
+
+
+def with_bits(lines: DataFrame) -> DataFrame:
+    """Add bits that tell which tokens a line can have."""
     bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
     number = F.expr(f"cast(shiftright(token, 6) & {BITMAP // 64 - 1} as int)")
-    common = tokens.join(counts, "token").groupBy("key", "n").agg(
-        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("ordered"),
-        *(F.coalesce(F.bit_or(F.when(number == i, bit)), F.lit(0)).alias(name) for i, name in enumerate(BITS)),
-    )
-    held = common.where(F.size("ordered") >= least_shared(F.col("n"), similarity))
-    return stored(held.select("key", "n", F.transform("ordered", lambda t: t["token"]).alias("tokens"), *BITS), "contested-lines")
+    rows = lines.select("key", F.explode_outer("tokens").alias("token"))
+    bits = rows.groupBy("key").agg(*(F.coalesce(F.bit_or(F.when(number == i, bit)), F.lit(0)).alias(name) for i, name in enumerate(BITS)))
+    return lines.join(bits, "key")
 
 
 def _can_share(similarity: Fraction) -> Column:
@@ -217,7 +243,7 @@ def open_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
 def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, similarity: Fraction) -> DataFrame:
     """`key`, `component` of the lines that are similar to another line, over any number of links."""
     ranked = contested_lines(lines_of(documents, doc_id, text), size, similarity)
-    placed = placed_tokens(first_tokens(ranked.drop(*BITS), similarity)).withColumn("component", F.col("key"))
+    placed = placed_tokens(first_tokens(ranked, similarity)).withColumn("component", F.col("key"))
     fits = _fits("x", "y", similarity)
     # Groups of near copies grow together with one pair for each line and round instead of all pairs: first with the line
     # that shares most of itself, then with any other that leads a token.
@@ -233,7 +259,8 @@ def line_classes(documents: DataFrame, doc_id: str, text: str, size: int, simila
         components = stored(connected_components(links, "a", "b"), "line-components")
         rest = stored(open_lines(rest, components), "open-lines")
     # Then the lines that still meet in a token without being linked: compared where they meet, so that only links come out.
-    rest = rest.join(ranked.select("key", "tokens", *BITS), "key")
+    open_keys = rest.select("key").distinct()
+    rest = rest.join(with_bits(ranked.select("key", "tokens").join(open_keys, "key", "left_semi")), "key")
     possible = fits & _can_share(similarity)
     similar = _enough(F.size(F.array_intersect("x.tokens", "y.tokens")), F.col("x.n"), F.col("y.n"), similarity)
     more = rest.alias("x").join(rest.alias("y"), "token").where(
