@@ -87,6 +87,17 @@ def test_shingles(spark):
             assert len(set(r["shingles"])) == len(plain_tokens(r["w"], size))
 
 
+def test_a_text_is_split_once(spark):
+    """Neither a filter nor the next step splits a text or a line again; lines without words are left out."""
+    odd = [" ", "\t \r", "", "A b", "\tc  D\r", " e\tf ", "g\rh", "\u00a0", "K \u0130"]
+    made = lines.lines_of(spark.createDataFrame([(1, "\n".join(odd)), (2, ""), (3, None)], "doc_id int, text string"), "doc_id", "text")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "array_" not in plan
+    assert sorted((r["doc_id"], r["pos"], r["line"]) for r in made.collect()) == [(1, k, odd[k]) for k in range(3, 9)]
+    found = {r["line"]: r["words"] for r in lines.with_words(made).join(made, "key").collect()}
+    assert found == {line: [w for w in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if w] for line in odd[3:]}
+
+
 def test_near_copies_link_without_their_pairs(spark):
     """A hub joins a group of near copies; lines that only meet in hot tokens stay apart."""
     base = [f"b{k}" for k in range(150)]

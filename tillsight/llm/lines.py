@@ -30,9 +30,15 @@ HASHED = 56
 BITS = [f"bits{i}" for i in range(BITMAP // 64)]
 
 
-def words_of(line: Column) -> Column:
-    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+def with_words(lines: DataFrame) -> DataFrame:
+    """`key` and, in place of `line`, its `words`. Each step is a column of its own, so that no step is computed twice."""
+    lowered = lines.select("key", F.lower("line").alias("line"))
+    other = F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r"))
+    # Most lines have neither other separators nor empty words: they are looked for before anything is copied.
+    spaced = F.when(other, F.replace(F.replace("line", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))).otherwise(F.col("line"))
+    parts = lowered.select("key", spaced.alias("line")).select("key", F.split("line", " ").alias("words"))
+    filled = F.when(F.array_contains("words", ""), F.array_remove("words", "")).otherwise(F.col("words"))
+    return parts.select("key", filled.alias("words"))
 
 
 def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -42,9 +48,11 @@ def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     texts = documents.where(value.isNotNull()).select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(value).alias("row"), F.split(value, "\n").alias("parts")
     )
+    # outer: a plain explode is given a filter on its array, for which a text would be split again. No text is without lines,
+    # so both give the same rows. Trimming one side is enough to find a line without words.
     return (
-        texts.select("doc_id", "row", F.posexplode("parts").alias("pos", "line"))
-        .where(F.btrim("line", F.lit(" \t\r")) != "")
+        texts.select("doc_id", "row", F.posexplode_outer("parts").alias("pos", "line"))
+        .where(F.ltrim("line", F.lit(" \t\r")) != "")
         .select("doc_id", "row", "pos", F.xxhash64("line").alias("key"), "line")
     )
 
@@ -58,18 +66,19 @@ def sketched_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFra
     many as may be missing from a similar line, one more, and half as many again.
     """
 
-    def sketched(first: Column, place: Column) -> Column:
-        # From 128 bytes on the rank starts again; any order common to all lines will do.
-        rank = F.shiftleft((-F.octet_length(first)).cast("bigint"), HASHED)
-        hashed = F.xxhash64(first, F.get("words", place + (size - 1)))
-        return rank.bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASHED) - 1)))
+    def sketched(first: Column, last: Column) -> Column:
+        # The high bits hold the length inverted; from 128 bytes on it starts again, any order common to all lines will do. A
+        # length that cannot be null leaves plain numbers to sort.
+        rank = F.shiftleft(F.coalesce(F.octet_length(first), F.lit(0)).cast("bigint"), HASHED)
+        return F.xxhash64(first, last).bitwiseOR(F.lit(-1 << HASHED)).bitwiseXOR(rank)
 
     # Each step is a column of its own, so that no step is computed twice.
-    words = lines.select("key", words_of(F.col("line")).alias("words"))
-    made = words.select(
-        "key", F.greatest(F.size("words") - (size - 1), F.lit(1)).alias("most"), F.transform("words", sketched).alias("tokens")
-    )
-    made = made.select("key", "most", F.sort_array(F.array_distinct(F.slice("tokens", 1, F.col("most")))).alias("tokens"))
+    words = with_words(lines.select("key", "line"))
+    # A line of fewer words than a shingle has no last word: null meets its first one.
+    starts = F.slice("words", 1, F.greatest(F.size("words") - (size - 1), F.lit(1)))
+    outer = words.select("key", starts.alias("firsts"), F.slice("words", size, F.size("words")).alias("lasts"))
+    made = outer.select("key", F.size("firsts").alias("most"), F.zip_with("firsts", "lasts", sketched).alias("tokens"))
+    made = made.select("key", "most", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
     first = F.slice("tokens", 1, F.col("most") - least_shared(F.col("most"), similarity) + 1 + _spare(F.col("most"), similarity))
     # Copies of a line are folded before its tokens meet others.
     once = made.select("key", F.struct("most", F.size("tokens").alias("least"), first.alias("first")).alias("line"))
@@ -182,7 +191,7 @@ def contested_lines(lines: DataFrame, size: int, similarity: Fraction) -> DataFr
     """
     keys = sent_if_small(stored(met_keys(sketched_lines(lines, size, similarity), similarity), "contested-keys"))
     again = lines.select("key", "line").join(keys, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    made = with_shingles(again.select("key", words_of(F.col("line")).alias("words")), size)
+    made = with_shingles(with_words(again), size)
     made = made.select("key", F.array_distinct("shingles").alias("shingles"))
     made = stored(made.select("key", F.size("shingles").alias("n"), "shingles"), "contested-tokens")
     hashed = F.col("shingle").bitwiseAND(F.lit((1 << HASHED) - 1)).alias("token")
